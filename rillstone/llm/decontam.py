@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .scratch import Scratch
@@ -175,8 +176,13 @@ def _compare(doc: np.ndarray, item: np.ndarray, shift: int, size: int) -> list[t
     return [(lo + shift + a, lo + shift + b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= size]
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """doc, n_words, n_hit, spans array<struct<item string, start int, end int>>: hit words are those within spans."""
+HITS = "array<struct<item:string,start:int,end:int>>"
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """doc, n_words, n_hit, spans array<struct<item string, start int, end int>>: hit words are those within spans.
+
+    With ``keep``, all columns of docs instead of doc, and the others as __n_words, __n_hit, __spans."""
     spark: SparkSession = docs.sparkSession
     disk = Scratch(spark, "decontam")
     rows = docs.select(docs[doc_key].cast("long").alias("k"), docs[text].alias("t"))
@@ -211,29 +217,39 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
     per_doc = per_doc.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("lined"))
     sent = spark.sparkContext.broadcast({r.item: np.array(r.words, np.int64).view(np.uint64) for r in words.collect()} if small else {})
 
+    kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def scan(column: pa.Array, found: pa.Array) -> list[pa.Array]:
+        n, hits, spans = [], [], []
+        for lo, hi, data, offs in tb.groups(column):
+            w = tb.words(data, offs, tb.ALNUM)
+            bounds = w.bounds(hi - lo)
+            for d in range(hi - lo):
+                h = w.hash[bounds[d] : bounds[d + 1]]
+                mark, own = np.zeros(len(h), bool), []
+                for x in found[lo + d].as_py() or []:
+                    item = np.array(x["words"], np.int64).view(np.uint64) if "words" in x else sent.value[x["item"]]
+                    for a, b in _compare(h, item, x["shift"], size):
+                        mark[a:b] = True
+                        own.append({"item": x["item"], "start": a, "end": b})
+                n.append(len(h))
+                hits.append(int(mark.sum()))
+                spans.append(own)
+        return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, kind)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            ids, found = batch.column(0), batch.column(2)
-            n, hits, spans = [], [], []
-            for lo, hi, data, offs in tb.groups(batch.column(1)):
-                w = tb.words(data, offs, tb.ALNUM)
-                bounds = w.bounds(hi - lo)
-                for d in range(hi - lo):
-                    h = w.hash[bounds[d] : bounds[d + 1]]
-                    mark, own = np.zeros(len(h), bool), []
-                    for x in found[lo + d].as_py() or []:
-                        item = np.array(x["words"], np.int64).view(np.uint64) if "words" in x else sent.value[x["item"]]
-                        for a, b in _compare(h, item, x["shift"], size):
-                            mark[a:b] = True
-                            own.append({"item": x["item"], "start": a, "end": b})
-                    n.append(len(h))
-                    hits.append(int(mark.sum()))
-                    spans.append(own)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, kind)], ["doc", "n_words", "n_hit", "spans"])
-
-    joined = rows.join(per_doc, rows["k"].eqNullSafe(per_doc["doc"]), "left").select("k", "t", "lined")
-    return joined.mapInArrow(run, "doc long, n_words long, n_hit long, spans array<struct<item:string,start:int,end:int>>")
+            *own, column, found = batch.columns
+            yield pa.RecordBatch.from_arrays([*own, *scan(column, found)], names)
+
+    own = docs.select("*") if keep else docs.select(docs[doc_key].cast("long").alias("doc"))
+    given = docs.select(*([docs[c] for c in docs.columns] if keep else [docs[doc_key].cast("long").alias("doc")]), docs[doc_key].cast("long").alias("__k"), docs[text].alias("__t"))
+    per_doc = per_doc.withColumnRenamed("doc", "__doc")
+    joined = given.join(per_doc, given["__k"].eqNullSafe(per_doc["__doc"]), "left").select(*own.columns, "__t", F.col("lined").alias("__lined"))
+    mark = "__" if keep else ""
+    schema = T.StructType([*own.schema.fields, T.StructField(f"{mark}n_words", T.LongType()), T.StructField(f"{mark}n_hit", T.LongType()), T.StructField(f"{mark}spans", T._parse_datatype_string(HITS))])
+    names = [f.name for f in schema]
+    return joined.mapInArrow(run, schema)
 
 
 def report(found: DataFrame) -> DataFrame:

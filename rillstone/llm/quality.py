@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .scratch import Scratch
@@ -210,10 +211,26 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("k", "stats").mapInArrow(run, "k long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """key, held_out, score, predicted, for each row of docs; learnt from the labels of its rows that are not held out."""
+def append_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "__score") -> DataFrame:
+    """docs with the score of each row's text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        parts = [sent.value.score(statistics(data, offs)) for _, _, data, offs in tb.groups(column)]
+        return [pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())]
+
+    return tb.append(docs, text, [(name, T.DoubleType())], make)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> tuple[DataFrame, Model]:
+    """The statistics of all documents, and the model learnt from the labelled ones that are not held out."""
     disk = Scratch(docs.sparkSession, "quality-statistics")
     stats = disk.save(document_statistics(docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))), "stats")
-    model = fit(stats, labels.select(labels[key].cast("long").alias("k"), labels[label].cast("double").alias("y")), max_rows=max_rows)
+    return stats, fit(stats, labels.select(labels[key].cast("long").alias("k"), labels[label].cast("double").alias("y")), max_rows=max_rows)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """key, held_out, score, predicted, for each row of docs; learnt from the labels of its rows that are not held out."""
+    stats, model = fit_documents(docs, labels, key, text, label, max_rows)
     scored = score_statistics(stats, model)
     return scored.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
