@@ -7,11 +7,11 @@ Two sets agree on a coordinate with a probability equal to their similarity, and
 concentrated as with independent ones.
 
 Texts with the same set are one class, known by a 128-bit hash, and only the class's smallest document is banded.  A
-bucket is the documents that agree on all coordinates of a band.  In each bucket the documents are first compared with
-one centre (the smallest; then one drawn by hash), then all pairs of the bucket whose documents these links have not
-yet joined.  A comparison intersects the full shingle sets of both texts.  Pairs within a component bring no new link
-between components, so that a bucket of n copies takes about n comparisons, while no two different texts that share a
-bucket and pass the test stay apart.
+bucket is the documents that agree on all coordinates of a band.  In each bucket all documents are compared with the
+smallest one, and these links are joined to components.  Pairs of a component bring nothing new, so that a bucket of n
+copies takes n comparisons.  Documents of a bucket that are still in different components are searched exactly, without
+listing the bucket's pairs (see ``remaining_pairs``), so that no two different texts that share a bucket and pass the
+test stay apart.  Every link is confirmed by intersecting the full shingle sets of both texts.
 
 Null and empty texts, and those without words, have an empty set and no link; a text with fewer words than a shingle has its
 whole sequence as one.  Repeated rows are each reported with the same answer; null ids get a component of null.  An
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -35,8 +35,6 @@ from .scratch import Scratch
 WORDS, PERCENT = 5, 80
 #: a pair at 80 % similarity fails to share any bucket with a probability of (1 - 0.8 ** 7) ** 48, 1 in 80,000
 BANDS, ROWS = 48, 7
-#: rounds with one centre to a bucket before all pairs that are left
-CENTRES = 2
 U64 = np.uint64
 SKETCH_SCHEMA = "k long, n long, set_a long, set_b long, bands array<long>"
 
@@ -124,6 +122,46 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (size(u) + size(v) - common)").select("a", "b")
 
 
+def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int, disk: Scratch) -> DataFrame:
+    """Pairs (a, b) that hold every possible link between the components of a group, and few others.
+
+    mixed: k, comp, grp, where grp is a member of the group too.  With C the set of grp, D = set - C plus C - set and d its size,
+    two texts are linked if and only if (100 + p) |D1 - D2 plus D2 - D1| <= (100 - p) (n1 + n2).  With s = (100 - p) n - (100 + p) d that
+    needs the D to share o >= -(s1 + s2) / (2 (100 + p)) elements.
+    Where s1 + s2 >= 0 none needs to be shared, and both texts are linked to the group's text of greatest s as well: pairs with it
+    are enough.  All others share an element among the d - o + 1 of each D that are rarest in the group, and are found by it."""
+    plus, minus = 100 + percent, 100 - percent
+    own = mixed.join(sets, "k").join(sets.select(F.col("k").alias("grp"), F.col("shingles").alias("base")), "grp")
+    parts = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
+    own = own.select("grp", "k", "comp", F.size("shingles").alias("n"), parts.alias("parts")).withColumn("d", F.size("parts"))
+    own = disk.save(own.withColumn("s", minus * F.col("n") - plus * F.col("d")), "differences")
+    top = own.groupBy("grp").agg(F.max(F.struct("s", F.col("k").alias("star"))).alias("t")).select("grp", F.col("t.star").alias("star"))
+    top = disk.save(top, "stars")
+    second = own.join(top, "grp").filter("k <> star").groupBy("grp").agg(F.max("s").alias("s_most"))
+    second = disk.save(second, "seconds")
+    star = own.select("grp", "k").join(top, "grp").filter("k <> star").select(F.least("k", "star").alias("a"), F.greatest("k", "star").alias("b"))
+
+    cut = own.select("grp", "k", F.explode("parts").alias("e"))
+    counts = disk.save(cut.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("f")), "counts")
+    placed = cut.join(counts, ["grp", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("f", "e"))).filter("f > 1")
+    facts = own.select("k", "comp", "n", "d", "s", "grp").join(second, "grp").drop("grp")
+    placed = placed.join(facts, "k").filter(f"rank <= d + 1 - greatest(1, ceil(-(s + s_most) / {2 * plus}))")
+    placed = disk.save(placed.select("grp", "e", "k", "comp", "n", "d", "s", "rank"), "postings")
+    other = placed.select("grp", "e", *[F.col(c).alias(f"{c}_b") for c in ("k", "comp", "n", "d", "s", "rank")])
+    share = f"greatest(1, ceil(-(s + s_b) / {2 * plus}))"
+    met = (
+        (placed["grp"] == other["grp"]) & (placed["e"] == other["e"]) & (F.col("k") < F.col("k_b")) & (F.col("comp") != F.col("comp_b"))
+        & F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) and rank <= d + 1 - {share} and rank_b <= d_b + 1 - {share}")
+    )
+    found = placed.join(other, met).select(F.col("k").alias("a"), F.col("k_b").alias("b"))
+    return star.unionByName(found).distinct()
+
+
+def _labels(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """k, comp of all nodes: those without a link are alone."""
+    return nodes.join(joined, nodes["k"] == joined["node"], "left").select("k", F.coalesce("component", "k").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable over links, itself included), kept (key = component_id)."""
     spark = docs.sparkSession
@@ -140,39 +178,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # one set for each text that shares a bucket
     busy = member.select("k").distinct()
     sets = disk.save(shingle_sets(source.join(busy, "k", "left_semi").groupBy("k").agg(F.min("t").alias("t")), words), "sets")
-    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    none = spark.createDataFrame([], "a long, b long")
-    links, label, tried = none, member.select("k").distinct().select("k", F.col("k").alias("comp")), none
-
-    for i in range(CENTRES + 1):
-        at = member.join(label, "k") if i else member.withColumn("comp", F.col("k"))
-        if i:
-            # only buckets that still hold several components
-            left = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k", "n", "comp")).alias("c")).filter("lo < hi")
-            left = disk.save(left.select("bucket", F.col("c.k").alias("centre"), F.col("c.n").alias("n_b"), F.col("c.comp").alias("comp_b")), f"mixed{i}")
-            at = disk.save(at.join(left.select("bucket"), "bucket", "left_semi"), f"at{i}")
-        else:
-            left = crowd.join(classes.select(F.col("k").alias("centre"), F.col("n").cast("int").alias("n_b")), "centre").withColumn("comp_b", F.col("centre"))
-            left = disk.save(left.select("bucket", "centre", "n_b", "comp_b"), "mixed0")
-        if i < CENTRES:
-            found = at.withColumnRenamed("n", "n_a").join(left, "bucket").filter(f"comp <> comp_b and {sizes}").select(F.col("k"), "centre")
-        else:
-            other = at.select("bucket", F.col("k").alias("centre"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            found = at.withColumnRenamed("n", "n_a").join(other, "bucket").filter(f"comp < comp_b and {sizes}").select("k", "centre")
-        pairs = found.select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
-        pairs = disk.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{i}")
-        if pairs.isEmpty():
-            if i:
-                break
-            continue
-        tried = tried.unionByName(pairs)
-        new = disk.save(verify(pairs, sets, percent), f"new{i}")
-        if new.isEmpty():
-            continue
-        links = links.unionByName(new)
-        joined = connected(links, disk, f"parts{i}")
-        alone = member.select("k").distinct().join(joined, F.col("k") == joined["node"], "left")
-        label = disk.save(alone.select("k", F.coalesce("component", "k").alias("comp")), f"labels{i}")
+
+    centres = crowd.join(classes.select(F.col("k").alias("centre"), F.col("n").cast("int").alias("n_b")), "centre")
+    centres = disk.save(centres, "centres")
+    near = member.join(centres, "bucket").filter(f"k <> centre and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    tried = disk.save(near.select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), "pairs-of-centres")
+    links = disk.save(verify(tried, sets, percent), "links-of-centres")
+    label = disk.save(_labels(busy, connected(links, disk, "first")), "labels-of-centres")
+
+    # buckets that still hold several components; those that share a document are searched as one group
+    held = member.join(label, "k")
+    left = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("k").alias("centre")).filter("lo < hi")
+    left = disk.save(left.select("bucket", "centre"), "mixed")
+    if not left.isEmpty():
+        within = disk.save(member.select("bucket", "k").join(left, "bucket").select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct(), "within")
+        groups = connected(within, disk, "groups").withColumnsRenamed({"node": "k", "component": "grp"})
+        pairs = remaining_pairs(groups.join(label, "k"), sets, percent, disk)
+        pairs = disk.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-of-groups")
+        more = disk.save(verify(pairs, sets, percent), "links-of-groups")
+        label = disk.save(_labels(busy, connected(links.unionByName(more), disk, "second")), "labels")
 
     named = classes.select("set_a", "set_b", "n", "k").join(label, "k", "left").select("set_a", "set_b", "n", F.coalesce("comp", "k").alias("comp"))
     named = disk.save(named, "named")
