@@ -26,6 +26,8 @@ from .quality import fold, held_out
 HIDDEN, SPAN, BATCH = 8, 128, 1024
 PER_LANG, CUTS = 300, 4
 EPOCHS, RATE, TRAIN_BATCH = 12, 0.01, 128
+#: a small sample is gone through more often, until so many steps are done
+LEAST_STEPS = 400
 PAD = 256
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.int64)
@@ -154,7 +156,9 @@ def train(langs: list[str], codes: np.ndarray, answer: np.ndarray, epochs: int =
     rng = np.random.Generator(np.random.PCG64(seed + 1))
     weights = [net.x, net.u, net.v, net.c]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    step, steps = 0, epochs * -(-len(codes) // TRAIN_BATCH)
+    batches = -(-len(codes) // TRAIN_BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    step, steps = 0, epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(codes))
         for lo in range(0, len(order), TRAIN_BATCH):
