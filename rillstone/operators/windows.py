@@ -167,10 +167,10 @@ def chunk_times(spans: DataFrame, intervals: DataFrame, key: str, least_s: float
     """W3.  spans: key, chunk, word_start, word_end, n_words; intervals: key, start_s, end_s, silences gone.  The k-th word is the k-th interval.
 
     Empty and too short spans have null times; a document whose counts differ too much, or whose spans run out of intervals, has a reason."""
-    ranked = intervals.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("start_s", "end_s")) - 1)
+    ranked = intervals.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy("start_s", "end_s")) - 1)
     counts = intervals.groupBy(key).agg(F.count(F.lit(1)).alias("n_intervals"))
-    first = ranked.select(key, F.col("k").alias("word_start"), F.col("start_s"))
-    last = ranked.select(key, (F.col("k") + 1).alias("word_end"), F.col("end_s"))
+    first = ranked.select(key, F.col("__k").alias("word_start"), F.col("start_s"))
+    last = ranked.select(key, (F.col("__k") + 1).alias("word_end"), F.col("end_s"))
     out = spans.join(counts, key, "left").join(first, [key, "word_start"], "left").join(last, [key, "word_end"], "left").fillna(0, ["n_intervals"])
     usable = F.least("n_intervals", "n_words")
     filled = F.col("word_end") > F.col("word_start")
