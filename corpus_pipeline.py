@@ -15,7 +15,7 @@ from rillstone.llm.queries import table, tokenizer_path
 from rillstone.llm.scratch import Scratch
 
 #: a document whose bytes are shared out between languages more evenly than this has none
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
