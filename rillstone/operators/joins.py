@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from .running import running
 from .scoring import first_per_key, last_per_key
 
 
@@ -69,14 +70,15 @@ def sentence_windows(sentences: DataFrame, window_s: float) -> DataFrame:
     return kept.withColumn("window_index", F.explode(F.sequence(F.floor(F.col("start_s") / window_s).cast("int"), F.greatest(last, F.floor(F.col("start_s") / window_s)).cast("int"))))
 
 
-def as_of(events: DataFrame, lookups: DataFrame, key: str, time: str, value: str, tie: str, default: float = 0.0) -> DataFrame:
+def as_of(events: DataFrame, lookups: DataFrame, key: str, time: str, value: str, tie: str, default: float = 0.0, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """J10, ST6.  lookups with the value of the last event of their key up to their time, equal times included; ``default`` before the first.
 
-    Both sides are one sorted stream per key, with events before lookups at equal times."""
-    side = lambda df, rank, v: df.select(key, F.col(time).alias("__t"), F.lit(rank).alias("__side"), F.col(tie).alias("__tie"), v.alias("__v"), F.lit(rank == 1).alias("__ask"))
+    Both sides are one sorted stream per key, with events before lookups at equal times; ``block`` makes a block of a time (see ``running``)."""
+    side = lambda df, rank, v: df.select(key, F.col(time).alias("__t"), F.lit(rank).alias("__side"), F.col(tie).alias("__tie"), v.alias("__x"), F.lit(rank == 1).alias("__ask"))
     both = side(events, 0, F.col(value).cast("double")).unionByName(side(lookups, 1, F.lit(None).cast("double")))
-    upto = Window.partitionBy(key).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__found", F.last("__v", ignorenulls=True).over(upto)).filter("__ask")
+    if block is not None:
+        both = both.withColumn("__block", block(F.col("__t")))
+    out = running(both, [key], ["__t", "__side", "__tie"], F.col("__x"), "last", "__found", "__block" if block is not None else None).filter("__ask")
     return out.select(key, F.col("__t").alias(time), F.col("__tie").alias(tie), F.coalesce("__found", F.lit(default)).alias(f"{value}_as_of"))
 
 

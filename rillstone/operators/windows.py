@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from .running import running
 
 
 def _upto(keys: Sequence[str], order: Sequence[str]):
@@ -19,14 +20,15 @@ def _upto(keys: Sequence[str], order: Sequence[str]):
 
 
 # W11 - W16
-def fifo_playout(df: DataFrame, keys: Sequence[str], order: Sequence[str], arrival: str = "arrival_ms", duration: str = "duration_ms") -> DataFrame:
-    """Each packet starts when it is there and the one before has ended.  End = total so far + the greatest of arrival less total before."""
-    upto = _upto(keys, order)
-    total = F.sum(duration).over(upto)
-    out = df.withColumn("__total", total)
-    out = out.withColumn("playout_end_ms", F.col("__total") + F.max(F.col(arrival) - (F.col("__total") - F.col(duration))).over(upto))
+def fifo_playout(df: DataFrame, keys: Sequence[str], order: Sequence[str], arrival: str = "arrival_ms", duration: str = "duration_ms", block: str | None = None) -> DataFrame:
+    """Each packet starts when it is there and the one before has ended.  End = total so far + the greatest of arrival less total before.
+
+    ``block``: see ``running``; for sessions too long for one task."""
+    out = running(df, keys, order, F.col(duration), "sum", "__total", block)
+    out = running(out, keys, order, F.col(arrival) - (F.col("__total") - F.col(duration)), "max", "__late", block)
+    out = out.withColumn("playout_end_ms", F.col("__total") + F.col("__late"))
     out = out.withColumn("playout_start_ms", F.col("playout_end_ms") - F.col(duration))
-    return out.withColumn("queue_delay_ms", F.col("playout_start_ms") - F.col(arrival)).drop("__total")
+    return out.withColumn("queue_delay_ms", F.col("playout_start_ms") - F.col(arrival)).drop("__total", "__late")
 
 
 def fill_durations(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -36,12 +38,12 @@ def fill_durations(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("duration_ms", F.coalesce("duration_ms", grown))
 
 
-def backlog(df: DataFrame, keys: Sequence[str], order: Sequence[str], cost: Column, budget: Column) -> DataFrame:
+def backlog(df: DataFrame, keys: Sequence[str], order: Sequence[str], cost: Column, budget: Column, block: str | None = None) -> DataFrame:
     """b = max(0, b + cost - budget), as the running sum less its running minimum below 0; a miss is a backlog above 0."""
-    upto = _upto(keys, order)
-    out = df.withColumn("__s", F.sum(cost - budget).over(upto))
-    out = out.withColumn("backlog", F.col("__s") - F.least(F.lit(0.0), F.min("__s").over(upto)))
-    return out.withColumn("miss", F.col("backlog") > 0).drop("__s")
+    out = running(df, keys, order, cost - budget, "sum", "__s", block)
+    out = running(out, keys, order, F.col("__s"), "min", "__least", block)
+    out = out.withColumn("backlog", F.col("__s") - F.least(F.lit(0.0), F.col("__least")))
+    return out.withColumn("miss", F.col("backlog") > 0).drop("__s", "__least")
 
 
 def cascade_packets(turns: DataFrame, run: str) -> DataFrame:

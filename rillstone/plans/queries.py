@@ -43,7 +43,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("user_id", "event_id", "ts", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival_ms"), F.bround(F.col("value") * 1000, 0).cast("long").alias("duration_ms"))
+    return e.select("user_id", "event_id", "ts", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival_ms"), F.bround(F.col("value") * 1000, 0).cast("long").alias("duration_ms"), F.to_date("ts").alias("day"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +361,7 @@ f AS (SELECT user_id, k, event_id, arrival_ms, duration_ms, arrival_ms + duratio
 
 
 def playout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.fifo_playout(packets(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+    return W.fifo_playout(packets(spark, sf_dir), ["user_id"], ["ts", "event_id"], block="day")
 
 
 @query(_FIFO + " SELECT event_id, e - duration_ms AS playout_start_ms, e AS playout_end_ms, e - duration_ms - arrival_ms AS queue_delay_ms FROM f")
@@ -385,7 +385,7 @@ def playout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p.user_id, p.k, p.event_id, greatest(0, b.backlog + p.duration_ms - 25000) FROM packets p JOIN b ON p.user_id = b.user_id AND p.k = b.k + 1) SELECT event_id, CAST(backlog AS BIGINT) AS backlog, backlog > 0 AS miss FROM b""")
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W16; the oracle is the recursion itself."""
-    out = W.backlog(packets(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("duration_ms"), F.lit(25_000))
+    out = W.backlog(packets(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("duration_ms"), F.lit(25_000), block="day")
     return out.select("event_id", F.col("backlog").cast("long").alias("backlog"), "miss")
 
 
@@ -408,7 +408,7 @@ def window_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are sends, all other events look up the last one."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    return J.as_of(e.filter("event_type = 'click'"), e.filter("event_type <> 'click'"), "user_id", "ts", "value", "event_id").select("event_id", "value_as_of")
+    return J.as_of(e.filter("event_type = 'click'"), e.filter("event_type <> 'click'"), "user_id", "ts", "value", "event_id", block=F.to_date).select("event_id", "value_as_of")
 
 
 @query(f"""WITH {_PACKETS}, p AS (SELECT user_id, k, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY k) AS hi, sum(duration_ms) OVER (PARTITION BY user_id) AS tot FROM packets),

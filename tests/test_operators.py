@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import arrow
 from rillstone.operators import aggregates as A, datasets as D, joins as J, sampling as S, scoring as C, windows as W
+from rillstone.operators.running import running
 from rillstone.plans import training_set as P
 
 
@@ -34,6 +35,18 @@ def test_playout_and_backlog(spark, packets):
         df = packets.repartition(parts)
         got = W.backlog(W.fifo_playout(df, ["run_id"], ["packet_index"]), ["run_id"], ["packet_index"], F.col("duration_ms"), F.lit(170.0)).collect()
         assert {(r.run_id, r.packet_index): (r.playout_start_ms, r.playout_end_ms, r.queue_delay_ms, r.backlog) for r in got} == expected
+        cut = df.withColumn("b", F.floor(F.col("packet_index") / 7))
+        got = W.backlog(W.fifo_playout(cut, ["run_id"], ["packet_index"], block="b"), ["run_id"], ["packet_index"], F.col("duration_ms"), F.lit(170.0), block="b").collect()
+        assert {(r.run_id, r.packet_index): (r.playout_start_ms, r.playout_end_ms, r.queue_delay_ms, r.backlog) for r in got} == expected
+
+
+def test_running_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.randint(-9, 9)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").withColumn("b", F.floor(F.col("i") / 11))
+    for kind in ("sum", "max", "min", "last"):
+        plain, cut = ({(r.k, r.i): r.x for r in running(df, ["k"], ["i"], F.col("v"), kind, "x", block).collect()} for block in (None, "b"))
+        assert plain == cut and len(cut) == 300
 
 
 def test_known_units(spark):
