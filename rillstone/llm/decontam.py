@@ -14,8 +14,8 @@ run of ``size`` words of an item, or a shorter item as a whole.
 Item tables are broadcast only up to ``BROADCAST_WORDS`` words; larger ones are joined by a shuffle and, in the passes
 over the corpus, cut into parts of that size which are passed one after the other.
 
-Null texts have no words.  Repeated documents each get their own row and the same answer, repeated items are reported
-under each of their ids; null item ids are left out.  Empty tables give no hit, or no row.  Columns besides id and
+Null texts have no words.  Repeated documents each get their own row and the same answer; an item id with several texts
+stands for all of them, equal texts are reported under each of their ids; null item ids are left out.  Empty tables give no hit, or no row.  Columns besides id and
 text don't matter, whatever their names.
 """
 
@@ -37,6 +37,7 @@ SIZE = 10
 RAREST = 2
 #: words of all items together that are sent to every executor at once
 BROADCAST_WORDS = 2_000_000
+_JOINT = "\0"
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -186,7 +187,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
     spark: SparkSession = docs.sparkSession
     disk = Scratch(spark, "decontam")
     rows = docs.select(docs[doc_key].cast("long").alias("k"), docs[text].alias("t"))
-    words = disk.save(item_words(items, item_key, text), "items")
+    # an id that comes with several texts is as many items, which are reported under the one id
+    named = item_words(items, item_key, text).withColumn("item", F.concat("item", F.lit(_JOINT), F.xxhash64("words").cast("string")))
+    words = disk.save(named, "items")
     n_words = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     small = n_words <= BROADCAST_WORDS
     parts = max(1, -(-n_words // BROADCAST_WORDS))
@@ -231,7 +234,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
                     item = np.array(x["words"], np.int64).view(np.uint64) if "words" in x else sent.value[x["item"]]
                     for a, b in _compare(h, item, x["shift"], size):
                         mark[a:b] = True
-                        own.append({"item": x["item"], "start": a, "end": b})
+                        own.append({"item": x["item"].rpartition(_JOINT)[0], "start": a, "end": b})
                 n.append(len(h))
                 hits.append(int(mark.sum()))
                 spans.append(own)

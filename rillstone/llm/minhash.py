@@ -14,7 +14,7 @@ listing the bucket's pairs (see ``remaining_pairs``), so that no two different t
 test stay apart.  Every link is confirmed by intersecting the full shingle sets of both texts.
 
 Null and empty texts, and those without words, have an empty set and no link; a text with fewer words than a shingle has its
-whole sequence as one.  Repeated rows are each reported with the same answer; null ids get a component of null.  An
+whole sequence as one.  An id names one text; repeated rows are each reported with the same answer; null ids get a component of null.  An
 empty table gives an empty table.  Columns besides the id and the text don't matter, whatever their names.
 """
 

@@ -141,7 +141,7 @@ def test_sum_of_squares_choice():
 def planted(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3)))
-    items = [(f"i{n}", " ".join(word() for _ in range(rng.choice([3, 10, 14, 25])))) for n in range(12)] + [("same", None), ("none", ""), ("twin", "aa bb")]
+    items = [(f"i{n}", " ".join(word() for _ in range(rng.choice([3, 10, 14, 25])))) for n in range(12)] + [("same", None), ("none", ""), ("twin", "aa bb"), ("i0", "cc dd ee"), ("i0", "cc dd ee")]
     docs = []
     for n in range(60):
         w = [word() for _ in range(rng.randint(0, 60))]
@@ -153,7 +153,7 @@ def planted(spark):
                 cut[rng.randrange(len(cut))] = "zz"
             w[at:at] = [c.upper() if rng.random() < 0.3 else c for c in cut]
         docs.append((n, ", ".join(w)))
-    return docs + [(100, None), (101, ""), (None, docs[5][1]), (7, docs[7][1])], items
+    return docs + [(100, None), (101, ""), (None, docs[5][1]), (7, docs[7][1]), (200, "x cc, DD ee y"), (201, "aa bb cc dd ee")], items
 
 
 def expected_hits(text, items, size=10):
