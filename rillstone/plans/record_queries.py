@@ -366,14 +366,14 @@ def frame_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(W.frame_cuts(li, "l_orderkey", "o", 12.5, "total").select("l_orderkey", "k", "frame_end"))
 
 
-@query(f"""WITH {_PACKETS}, v AS (SELECT user_id, k, event_id, CASE WHEN event_id % 3 = 0 THEN CAST(arrival_ms AS DOUBLE) END AS v FROM packets),
+@query(f"""WITH {_PACKETS}, v AS (SELECT user_id, k, event_id, CASE WHEN event_id % 3 = 0 THEN CAST(arrival_ms - 1704067200000 AS DOUBLE) END AS v FROM packets),
 n AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS va, last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER a AS ka, first_value(v IGNORE NULLS) OVER b AS vb, first_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER b AS kb FROM v
   WINDOW a AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT event_id, round_even(max(coalesce(v, va + (vb - va) * (k - ka) / greatest(1, kb - ka), va, vb)) OVER (PARTITION BY user_id ORDER BY k), 3) AS filled FROM n""")
 def interpolated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of three times are missing."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    p = packets(spark, sf_dir).select("user_id", "event_id", F.row_number().over(by).alias("k"), F.when(F.col("event_id") % 3 == 0, F.col("arrival_ms").cast("double")).alias("v"))
+    p = packets(spark, sf_dir).select("user_id", "event_id", F.row_number().over(by).alias("k"), F.when(F.col("event_id") % 3 == 0, (F.col("arrival_ms") - 1704067200000).cast("double")).alias("v"))
     return W.interpolate(p, ["user_id"], "k", "v").select("event_id", F.bround("v_filled", 3).alias("filled"))
 
 
