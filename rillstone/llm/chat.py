@@ -72,9 +72,10 @@ def conversations_of(spark: SparkSession, messages: DataFrame, branches: int = 1
         if step.isEmpty():
             break
         steps.append(step)
+        # only nodes that have not reached their root take part; one very long path doesn't make all others go on
         above = total.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
-        joined = total.join(above, ["tree", "up"], "left")
-        total = disk.save(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), f"total{i + 1}")
+        moved = total.filter(F.col("up").isNotNull()).join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        total = disk.save(total.filter(F.col("up").isNull()).unionByName(moved), f"total{i + 1}")
     leaves = total.filter(F.col("up").isNull()).join(nodes.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
