@@ -1,13 +1,15 @@
 """Language-model scores: masked pseudo-likelihood of a bidirectional window network trained in numpy.
 
-Words (runs of ASCII letters, digits and characters beyond ASCII, lower-cased) are hashed to ``WORDS`` ids.  The network predicts
-every word from the ``SIDE`` words before and the ``SIDE`` after it: their embeddings, each with a matrix of its place, add up to a
-hidden layer; a softmax over classes of ids and one over the ids of the class give the word's probability.  Classes are ids of like
-frequency, from counts over all documents.
+Words (runs of ASCII letters, digits and characters beyond ASCII, lower-cased) are counted over all documents.  Each word seen
+``COMMON`` times or more, and each of the ``WORDS`` most frequent, has an id of its own; the rest, each rarer than any of these, are
+hashed to a quarter as many ids, and a word among them has an equal part of its id's probability.  The number of ids thus follows the
+corpus.  The network predicts every word from the ``SIDE`` words before and the ``SIDE`` after it: their embeddings, each with a
+matrix of its place, add up to a hidden layer; a softmax over classes of ids and one over the ids of the class give the id's
+probability.  Classes are ids of like frequency, about as many as each has ids.
 
-Training covers every document: in each of ``ROUNDS`` rounds each partition starts from the common weights, learns every
-``STRIDE``-th word of each of its documents (another residue each round), and gives back its weights; Spark averages them, weighted by
-the words learnt, before the next round.  What is gathered grows with the number of partitions, thus with the input.
+Training covers every word of every document: a hash of the document's key and the place deals the places out to the rounds, so that
+after the last each was a target once, and that no round misses a field of texts with a period.  In a round each partition starts from the common weights, learns its places, and
+gives back its weights; Spark averages them, weighted by the words learnt, before the next round.
 
 A document's score is the sum over its words of the log-probability given both sides.  Places beyond the text's ends are a mark of
 their own.  Null texts and texts without words have 0 words, a sum of 0 and null means.  Repeated rows get the same score; an empty
@@ -25,35 +27,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .scratch import Scratch
 
-CLASSES, PER_CLASS = 64, 64
-WORDS = CLASSES * PER_CLASS
+#: words of at least so many sightings, and so many words at least, have ids of their own
+COMMON, WORDS = 1000, 4096
+LEAST_PER_CLASS = 64
 SIDE, EMBED, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, RATE = 8, 2, 0.7
+ROUNDS, RATE = 2, 0.7
 #: words in a step of learning, and scored at once
 BATCH, AT_ONCE = 1024, 16_384
-MARK = WORDS
+#: distinct words that a task of the count holds, and weights in a row of a round's result
+HELD, PART = 1 << 20, 4096
 
 
 class Net(NamedTuple):
-    embed: np.ndarray  # WORDS + 1, EMBED
+    embed: np.ndarray  # ids + 1, EMBED; the last is the mark beyond a text's ends
     place: np.ndarray  # 2 SIDE EMBED, HIDDEN
     bias: np.ndarray  # HIDDEN
-    to_class: np.ndarray  # HIDDEN, CLASSES
+    to_class: np.ndarray  # HIDDEN, classes
     class_bias: np.ndarray
-    to_word: np.ndarray  # CLASSES, HIDDEN, PER_CLASS
-    word_bias: np.ndarray  # CLASSES, PER_CLASS
+    to_word: np.ndarray  # classes, HIDDEN, ids of a class
+    word_bias: np.ndarray  # classes, ids of a class
+
+
+class Vocabulary(NamedTuple):
+    known: np.ndarray  # sorted hashes, as int64, of the words with an id of their own
+    rank: np.ndarray  # their ids
+    bucket_rank: np.ndarray  # ids of the buckets of all other words
+    distinct: np.ndarray  # words of each id
+    counts: np.ndarray  # sightings of each id, most frequent first
+
+    def ids(self, code: np.ndarray) -> np.ndarray:
+        code = code.view(np.int64)
+        at = np.minimum(np.searchsorted(self.known, code), max(0, len(self.known) - 1))
+        if not len(self.bucket_rank):
+            return self.rank[at]
+        return np.where(self.known[at] == code, self.rank[at], self.bucket_rank[code % len(self.bucket_rank)])
+
+
+def shape_of(n: int) -> tuple[int, int]:
+    """(classes, ids of a class) for n ids."""
+    per = max(LEAST_PER_CLASS, int(np.ceil(np.sqrt(n))))
+    return max(1, -(-n // per)), per
 
 
 def start(counts: np.ndarray, seed: int = 3) -> Net:
     """counts: of ids in order of rank; output biases begin at the log of the frequencies."""
     rng = np.random.Generator(np.random.PCG64(seed))
     draw = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
-    share = (counts + 1).astype(np.float64).reshape(CLASSES, PER_CLASS)
+    n, per = shape_of(len(counts))
+    share = np.full(n * per, 1e-9)
+    share[: len(counts)] = counts + 1
+    share = share.reshape(n, per)
     by_class = share.sum(1)
     return Net(
-        draw(WORDS + 1, EMBED, s=0.3), draw(2 * SIDE * EMBED, HIDDEN, s=0.12), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES, s=0.05),
-        np.log(by_class / by_class.sum()).astype(np.float32), draw(CLASSES, HIDDEN, PER_CLASS, s=0.05), np.log(share / by_class[:, None]).astype(np.float32),
+        draw(n * per + 1, EMBED, s=0.3), draw(2 * SIDE * EMBED, HIDDEN, s=0.12), np.zeros(HIDDEN, np.float32), draw(HIDDEN, n, s=0.05),
+        np.log(by_class / by_class.sum()).astype(np.float32), draw(n, HIDDEN, per, s=0.05), np.log(share / by_class[:, None]).astype(np.float32),
     )
 
 
@@ -61,8 +90,9 @@ def flatten(net: Net) -> np.ndarray:
     return np.concatenate([w.ravel() for w in net])
 
 
-def unflatten(flat: np.ndarray) -> Net:
-    shapes = [(WORDS + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, PER_CLASS), (CLASSES, PER_CLASS)]
+def unflatten(flat: np.ndarray, n_ids: int = WORDS) -> Net:
+    n, per = shape_of(n_ids)
+    shapes = [(n * per + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,), (n, HIDDEN, per), (n, per)]
     out, at = [], 0
     for shape in shapes:
         size = int(np.prod(shape))
@@ -71,9 +101,9 @@ def unflatten(flat: np.ndarray) -> Net:
     return Net(*out)
 
 
-def windows(ids: np.ndarray, doc: np.ndarray, where: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, doc: np.ndarray, where: np.ndarray, mark: int) -> np.ndarray:
     """(places, 2 SIDE) ids around each place; the mark beyond the ends of its document."""
-    out = np.full((len(where), 2 * SIDE), MARK, np.int64)
+    out = np.full((len(where), 2 * SIDE), mark, np.int64)
     for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = where + step
         fine = (at >= 0) & (at < len(ids))
@@ -82,30 +112,40 @@ def windows(ids: np.ndarray, doc: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
     return x
 
 
-def _by_class(word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    group = word // PER_CLASS
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row of x at one place."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    return own - np.log(np.exp(x, out=x).sum(1))
+
+
+def _by_class(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class, first row, row after the last) of sorted classes."""
+    firsts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    yield from zip(group[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(group)], strict=True)
 
 
 def log_probabilities(tables: list[np.ndarray], net: Net, around: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log P(word | window) of each row; tables: from ``place_tables``."""
+    """log P(id | window) of each row; tables: from ``place_tables``."""
+    group, inner = np.divmod(word, net.word_bias.shape[1])
+    order = np.argsort(group, kind="stable")
+    group, inner, around = group[order], inner[order], around[order]
     hidden = tables[0][around[:, 0]]
     for j in range(1, 2 * SIDE):
         hidden += tables[j][around[:, j]]
     np.tanh(hidden, out=hidden)
-    out = _log_softmax(hidden @ net.to_class + net.class_bias)[np.arange(len(word)), word // PER_CLASS].astype(np.float64)
-    for c, rows in _by_class(word):
-        out[rows] += _log_softmax(hidden[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), word[rows] % PER_CLASS]
+    found = _picked(hidden @ net.to_class + net.class_bias, group).astype(np.float64)
+    for c, lo, hi in _by_class(group):
+        found[lo:hi] += _picked(hidden[lo:hi] @ net.to_word[c] + net.word_bias[c], inner[lo:hi])
+    out = np.empty(len(word))
+    out[order] = found
     return out
 
 
@@ -131,28 +171,27 @@ class Learner:
     def learn(self, around: np.ndarray, word: np.ndarray) -> float:
         """One step on the mean loss of a batch."""
         net, n = self.net, len(word)
+        group, inner = np.divmod(word, net.word_bias.shape[1])
+        order = np.argsort(group, kind="stable")
+        group, inner, around, row = group[order], inner[order], around[order], np.arange(n)
         given = net.embed[around].reshape(n, -1)
         hidden = np.tanh(given @ net.place + net.bias)
-        logs = _log_softmax(hidden @ net.to_class + net.class_bias)
-        row, group = np.arange(n), word // PER_CLASS
-        loss = -float(logs[row, group].sum())
-        grad = np.exp(logs)
+        grad = _softmax(hidden @ net.to_class + net.class_bias)
+        chance = grad[row, group]
         grad[row, group] -= 1
         grad /= n
         back = grad @ net.to_class.T
-        steps = []
-        for c, rows in _by_class(word):
-            own = hidden[rows]
-            logs = _log_softmax(own @ net.to_word[c] + net.word_bias[c])
-            loss -= float(logs[np.arange(len(rows)), word[rows] % PER_CLASS].sum())
-            inner = np.exp(logs)
-            inner[np.arange(len(rows)), word[rows] % PER_CLASS] -= 1
-            inner /= n
-            back[rows] += inner @ net.to_word[c].T
-            steps.append((c, own.T @ inner, inner.sum(0)))
-        for c, g, b in steps:
-            self._move("to_word", g, c)
-            self._move("word_bias", b, c)
+        for c, lo, hi in _by_class(group):
+            own = hidden[lo:hi]
+            part = _softmax(own @ net.to_word[c] + net.word_bias[c])
+            at = (row[: hi - lo], inner[lo:hi])
+            chance[lo:hi] *= part[at]
+            part[at] -= 1
+            part /= n
+            back[lo:hi] += part @ net.to_word[c].T
+            self._move("to_word", own.T @ part, c)
+            self._move("word_bias", part.sum(0), c)
+        loss = -float(np.log(np.maximum(chance, 1e-30)).sum())
         self._move("to_class", hidden.T @ grad)
         self._move("class_bias", grad.sum(0))
         back *= 1 - hidden * hidden
@@ -167,34 +206,80 @@ class Learner:
         return loss / n
 
 
-def _ids(data: np.ndarray, offs: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = tb.words(data, offs, tb.ALNUM)
-    raw = (w.hash % np.uint64(WORDS)).astype(np.int64)
-    return (raw if rank is None else rank[raw]), w.doc
+    return w.hash, w.doc
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each hashed id occurs in column t, over all documents."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return code, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORDS, np.int64)
-        for batch in batches:
-            for _, _, data, offs in tb.groups(batch.column(0)):
-                total += np.bincount(_ids(data, offs)[0], minlength=WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WORDS, dtype=np.int32)), pa.array(total)], ["i", "n"])
 
-    counts = np.zeros(WORDS, np.int64)
-    for r in docs.select("t").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        counts[r.i] = r.n
-    return counts
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """h (hash), n (sightings) of each distinct word in column t, over all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, have = [], 0
 
-def one_round(docs: DataFrame, rank: np.ndarray, net: Net, residue: int) -> Net:
+        def rows(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(code), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + 65_536].view(np.int64)), pa.array(n[lo : lo + 65_536])], ["h", "n"])
+
+        for batch in batches:
+            for _, _, data, offs in tb.groups(batch.column(0)):
+                parts.append(np.unique(_words(data, offs)[0], return_counts=True))
+                have += len(parts[-1][0])
+                if have >= 2 * HELD:
+                    parts = [_merged(parts)]
+                    have = len(parts[0][0])
+                    if have >= HELD:
+                        yield from rows(*parts.pop())
+                        have = 0
+        if parts:
+            yield from rows(*_merged(parts))
+
+    return docs.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Ids of the words in column t."""
+    disk = Scratch(docs.sparkSession, "lm")
+    counts = disk.save(corpus_counts(docs), "counts")
+    own, left = counts.filter(F.col("n") >= COMMON).toArrow(), F.col("n") < COMMON
+    if own.num_rows < WORDS:
+        own = counts.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
+        if own.num_rows:
+            n, h = own["n"][-1].as_py(), own["h"][-1].as_py()
+            left = (F.col("n") < n) | (F.col("n") == n) & (F.col("h") > h)
+    known, seen = own["h"].to_numpy(), own["n"].to_numpy()
+    rest = counts.filter(left).select((F.expr(f"pmod(h, {max(LEAST_PER_CLASS, len(known) // 4)})")).cast("int").alias("b"), "n")
+    found = rest.groupBy("b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).toArrow()
+    disk.drop("counts")
+    buckets = max(LEAST_PER_CLASS, len(known) // 4) if found.num_rows else 0
+    total, distinct = np.zeros(buckets, np.int64), np.ones(buckets, np.int64)
+    total[found["b"].to_numpy()], distinct[found["b"].to_numpy()] = found["n"].to_numpy(), found["d"].to_numpy()
+    order = np.argsort(known, kind="stable")
+    known, seen = known[order], seen[order]
+    both = np.concatenate((seen, total))
+    by_rank = np.argsort(-both, kind="stable")
+    rank = np.empty(len(both), np.int64)
+    rank[by_rank] = np.arange(len(both))
+    distinct = np.concatenate((np.ones(len(known), np.int64), distinct))
+    return Vocabulary(known, rank[: len(known)], rank[len(known) :], distinct[by_rank], both[by_rank])
+
+
+def round_of(nth: np.ndarray, salt: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that learns each place, from its number in the document and the hash of the document's key."""
+    return (tb.mix(tb.mix(salt) + nth.astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
+
+
+def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, rounds: int) -> Net:
     """The average of the weights that all partitions learn from ``net``, weighted by the words learnt."""
-    sent = docs.sparkSession.sparkContext.broadcast((rank, net))
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, net = sent.value
+        vocab, net = sent.value
         learner, kept, have = Learner(net), [], 0
 
         def learn() -> None:
@@ -204,63 +289,68 @@ def one_round(docs: DataFrame, rank: np.ndarray, net: Net, residue: int) -> Net:
                 learner.learn(around[lo : lo + BATCH], word[lo : lo + BATCH])
 
         for batch in batches:
-            for _, _, data, offs in tb.groups(batch.column(0)):
-                ids, doc = _ids(data, offs, rank)
-                if not len(ids):
+            salt = batch.column(1).to_numpy().view(np.uint64)
+            for lo, _, data, offs in tb.groups(batch.column(0)):
+                code, doc = _words(data, offs)
+                if not len(code):
                     continue
+                ids = vocab.ids(code)
                 first = np.concatenate(([True], doc[1:] != doc[:-1]))
                 nth = np.arange(len(ids)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                where = np.flatnonzero(nth % STRIDE == residue % STRIDE)
-                kept.append((windows(ids, doc, where), ids[where]))
+                where = np.flatnonzero(round_of(nth, salt[lo + doc], rounds) == nth_round)
+                kept.append((windows(ids, doc, where, len(net.embed) - 1), ids[where]))
                 have += len(where)
                 if have >= 16 * BATCH:
                     learn()
                     have = 0
-        if kept:
+        if have:
             learn()
         if learner.seen:
-            flat = flatten(learner.net).astype(np.float64) * learner.seen
-            for lo in range(0, len(flat), 16_384):
-                part = flat[lo : lo + 16_384]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), learner.seen))], ["i", "w", "n"])
-
-    # sums are combined before and after the shuffle; what reaches the driver is one set of weights
-    summed = docs.select("t").mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).cast("float").alias("w"))
-    got = summed.toArrow()
+            flat = flatten(learner.net)
+            for lo in range(0, len(flat), PART):
+                part = flat[lo : lo + PART]
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([part], pa.list_(pa.float32())), pa.array([learner.seen], pa.int64())], ["i", "w", "n"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        w = rows["w"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        n = rows["n"].to_numpy().astype(np.float64)
+        return pa.table({"i": rows["i"][:1], "w": pa.array([(n @ w / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
+
+    # what reaches the driver is one set of weights
+    got = docs.select("t", "s").mapInArrow(run, "i int, w array<float>, n long").groupBy("i").applyInArrow(mean, "i int, w array<float>").toArrow()
     if not got.num_rows:
         return net
     flat = flatten(net)
-    flat[got["i"].to_numpy()] = got["w"].to_numpy()
-    return unflatten(flat)
+    for lo, part in zip(got["i"].to_pylist(), got["w"], strict=True):
+        flat[lo : lo + len(part)] = part.values.to_numpy()
+    return unflatten(flat, len(vocab.counts))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Net]:
-    """docs: t.  Gives the rank of each hashed id and the network."""
-    counts = corpus_counts(docs)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(WORDS, np.int64)
-    rank[order] = np.arange(WORDS)
-    net = start(counts[order])
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Net]:
+    """docs: t, s (hash of the key).  Gives the ids of words and the network."""
+    vocab = vocabulary(docs)
+    net = start(vocab.counts)
     for i in range(rounds):
-        net = one_round(docs, rank, net, residue=3 * i)
-    return rank, net
+        net = one_round(docs, vocab, net, i, rounds)
+    return vocab, net
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """key, n_tokens, logprob (sum), mean_logprob, perplexity of each row under the network trained on all rows."""
     given = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(given.select("t"), rounds))
+    sent = docs.sparkSession.sparkContext.broadcast(train(given.select("t", F.xxhash64("k").alias("s")), rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, net = sent.value
-        tables = place_tables(net)
+        vocab, net = sent.value
+        tables, share = place_tables(net), np.log(vocab.distinct)
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for lo, hi, data, offs in tb.groups(batch.column(1)):
-                ids, doc = _ids(data, offs, rank)
+                code, doc = _words(data, offs)
+                ids = vocab.ids(code)
                 for at in range(0, len(ids), AT_ONCE):
                     where = np.arange(at, min(len(ids), at + AT_ONCE))
-                    logs = log_probabilities(tables, net, windows(ids, doc, where), ids[where])
+                    logs = log_probabilities(tables, net, windows(ids, doc, where, len(net.embed) - 1), ids[where]) - share[ids[where]]
                     total[lo:hi] += np.bincount(doc[where], logs, minlength=hi - lo)
                 n[lo:hi] = np.bincount(doc, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["k", "n_tokens", "logprob"])

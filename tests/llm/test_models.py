@@ -1,6 +1,7 @@
 """Learnt operators: gradients, held-out accuracy, recall, and the corner cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,46 @@ def test_lm_beats_the_unigram(spark):
     assert scores[999] < sorted(scores.values())[3]
 
 
+def test_lm_learns_every_place_of_a_period(spark):
+    docs = spark.createDataFrame([(i, "w0 w1 w2 w3 w4 w5 w6 w7 " * 40) for i in range(300)], "doc_id long, text string")
+    got = lm.score_documents(docs).collect()
+    assert all(r.n_tokens == 320 and r.mean_logprob > -0.7 for r in got)  # -2.1 without context
+
+
+def test_lm_rounds_share_out_every_place():
+    nth, salt = np.tile(np.arange(64), 500), np.repeat(np.arange(500), 64).astype(np.uint64)
+    got = lm.round_of(nth, salt, 2)
+    assert set(got) == {0, 1} and all(200 < got[nth == i].sum() < 300 for i in range(64))
+
+
+def _code(*names):
+    w = lm.tb.words(*lm.tb.buffers(pa.array(names)), lm.tb.ALNUM)
+    return w.hash
+
+
+def test_lm_tells_a_rare_word_from_the_frequent_one_of_its_cell(spark):
+    names = [f"g{i}" for i in range(60_000)]
+    cell = _code(*names) % np.uint64(4096)
+    rare = names[int(np.flatnonzero(cell == _code("the")[0] % np.uint64(4096))[0])]
+    docs = spark.createDataFrame([*((i, "the") for i in range(2000)), (5000, rare)], "doc_id long, text string")
+    got = {r.doc_id: r.logprob for r in lm.score_documents(docs).collect()}
+    assert got[0] > -0.5 and got[5000] < got[0] - 3
+
+
+def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COMMON", 3)
+    rows = [(f"c{i} " * 3,) for i in range(5000)] + [(f"r{i}",) for i in range(3000)]
+    vocab = lm.vocabulary(spark.createDataFrame(rows, "t string"))
+    common, rest = vocab.ids(_code(*(f"c{i}" for i in range(5000)))), vocab.ids(_code(*(f"r{i}" for i in range(3000))))
+    assert len(set(common)) == 5000 and not set(common) & set(rest) and (vocab.counts[common] == 3).all()
+    assert vocab.counts.sum() == 18_000 and (vocab.distinct[rest] == np.bincount(rest)[rest]).all()
+    few = lm.vocabulary(spark.createDataFrame(rows[:100], "t string"))
+    assert len(few.counts) == 100
+    monkeypatch.setattr(lm, "COMMON", 1000)
+    some = lm.vocabulary(spark.createDataFrame(rows, "t string"))
+    assert len(some.known) == 4096 and some.counts.sum() == 18_000 and len(set(some.ids(some.known.view(np.uint64)))) == 4096
+
+
 def test_lm_corner_cases(spark, odd):
     got = [r for r in lm.score_documents(odd).collect()]
     assert len(got) == 8 and [(r.n_tokens, r.logprob, r.perplexity) for r in got if r.doc_id in (1, 2)] == [(0, 0.0, None)] * 2
