@@ -141,6 +141,14 @@ def text_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(t.select("doc_id", "t.tick", "t.chunk", F.length("t.prefix").alias("prefix_chars")))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(0, 4)) AS t FROM w)
+SELECT doc_id, CAST(t AS BIGINT) AS tick, array_to_string(w[t * len(w) // 4 + 1:(t + 1) * len(w) // 4], ' ') AS chunk, length(array_to_string(w[1:(t + 1) * len(w) // 4], ' ')) AS prefix_chars FROM t""")
+def text_ticks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T13 on all documents."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.text_ticks(F.col("text"), F.lit(4))).alias("t"))
+    return _long(t.select("doc_id", "t.tick", "t.chunk", F.length("t.prefix").alias("prefix_chars")))
+
+
 @query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'KIT-live' WHEN 'click' THEN 'Seed_AST' WHEN 'error' THEN 'gemini 3' WHEN 'signup' THEN 'GPT-rt' ELSE 'Other' END AS m FROM events)
 SELECT event_id, 'r' || event_id || '||' || CASE m WHEN 'KIT-live' THEN 'kit' WHEN 'Seed_AST' THEN 'seed' WHEN 'gemini 3' THEN 'gemini' WHEN 'GPT-rt' THEN 'chatgpt' ELSE m END || '||960||' || CASE m WHEN 'Seed_AST' THEN 'seed_960' WHEN 'GPT-rt' THEN 'seed_ast_chunk960' ELSE 'seed_ast_chunk960' END AS key FROM e""")
 def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,6 +417,15 @@ def fitted_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.aggregate(fitted, F.lit(0.0), lambda a, x: a + x).alias("total"), warning.alias("warning"))
 
 
+@query("""WITH t AS (SELECT conv_id, list(turn * 10.0::DOUBLE ORDER BY turn) AS t FROM conversations GROUP BY 1), n AS (SELECT conv_id, t, CAST(conv_id % 9 AS INT) AS n FROM t)
+SELECT conv_id, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN len(t) >= n THEN list_sum(t[1:n]) ELSE list_sum(t) + (n - len(t)) * t[len(t)] END AS total, CASE WHEN len(t) > n THEN 'trimmed' WHEN len(t) < n THEN 'padded' END AS warning FROM n""")
+def fitted_emissions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W20 on all conversations, those fitted to no emission too."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list((F.col("turn") * 10.0))).alias("t")).withColumn("n", (F.col("conv_id") % 9).cast("int"))
+    fitted, warning = W.fit_emissions(F.col("t"), F.col("n"))
+    return t.select("conv_id", F.aggregate(fitted, F.lit(0.0), lambda a, x: a + x).alias("total"), warning.alias("warning"))
+
+
 @query("""SELECT event_id, value / 1.25::DOUBLE AS value, round_even(CAST(event_id AS DOUBLE) / 1.25, 6) AS at FROM events""")
 def scaled_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W27."""
