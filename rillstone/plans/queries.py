@@ -554,6 +554,24 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("context", "|").alias("context"), W.soft_window_start(F.col("n"), 4, 2).cast("long").alias("soft_start"))
 
 
+@query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '|') AS history FROM conversations""")
+def history_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W25 with whole turns."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return W.history_rows(t, "conv_id", "turn", "text").select("conv_id", "turn", F.array_join("history", "|").alias("history"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, turn, context, CASE WHEN n < 4 THEN 0 ELSE n - (2 + (n - 4) % 2) END AS soft_start FROM c""")
+def context_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W24 with whole turns."""
+    from pyspark.sql import Window
+
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = W.context_window(t, "conv_id", "turn", "text", 3).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    return out.select("conv_id", "turn", F.array_join("context", "|").alias("context"), W.soft_window_start(F.col("n"), 4, 2).cast("long").alias("soft_start"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, lang, n_chars / 15.0 AS dur, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)
 SELECT doc_id, len(s) AS n, length(array_to_string(s, '')) AS chars FROM t WHERE len(s) > 1 OR length(x) <= 800""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,6 +611,14 @@ def mid_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(S.drop_lead(t, "conv_id", "turns", 4).select("conv_id", "dropped", F.array_join("turns", "|").alias("turns")))
 
 
+@query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS turns FROM conversations GROUP BY conv_id), k AS (SELECT *, len(turns) AS n, greatest(0, least(len(turns) // 2, len(turns) - 4)) AS most FROM c),
+d AS (SELECT conv_id, turns, n, CAST(floor({_UNIT.format("'4:' || CAST(conv_id AS VARCHAR)")} * (most + 1)) AS BIGINT) AS dropped FROM k) SELECT conv_id, dropped, array_to_string(turns[dropped + 1:n], '|') AS turns FROM d""")
+def mid_passage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S15 with whole turns."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
+    return _long(S.drop_lead(t, "conv_id", "turns", 4).select("conv_id", "dropped", F.array_join("turns", "|").alias("turns")))
+
+
 @query()
 def loop_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S16, S17; folds over turns, tested against plain code."""

@@ -40,3 +40,18 @@ def test_sentences_of_all_texts(spark):
     for d in docs:
         want = plain(d.text, d.lang)
         assert (rows[d.doc_id].n, rows[d.doc_id].chars) == (len(want), len("".join(want))), d.doc_id
+
+
+def test_turns_are_carried_whole(spark):
+    turns = {}
+    for r in sorted(table(spark, "conversations"), key=lambda r: (r.conv_id, r.turn)):
+        turns.setdefault(r.conv_id, []).append(r)
+    history = {(r.conv_id, r.turn): r.history for r in got(spark, "history_rows_whole")}
+    context = {(r.conv_id, r.turn): r.context for r in got(spark, "context_windows_whole")}
+    passage = {r.conv_id: r for r in got(spark, "mid_passage_whole")}
+    for conv, rows in turns.items():
+        texts = [r.text for r in rows]
+        for i, r in enumerate(rows):
+            assert history[conv, r.turn] == "|".join(texts[: i + 1])
+            assert context[conv, r.turn] == "|".join(texts[max(0, i - 2) : i + 1])
+        assert passage[conv].turns == "|".join(texts[passage[conv].dropped :])
