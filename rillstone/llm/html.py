@@ -4,7 +4,7 @@ A page is read as tokens: words, which score positive, and tags, which score neg
 often a token occurs inside and outside the labelled content, counted by Spark over a bounded sample of labelled pages
 (those that mark their content with an ``article`` or ``main`` element), with the sign that the method gives them.  One linear
 scan finds the run of greatest sum.  Elements that never hold content (menus, headers, footers, asides, forms, scripts,
-styles, and whatever names itself an advert, notice, sidebar or comment section) score nothing, wherever they stand, and
+styles, and whatever has a class or id that begins with the name of an advert, notice, sidebar or comment section) score nothing, wherever they stand, and
 their text is left out, so that they don't cut a run in two.
 
 Character references are decoded after the markup is cut.  Inside a block white space becomes one space; blocks follow each
@@ -69,7 +69,12 @@ KNOWN = frozenset(
 )
 
 
-def _noisy(name: str, attrs: str) -> bool:
+def _named_noise(value: str) -> bool:
+    """Whether a class or id begins with such a name; later parts are categories and layouts of what may be content."""
+    return any(re.split(r"[-_]+", one.lstrip("-_"))[0] in NOISE_NAMES for one in value.split())
+
+
+def _noisy(name: str, attrs: str, named: bool = True) -> bool:
     if name in NOISE:
         return True
     if name in ("html", "body", "main") or not attrs or not attrs.strip():
@@ -80,11 +85,8 @@ def _noisy(name: str, attrs: str) -> bool:
             return True
         if key == "role" and value in NOISE_ROLES:
             return True
-        if key in ("class", "id"):
-            for one in value.split():
-                parts = re.split(r"[-_]+", one)
-                if parts[0] not in ("has", "no", "is", "with", "js") and not NOISE_NAMES.isdisjoint(parts):
-                    return True
+        if named and key in ("class", "id") and _named_noise(value):
+            return True
     return False
 
 
@@ -101,9 +103,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 yield "raw", m[1].lower(), True, False
             continue
         name, closing, attrs = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
-        if name in KEEPS and (name != "article" or noise in NOISE):
+        # a named element that holds an article is no noise, unless the article is so named as well (a comment)
+        if name in KEEPS and (name != "article" or noise in NOISE or noise and not closing and not _noisy(name, attrs)):
             noise, depth = "", 0
-        if name in ("article", "main") and not noise and (closing or not _noisy(name, attrs)):
+        if name in ("article", "main") and not noise and (closing or not _noisy(name, attrs, named=False)):
             if closing:
                 inside = max(0, inside - 1)
             yield "close" if closing else "open", name, False, False

@@ -34,6 +34,17 @@ def test_best_run_is_the_best():
         assert sum(s[lo:hi]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
+def test_names_of_layout_and_category_keep_the_article():
+    body = "<p>The whole text of the page stays here.</p>"
+    for page in (
+        f"<article class='post category-social tag-comments'>{body}</article>", f"<article class='notice'>{body}</article>", f"<div class='page-with-sidebar'><article>{body}</article></div>",
+        f"<div class='sidebar'><div><article>{body}</article></div></div>", f"<div id='content_no-menu'>{body}</div>",
+    ):
+        assert html.main_text(page, html.PRIOR)[0] == "The whole text of the page stays here.", page
+    for page in (f"<div class='ad-box'>{body}</div>", f"<div class='x' id='comments'><article class='comment'>{body}</article></div>", f"<article hidden>{body}</article>"):
+        assert html.main_text(page, html.PRIOR)[0] == "", page
+
+
 def test_extract_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, PAGE, "y"), (None, "v", "<p>a b</p>", "z"), (2, None, PAGE, "y")], "page_id long, url string, html string, text string")
     got = html.extract_text(df, html.fit_weights(df)).collect()
