@@ -1,19 +1,24 @@
 """Main text of web pages: the maximum-scoring contiguous run of tokens.
 
-A page is read as tokens: words, which score positive, and tags, which score negative.  The weights are log ratios of how
-often a token occurs inside and outside the labelled content, counted by Spark over a bounded sample of labelled pages
-(those that mark their content with an ``article`` or ``main`` element), with the sign that the method gives them.  One linear
-scan finds the run of greatest sum.  Elements that never hold content (menus, headers, footers, asides, forms, scripts,
-styles, and whatever has a class or id that begins with the name of an advert, notice, sidebar or comment section) score nothing, wherever they stand, and
-their text is left out, so that they don't cut a run in two.
+A page is read as tokens: words, which score positive, and tags, which score negative.  Weights are log ratios of how often a
+token occurs inside and outside the content, counted by Spark over a bounded sample of labelled pages: those with an ``article``
+element, of which the one with most words is the content, or else a ``main`` element.  The labels themselves, ``article`` and
+``main``, have no weight of their own.  An element is known by its class names and id, where the labelled pages have shown these
+often enough, else by the first part of such a name, else by its tag; an element that holds the content counts as inside.  No
+class or id is known beforehand; tags begin with a weight (menus, footers, asides and forms below others), from which the counts
+move them.  Words inside elements of clearly negative weight are worth less, by the same weight.
+
+Two linear passes find the answer.  The first sums up the elements from the inside out and cuts those worth less than -``GAP``;
+what is cut doesn't count in the elements around it.  The second takes a cut element as one token of score -``GAP`` and finds the run
+of greatest sum.
 
 Character references are decoded after the markup is cut.  Inside a block white space becomes one space; blocks follow each
-other in page order, joined by one space.  Inline tags leave no trace.
+other in page order, joined by one space.  Inline tags leave no trace.  Scripts, styles, titles and comments are markup.
 
-Null and empty pages, and pages without words outside such elements, give an empty text.  Unclosed and truncated markup is
-read as far as it goes; an element that is never closed ends with the body, or where an article begins.  Of runs with equal
-sums the first and longest counts.  Repeated rows give the same text; an empty table gives an empty table.  Columns besides
-the key, the URL and the page don't matter, whatever their names.
+Null and empty pages, and pages without words of a positive run, give an empty text.  Unclosed and truncated markup is read as far
+as it goes; an element that is never closed, though its end tag may not be left out, has no span: it can't be cut and its words
+are worth what others are.  Of runs with equal sums the first and shortest counts.  Repeated rows give the same text; an empty table gives
+an empty table.  Columns besides the key, the URL and the page don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +36,23 @@ from pyspark.sql import functions as F
 
 #: labelled pages that the weights are counted on at most, those of smallest hash of their key
 MAX_LABELLED = 2000
-#: weights where no labelled page is at hand
-PRIOR = {"word": 0.5, "other": -2.0, "div": -1.0, "a": -1.0} | dict.fromkeys("p br b i em strong span h1 h2 h3 h4 ul ol li blockquote pre table tbody tr td th".split(), -0.1)
-#: how many sightings of a token weigh as much as its prior weight
-PRIOR_COUNT = 20
-#: weights of tags lie between these below zero, the one of words between a quarter and one
-LEAST, MOST = 0.02, 12.0
+#: weights of tags before any page is counted: fixed by what HTML says an element is for; all others have the last one
+PRIOR = (
+    {"word": 0.5, "a": -0.3, "div": -0.1, "section": -0.1, "article": -0.02, "main": -0.02, "body": -0.02, "html": -0.02}
+    | dict.fromkeys("head nav footer".split(), -4.0)
+    | dict.fromkeys(["aside"], -3.0)
+    | dict.fromkeys("header form button select option dialog menu object canvas audio video map fieldset legend label datalist".split(), -2.5)
+    | dict.fromkeys("script style noscript template textarea title iframe svg".split(), -1.0)
+    | dict.fromkeys("p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption hr img".split(), -0.1)
+    | dict.fromkeys("b i em strong span u s small sub sup code mark abbr cite q time font".split(), -0.02)
+)
+OTHER = -0.2
+#: how many sightings of a token weigh as much as its prior weight, and how many make a class name known
+PRIOR_COUNT, LEAST_SEEN = 5, 3
+#: weights of tags lie between these below zero; from STRONG on they lessen the worth of the words inside
+LEAST, MOST, STRONG = 0.02, 12.0, 1.5
+#: what a cut costs
+GAP = 1.0
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,122 +63,198 @@ _TAG = re.compile(
     r"|</?[a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
-#: fixed values of HTML: elements that stand within a line, and those without an end tag
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+#: fixed values of HTML: elements within a line, those without an end tag, those whose end tag may be left out, and what a role equals
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: elements that hold no content
-NOISE = frozenset("head nav header footer aside form button select option dialog menu object canvas audio video map fieldset legend label datalist".split())
-#: names by which other elements say so
-NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside comment comments disqus cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation "
-    "footer header masthead pagination pager login toolbar widget disclaimer paywall reply replies respond".split()
-)
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: elements at whose tags an unclosed one of these ends
-KEEPS = frozenset("html body main article".split())
-#: tag names with a weight of their own; all others share one
-KNOWN = frozenset(
-    "html body main article section div p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption hr img "
-    "a b i em strong span u s small sub sup code mark abbr cite q time font nav header footer aside form head link meta address center details summary".split()
-)
+ENDLESS = frozenset("p li dt dd td th tr thead tbody tfoot option optgroup colgroup".split())
+ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "menu": "menu"}
+_NONE: tuple[str, ...] = ()
 
 
-def _named_noise(value: str) -> bool:
-    """Whether a class or id begins with such a name; later parts are categories and layouts of what may be content."""
-    return any(re.split(r"[-_]+", one.lstrip("-_"))[0] in NOISE_NAMES for one in value.split())
+class Token(NamedTuple):
+    kind: str  # text, open or close
+    text: str  # the text, or the name of the tag
+    names: tuple[str, ...] = _NONE  # class names and id
+    hidden: bool = False
 
 
-def _noisy(name: str, attrs: str, named: bool = True) -> bool:
-    if name in NOISE:
-        return True
-    if name in ("html", "body", "main") or not attrs or not attrs.strip():
-        return False
+def _attributes(name: str, attrs: str) -> tuple[str, tuple[str, ...], bool]:
+    """(tag, or the one that the role equals; names; whether it is never shown)"""
+    names, hidden = [], False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key == "role" and value in NOISE_ROLES:
-            return True
-        if named and key in ("class", "id") and _named_noise(value):
-            return True
-    return False
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text or tag name, noise, content label) with kind ``text``, ``open`` or ``close``, in page order."""
-    at, noise, depth, inside = 0, "", 0, 0
+        if key in ("class", "id"):
+            names += value.split()
+        elif key == "role":
+            name = ROLES.get(value, name)
+        else:
+            hidden |= key == "hidden" or value == "true" or "display:none" in value.replace(" ", "")
+    return name, tuple(names), hidden
+
+
+def read(page: str) -> tuple[list[Token], list[int]]:
+    """The tokens of a page, and for each opening tag the number of the first token after its element (0: no span)."""
+    out: list[Token] = []
+    ends: list[int] = []
+    stack: list[tuple[str, int]] = []
+    at = 0
+
+    def add(token: Token) -> None:
+        out.append(token)
+        ends.append(0)
+
     for m in _TAG.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], bool(noise), inside > 0
+            add(Token("text", page[at : m.start()]))
         at = m.end()
         name = m[3] or m[6]
         if not name:
             if m[1]:
-                yield "raw", m[1].lower(), True, False
-            continue
-        name, closing, attrs = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
-        # a named element that holds an article is no noise, unless the article is so named as well (a comment)
-        if name in KEEPS and (name != "article" or noise in NOISE or noise and not closing and not _noisy(name, attrs)):
-            noise, depth = "", 0
-        if name in ("article", "main") and not noise and (closing or not _noisy(name, attrs, named=False)):
-            if closing:
-                inside = max(0, inside - 1)
-            yield "close" if closing else "open", name, False, False
-            inside += not closing
+                add(Token("open", m[1].lower()))
             continue
-        if noise:
-            if name == noise:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    noise = ""
-            yield "close" if closing else "open", name, True, False
+        name = name.lower()
+        if m[2] or m[5]:
+            add(Token("close", name))
+            if any(open_name == name for open_name, _ in stack):
+                while True:
+                    open_name, i = stack.pop()
+                    if open_name == name:
+                        ends[i] = len(out)
+                        break
+                    if open_name in ENDLESS:
+                        ends[i] = len(out) - 1
             continue
-        if not closing and name not in VOID and _noisy(name, attrs):
-            if not attrs.rstrip().endswith("/"):
-                noise, depth = name, 1
-            yield "open", name, True, False
-            continue
-        yield "close" if closing else "open", name, False, inside > 0
+        attrs = m[4] or m[7] or ""
+        role, names, hidden = _attributes(name, attrs) if attrs and not attrs.isspace() else (name, _NONE, False)
+        if name in ENDLESS and stack and stack[-1][0] == name:
+            ends[stack.pop()[1]] = len(out)
+        add(Token("open", role, names, hidden))
+        if name not in VOID and not attrs.endswith("/"):
+            stack.append((name, len(out) - 1))
     if at < len(page):
-        yield "text", page[at:], bool(noise), inside > 0
+        add(Token("text", page[at:]))
+    for name, i in stack:
+        if name in ENDLESS or name in ("html", "body"):
+            ends[i] = len(out)
+    return out, ends
+
+
+def labelled(tokens: list[Token], ends: list[int]) -> tuple[int, int] | None:
+    """First and after-last token of the content of a labelled page."""
+    for label in ("article", "main"):
+        spans = [(sum(len(t.text.split()) for t in tokens[i:end] if t.kind == "text"), -i, end) for i, (t, end) in enumerate(zip(tokens, ends, strict=True)) if end and t.text == label]
+        if spans:
+            _, i, end = max(spans)
+            return -i, end
+    return None
+
+
+def _keys(t: Token) -> list[str]:
+    """What an element is counted as."""
+    return [*["." + n for n in dict.fromkeys(t.names)], *[n + "-*" for n in dict.fromkeys(re.split("[-_]", n)[0] for n in t.names)]] if t.names else [t.text]
 
 
 def label_counts(page: str) -> Counter:
-    """(token, inside the labelled content) of a labelled page, without the elements that score nothing; else nothing."""
+    """(token, inside the content) of a labelled page; what stands inside menus, footers and the like is theirs and isn't counted."""
     counts: Counter = Counter()
-    labelled = False
-    for kind, text, noise, content in tokens(page):
-        labelled |= content
-        if noise:
+    tokens, ends = read(page)
+    content = labelled(tokens, ends)
+    if content is None:
+        return counts
+    skip = 0
+    for i, t in enumerate(tokens):
+        if i < skip:
             continue
-        if kind == "text":
-            counts["word", content] += len(text.split())
-        elif text not in ("article", "main"):
-            counts[text if text in KNOWN else "other", content] += 1
-    return counts if labelled else Counter()
+        inside = content[0] <= i < content[1]
+        if t.kind == "text":
+            counts["word", inside] += len(t.text.split())
+        elif t.kind == "open" and t.text not in ("article", "main") or t.names:
+            holds = i < content[0] and ends[i] >= content[1]
+            aside = not holds and PRIOR.get(t.text, OTHER) <= -STRONG
+            skip = ends[i] if aside else skip
+            # a label covers the whole article and says nothing of the asides and forms in it
+            for key in _NONE if aside and inside else _keys(t):
+                counts[key, inside or holds] += 1
+    return counts
 
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log ratios, drawn to the prior weight where a token is rare; above zero for words and below it for tags."""
     total = {side: sum(n for (_, s), n in counts.items() if s is side) for side in (True, False)}
+    out = dict(PRIOR)
     if not total[True]:
-        return dict(PRIOR)
-    out = {}
-    for name in (*sorted(KNOWN), "other", "word"):
+        return out
+    for name in sorted({k for k, _ in counts}):
         inside, outside = counts.get((name, True), 0), counts.get((name, False), 0)
-        ratio = math.log((inside + 0.5) / (total[True] + 1)) - math.log((outside + 0.5) / (total[False] + 1))
         seen = inside + outside
-        out[name] = (seen * ratio + PRIOR_COUNT * PRIOR.get(name, PRIOR["other"])) / (seen + PRIOR_COUNT)
+        if seen < LEAST_SEEN and name not in PRIOR:
+            continue
+        ratio = math.log((inside + 0.5) / (total[True] + 1)) - math.log((outside + 0.5) / (total[False] + 1))
+        out[name] = (seen * ratio + PRIOR_COUNT * PRIOR.get(name, OTHER)) / (seen + PRIOR_COUNT)
     word = min(1.0, max(0.25, out.pop("word")))
-    return {name: -min(MOST, max(LEAST, -w)) for name, w in out.items()} | {"word": word, "article": -LEAST, "main": -LEAST}
+    return {name: max(-MOST, min(-LEAST, w)) for name, w in out.items()} | {"word": word, "article": -LEAST, "main": -LEAST}
+
+
+def weight_of(t: Token, weights: dict[str, float]) -> float:
+    """Of a tag: the mean of its known names, of the known first parts of its names, or the tag's own."""
+    if t.names:
+        for keys in (["." + n for n in t.names], [re.split("[-_]", n)[0] + "-*" for n in t.names]):
+            known = [weights[k] for k in keys if k in weights]
+            if known:
+                return sum(known) / len(known)
+    return weights.get(t.text, OTHER)
+
+
+def token_scores(tokens: list[Token], ends: list[int], weights: dict[str, float]) -> list[float]:
+    """Words above zero, tags below; a closing tag scores as its opening one, and a hidden element as the least."""
+    out, around, closing = [], [], {}
+    for i, t in enumerate(tokens):
+        while around and around[-1][0] <= i:
+            around.pop()
+        if t.kind == "text":
+            out.append(len(t.text.split()) * weights["word"] * (math.exp(around[-1][1] / 2) if around else 1.0))
+        elif t.kind == "close":
+            out.append(closing.get(i, weights.get(t.text, OTHER)))
+        else:
+            w = -math.inf if t.hidden and ends[i] else weight_of(t, weights)
+            out.append(w)
+            if ends[i]:
+                closing[ends[i] - 1] = w
+                if w <= -STRONG:
+                    around.append((ends[i], min(w, around[-1][1]) if around else w))
+    return out
+
+
+def cut_elements(scores: list[float], ends: list[int]) -> list[tuple[int, int]]:
+    """Spans of the outermost elements that are worth less than -``GAP``, in one pass from the inside out."""
+    cuts: list[tuple[int, int]] = []
+    open_: list[list] = [[len(scores) + 1, 0, 0.0]]
+
+    def finish(i: int) -> None:
+        while open_[-1][0] <= i:
+            end, start, total = open_.pop()
+            if total < -GAP:
+                while cuts and cuts[-1][0] > start:
+                    cuts.pop()
+                cuts.append((start, end))
+                total = 0.0
+            open_[-1][2] += total
+
+    for i, s in enumerate(scores):
+        finish(i)
+        if ends[i]:
+            # an element can't outlast the one around it
+            open_.append([min(ends[i], open_[-1][0]), i, 0.0])
+        open_[-1][2] += s
+    finish(len(scores))
+    return cuts
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
     """First and after-last index of the run of greatest sum, in one pass; (0, 0) if no sum is positive.
 
-    Of equal sums the run that begins, and then ends, first counts, but with tokens of score 0 at its ends left out."""
+    Of equal sums the run that ends first counts, and of those the one that begins last."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:
@@ -175,20 +267,19 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: dict[str, float]) -> tuple[str, float]:
     """Text and score of the best run."""
-    parts, scores = [], []
-    word, other = weights["word"], weights["other"]
-    for kind, text, noise, _ in tokens(page):
-        if noise:
-            parts.append("" if kind == "text" else " ")
-            scores.append(0.0)
-        elif kind == "text":
-            parts.append(unescape(text) if "&" in text else text)
-            scores.append(word * len(text.split()))
-        else:
-            parts.append("" if text in INLINE else " ")
-            scores.append(weights.get(text, other))
-    lo, hi = best_run(scores)
-    return " ".join("".join(parts[lo:hi]).split()), max(accumulate(scores[lo:hi]), default=0.0)
+    tokens, ends = read(page)
+    scores = token_scores(tokens, ends, weights)
+    parts, left, at = [], [], 0
+    for start, end in [*cut_elements(scores, ends), (len(tokens), len(tokens))]:
+        for t in tokens[at:start]:
+            parts.append((unescape(t.text) if "&" in t.text else t.text) if t.kind == "text" else "" if t.text in INLINE else " ")
+        left += scores[at:start]
+        if end > start:
+            parts.append(" ")
+            left.append(-GAP)
+        at = end
+    lo, hi = best_run(left)
+    return " ".join("".join(parts[lo:hi]).split()), sum(left[lo:hi])
 
 
 def fit_weights(pages: DataFrame, key: str = "page_id", html: str = "html", max_labelled: int = MAX_LABELLED) -> dict[str, float]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,32 +18,90 @@ PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header><
 <section id="comments"><article class="comment"><p>nice post, I liked it</p></article></section></main><form><label>Mail</label></form><footer>c</footer><script>var a = "<p>no</p>";</script></body></html>"""
 
 
+#: weights that thirty such pages teach
+LEARNT = html.weights_of({k: 30 * n for k, n in html.label_counts(PAGE.replace('<div class="ad">buy now</div>', "").replace("<form>", '<div class="ad">buy now</div><form>')).items()})
+SCANS = pytest.mark.parametrize("seed", range(8))
+
+
 def test_main_text():
-    for w in (html.PRIOR, html.weights_of(html.label_counts(PAGE))):
-        assert html.main_text(PAGE, w)[0] == "Title & more First para graph of the text. Second, with a list: one two End."
+    assert html.main_text(PAGE, LEARNT)[0] == "Title & more First para graph of the text. Second, with a list: one two End."
+    for w in (html.PRIOR, LEARNT):
         assert html.main_text("", w)[0] == "" and html.main_text("<nav>a b</nav>", w)[0] == ""
         assert html.main_text("plain  words", w)[0] == "plain words"
         assert html.main_text('<p>a<p class="x', w)[0] == "a"
-        assert html.main_text("<nav>menu<article><p>kept text</p></article>", w)[0] == "kept text"
-
-
-def test_best_run_is_the_best():
-    rng = random.Random(1)
-    for _ in range(200):
-        s = [rng.choice([-3, -1, 0, 1, 2]) for _ in range(rng.randint(0, 12))]
-        lo, hi = html.best_run(s)
-        assert sum(s[lo:hi]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
-
-
-def test_names_of_layout_and_category_keep_the_article():
-    body = "<p>The whole text of the page stays here.</p>"
-    for page in (
-        f"<article class='post category-social tag-comments'>{body}</article>", f"<article class='notice'>{body}</article>", f"<div class='page-with-sidebar'><article>{body}</article></div>",
-        f"<div class='sidebar'><div><article>{body}</article></div></div>", f"<div id='content_no-menu'>{body}</div>",
-    ):
-        assert html.main_text(page, html.PRIOR)[0] == "The whole text of the page stays here.", page
-    for page in (f"<div class='ad-box'>{body}</div>", f"<div class='x' id='comments'><article class='comment'>{body}</article></div>", f"<article hidden>{body}</article>"):
-        assert html.main_text(page, html.PRIOR)[0] == "", page
+        assert html.main_text("<div hidden>not shown at all</div><p>shown</p>", w)[0] == "shown"
+        assert html.main_text('<p>see <a class="related-link" href="x">this page</a> for more</p>', w)[0] == "see this page for more"
+        assert html.main_text('<main><div class="entry-header"><h1>My title</h1></div><p>some words</p></main>', w)[0] == "My title some words"
+        assert html.main_text("<article class='category-social'><p>The whole text stays.</p></article>", w)[0] == "The whole text stays."
+    assert html.main_text("<form>" + "<div><p>a page in one form</p></div>" * 40 + "</form>", html.PRIOR)[0].count("one form") == 40
+    assert html.main_text("<div role='navigation'><p>a b</p></div><p>text</p>", html.PRIOR)[0] == "text"
+
+
+def plain_text(page, w):
+    """The same by trying all runs of what a recursion over the elements leaves."""
+    tokens, ends = html.read(page)
+    scores = html.token_scores(tokens, ends, w)
+
+    def walk(i, end):
+        """(worth, kept tokens as (score, text)) of tokens i .. end"""
+        worth, kept = 0.0, []
+        while i < end:
+            t = tokens[i]
+            piece = html.unescape(t.text) if t.kind == "text" else "" if t.text in html.INLINE else " "
+            if ends[i]:
+                inner, inside = walk(i + 1, min(ends[i], end))
+                total = scores[i] + inner
+                cut = total < -html.GAP
+                worth += 0.0 if cut else total
+                kept += [(-html.GAP, " ")] if cut else [(scores[i], piece), *inside]
+                i = min(ends[i], end)
+            else:
+                worth += scores[i]
+                kept.append((scores[i], piece))
+                i += 1
+        return worth, kept
+
+    kept = walk(0, len(tokens))[1]
+    before = np.concatenate(([0.0], np.cumsum([s for s, _ in kept])))
+    gain = before[None, :] - before[:, None]
+    gain[np.tril_indices(len(before))] = 0
+    if gain.max(initial=0) <= 1e-12:
+        return ""
+    lo, hi = min(((i, j) for i, j in zip(*np.nonzero(gain >= gain.max() - 1e-9), strict=True)), key=lambda x: (x[1], -x[0]))
+    return " ".join("".join(x for _, x in kept[lo:hi]).split())
+
+
+@SCANS
+def test_scans_agree_with_trying_all_runs(seed):
+    rng = random.Random(seed)
+    names = ["p", "div", "div class='ad'", "div class='post x'", "nav", "aside", "li", "ul", "b", "a href='/'", "form", "footer", "h1", "br", "article", "section id='comments'", "span hidden"]
+    for _ in range(60):
+        page = ""
+        for _ in range(rng.randint(0, 40)):
+            kind = rng.random()
+            name = rng.choice(names)
+            page += " ".join(rng.choices(["word", "&amp;", "é", "x<y"], k=rng.randint(0, 12))) if kind < 0.4 else f"<{name}>" if kind < 0.7 else f"</{name.split()[0]}>"
+        for w in (html.PRIOR, LEARNT):
+            assert html.main_text(page, w)[0] == plain_text(page, w), page
+
+
+def test_learnt_weights_find_held_out_articles(spark, sf):
+    """Weights of one half of the pages, on the other half with the labels taken away."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()]
+    counts = sum((html.label_counts(x) for x in pages[::2]), start=Counter())
+    w = html.weights_of(counts)
+    assert any(k.startswith(".") and v < -html.STRONG for k, v in w.items())
+    f1, changed = [], 0
+    for page in pages[1::2]:
+        tokens, ends = html.read(page)
+        lo, hi = html.labelled(tokens, ends)
+        want = "".join(html.unescape(t.text) if t.kind == "text" else "" if t.text in html.INLINE else " " for t in tokens[lo:hi]).split()
+        got = html.main_text(page.replace("article>", "div>"), w)[0].split()
+        common = sum((Counter(want) & Counter(got)).values())
+        f1.append(2 * common / max(1, len(want) + len(got)))
+        # without the scans the page's words would all be there
+        changed += got != "".join(html.unescape(t.text) if t.kind == "text" else " " for t in tokens).split()
+    assert np.mean(f1) >= 0.98 and min(f1) >= 0.5 and changed >= 0.9 * len(f1)
 
 
 def test_extract_nulls_and_extra_columns(spark):
