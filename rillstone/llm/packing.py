@@ -3,9 +3,9 @@
 A map over the partitions of the input: each task tokenises its texts, cuts full windows off the front of long
 documents, and places the rest of each (or the whole of a short one) into an open window of the level (tokens in
 it so far) for which the sum over levels of the squared count of open windows becomes smallest.  Counts are kept in
-a level array; the windows of a level are a stack of (number) entries.  At the end of a task its open windows, of which
-there are few on every level, are emptied: their pieces are laid end to end into full windows, cutting where one is
-full, and what is left is cut into sequences whose lengths are powers of two, which need no padding.
+a level array; the windows of a level are a stack of (number) entries.  Every piece stays where it was placed: at the end of
+a task its open windows, of which there are few on every level, are cut where they stand into sequences whose lengths are
+powers of two (the bits of the fill), which need no padding.
 
 Nothing is shuffled and nothing depends on other partitions: a lost task is run again with the same result, since
 sequence numbers are the partition's number and a count within it.  Null and empty texts are one end token.  Repeated
@@ -128,18 +128,19 @@ class Packer:
                     at += k
 
     def close(self) -> Iterator[tuple]:
-        """Empties the open windows without padding."""
-        rest = [(p, x) for number in sorted(self.held) for p, x in zip(self.held[number], self.ids[number], strict=True)]
-        left = sum(p[2] for p, _ in rest)
-        number, room, at = self.boxes.opened, 0, 0
-        for (doc, start, size, total), x in rest:
-            taken = 0
-            while taken < size:
-                if not room:
-                    room, at, number = self.window if left >= self.window else 1 << (left.bit_length() - 1), 0, number + 1
-                k = min(room, size - taken)
-                yield doc, start + taken, k, zlib.crc32(x[4 * taken : 4 * (taken + k)]), total, number - 1, at
-                taken, room, at, left = taken + k, room - k, at + k, left - k
+        """The open windows, each cut where it stands into sequences of powers of two, the longest first."""
+        number = self.boxes.opened
+        for window in sorted(self.held):
+            at, left = 0, sum(p[2] for p in self.held[window])
+            room = 0
+            for (doc, start, size, total), x in zip(self.held[window], self.ids[window], strict=True):
+                taken = 0
+                while taken < size:
+                    if not room:
+                        room, at, number = 1 << (left.bit_length() - 1), 0, number + 1
+                    k = min(room, size - taken)
+                    yield doc, start + taken, k, zlib.crc32(x[4 * taken : 4 * (taken + k)]), total, number - 1, at
+                    taken, room, at, left = taken + k, room - k, at + k, left - k
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,6 +208,63 @@ def test_sum_of_squares_choice():
         assert cost[packing.best_level(count, size, window)] == min(cost.values())
 
 
+def replayed(sizes, window):
+    """(doc, start, length, sequence, offset) of a partition's documents by the rule itself; sizes: (doc, tokens) in order."""
+    level, held, opened = {}, {}, 0
+    count = [0] * (window + 1)
+    for doc, n in sizes:
+        for start in range(0, n, window):
+            size = min(window, n - start)
+            options = []
+            for h in range(window - size + 1):
+                if h and not count[h]:
+                    continue
+                change = (1 - 2 * count[h] if h else 0) + (1 + 2 * count[h + size] if h + size < window else 0)
+                options.append((change, -h))
+            h = -min(options)[1]
+            if size == window:
+                h = 0
+            if h:
+                w = level[h].pop()
+                count[h] -= 1
+            else:
+                w, opened = opened, opened + 1
+            held.setdefault(w, []).append((doc, start, size))
+            if h + size < window:
+                level.setdefault(h + size, []).append(w)
+                count[h + size] += 1
+    out, number = [], opened
+    for w, pieces in sorted(held.items()):
+        fill = sum(p[2] for p in pieces)
+        edges = [0]
+        while edges[-1] < fill and fill < window:
+            edges.append(edges[-1] + (1 << ((fill - edges[-1]).bit_length() - 1)))
+        if fill == window:
+            edges, first = [0, window], w
+        else:
+            first, number = number, number + len(edges) - 1
+        at = 0
+        for doc, start, size in pieces:
+            for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                a, b = max(lo, at), min(hi, at + size)
+                if a < b:
+                    out.append((doc, start + a - at, b - a, first + i, a - lo))
+            at += size
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 32])
+def test_every_piece_stays_where_the_rule_put_it(spark, sf, parts):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(parts).cache()
+    order = df.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    got = packing.pack_documents(df, queries.tokenizer_path()).collect()
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    for p in range(parts):
+        own = sorted((r.doc_id, r.start, r.length, r.sequence_id % packing.PER_PARTITION, r.offset) for r in got if r.sequence_id // packing.PER_PARTITION == p)
+        assert own == replayed([(r.doc_id, tokens[r.doc_id]) for r in order if r.p == p], packing.WINDOW)
+    df.unpersist()
+
+
 def planted(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3)))
