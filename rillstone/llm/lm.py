@@ -1,15 +1,17 @@
 """Language-model scores: masked pseudo-likelihood of a bidirectional window network trained in numpy.
 
 Words (runs of ASCII letters, digits and characters beyond ASCII, lower-cased) are counted over all documents.  Each word seen
-``COMMON`` times or more, and each of the ``WORDS`` most frequent, has an id of its own; the rest, each rarer than any of these, are
+``COMMON`` times or more that makes up ``LEAST_SHARE`` of all, and each of the ``WORDS`` most frequent, has an id of its own (at most
+``1 / LEAST_SHARE`` can); the rest, each rarer than any of these, are
 hashed to a quarter as many ids, and a word among them has an equal part of its id's probability.  The number of ids thus follows the
 corpus.  The network predicts every word from the ``SIDE`` words before and the ``SIDE`` after it: their embeddings, each with a
-matrix of its place, add up to a hidden layer; a softmax over classes of ids and one over the ids of the class give the id's
-probability.  Classes are ids of like frequency, about as many as each has ids.
+diagonal matrix of its place, add up to a hidden layer; a softmax over classes of ids and one over the ids of the class give the
+id's probability.  Classes are ids of like frequency, about as many as each has ids.
 
 Training covers every word of every document: a hash of the document's key and the place deals the places out to the rounds, so that
-after the last each was a target once, and that no round misses a field of texts with a period.  In a round each partition starts from the common weights, learns its places, and
-gives back its weights; Spark averages them, weighted by the words learnt, before the next round.
+after the last each was a target once, and that no round misses a field of texts with a period.  In a round each partition starts
+from the common weights, learns its places in steps that grow longer, and gives back its weights; Spark averages them, weighted by
+the words learnt, before the next round.
 
 A document's score is the sum over its words of the log-probability given both sides.  Places beyond the text's ends are a mark of
 their own.  Null texts and texts without words have 0 words, a sum of 0 and null means.  Repeated rows get the same score; an empty
@@ -30,19 +32,19 @@ from . import textbytes as tb
 from .scratch import Scratch
 
 #: words of at least so many sightings, and so many words at least, have ids of their own
-COMMON, WORDS = 1000, 4096
+COMMON, LEAST_SHARE, WORDS = 1000, 1e-7, 4096
 LEAST_PER_CLASS = 64
-SIDE, EMBED, HIDDEN = 2, 16, 32
-ROUNDS, RATE = 2, 0.7
-#: words in a step of learning, and scored at once
-BATCH, AT_ONCE = 1024, 16_384
+SIDE, HIDDEN = 2, 16
+ROUNDS, RATE = 2, 0.15
+#: places in the first and the longest step of learning, how many steps as long as the next have gone before, and places scored at once
+FIRST, BATCH, STEPS, AT_ONCE = 256, 16_384, 16, 16_384
 #: distinct words that a task of the count holds, and weights in a row of a round's result
 HELD, PART = 1 << 20, 4096
 
 
 class Net(NamedTuple):
-    embed: np.ndarray  # ids + 1, EMBED; the last is the mark beyond a text's ends
-    place: np.ndarray  # 2 SIDE EMBED, HIDDEN
+    embed: np.ndarray  # ids + 1, HIDDEN; the last is the mark beyond a text's ends
+    place: np.ndarray  # 2 SIDE, HIDDEN
     bias: np.ndarray  # HIDDEN
     to_class: np.ndarray  # HIDDEN, classes
     class_bias: np.ndarray
@@ -81,7 +83,7 @@ def start(counts: np.ndarray, seed: int = 3) -> Net:
     share = share.reshape(n, per)
     by_class = share.sum(1)
     return Net(
-        draw(n * per + 1, EMBED, s=0.3), draw(2 * SIDE * EMBED, HIDDEN, s=0.12), np.zeros(HIDDEN, np.float32), draw(HIDDEN, n, s=0.05),
+        draw(n * per + 1, HIDDEN, s=0.1), 0.5 + draw(2 * SIDE, HIDDEN, s=0.1), np.zeros(HIDDEN, np.float32), draw(HIDDEN, n, s=0.05),
         np.log(by_class / by_class.sum()).astype(np.float32), draw(n, HIDDEN, per, s=0.05), np.log(share / by_class[:, None]).astype(np.float32),
     )
 
@@ -92,7 +94,7 @@ def flatten(net: Net) -> np.ndarray:
 
 def unflatten(flat: np.ndarray, n_ids: int = WORDS) -> Net:
     n, per = shape_of(n_ids)
-    shapes = [(n * per + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,), (n, HIDDEN, per), (n, per)]
+    shapes = [(n * per + 1, HIDDEN), (2 * SIDE, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,), (n, HIDDEN, per), (n, per)]
     out, at = [], 0
     for shape in shapes:
         size = int(np.prod(shape))
@@ -101,66 +103,74 @@ def unflatten(flat: np.ndarray, n_ids: int = WORDS) -> Net:
     return Net(*out)
 
 
-def windows(ids: np.ndarray, doc: np.ndarray, where: np.ndarray, mark: int) -> np.ndarray:
-    """(places, 2 SIDE) ids around each place; the mark beyond the ends of its document."""
-    out = np.full((len(where), 2 * SIDE), mark, np.int64)
-    for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        at = where + step
-        fine = (at >= 0) & (at < len(ids))
-        fine[fine] = doc[at[fine]] == doc[where[fine]]
-        out[fine, j] = ids[at[fine]]
-    return out
+#: places of the words around, from each place
+AROUND = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+
+
+def stream(ids: np.ndarray, doc: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts one after another with ``SIDE`` marks before, between and behind them; the place of each word in it."""
+    at = np.arange(len(ids)) + SIDE * (doc + 1)
+    out = np.full(len(ids) + SIDE * (int(doc[-1]) + 2 if len(doc) else 1), mark, np.uint16 if mark < 1 << 16 else np.int32)
+    out[at] = ids
+    return out, at
+
+
+def hidden_layer(net: Net, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer of every place of a stream but the ``SIDE`` first and last, and the stream's embeddings."""
+    n, given = len(text) - 2 * SIDE, net.embed[text]
+    out = np.empty((n, net.embed.shape[1]), np.float32)
+    out[:] = net.bias
+    for j, step in enumerate(AROUND):
+        out += net.place[j] * given[SIDE + step : SIDE + step + n]
+    return np.tanh(out, out=out), given
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= (1 / x.sum(1))[:, None]
     return x
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row of x at one place."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(at)), at]
-    return own - np.log(np.exp(x, out=x).sum(1))
-
-
-def _by_class(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
     """(class, first row, row after the last) of sorted classes."""
-    firsts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    yield from zip(group[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(group)], strict=True)
+    bounds = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    yield from ((c, lo, hi) for c, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if hi > lo)
 
 
-def log_probabilities(tables: list[np.ndarray], net: Net, around: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log P(id | window) of each row; tables: from ``place_tables``."""
-    group, inner = np.divmod(word, net.word_bias.shape[1])
+def _grouped(net: Net, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by class, and class and number within it in that order."""
+    classes, per = net.word_bias.shape
+    group = (word // per).astype(np.uint16 if classes < 1 << 16 else np.int64)
     order = np.argsort(group, kind="stable")
-    group, inner, around = group[order], inner[order], around[order]
-    hidden = tables[0][around[:, 0]]
-    for j in range(1, 2 * SIDE):
-        hidden += tables[j][around[:, j]]
-    np.tanh(hidden, out=hidden)
-    found = _picked(hidden @ net.to_class + net.class_bias, group).astype(np.float64)
-    for c, lo, hi in _by_class(group):
-        found[lo:hi] += _picked(hidden[lo:hi] @ net.to_word[c] + net.word_bias[c], inner[lo:hi])
+    return order, group[order], word[order] - group[order].astype(np.int64) * per
+
+
+def log_probabilities(net: Net, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log P(id | window) of the ids at these places of a stream, in double precision."""
+    hidden, word = hidden_layer(net, text)[0][at - SIDE], text[at].astype(np.int64)
+    order, group, inner = _grouped(net, word)
+    hidden, row = hidden[order], np.arange(len(word))
+
+    def chance(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+        np.minimum(logits, 60, out=logits)
+        picked = logits[row[: len(own)], own].astype(np.float64)
+        return picked - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+
+    found = chance(hidden @ net.to_class + net.class_bias, group)
+    for c, lo, hi in _by_class(group, len(net.word_bias)):
+        found[lo:hi] += chance(hidden[lo:hi] @ net.to_word[c] + net.word_bias[c], inner[lo:hi])
     out = np.empty(len(word))
     out[order] = found
     return out
 
 
-def place_tables(net: Net) -> list[np.ndarray]:
-    tables = [net.embed @ net.place[j * EMBED : (j + 1) * EMBED] for j in range(2 * SIDE)]
-    tables[0] = tables[0] + net.bias
-    return tables
-
-
 class Learner:
     """Adagrad from given weights."""
 
     def __init__(self, net: Net):
         self.net = Net(*[w.copy() for w in net])
-        self.square = Net(*[np.full_like(w, 0.01) for w in net])
+        self.square = Net(*[np.full_like(w, 1e-6) for w in net])
         self.seen = 0
 
     def _move(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
@@ -168,42 +178,54 @@ class Learner:
         s[at] += grad * grad
         w[at] -= RATE * grad / np.sqrt(s[at])
 
-    def learn(self, around: np.ndarray, word: np.ndarray) -> float:
-        """One step on the mean loss of a batch."""
-        net, n = self.net, len(word)
-        group, inner = np.divmod(word, net.word_bias.shape[1])
-        order = np.argsort(group, kind="stable")
-        group, inner, around, row = group[order], inner[order], around[order], np.arange(n)
-        given = net.embed[around].reshape(n, -1)
-        hidden = np.tanh(given @ net.place + net.bias)
+    def gradients(self, text: np.ndarray, at: np.ndarray) -> tuple[float, dict]:
+        """Summed loss of the words at these places of a stream, and the gradients (to_word and word_bias by class)."""
+        net, n = self.net, len(text) - 2 * SIDE
+        every, given = hidden_layer(net, text)
+        order, group, inner = _grouped(net, text[at].astype(np.int64))
+        at = at[order]
+        hidden, row, grads = every[at - SIDE], np.arange(len(at)), {}
         grad = _softmax(hidden @ net.to_class + net.class_bias)
         chance = grad[row, group]
         grad[row, group] -= 1
-        grad /= n
         back = grad @ net.to_class.T
-        for c, lo, hi in _by_class(group):
+        grads["to_class"], grads["class_bias"] = hidden.T @ grad, grad.sum(0)
+        grads["words"] = {}
+        for c, lo, hi in _by_class(group, len(net.word_bias)):
             own = hidden[lo:hi]
             part = _softmax(own @ net.to_word[c] + net.word_bias[c])
-            at = (row[: hi - lo], inner[lo:hi])
-            chance[lo:hi] *= part[at]
-            part[at] -= 1
-            part /= n
+            its = (row[: hi - lo], inner[lo:hi])
+            chance[lo:hi] *= part[its]
+            part[its] -= 1
             back[lo:hi] += part @ net.to_word[c].T
-            self._move("to_word", own.T @ part, c)
-            self._move("word_bias", part.sum(0), c)
-        loss = -float(np.log(np.maximum(chance, 1e-30)).sum())
-        self._move("to_class", hidden.T @ grad)
-        self._move("class_bias", grad.sum(0))
+            grads["words"][c] = own.T @ part, part.sum(0)
         back *= 1 - hidden * hidden
-        to_embed = (back @ net.place.T).reshape(-1, EMBED)
-        self._move("place", given.T @ back)
-        self._move("bias", back.sum(0))
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self._move("embed", np.add.reduceat(to_embed[order], first), ids)
-        self.seen += n
-        return loss / n
+        # what reaches a word of the stream comes from the places around it
+        wide = np.zeros((n + 4 * SIDE, hidden.shape[1]), np.float32)
+        wide[at + SIDE] = back
+        to_embed, to_place = np.zeros((n + 2 * SIDE, hidden.shape[1]), np.float32), np.empty_like(net.place)
+        for j, step in enumerate(AROUND):
+            to_embed += net.place[j] * wide[SIDE - step : SIDE - step + n + 2 * SIDE]
+            to_place[j] = np.einsum("ij,ij->j", wide[2 * SIDE : 2 * SIDE + n], given[SIDE + step : SIDE + step + n])
+        grads["place"], grads["bias"] = to_place, back.sum(0)
+        order = np.argsort(text, kind="stable")
+        ids = text[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        grads["embed"] = ids[first].astype(np.int64), np.add.reduceat(to_embed[order], first)
+        return -float(np.log(np.maximum(chance, 1e-30)).sum()), grads
+
+    def learn(self, text: np.ndarray, at: np.ndarray) -> float:
+        """One step on the words at these places; their mean loss before it."""
+        loss, grads = self.gradients(text, at)
+        for c, (to_word, bias) in grads.pop("words").items():
+            self._move("to_word", to_word, c)
+            self._move("word_bias", bias, c)
+        ids, to_embed = grads.pop("embed")
+        self._move("embed", to_embed, ids)
+        for name, grad in grads.items():
+            self._move(name, grad)
+        self.seen += len(at)
+        return loss / len(at)
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +268,8 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     """Ids of the words in column t."""
     disk = Scratch(docs.sparkSession, "lm")
     counts = disk.save(corpus_counts(docs), "counts")
-    own, left = counts.filter(F.col("n") >= COMMON).toArrow(), F.col("n") < COMMON
+    least = max(COMMON, LEAST_SHARE * (counts.agg(F.sum("n")).first()[0] or 0))
+    own, left = counts.filter(F.col("n") >= least).toArrow(), F.col("n") < least
     if own.num_rows < WORDS:
         own = counts.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
         if own.num_rows:
@@ -281,12 +304,20 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = sent.value
         learner, kept, have = Learner(net), [], 0
+        step = FIRST
 
-        def learn() -> None:
-            around, word = (np.concatenate(x) for x in zip(*kept, strict=True))
+        def learn() -> int:
+            """Learns what is kept; gives the length of the next step."""
+            text, chosen = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            for lo in range(0, len(word), BATCH):
-                learner.learn(around[lo : lo + BATCH], word[lo : lo + BATCH])
+            at = np.flatnonzero(chosen)
+            lo, size = 0, step
+            while lo < len(at):
+                some = at[lo : lo + size]
+                begin = some[0] - SIDE
+                learner.learn(text[begin : some[-1] + SIDE + 1], some - begin)
+                lo, size = lo + size, min(BATCH, max(FIRST, learner.seen // STEPS))
+            return size
 
         for batch in batches:
             salt = batch.column(1).to_numpy().view(np.uint64)
@@ -297,12 +328,13 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
                 ids = vocab.ids(code)
                 first = np.concatenate(([True], doc[1:] != doc[:-1]))
                 nth = np.arange(len(ids)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                where = np.flatnonzero(round_of(nth, salt[lo + doc], rounds) == nth_round)
-                kept.append((windows(ids, doc, where, len(net.embed) - 1), ids[where]))
-                have += len(where)
-                if have >= 16 * BATCH:
-                    learn()
-                    have = 0
+                text, at = stream(ids, np.cumsum(first) - 1, len(net.embed) - 1)
+                chosen = np.zeros(len(text), bool)
+                chosen[at] = round_of(nth, salt[lo + doc], rounds) == nth_round
+                kept.append((text, chosen))
+                have += len(ids)
+                if have >= 4 * BATCH:
+                    step, have = learn(), 0
         if have:
             learn()
         if learner.seen:
@@ -342,16 +374,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = sent.value
-        tables, share = place_tables(net), np.log(vocab.distinct)
+        share = np.log(vocab.distinct)
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for lo, hi, data, offs in tb.groups(batch.column(1)):
                 code, doc = _words(data, offs)
                 ids = vocab.ids(code)
-                for at in range(0, len(ids), AT_ONCE):
-                    where = np.arange(at, min(len(ids), at + AT_ONCE))
-                    logs = log_probabilities(tables, net, windows(ids, doc, where, len(net.embed) - 1), ids[where]) - share[ids[where]]
-                    total[lo:hi] += np.bincount(doc[where], logs, minlength=hi - lo)
+                text, at = stream(ids, doc, len(net.embed) - 1)
+                for i in range(0, len(ids), AT_ONCE):
+                    some = at[i : i + AT_ONCE]
+                    begin = some[0] - SIDE
+                    logs = log_probabilities(net, text[begin : some[-1] + SIDE + 1], some - begin) - share[ids[i : i + AT_ONCE]]
+                    total[lo:hi] += np.bincount(doc[i : i + AT_ONCE], logs, minlength=hi - lo)
                 n[lo:hi] = np.bincount(doc, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["k", "n_tokens", "logprob"])
 
