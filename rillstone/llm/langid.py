@@ -1,8 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on a bounded sample: about ``PER_LANG`` documents of each language, drawn by
-hash, and ``CUTS`` stretches of ``SPAN`` bytes of each.  The network labels every byte of a stretch with a distribution over
-languages; a document is cut into such stretches without a gap, and its probabilities are the mean over all its bytes.
+Trained in numpy by backpropagation through time on a bounded sample of whole documents: about ``PER_LANG`` of each language, or
+as many as have ``PER_LANG_BYTES`` together where that is less, drawn by hash.  A document is cut into stretches of ``SPAN`` bytes
+without a gap; the network labels every byte of a stretch with a distribution over languages, and the document's probabilities
+are the mean over all its bytes.
 
 The fit sees only text and non-null lang of documents that are not held out.  Null texts and texts without a letter are
 ``und`` with score 0; without a labelled document in the fit every text is.  Repeated rows get the same answer; ties go to
@@ -24,8 +25,8 @@ from . import textbytes as tb
 from .quality import fold, held_out
 
 HIDDEN, SPAN, BATCH = 8, 128, 1024
-PER_LANG, CUTS = 300, 4
-EPOCHS, RATE, TRAIN_BATCH = 12, 0.01, 128
+PER_LANG, PER_LANG_BYTES = 300, 1 << 20
+EPOCHS, RATE, TRAIN_BATCH = 2, 0.01, 128
 #: a small sample is gone through more often, until so many steps are done
 LEAST_STEPS = 400
 PAD = 256
@@ -189,36 +190,33 @@ def stretches(data: np.ndarray, offs: np.ndarray, span: int = SPAN) -> tuple[np.
     return codes, doc
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, cuts: int = CUTS) -> Network | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, per_lang_bytes: int = PER_LANG_BYTES) -> Network | None:
     """docs: k, t, lang.  Null without a labelled document."""
     own = docs.filter("k is not null and lang is not null and t is not null").filter(fold(F.col("k")) != 0)
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("size")).collect()
     if not counts:
         return None
-    langs = sorted(counts)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
+    langs = sorted(r.lang for r in counts)
+    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_lang / r.n, per_lang_bytes / max(1, r.size)))) for r in counts])
     drawn = own.filter((F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, named, out, whose = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [], []
-            for lo, hi, data, offs in tb.groups(batch.column(1)):
-                for d in range(hi - lo):
-                    text = data[offs[d] : offs[d + 1]]
-                    rng = np.random.Generator(np.random.PCG64(abs(ids[lo + d])))
-                    for _ in range(min(cuts, -(-len(text) // SPAN))):
-                        at = int(rng.integers(0, max(1, len(text) - SPAN + 1)))
-                        out.append(text[at : at + SPAN].tobytes())
-                        whose.append(named[lo + d])
-            yield pa.RecordBatch.from_arrays([pa.array(whose, pa.string()), pa.array(out, pa.binary())], ["lang", "cut"])
-
-    rows = sorted((r.lang, bytes(r.cut)) for r in drawn.select("k", "t", "lang").mapInArrow(run, "lang string, cut binary").collect())
-    if not rows:
+            named = batch.column(1).to_pylist()
+            for lo, _, data, offs in tb.groups(batch.column(0)):
+                codes, doc = stretches(data, offs)
+                cuts = codes.astype("<u2")
+                for at in range(0, len(cuts), 8192):
+                    some = slice(at, at + 8192)
+                    yield pa.RecordBatch.from_arrays([pa.array([named[lo + d] for d in doc[some]], pa.string()), pa.array([x.tobytes() for x in cuts[some]], pa.binary())], ["lang", "cut"])
+
+    got = drawn.select("t", "lang").mapInArrow(run, "lang string, cut binary").toArrow()
+    if not got.num_rows:
         return None
-    codes = np.full((len(rows), SPAN), PAD, np.int64)
-    for i, (_, cut) in enumerate(rows):
-        codes[i, : len(cut)] = _FOLD[np.frombuffer(cut, np.uint8)]
-    return train(langs, codes, np.array([langs.index(k) for k, _ in rows]))
+    rows = sorted(zip(got["lang"].to_pylist(), got["cut"].to_pylist(), strict=True))
+    codes = np.frombuffer(b"".join(cut for _, cut in rows), "<u2").reshape(len(rows), SPAN).astype(np.int64)
+    number = {k: i for i, k in enumerate(langs)}
+    return train(langs, codes, np.array([number[k] for k, _ in rows]))
 
 
 def document_probabilities(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -1,5 +1,8 @@
 """Learnt operators: gradients, held-out accuracy, recall, and the corner cases."""
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -88,6 +91,61 @@ def test_quality_corner_cases(spark, odd):
     assert quality.quality_scores(odd.limit(0), labels).count() == 0
 
 
+def _plain_language(net, text):
+    """Byte by byte from the definition of the gates; mean distribution over all bytes."""
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    data = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    h, total = net.u.shape[2], np.zeros(len(net.langs))
+    for at in range(0, len(data), langid.SPAN):
+        cut = data[at : at + langid.SPAN]
+        states = []
+        for d, line in enumerate((cut, cut[::-1])):
+            state, seen = np.zeros(h), []
+            for b in line:
+                x, a = net.x[d][:, b].astype(float), net.u[d].astype(float) @ state
+                z, r = sigmoid(x[:h] + a[:h]), sigmoid(x[h : 2 * h] + a[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * a[2 * h :])
+                seen.append(state)
+            states.append(seen)
+        for forward, backward in zip(states[0], states[1][::-1], strict=True):
+            logits = np.exp(net.v[0] @ forward + net.v[1] @ backward + net.c[:, 0])
+            total += logits / logits.sum()
+    return total / len(data)
+
+
+def test_languages_equal_a_plain_recomputation(spark, sf):
+    """The whole query at the smallest scale against the learnt network run byte by byte."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = langid.fit_documents(docs)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert got.keys() == rows.keys()
+    checked = 0
+    for d in sorted(rows):
+        text = rows[d] or ""
+        if not any(c.isalpha() for c in text):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+        elif len(text) < 3000 and checked < 25:
+            p = _plain_language(net, text)
+            checked += 1
+            assert got[d].lang_pred == net.langs[int(p.argmax())] and abs(got[d].score - p.max()) < 1e-3
+    assert checked == 25
+
+
+def test_languages_are_learnt_from_whole_texts(spark, monkeypatch):
+    """What tells the languages apart stands at the end of long texts only."""
+    rows = [(i, "x y z " * 400 + ("ä ö ü " if i % 2 else "é è ê ") * 400, "de" if i % 2 else "fr") for i in range(40)]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda langs, codes, answer: seen.append((codes, answer)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit_documents(docs)
+    codes, answer = seen[0]
+    fitted = [(t.encode(), k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    assert (codes != langid.PAD).sum() == sum(len(t) for t, _ in fitted) and len(answer) == sum(-(-len(t) // langid.SPAN) for t, _ in fitted)
+    langid.fit_documents(docs, per_lang=5)
+    assert 0 < len(seen[1][1]) < len(answer) / 2
+
+
 def test_lm_beats_the_unigram(spark):
     import random
 
@@ -148,11 +206,76 @@ def test_lm_corner_cases(spark, odd):
     assert lm.score_documents(odd.limit(0)).count() == 0
 
 
+def _tiny_net(ids=100, seed=4):
+    rng = np.random.default_rng(seed)
+    net = lm.start(np.sort(rng.integers(1, 1000, ids))[::-1])
+    return lm.Net(*[(w + rng.normal(0, 0.3, w.shape)).astype(np.float64) for w in net])
+
+
+def _plain_log_probability(net, around, word):
+    """From the definition: one word, sums over all ids of a softmax in double precision."""
+    hidden = np.tanh(net.bias + sum(net.place[j] * net.embed[x] for j, x in enumerate(around)))
+    c, i = divmod(word, net.word_bias.shape[1])
+    classes, words = net.class_bias + hidden @ net.to_class, net.word_bias[c] + hidden @ net.to_word[c]
+    return classes[c] - np.log(np.exp(classes).sum()) + words[i] - np.log(np.exp(words).sum())
+
+
+def _plain_score(net, texts):
+    mark = len(net.embed) - 1
+    out = []
+    for t in texts:
+        wide = [mark, mark, *t, mark, mark]
+        out.append(sum(_plain_log_probability(net, [wide[i], wide[i + 1], wide[i + 3], wide[i + 4]], w) for i, w in enumerate(t)))
+    return out
+
+
+def test_lm_scores_equal_a_plain_recomputation(spark, sf):
+    """The whole query at the smallest scale, with the learnt weights, word by word from the definition."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = docs.selectExpr("doc_id as k", "text as t")
+    vocab, net = lm.train(given.select("t", F.xxhash64("k").alias("s")))
+    rows = {r.doc_id: r for r in docs.collect()}
+    scored = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert scored.keys() == rows.keys()
+    net = lm.Net(*[w.astype(np.float64) for w in net])
+    for d in sorted(rows)[::10]:
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in rows[d].text or ""))
+        ids = vocab.ids(_code(*w)).tolist() if w else []
+        want = _plain_score(net, [ids])[0] - np.log(vocab.distinct[ids]).sum()
+        assert scored[d].n_tokens == len(w) and abs(scored[d].logprob - want) <= 1e-4 * max(1, abs(want))
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    net = _tiny_net()
+    texts = [rng.integers(0, 100, 9).tolist(), [5], rng.integers(0, 100, 4).tolist()]
+    text, at = lm.stream(np.concatenate(texts), np.repeat([0, 1, 2], [9, 1, 4]), len(net.embed) - 1)
+    learner = lm.Learner(lm.Net(*[w.astype(np.float32) for w in net]))
+    loss, grads = learner.gradients(text, at)
+    assert abs(loss + sum(_plain_score(net, texts))) < 1e-3
+    whole = {k: grads[k] for k in ("place", "bias", "to_class", "class_bias")}
+    whole["embed"] = np.zeros_like(net.embed)
+    whole["embed"][grads["embed"][0]] = grads["embed"][1]
+    whole["to_word"], whole["word_bias"] = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
+    for c, (a, b) in grads["words"].items():
+        whole["to_word"][c], whole["word_bias"][c] = a, b
+    for name, grad in whole.items():
+        w = getattr(net, name)
+        for at in zip(*[rng.integers(0, n, 12) for n in w.shape], strict=True):
+            kept = w[at]
+            w[at] = kept + 1e-4
+            up = -sum(_plain_score(net, texts))
+            w[at] = kept - 1e-4
+            down = -sum(_plain_score(net, texts))
+            w[at] = kept
+            assert abs((up - down) / 2e-4 - grad[at]) < 2e-3 * max(1, abs(grad[at])), (name, at)
+
+
 def test_lm_gradient_steps_lower_the_loss():
     rng = np.random.default_rng(3)
     learner = lm.Learner(lm.start(np.ones(lm.WORDS)))
-    around, word = rng.integers(0, 50, (400, 4)), rng.integers(0, 50, 400)
-    losses = [learner.learn(around, word) for _ in range(30)]
+    text, at = lm.stream(rng.integers(0, 50, 400), np.zeros(400, int), lm.WORDS)
+    losses = [learner.learn(text, at) for _ in range(30)]
     assert losses[-1] < 0.7 * losses[0]
     assert np.allclose(lm.flatten(lm.unflatten(lm.flatten(learner.net))), lm.flatten(learner.net))
 
