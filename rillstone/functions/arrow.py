@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,49 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Row by row; what comes from the left is one running minimum."""
+    place = np.arange(len(b) + 1)
+    row = place.copy()
+    for i, x in enumerate(a, 1):
+        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+        row = np.minimum.accumulate(best - place) + place
+    return int(row[-1])
+
+
+def _coded(x: list | None, y: list | None) -> tuple[np.ndarray, np.ndarray]:
+    x, y = [] if x is None else list(x), [] if y is None else list(y)
+    codes = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
+    return np.array([codes[t] for t in x], np.int64), np.array([codes[t] for t in y], np.int64)
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """M9: Levenshtein distance of two arrays; null counts as empty."""
+    return pd.Series([_edits(*_coded(x, y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in ("matched", "hyp", "ref")]])))
+def ngram_overlap(hyp: pd.Series, ref: pd.Series, order: pd.Series) -> pd.Series:
+    """M8: n-grams of both sides and how many match, each at most as often as the reference has it, by length up to the order."""
+
+    def count(h: list, r: list, most: int) -> list[tuple[int, int, int, int]]:
+        out = []
+        for n in range(1, most + 1):
+            a, b = (Counter(zip(*[x[i:] for i in range(n)], strict=False)) for x in (h, r))
+            out.append({"n": n, "matched": sum(min(k, b[g]) for g, k in a.items() if g in b), "hyp": max(0, len(h) - n + 1), "ref": max(0, len(r) - n + 1)})
+        return out
+
+    as_list = lambda x: [] if x is None else list(x)
+    return pd.Series([count(as_list(h), as_list(r), int(n)) for h, r, n in zip(hyp, ref, order, strict=True)])
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays; null counts as empty."""
     out = []
     for x, y in zip(a, b, strict=True):
-        x, y = [] if x is None else list(x), [] if y is None else list(y)
-        codes = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-        out.append(_lcs(np.array([codes[t] for t in x], np.int64), np.array([codes[t] for t in y], np.int64)))
+        out.append(_lcs(*_coded(x, y)))
     return pd.Series(out, dtype="int64")
 
 

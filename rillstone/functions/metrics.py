@@ -5,10 +5,13 @@ Nulls: a score whose denominator is missing is null; penalties of missing values
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .arrow import edit_distance
 
 # Weights of the aggregate score; thresholds of the gates; marks of a leaked prompt.
 WEIGHTS = {"f1": 0.3, "terms": 0.25, "numbers": 0.2, "budget": 0.05, "speed": 0.1, "lag": 0.1}
@@ -24,15 +27,17 @@ CLASSICAL_ZH = "视.{1,8}如(?:兄弟|己出|珍宝|草芥)"
 MIXED_NAME = "[一-鿿][A-Z]{2,}|[A-Z]{2,}[一-鿿]"
 CLASSICAL_NAME = "视X如Y"
 
-#: one character for each distinct token of a pair, so that a character distance is a token distance
-_ALPHABET = "".join(chr(0xE000 + i) for i in range(6400))
-
 
 def _given(x: Column) -> Column:
     """Null for empty text, which counts as missing."""
     return F.nullif(x, F.lit(""))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def number(x: Column) -> Column:
     """A double, or null for what isn't one."""
     return F.nullif(x.cast("string"), F.lit("")).try_cast("double")
@@ -58,8 +63,7 @@ def budget_ratio(cand: Column, lang: Column, budget: Column) -> Column:
 # M2, M3
 def term_recall(terms: Column, cand: Column) -> Column:
     """Share of required terms whose normalised form stands in the normalised text; an empty form always does."""
-    norm = T.normalize(cand)
-    hits = F.size(F.filter(terms, lambda t: F.contains(norm, T.normalize(t))))
+    hits = once(T.normalize(cand), lambda norm: F.size(F.filter(terms, lambda t: F.contains(norm, T.normalize(t)))))
     return F.when(F.size(terms) > 0, hits / F.size(terms))
 
 
@@ -91,10 +95,25 @@ def budget_penalty(x: Column) -> Column:
 
 
 # M6 for texts of a row
+def bag_counts(a: Column, b: Column) -> Column:
+    """Of two token arrays, in one pass over both sorted together: the size of the multiset intersection, and how many tokens of a occur in b."""
+    side = lambda xs, n: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(n).alias("n")))
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast("string").alias("t"), zero.alias("a"), zero.alias("b"), zero.alias("overlap"), zero.alias("held"))
+    overlap, held = (lambda s: s["overlap"] + F.least(s["a"], s["b"])), (lambda s: s["held"] + F.when(s["b"] > 0, s["a"]).otherwise(0))
+
+    def step(s: Column, x: Column) -> Column:
+        same, of_a = s["t"] == x["t"], 1 - x["n"]
+        return F.when(same, F.struct(s["t"].alias("t"), (s["a"] + of_a).alias("a"), (s["b"] + x["n"]).alias("b"), s["overlap"].alias("overlap"), s["held"].alias("held"))).otherwise(
+            F.struct(x["t"].alias("t"), of_a.alias("a"), x["n"].alias("b"), overlap(s).alias("overlap"), held(s).alias("held"))
+        )
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: F.struct(overlap(s).alias("overlap"), held(s).alias("held")))
+
+
 def bag_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    return bag_counts(a, b)["overlap"]
 
 
 def f1_of(overlap: Column, n_ref: Column, n_cand: Column) -> Column:
@@ -122,18 +141,16 @@ def cer(ref: Column, cand: Column) -> Column:
 
 
 def wer(ref: Column, cand: Column) -> Column:
-    """Edit distance over tokens; up to 6400 distinct ones in a pair."""
+    """Edit distance over tokens."""
     a, b = T.tokenize(ref), T.tokenize(cand)
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda xs: F.array_join(F.transform(xs, lambda t: F.substr(F.lit(_ALPHABET), F.array_position(known, t).cast("int"), F.lit(1))), "")
-    return F.when(F.size(a) > 0, F.levenshtein(coded(a), coded(b)) / F.size(a)).when(F.size(b) > 0, F.lit(1.0))
+    return F.when(F.size(a) > 0, edit_distance(a, b) / F.size(a)).when(F.size(b) > 0, F.lit(1.0))
 
 
 # M11
 def token_recall(ref: Column, cand: Column) -> Column:
     """Share of the reference's tokens, each as often as it occurs, that the candidate holds."""
     a, b = T.tokenize(ref), T.tokenize(cand)
-    return F.when(F.size(a) > 0, F.size(F.filter(a, lambda t: F.array_contains(b, t))) / F.size(a)).otherwise(F.lit(0.0))
+    return F.when(F.size(a) > 0, bag_counts(a, b)["held"] / F.size(a)).otherwise(F.lit(0.0))
 
 
 def coverage_status(recall: Column, f1: Column) -> Column:

@@ -154,17 +154,33 @@ def detokenize(x: Column) -> Column:
 
 
 # T13
-def text_ticks(x: Column, ticks: Column) -> Column:
-    """array of (tick, chunk, prefix): the words dealt evenly over so many ticks, each word once."""
-    words = F.filter(F.split(collapse(x), " "), lambda w: w != "")
-    n = F.size(words)
-    edge = lambda i: F.floor(i * n / ticks).cast("int")
-    one = lambda i: F.struct(
-        i.cast("int").alias("tick"),
-        F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ").alias("chunk"),
-        F.array_join(F.slice(words, F.lit(1), edge(i + 1)), " ").alias("prefix"),
-    )
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), ticks) - 1), one)
+def join_tokens(tokens: Column) -> Column:
+    """A space before tokens that begin with an ASCII letter or digit, none before others."""
+    return F.ltrim(F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("^[A-Za-z0-9]")), F.concat(F.lit(" "), t)).otherwise(t)), ""))
+
+
+def text_ticks(x: Column, duration_s: Column, chunk_s: float) -> Column:
+    """array of (tick, start_s, end_s, chunk, prefix): the tokens (words and single other characters) dealt evenly over
+    ceil(duration / chunk) ticks with rounded edges, one at least in each while there are any; empty without tokens."""
+    tokens = F.regexp_extract_all(_text(x), F.lit(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?|\S"), F.lit(0))
+
+    def ticks(s: Column) -> Column:
+        tokens, count = s["tokens"], s["count"]
+        n = F.size(tokens)
+        edge = lambda i: F.bround(n * i / count, 0).cast("int")
+
+        def one(i: Column) -> Column:
+            end = F.greatest(edge(i + 1), F.least(n, edge(i) + 1))
+            return F.struct(
+                i.cast("int").alias("tick"), F.bround(i * chunk_s, 6).alias("start_s"), F.bround(F.least(s["duration"], (i + 1) * chunk_s), 6).alias("end_s"),
+                join_tokens(F.slice(tokens, edge(i) + 1, end - edge(i))).alias("chunk"), join_tokens(F.slice(tokens, F.lit(1), end)).alias("prefix"),
+            )
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), one))
+
+    # bound once, so that the text is cut once
+    given = F.struct(tokens.alias("tokens"), F.greatest(F.lit(1), F.ceil(duration_s / chunk_s).cast("int")).alias("count"), duration_s.alias("duration"))
+    return F.element_at(F.transform(F.array(given), ticks), 1)
 
 
 # T14

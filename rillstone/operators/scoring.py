@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-
-#: tokens of a hot word are counted in so many parts before they meet
-SALTS = 16
+from ..functions.arrow import edit_distance, ngram_overlap
 
 
 def heuristic_scores(df: DataFrame) -> DataFrame:
@@ -101,18 +99,10 @@ def bleu_tokens(x: Column, kind: str) -> Column:
     return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
 
 
-def ngram_counts(tokens: DataFrame, keys: Sequence[str], order: int, out: str) -> DataFrame:
-    """How often each n-gram up to the order occurs in each row's tokens."""
-    n = F.size("tokens")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(k.alias("n"), F.array_join(F.slice("tokens", i, k), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))))
-    return tokens.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count(F.lit(1)).alias(out))
-
-
-def _clipped(df: DataFrame, keys: list[str], row: str, order: int) -> DataFrame:
-    """Per group and order: matched, hypothesis and reference n-grams; clipped row by row."""
-    cut = lambda name, out: ngram_counts(df.select(*keys, row, F.col(name).alias("tokens")), [*keys, row], order, out)
-    both = cut("h", "c_h").join(cut("r", "c_r"), [*keys, row, "n", "gram"], "full").fillna(0, ["c_h", "c_r"])
-    return both.groupBy(*keys, "n").agg(F.sum(F.least("c_h", "c_r")).alias("matched"), F.sum("c_h").alias("hyp"), F.sum("c_r").alias("ref"))
+def _clipped(df: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """Per group and order: matched, hypothesis and reference n-grams.  Clipping is a row's own, so that only four counts of each row leave it."""
+    rows = df.select(*keys, F.explode(ngram_overlap("h", "r", F.lit(order))).alias("c")).select(*keys, "c.*")
+    return rows.groupBy(*keys, "n").agg(F.sum("matched").alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref")).filter("hyp > 0 or ref > 0")
 
 
 def corpus_bleu(df: DataFrame, keys: Sequence[str], row: str, kind: str = "13a", order: int = 4) -> DataFrame:
@@ -123,7 +113,7 @@ def corpus_bleu(df: DataFrame, keys: Sequence[str], row: str, kind: str = "13a",
     keys = list(keys)
     cut = df.select(*keys, row, bleu_tokens(F.col("candidate"), kind).alias("h"), bleu_tokens(F.col("reference"), kind).alias("r"))
     lengths = cut.groupBy(*keys).agg(F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"))
-    stats = _clipped(cut, keys, row, order)
+    stats = _clipped(cut, keys, order)
     by = stats.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "matched", "hyp"))).alias("orders"))
     start = F.struct(F.lit(0.0).alias("logs"), F.lit(1.0).alias("smooth"), F.lit(0).alias("n"))
 
@@ -144,7 +134,7 @@ def corpus_chrf(df: DataFrame, keys: Sequence[str], row: str, order: int = 6, be
     """M8: F-score of character n-grams without white space, precision and recall averaged over the orders that occur on both sides."""
     keys = list(keys)
     cut = df.select(*keys, row, T.latency_units(F.col("candidate"), F.lit("zh")).alias("h"), T.latency_units(F.col("reference"), F.lit("zh")).alias("r"))
-    stats = _clipped(cut, keys, row, order).filter("hyp > 0 and ref > 0")
+    stats = _clipped(cut, keys, order).filter("hyp > 0 and ref > 0")
     by = stats.groupBy(*keys).agg(F.avg(F.col("matched") / F.col("hyp")).alias("p"), F.avg(F.col("matched") / F.col("ref")).alias("r"))
     b = beta * beta
     score = F.when(F.col("p") + F.col("r") > 0, 100 * (1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r"))).otherwise(0.0)
@@ -152,10 +142,14 @@ def corpus_chrf(df: DataFrame, keys: Sequence[str], row: str, order: int = 6, be
 
 
 def corpus_metrics(df: DataFrame, run: str, row: str, kind: str = "13a") -> DataFrame:
-    """BLEU, chrF, mean WER and CER, and unit counts per run."""
-    own = df.groupBy(run).agg(
-        F.bround(F.avg(M.wer(F.col("reference"), F.col("candidate"))), 6).alias("wer"), F.bround(F.avg(M.cer(F.col("reference"), F.col("candidate"))), 6).alias("cer"),
-        F.sum(T.token_count(F.col("candidate"))).alias("candidate_units"), F.sum(T.token_count(F.col("reference"))).alias("reference_units"),
+    """BLEU, chrF, WER, CER and unit counts of a run: edits of all its texts over all their units."""
+    ref, cand = F.col("reference"), F.col("candidate")
+    plain = lambda x: T.without_spaces(x)
+    own = df.select(
+        run, edit_distance(T.tokenize(ref), T.tokenize(cand)).alias("w"), F.levenshtein(plain(ref), plain(cand)).alias("c"), F.length(plain(ref)).alias("chars"), T.token_count(ref).alias("r"), T.token_count(cand).alias("h"),
+    ).groupBy(run).agg(
+        F.bround(F.sum("w") / F.greatest(F.lit(1), F.sum("r")), 6).alias("wer"), F.bround(F.sum("c") / F.greatest(F.lit(1), F.sum("chars")), 6).alias("cer"),
+        F.sum("h").alias("candidate_units"), F.sum("r").alias("reference_units"),
     )
     return own.join(corpus_bleu(df, [run], row, kind).select(run, "bleu"), run).join(corpus_chrf(df, [run], row), run)
 

@@ -143,8 +143,13 @@ def test_sentences_and_parts(spark):
     parts = one(spark, arrow.split_parts(F.lit("One two. Three four. Five six."), F.lit(3)))
     assert parts == ["One two.", "Three four.", "Five six."] and one(spark, arrow.list_literal(F.lit("['a ', '', 'b c']"))) == ["a", "b c"] and one(spark, arrow.list_literal(F.lit("oops"))) is None
     assert one(spark, T.span_by_ratio(F.array(*map(F.lit, "abcd")), F.lit(0.25), F.lit(0.75))) == "b c"
-    ticks = one(spark, T.text_ticks(F.lit("a b c d e"), F.lit(2)))
-    assert [(x.chunk, x.prefix) for x in ticks] == [("a b", "a b"), ("c d e", "a b c d e")]
+    ticks = one(spark, T.text_ticks(F.lit("a b, don't (d)"), F.lit(50.0), 20.0))
+    # seven tokens over three ticks: edges 0, 2, 5, 7
+    assert [(x.chunk, x.prefix, x.start_s, x.end_s) for x in ticks] == [("a b", "a b", 0.0, 20.0), (", don't(", "a b, don't(", 20.0, 40.0), ("d)", "a b, don't( d)", 40.0, 50.0)]
+    few = one(spark, T.text_ticks(F.lit("a b"), F.lit(80.0), 20.0))
+    # edges 0, .5, 1, 1.5, 2 rounded half to even
+    assert [x.chunk for x in few] == ["a", "a", "b", ""]
+    assert one(spark, T.text_ticks(F.lit(" "), F.lit(80.0), 20.0)) is None
 
 
 def test_gates(spark):
@@ -180,3 +185,33 @@ def test_records(spark):
     assert R.chunked_samples(spark.createDataFrame([("a b", "FR", ["x", "", "y"])], "sample_id string, src_lang string, audios array<string>"), "audios").first().n_chunks == 2
     keep, drop = R.long_targets(spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None)], "i int, d double"), "d", 30.0)
     assert [r.i for r in keep.collect()] == [1] and sorted(r.reason for r in drop.collect()) == ["too_long", "unknown_duration"]
+
+
+def test_long_pairs_take_linear_time_and_no_cap(spark):
+    """Tokens are cut once a row; many distinct ones are no harder."""
+    import time
+    from collections import Counter
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    a, b = [f"w{i % 97}" for i in range(300)], [f"w{i % 89}" for i in range(0, 600, 2)]
+    both = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").select(
+        M.bag_overlap(T.tokenize(F.col("a")), T.tokenize(F.col("b"))).alias("o"), M.token_recall(F.col("a"), F.col("b")).alias("r"), M.wer(F.col("a"), F.col("b")).alias("w"),
+    ).first()
+    assert both.o == sum((Counter(a) & Counter(b)).values()) and both.r == sum(x in set(b) for x in a) / 300 and both.w == distance(a, b) / 300
+    assert one(spark, M.wer(F.lit(" ".join(f"t{i}" for i in range(7000))), F.lit(" ".join(f"t{i}" for i in range(6400))))) == 600 / 7000
+    took = {}
+    for n in (1000, 8000):
+        df = spark.createDataFrame([(" ".join(f"w{i * k % 5003}" for i in range(n)), " ".join(f"w{i * (k + 1) % 5003}" for i in range(n))) for k in range(1, 5)], "a string, b string").cache()
+        df.count()
+        began = time.time()
+        df.select(M.bag_f1(F.col("a"), F.col("b")).alias("f"), M.token_recall(F.col("a"), F.col("b")).alias("r")).agg(F.sum("f"), F.sum("r")).collect()
+        took[n] = time.time() - began
+    assert took[8000] < 16 * max(0.3, took[1000])
