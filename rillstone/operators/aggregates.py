@@ -212,13 +212,22 @@ def manifest_issues(df: DataFrame, tolerance_s: float = 0.35) -> DataFrame:
     return df.select("id", F.bround(total, 6).alias("sum_s"), why.alias("issues"))
 
 
+def rtf_summary(df: DataFrame, ratios: str) -> DataFrame:
+    """Mean, p50, p90 and share above 1 of all chunks' real-time factors.  ratios: an array column; nulls don't count."""
+    values = df.select(F.explode(ratios).alias("rtf")).filter("rtf is not null")
+    over = values.groupBy(F.lit("rtf").alias("metric")).agg(F.bround(F.avg((F.col("rtf") > 1.0).cast("int")), 6).alias("violation_rate"))
+    return nearest_rank(values, ["rtf"]).join(over, "metric").select("n", "mean", "p50", "p90", "violation_rate")
+
+
 def probe_summary(df: DataFrame, run: str) -> DataFrame:
-    """A21.  df: run, stream, latency_s (null: failed), budget_s."""
+    """A21.  df: run, stream, latency_s (null: failed), budget_s.  Counts, and the nearest-rank statistics of the latencies."""
     fits = F.col("latency_s") <= F.col("budget_s")
-    return df.groupBy(run).agg(
+    counts = df.groupBy(run).agg(
         F.count(F.lit(1)).alias("n"), F.count("latency_s").alias("ok"), F.count_if(F.col("latency_s").isNull()).alias("failed"), F.count_if(fits).alias("fit"),
         F.count_if(F.col("latency_s") > F.col("budget_s")).alias("missed"), F.count_distinct("stream").alias("streams"),
     )
+    stats = nearest_rank(df, ["latency_s"], [run]).drop("metric", "n")
+    return counts.join(stats, run, "left")
 
 
 def system_summary(base: DataFrame, tuned: DataFrame, names: Sequence[str]) -> DataFrame:

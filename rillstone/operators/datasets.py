@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrow import list_literal
+from .running import running
+from .sampling import unit_interval
 from .windows import greedy_groups
 
-#: rows of a stream that are joined to sessions by one task at most; a session never crosses such a block
-BLOCK_ROWS = 50_000
-
-
-def long_sessions(df: DataFrame, stream: str, order: str, turns: str, seed: int, low: int = 20, high: int = 35) -> DataFrame:
-    """W23.  Consecutive rows of a stream are one session until it has a drawn number of turns (low to high, by seed, stream and session number)."""
-    rows = df.select(stream, order, turns).withColumn("__b", F.floor((F.row_number().over(Window.partitionBy(stream).orderBy(order)) - 1) / BLOCK_ROWS).cast("int"))
+def _session_walk(turns: np.ndarray, want: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """Where sessions begin in a block that ``left`` turns of an open session enter (0: none is open), and what the last one still wants."""
+    upto = np.cumsum(turns)
+    begins, at, need, before = np.zeros(len(turns), bool), 0, left, 0
+    while at < len(turns):
+        if need <= 0:
+            begins[at] = True
+            need = int(want[at])
+        # the first row with which the session has enough
+        end = int(np.searchsorted(upto, before + need, side="left"))
+        if end >= len(turns):
+            return begins, need - int(upto[-1] - before)
+        at, before, need = end + 1, int(upto[end]), 0
+    return begins, need
+
+
+def long_sessions(df: DataFrame, stream: str, order: str, turns: str, seed: int, low: int = 20, high: int = 35, block: str | None = None) -> DataFrame:
+    """W23.  Consecutive rows of a stream are one session until it has a drawn number of turns (low to high, by seed, stream and first row).
+
+    stream, order, turns, session (its first row's order) and ``kept``: whether the session has ``low`` turns, which only a stream's
+    last can lack.  Null and negative numbers of turns count as 0.  ``block`` (see ``running``): a column that never falls along
+    the order; its blocks are walked apart, once for each of the ``high + 1`` ways in which a session may enter one, and joined by what each is
+    entered with, so that sessions cross blocks and a long stream is no one task's work."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    u = unit_interval(F.concat_ws(":", F.col(stream).cast("string"), F.col(order).cast("string")), seed)
+    rows = df.select(stream, order, turns, (F.col(block) if block else F.lit(0)).alias("__blk")).withColumns({
+        "__n": F.greatest(F.lit(0), F.coalesce(F.col(turns), F.lit(0))).cast("int"), "__want": (low + F.floor(u * (high - low + 1))).cast("int"),
+    })
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        n, want = pdf["__n"].to_numpy(), pdf["__want"].to_numpy()
+        return pd.DataFrame({stream: pdf[stream].iloc[:1], "__blk": pdf["__blk"].iloc[:1], "out": [[_session_walk(n, want, left)[1] for left in range(high + 1)]]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        session, have, out = 0, 0, []
-        name = f"{seed}:{pdf[stream].iloc[0]}:{pdf['__b'].iloc[0]}"
-        want = 0
-        for n in pdf[turns]:
-            if have >= want:
-                session, have = session + 1, 0
-                draw = int.from_bytes(hashlib.sha1(f"{name}:{session}".encode()).digest()[:8], "big")
-                want = low + draw % (high - low + 1)
-            have += int(n)
-            out.append(session)
-        return pdf[[stream, order, turns, "__b"]].rename(columns={"__b": "block"}).assign(session=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(stream, "__b").applyInPandas(run, f"`{stream}` {kinds[stream]}, `{order}` {kinds[order]}, `{turns}` {kinds[turns]}, block int, session int")
+        begins, _ = _session_walk(pdf["__n"].to_numpy(), pdf["__want"].to_numpy(), int(pdf["__left"].iloc[0]))
+        return pdf[[stream, order, turns, "__blk", "__n"]].assign(__begins=begins)
+
+    b_kind = rows.schema["__blk"].dataType.simpleString()
+    if block:
+        # one short row for each block of a stream
+        each = rows.groupBy(stream, "__blk").applyInPandas(ways, f"`{stream}` {kinds[stream]}, `__blk` {b_kind}, `out` array<int>")
+        upto = Window.partitionBy(stream).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.aggregate(F.coalesce(F.collect_list("out").over(upto), F.array().cast("array<array<int>>")), F.lit(0), lambda s, o: F.get(o, s))
+        entered = rows.join(each.select(F.col(stream).alias("__s"), F.col("__blk").alias("__eb"), left.alias("__left")), F.col(stream).eqNullSafe(F.col("__s")) & F.col("__blk").eqNullSafe(F.col("__eb"))).drop("__s", "__eb")
+    else:
+        entered = rows.withColumn("__left", F.lit(0))
+    marked = entered.groupBy(stream, "__blk").applyInPandas(walk, f"`{stream}` {kinds[stream]}, `{order}` {kinds[order]}, `{turns}` {kinds[turns]}, `__blk` {b_kind}, `__n` int, `__begins` boolean")
+    out = running(marked, [stream], [order], F.when(F.col("__begins"), F.col(order)), "last", "session", "__blk" if block else None)
+    size = out.groupBy(stream, "session").agg(F.sum("__n").alias("__size")).select(F.col(stream).alias("__s"), F.col("session").alias("__e"), "__size")
+    out = out.join(size, F.col(stream).eqNullSafe(F.col("__s")) & F.col("session").eqNullSafe(F.col("__e")))
+    return out.select(stream, order, turns, "session", (F.col("__size") >= low).alias("kept"))
 
 
 def row_requests(df: DataFrame, keys: Sequence[str], order: str, text: str, cap: int = 400) -> DataFrame:

@@ -35,9 +35,9 @@ def attach_scores(rows: DataFrame, scores: DataFrame, text: str = "candidate_tex
 
 
 def parallel_text(source: DataFrame, english: DataFrame) -> DataFrame:
-    """J7.  source: id, pos; english: id, pos, text.  By id, else by position."""
-    by_id = english.select("id", F.col("text").alias("__a")).dropDuplicates(["id"])
-    by_pos = english.select("pos", F.col("text").alias("__b")).dropDuplicates(["pos"])
+    """J7.  source: id, pos; english: id, pos, text.  By id, else by position; of a repeated id the first by position counts, of a repeated position the first by id."""
+    by_id = english.groupBy("id").agg(F.min(F.struct("pos", "text")).alias("__r")).select("id", F.col("__r.text").alias("__a"))
+    by_pos = english.groupBy("pos").agg(F.min(F.struct("id", "text")).alias("__r")).select("pos", F.col("__r.text").alias("__b"))
     out = source.join(by_id, "id", "left").join(by_pos, "pos", "left")
     return out.withColumn("english", F.coalesce("__a", "__b")).drop("__a", "__b")
 

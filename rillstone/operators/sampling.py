@@ -163,45 +163,88 @@ def stress_targets(df: DataFrame, max_lag: float = 1.5, wpm: float = 185.0) -> D
 
 
 # S15 - S17
-def drop_lead(df: DataFrame, key: str, turns: str, seed: int, least: int = 4) -> DataFrame:
-    """K leading turns go, k drawn from the id, at most half of them and leaving at least ``least``."""
-    n = F.size(turns)
-    most = F.greatest(F.lit(0), F.least(F.floor(n / 2).cast("int"), n - least))
-    k = F.floor(unit_interval(F.col(key), seed) * (most + 1)).cast("int")
-    return df.withColumn("dropped", k).withColumn(turns, F.slice(turns, k + 1, F.greatest(F.lit(0), n - k)))
-
+def _drawn(key: str, seed: int, name: Column | str, low: Column | int, high: Column | int) -> Column:
+    """A whole number from low to high, by the hash of the id and of what it is for."""
+    what = F.lit(name) if isinstance(name, str) else name
+    low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))
+    return (low + F.floor(unit_interval(F.concat_ws(":", F.col(key).cast("string"), what), seed) * (high - low + 1))).cast("int")
 
-def repeat_inside(df: DataFrame, key: str, units: str, seed: int, times: int = 3, span: int = 4) -> DataFrame:
-    """A span of units, drawn from the id, said several times over."""
-    n = F.size(units)
-    at = F.floor(unit_interval(F.col(key), seed) * F.greatest(F.lit(1), n - span + 1)).cast("int")
-    piece = F.slice(units, at + 1, F.least(F.lit(span), n - at))
-    said = F.flatten(F.array(F.slice(units, F.lit(1), at), F.flatten(F.array_repeat(piece, times)), F.slice(units, at + span + 1, F.greatest(F.lit(0), n - at - span))))
-    return df.withColumn("repeat_at", at).withColumn(units, F.when(n > 0, said).otherwise(F.col(units)))
 
+def _chosen(key: str, seed: int, fraction: float) -> Column:
+    return unit_interval(F.concat_ws(":", F.col(key).cast("string"), F.lit("take")), seed) < fraction
 
-def loop_corruption(df: DataFrame, key: str, turns: str, seed: int) -> DataFrame:
-    """One to three turns but the last become a loop of their own content, of the one before, or a replay of it.
 
-    turns: array of arrays of units.  The turn before counts as it has become; the order is thus a fold over the turns."""
+def drop_lead(df: DataFrame, key: str, turns: str, seed: int, least: int = 4, share: float = 0.5, fraction: float = 0.5, suffix: str = "_mid") -> DataFrame:
+    """All rows, and for a share of those long enough a copy that starts k turns later, k drawn from 1 to ``share`` of
+    the turns, so that ``least`` remain.  Copies have an id of their own, which ends in k, and ``dropped`` = k."""
     n = F.size(turns)
-    picks = F.least(F.lit(3), n - 1)
-    wanted = F.floor(unit_interval(F.col(key), f"{seed}:n") * picks).cast("int") + 1
-    place = lambda i: unit_interval(F.concat(F.col(key).cast("string"), F.lit(":"), i.cast("string")), seed)
-    order = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(place(i).alias("u"), i.alias("i")))), F.lit(1), wanted)
-    chosen = F.transform(order, lambda o: o["i"])
-    empty = F.array().cast(df.schema[turns].dataType)
-
-    def step(done: Column, i: Column) -> Column:
-        own, before = F.element_at(turns, i), F.get(done, i - 2)
-        before = F.coalesce(before, own)
-        kind = F.floor(place(i) * 999983 % 3)
-        half = F.slice(own, F.lit(1), F.ceil(F.size(own) / 2).cast("int"))
-        made = F.when(kind == 0, F.concat(half, half)).when(kind == 1, F.concat(before, own)).otherwise(before)
-        return F.concat(done, F.array(F.when(F.array_contains(chosen, i), made).otherwise(own)))
-
-    out = F.aggregate(F.sequence(F.lit(1), n), empty, step)
-    return df.withColumn("looped", F.when(n > 1, F.array_sort(chosen)).otherwise(F.array().cast("array<int>"))).withColumn(turns, F.when(n > 1, out).otherwise(F.col(turns)))
+    most = F.floor(n * share).cast("int")
+    high = F.least(most, n - least)
+    fine = (n - 1 >= least) & (most >= 1) & (high >= 1) & _chosen(key, seed, fraction)
+    named = df.withColumn(key, F.col(key).cast("string"))
+    late = named.filter(fine).withColumn("dropped", _drawn(key, seed, "k", 1, high))
+    late = late.withColumns({turns: F.slice(turns, F.col("dropped") + 1, F.greatest(F.lit(0), n - F.col("dropped"))), key: F.concat(key, F.lit(suffix), F.col("dropped").cast("string"))})
+    return named.withColumn("dropped", F.lit(0)).unionByName(late)
+
+
+def _with_span(units: Column, at: Column, size: Column, times: Column | int) -> Column:
+    """The units with the span at that place (from 0) said so many more times right behind it."""
+    times = F.lit(times) if isinstance(times, int) else times
+    span, end = F.slice(units, at + 1, size), at + size
+    return F.concat(F.slice(units, F.lit(1), end), F.flatten(F.array_repeat(span, times)), F.slice(units, end + 1, F.greatest(F.lit(0), F.size(units) - end)))
+
+
+def repeat_inside(df: DataFrame, key: str, turns: str, seed: int, times: int = 2, least: int = 8, most: int = 24, fraction: float = 0.2, suffix: str = "_repeated") -> DataFrame:
+    """All rows, and for a share of those with a turn but the last of twice the least span a copy in which a span of
+    one such turn is said ``times`` more.  turns: array of arrays of units.
+
+    Copies have an id of their own and the turn (from 0) in ``context_only``, as it is context and not to be learnt."""
+    none = F.array().cast("array<int>")
+    named = df.withColumn(key, F.col(key).cast("string"))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(turns) - 2)), lambda i: (i < F.size(turns) - 1) & (F.size(F.get(turns, i)) >= 2 * least))
+    made = named.withColumn("__places", places).filter((F.size("__places") > 0) & _chosen(key, seed, fraction))
+    made = made.withColumn("__k", F.get("__places", _drawn(key, seed, "turn", 0, F.size("__places") - 1)))
+    made = made.withColumn("__n", F.size(F.get(turns, F.col("__k"))))
+    made = made.withColumn("__size", _drawn(key, seed, "size", least, F.least(F.lit(most), F.floor(F.col("__n") / 2).cast("int"))))
+    made = made.withColumn("__at", _drawn(key, seed, "at", 0, F.col("__n") - F.col("__size")))
+    said = F.transform(turns, lambda u, i: F.when(i == F.col("__k"), _with_span(u, F.col("__at"), F.col("__size"), times)).otherwise(u))
+    made = made.withColumns({turns: said, "context_only": F.array("__k"), key: F.concat(key, F.lit(suffix))}).drop("__places", "__k", "__n", "__size", "__at")
+    return named.withColumn("context_only", none).unionByName(made)
+
+
+def loop_corruption(df: DataFrame, key: str, turns: str, seed: int, least: int = 8, most: int = 32, fraction: float = 0.5, suffix: str = "_looped") -> DataFrame:
+    """All rows, and for a share of them a copy in which one to three turns but the last loop.  turns: array of arrays of units.
+
+    A turn is drawn to say a span of its own one to three times more (intra), to begin with the end of the turn before once or
+    twice (carry), or to be the turn before with its own first quarter behind it (replay); one whose units don't suffice stays.
+    The turn before counts as it has become, so that the copy is a fold over the turns.  ``context_only``: the turns changed, from 0;
+    copies without any are left out."""
+    kind = df.schema[turns].dataType.simpleString()
+    none = F.array().cast("array<int>")
+    named = df.withColumn(key, F.col(key).cast("string"))
+    draw = lambda name, i, low, high: _drawn(key, seed, F.concat(F.lit(name), i.cast("string")), low, high)
+    fit = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(turns) - 2)), lambda i: (i < F.size(turns) - 1) & (F.size(F.get(turns, i)) >= least))
+    made = named.withColumn("__fit", fit).filter((F.size("__fit") > 0) & _chosen(key, seed, fraction))
+    ranked = F.sort_array(F.transform("__fit", lambda i: F.struct(unit_interval(F.concat_ws(":", F.col(key), F.lit("pick"), i.cast("string")), seed).alias("u"), i.alias("i"))))
+    made = made.withColumn("__picks", F.transform(F.slice(ranked, F.lit(1), F.least(F.size("__fit"), _drawn(key, seed, "turns", 1, 3))), lambda r: r["i"]))
+    start = F.struct(F.array().cast(kind).alias("done"), none.alias("marked"))
+
+    def step(s: Column, i: Column) -> Column:
+        own = F.get(turns, i)
+        before = F.coalesce(F.get(s["done"], i - 1), F.slice(own, F.lit(1), F.lit(0)))
+        mode = F.when(F.size(before) > 0, draw("mode", i, 0, 2)).otherwise(F.lit(0))
+        half = F.floor(F.size(own) / 2).cast("int")
+        size = draw("size", i, least, F.least(F.lit(most), half))
+        intra = F.when(F.size(own) >= 2 * least, _with_span(own, draw("at", i, F.lit(0), F.size(own) - size), size, draw("times", i, 1, 3)))
+        tail = draw("tail", i, least, F.least(F.lit(most), F.size(before)))
+        carry = F.when(F.size(before) >= least, F.concat(F.flatten(F.array_repeat(F.slice(before, F.size(before) - tail + 1, tail), draw("carried", i, 1, 2))), own))
+        replay = F.concat(before, F.slice(own, F.lit(1), F.floor(F.size(own) / 4).cast("int")))
+        new = F.when(F.array_contains("__picks", i), F.when(mode == 0, intra).when(mode == 1, carry).otherwise(replay))
+        return F.struct(F.concat(s["done"], F.array(F.coalesce(new, own))).alias("done"), F.when(new.isNotNull(), F.concat(s["marked"], F.array(i))).otherwise(s["marked"]).alias("marked"))
+
+    made = made.withColumn("__f", F.aggregate(F.sequence(F.lit(0), F.size(turns) - 1), start, step)).filter(F.size("__f.marked") > 0)
+    made = made.withColumns({turns: F.col("__f.done"), "context_only": F.col("__f.marked"), key: F.concat(key, F.lit(suffix))}).drop("__f", "__fit", "__picks")
+    return named.withColumn("context_only", none).unionByName(made)
 
 
 def union_copies(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:

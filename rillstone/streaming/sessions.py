@@ -1,7 +1,9 @@
 """Live sessions as streams: playout queues, backlogs, windows, emissions, contexts, upserts and late data.
 
 Stateful operators keep one small state per session.  Rows of a trigger are folded in their order; what a watermark drops is
-late by definition, and the batch form over the rows that were on time gives the same result.
+late by definition, and the batch form over the rows that were on time gives the same result.  With ``expire`` (a timestamp
+column, how late rows may be, and how long a session may be silent) a session's state goes once the watermark has passed its
+last row by that silence; without it states are kept, which suits streams that end.
 """
 
 from __future__ import annotations
@@ -15,19 +17,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _fold(df: DataFrame, key: str, order: list[str], out: str, state: str, start: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
+#: timestamp column, lateness of rows, silence in milliseconds after which a session is over
+Expiry = tuple[str, str, int]
+
+
+def _fold(df: DataFrame, key: str, order: list[str], out: str, state: str, start: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], expire: Expiry | None) -> DataFrame:
     """step(state, the session's rows of this trigger in order) gives the next state and the rows to put out."""
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
         now, made = step(held.get if held.exists else start, rows)
         held.update(now)
+        if expire:
+            last = int(rows[expire[0]].max().timestamp() * 1000)
+            held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + expire[2])
         yield made
 
-    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    if expire:
+        df = df.withWatermark(expire[0], expire[1])
+    kind = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", kind)
 
 
-def playout(packets: DataFrame) -> DataFrame:
+def playout(packets: DataFrame, expire: Expiry | None = None) -> DataFrame:
     """ST1.  packets: run_id string, packet_index int, arrival_ms double, duration_ms double."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -37,7 +52,7 @@ def playout(packets: DataFrame) -> DataFrame:
         return (float(end.iloc[-1]),), made
 
     out = "run_id string, packet_index int, playout_start_ms double, playout_end_ms double, queue_delay_ms double"
-    return _fold(packets, "run_id", ["packet_index"], out, "last_end double", (-np.inf,), step)
+    return _fold(packets, "run_id", ["packet_index"], out, "last_end double", (-np.inf,), step, expire)
 
 
 def window_emissions(packets: DataFrame, window_s: int = 10, late: str = "30 seconds") -> DataFrame:
@@ -46,7 +61,7 @@ def window_emissions(packets: DataFrame, window_s: int = 10, late: str = "30 sec
     return w.select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "emitted_s", "packets")
 
 
-def running_backlog(steps: DataFrame) -> DataFrame:
+def running_backlog(steps: DataFrame, expire: Expiry | None = None) -> DataFrame:
     """ST3.  steps: run_id string, step int, cost_ms double, budget_ms double."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -54,10 +69,10 @@ def running_backlog(steps: DataFrame) -> DataFrame:
         b = s - np.minimum(0.0, np.minimum.accumulate(s))
         return (float(b.iloc[-1]),), r[["run_id", "step"]].assign(backlog_ms=b, miss=b > 0)
 
-    return _fold(steps, "run_id", ["step"], "run_id string, step int, backlog_ms double, miss boolean", "backlog double", (0.0,), step)
+    return _fold(steps, "run_id", ["step"], "run_id string, step int, backlog_ms double, miss boolean", "backlog double", (0.0,), step, expire)
 
 
-def word_emissions(deltas: DataFrame) -> DataFrame:
+def word_emissions(deltas: DataFrame, expire: Expiry | None = None) -> DataFrame:
     """ST4.  deltas: run_id string, seq int, text string, at_ms double.  A word is out once white space follows it; its time is that of its last character's delta."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -72,10 +87,10 @@ def word_emissions(deltas: DataFrame) -> DataFrame:
                     n, word = n + 1, ""
         return (n, word, at), pd.DataFrame(rows, columns=["run_id", "unit", "word", "at_ms"])
 
-    return _fold(deltas, "run_id", ["seq"], "run_id string, unit int, word string, at_ms double", "n int, word string, at double", (0, "", 0.0), step)
+    return _fold(deltas, "run_id", ["seq"], "run_id string, unit int, word string, at_ms double", "n int, word string, at double", (0, "", 0.0), step, expire)
 
 
-def packet_positions(packets: DataFrame) -> DataFrame:
+def packet_positions(packets: DataFrame, expire: Expiry | None = None) -> DataFrame:
     """ST5.  packets: run_id string, packet_index int, duration_ms double, sample_rate int.  Audio positions, gaps and changes of rate."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -87,7 +102,7 @@ def packet_positions(packets: DataFrame) -> DataFrame:
         return (float(end.iloc[-1]), int(r["packet_index"].iloc[-1]), int(r["sample_rate"].iloc[-1])), made
 
     out = "run_id string, packet_index int, audio_start_ms double, audio_end_ms double, index_gap boolean, rate_change boolean"
-    return _fold(packets, "run_id", ["packet_index"], out, "total double, last int, rate int", (0.0, -1, -1), step)
+    return _fold(packets, "run_id", ["packet_index"], out, "total double, last int, rate int", (0.0, -1, -1), step, expire)
 
 
 def source_as_of(sends: DataFrame, plays: DataFrame, late: str = "30 seconds", reach: str = "10 minutes") -> DataFrame:
@@ -98,7 +113,7 @@ def source_as_of(sends: DataFrame, plays: DataFrame, late: str = "30 seconds", r
     return met.groupBy("run_id", "unit", F.window("play_ts", "1 second")).agg(F.coalesce(F.max("sent_ms"), F.lit(0.0)).alias("source_ms")).select("run_id", "unit", "source_ms")
 
 
-def soft_context(turns: DataFrame, cap: int, keep: int) -> DataFrame:
+def soft_context(turns: DataFrame, cap: int, keep: int, expire: Expiry | None = None) -> DataFrame:
     """ST7.  turns: run_id string, turn int.  Where each turn's context begins: it shrinks to ``keep`` turns when it reaches ``cap``."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -106,23 +121,23 @@ def soft_context(turns: DataFrame, cap: int, keep: int) -> DataFrame:
         held = np.where(n < cap, n, keep + (n - cap) % (cap - keep))
         return (int(n[-1]),), r[["run_id", "turn"]].assign(context_start=n - held, context_size=held)
 
-    return _fold(turns, "run_id", ["turn"], "run_id string, turn int, context_start int, context_size int", "n int", (0,), step)
+    return _fold(turns, "run_id", ["turn"], "run_id string, turn int, context_start int, context_size int", "n int", (0,), step, expire)
 
 
 def upsert_each_batch(stream: DataFrame, path: str, key: str, time: str, late: str, checkpoint: str):
-    """ST8.  Rows repeated within the watermark are dropped; each batch then replaces its keys in a table written by batch number, so that a batch run again changes nothing."""
+    """ST8.  Rows repeated as they are within the watermark are dropped; a newer row of a key is kept.  Each batch is one folder of the table, so that a batch run again changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.drop("__same").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    same = stream.withColumn("__same", F.xxhash64(*stream.columns)).withWatermark(time, late)
+    return same.dropDuplicatesWithinWatermark([key, "__same"]).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
-def latest_by_key(table: DataFrame, key: str) -> DataFrame:
-    """ST8: the row of the last batch of each key."""
-    rest = [c for c in table.columns if c not in (key, "batch")]
-    return table.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
+def latest_by_key(table: DataFrame, key: str, time: str) -> DataFrame:
+    """ST8: the newest row of each key, of equally new ones that of the last batch."""
+    rest = [c for c in table.columns if c not in (key, "batch", time)]
+    return table.groupBy(key).agg(F.max(F.struct(time, "batch", *rest)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in (time, *rest)])
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:

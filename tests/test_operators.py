@@ -130,8 +130,6 @@ def test_grouping(spark):
     assert r.texts == ["—a...", "b"] and r.groups == [[0], [1]] and r.spoken_chars == 2
     wins = spark.range(1).select(F.array(*map(F.lit, [4.0, 9.0, 12.0, 30.0])).alias("e"))
     assert [(w.lo, w.hi) for w in W.grouped_windows(wins, "e", 10.0).first().windows] == [(0.0, 9.0), (9.0, 12.0), (12.0, 30.0)]
-    sess = D.long_sessions(spark.createDataFrame([("s", i, 4) for i in range(40)], "s string, i int, n int"), "s", "i", "n", 3).groupBy("session").agg(F.sum("n").alias("n")).collect()
-    assert all(20 <= x.n <= 38 for x in sess if x.session < max(y.session for y in sess))
     t = D.trajectory_rows(spark.createDataFrame([(1, "['a', 'b']"), (2, "[]"), (3, "x"), (4, "['<a>']"), (5, "['!']")], "i int, raw string"), "i", "raw")
     assert {r.i: r.reason for r in t.collect()} == {1: None, 2: "no_turns", 3: "unreadable", 4: "dirty", 5: "no_turns"}
 
@@ -224,12 +222,6 @@ def test_samples_do_not_depend_on_partitions(spark):
 
 def test_augmentations(spark):
     df = spark.createDataFrame([(i, [[f"{i}{t}{u}" for u in range(3)] for t in range(6)]) for i in range(30)], "id int, turns array<array<string>>")
-    for r in S.loop_corruption(df, "id", "turns", 3).collect():
-        given = [[f"{r.id}{t}{u}" for u in range(3)] for t in range(6)]
-        assert 1 <= len(r.looped) <= 3 and 6 not in r.looped and len(r.turns) == 6
-        assert all((r.turns[t] == given[t]) == (t + 1 not in r.looped) or t == 0 for t in range(6))
-    rep = S.repeat_inside(spark.createDataFrame([(1, list("abcdefgh"))], "id int, u array<string>"), "id", "u", 2).first()
-    assert len(rep.u) == 16 and rep.u[: rep.repeat_at] == list("abcdefgh")[: rep.repeat_at]
     pk = S.package_segments(spark.createDataFrame([("a", ["x", "y"], ["t", " "])], "id string, audios array<string>, texts array<string>"), "id", "audios", "texts", "seg").collect()
     assert [r.segment_id for r in pk] == ["seg_a_00000"]
     qe = S.qe_segments(spark.createDataFrame([("a", ["xxxx", "yyyy"], "one two three four")], "id string, s array<string>, c string"), "id", "s", "c").orderBy("segment").collect()
@@ -251,3 +243,75 @@ def test_whole_jobs(spark):
     assert rows.first().heuristic_aggregate == 1.0 and summary.first().n == 1 and missing.count() == 0
     lab = P.accepted_labels(spark.createDataFrame([("a", "x", "one two", "en", 5, "concise"), ("b", "", "one", "en", 5, "concise")], "id string, text string, reference string, lang string, budget int, mode string"))
     assert {r.id: r.accepted for r in lab.collect()} == {"a": True, "b": False}
+
+
+def test_long_sessions_cross_blocks(spark):
+    """The same sessions with and without blocks, and as a plain walk finds them."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, i, rng.choice([0, 1, 4, 9, None]), i // b) for s, n, b in (("hot", 700, 9), ("one", 1, 5), ("few", 12, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, i int, n int, b int")
+    want = {}
+    for s in ("hot", "one", "few"):
+        have, need, first, members = 0, 0, None, {}
+        for _, i, n, _ in (r for r in rows if r[0] == s):
+            if have >= need:
+                u = int.from_bytes(hashlib.sha1(f"3:{s}:{i}".encode()).digest()[:8], "big") / 2**64
+                have, need, first = 0, 20 + int(u * 16), i
+            have += n or 0
+            members.setdefault(first, [0, []])
+            members[first][0] += n or 0
+            members[first][1].append(i)
+        want |= {(s, i): (f, size >= 20) for f, (size, ids) in members.items() for i in ids}
+    for block in (None, "b"):
+        assert {(r.s, r.i): (r.session, r.kept) for r in D.long_sessions(df, "s", "i", "n", 3, block=block).collect()} == want
+    assert sum(not kept for _, kept in want.values()) > 0
+
+
+def _loops(units, new, before, least):
+    """Whether a changed turn is what one of the three modes can make of it."""
+    if before and new == before + units[: len(units) // 4]:
+        return "replay"
+    extra = len(new) - len(units)
+    if before and new[extra:] == units:
+        for size in range(least, len(before) + 1):
+            if extra in (size, 2 * size) and new[:extra] == before[-size:] * (extra // size):
+                return "carry"
+    for size in range(least, len(units) // 2 + 1):
+        if extra in (size, 2 * size, 3 * size):
+            for at in range(len(units) - size + 1):
+                span = units[at : at + size]
+                if new == units[: at + size] + span * (extra // size) + units[at + size :]:
+                    return "intra"
+    return None
+
+
+def test_loops_and_repetitions(spark):
+    df = spark.createDataFrame([(i, [[f"{i}.{t}.{u}" for u in range((i * 7 + t * 5) % 40)] for t in range(1 + i % 7)]) for i in range(120)], "id int, turns array<array<string>>")
+    given = {str(r.id): r.turns for r in df.collect()}
+    rows = S.loop_corruption(df, "id", "turns", 3, fraction=0.8).collect()
+    assert {r.id: r.turns for r in rows if not r.context_only} == given
+    modes = []
+    for r in (r for r in rows if r.context_only):
+        old, new = given[r.id.removesuffix("_looped")], r.turns
+        assert 1 <= len(r.context_only) <= 3 and len(new) - 1 not in r.context_only and len(new) == len(old)
+        for i, (u, v) in enumerate(zip(old, new, strict=True)):
+            if i in r.context_only:
+                modes.append(_loops(u, v, new[i - 1] if i else [], 8))
+            else:
+                assert u == v
+    assert set(modes) == {"intra", "carry", "replay"}
+    rows = S.repeat_inside(df, "id", "turns", 3, fraction=1.0).collect()
+    assert {r.id: r.turns for r in rows if not r.context_only} == given
+    made = {r.id.removesuffix("_repeated"): r for r in rows if r.context_only}
+    assert made.keys() == {i for i, t in given.items() if any(len(u) >= 16 for u in t[:-1])}
+    for i, r in made.items():
+        (k,) = r.context_only
+        old, new = given[i][k], r.turns[k]
+        size = (len(new) - len(old)) // 2
+        assert 8 <= size <= min(24, len(old) // 2) and [t for j, t in enumerate(r.turns) if j != k] == [t for j, t in enumerate(given[i]) if j != k]
+        assert any(new == old[: at + size] + old[at : at + size] * 2 + old[at + size :] for at in range(len(old) - size + 1))
+    late = S.drop_lead(df, "id", "turns", 2, fraction=1.0).filter("dropped > 0").collect()
+    assert {r.id.split("_mid")[0] for r in late} == {i for i, t in given.items() if len(t) >= 5} and all(r.turns == given[r.id.split("_mid")[0]][r.dropped :] and len(r.turns) >= 4 for r in late)

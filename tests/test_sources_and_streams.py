@@ -138,12 +138,13 @@ def test_windows_sessions_and_upserts(spark, tmp_path):
     batch = {(r.start, r.n) for r in X.sessions(df, "run_id", "ts", "20 seconds", "5 seconds").collect()}
     live = {(r.start, r.n) for r in run_stream(spark, tmp_path, df, lambda s: X.sessions(s, "run_id", "ts", "20 seconds", "5 seconds"), "sess")}
     assert live <= batch and len(live) == len(batch) - 1
-    events = spark.createDataFrame([("a", t0, 1), ("b", t0, 2), ("a", t0, 1)], "id string, ts timestamp, v int")
+    later = t0 + dt.timedelta(minutes=10)
+    events = spark.createDataFrame([("a", t0, 1), ("b", t0, 2), ("a", t0, 1), ("a", later, 2)], "id string, ts timestamp, v int")
     src = str(tmp_path / "up")
     events.coalesce(1).write.json(src)
     q = X.upsert_each_batch(spark.readStream.schema(events.schema).json(src), str(tmp_path / "table"), "id", "ts", "1 minute", str(tmp_path / "cp-up")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.id: r.v for r in X.latest_by_key(spark.read.parquet(str(tmp_path / "table")), "id").collect()} == {"a": 1, "b": 2}
+    assert {r.id: r.v for r in X.latest_by_key(spark.read.parquet(str(tmp_path / "table")), "id", "ts").collect()} == {"a": 2, "b": 2}
 
 
 def test_source_stream_join(spark, tmp_path):
@@ -160,3 +161,23 @@ def test_source_stream_join(spark, tmp_path):
     assert got and all(got[u] == v for u, v in {0: 5.0, 1: 9.0}.items() if u in got)
     batch = J.as_of(df.filter("kind = 'send'").withColumn("n", F.lit(0)), df.filter("kind = 'play'").withColumn("n", F.col("x").cast("int")), "run_id", "ts", "x", "n")
     assert {r.n: r.x_as_of for r in batch.collect()} == {0: 5.0, 1: 9.0, 2: 50.0, 3: 60.0}
+
+
+def test_states_of_silent_sessions_go(spark, tmp_path):
+    """With an expiry a session that comes back after its silence starts anew; without one it goes on."""
+    t0 = dt.datetime(2024, 1, 1)
+    row = lambda run, i, minute: (run, i, 1000.0 * i, 500.0, t0 + dt.timedelta(minutes=minute))
+    parts = [[row("a", 0, 0), row("a", 1, 0)], [row("b", 0, 120)], [row("a", 2, 121)]]
+    kind = "run_id string, packet_index int, arrival_ms double, cost_ms double, ts timestamp"
+
+    def ends(expire, name):
+        src, out = str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out")
+        for part in parts:
+            df = spark.createDataFrame(part, kind).withColumns({"step": F.col("packet_index"), "budget_ms": F.lit(0.0)})
+            df.coalesce(1).write.mode("append").parquet(src)
+            live = X.running_backlog(spark.readStream.schema(df.schema).parquet(src), expire)
+            live.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start().awaitTermination(120)
+        return {(r.run_id, r.step): r.backlog_ms for r in spark.read.parquet(out).collect()}
+
+    assert ends(None, "kept")["a", 2] == 1500.0
+    assert ends(("ts", "1 minute", 3_600_000), "gone") == {("a", 0): 500.0, ("a", 1): 1000.0, ("b", 0): 500.0, ("a", 2): 500.0}
