@@ -271,7 +271,7 @@ def assembled_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, 'primary' AS source, CAST(c AS BIGINT) AS copy FROM documents, (SELECT unnest([1, 2]) AS c) WHERE lang = 'de' UNION ALL
 SELECT doc_id, 'aux', 1 FROM (SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY {_UNIT.format("'2:' || CAST(doc_id AS VARCHAR)")}, doc_id LIMIT 50)""")
 def mixed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S9, S12."""
+    """S9."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return _long(S.mix(d.filter("lang = 'de'").select("doc_id"), d.filter("lang = 'fr'").select("doc_id"), 2, 50, "doc_id", 2).drop("u"))
 
@@ -329,7 +329,7 @@ def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE WHEN text LIKE '%idiot%' OR text LIKE '%moron%' THEN 'rude' END AS rude, regexp_matches(text, '[A-Z]{4,}') AS shouted FROM documents""")
 def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11, P12 with phrases of this corpus."""
+    """P12's rules with phrases of this corpus (P11's own are in spoken_style)."""
     x = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.exists(F.array(F.lit("idiot"), F.lit("moron")), lambda w: F.contains(x, w)), "rude").alias("rude"), x.rlike("[A-Z]{4,}").alias("shouted"))
 
@@ -371,14 +371,14 @@ def fifo_playout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FIFO + """, s AS (SELECT user_id, max(e) AS playout_end, max(arrival_ms) AS last_arrival, sum(duration_ms) AS audio_ms, max(arrival_ms) - min(arrival_ms) AS len, min(arrival_ms) AS t0 FROM f GROUP BY user_id)
-SELECT user_id % 10 AS run, count(*) AS talks, round_even(avg(playout_end - t0 - len), 6) AS final_offset, round_even(avg(playout_end - last_arrival), 6) AS queue_tail, round_even(avg(audio_ms - len), 6) AS trailing_audio FROM s GROUP BY 1""")
+SELECT user_id % 10 AS run, count(*) AS talks, round_even(avg(playout_end - t0 - len), 6) AS final_offset, round_even(avg(playout_end - last_arrival), 6) AS queue_tail, round_even(avg(audio_ms - len), 6) AS trailing_audio, round_even(avg(playout_end - t0 - len), 6) AS delay_offset, round_even(avg(last_arrival - t0 - len), 6) AS elapsed_offset FROM s GROUP BY 1""")
 def playout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12, A13."""
     t = playout(spark, sf_dir).groupBy("user_id").agg(F.max("playout_end_ms").alias("e"), F.max("arrival_ms").alias("hi"), F.min("arrival_ms").alias("lo"), F.sum("duration_ms").alias("audio_ms"))
     c = F.col
-    talks = t.select((c("user_id") % 10).alias("run"), (c("hi") - c("lo")).alias("source_length"), (c("e") - c("lo")).alias("playout_end"), (c("hi") - c("lo")).alias("last_arrival"), "audio_ms", (c("e") - c("lo")).alias("last_delay"), (c("e") - c("lo")).alias("last_elapsed"))
+    talks = t.select((c("user_id") % 10).alias("run"), (c("hi") - c("lo")).alias("source_length"), (c("e") - c("lo")).alias("playout_end"), (c("hi") - c("lo")).alias("last_arrival"), "audio_ms", (c("e") - c("lo")).alias("last_delay"), (c("hi") - c("lo")).alias("last_elapsed"))
     out = A.timing_summary(talks, "run")
-    return out.select("run", "talks", "final_offset", "queue_tail", "trailing_audio")
+    return out.select("run", "talks", "final_offset", "queue_tail", "trailing_audio", "delay_offset", "elapsed_offset")
 
 
 @query(f"""WITH RECURSIVE {_PACKETS}, b AS (SELECT user_id, k, event_id, greatest(0, duration_ms - 25000) AS backlog FROM packets WHERE k = 1 UNION ALL
@@ -415,7 +415,7 @@ def source_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT DISTINCT user_id, u, CAST(tot * (2 * u + 1) // 20 AS BIGINT) AS pos FROM p, (SELECT unnest(range(0, 10)) AS u))
 SELECT q.user_id, CAST(u AS BIGINT) AS unit, pos AS position_ms, coalesce(min(k) FILTER (hi >= pos), max(k)) AS packet_index FROM q JOIN p USING (user_id) GROUP BY ALL""")
 def packet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J11, W14's positions: ten units of each user on the packet that covers them."""
+    """Ten units of each user on the packet that covers them."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -536,20 +536,20 @@ def dialogue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(W.dialogue_spans(table(spark, sf_dir, "conversations"), "conv_id", "turn"))
 
 
-@query("""SELECT conv_id, turn, list(substr(text, 1, 5)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::VARCHAR AS history FROM conversations""".replace("list(substr(text, 1, 5)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::VARCHAR", "array_to_string(list(substr(text, 1, 5)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '|')"))
+@query("""SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::VARCHAR AS history FROM conversations""".replace("list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::VARCHAR", "array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '|')"))
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W25."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 5).alias("x"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
     return W.history_rows(t, "conv_id", "turn", "x").select("conv_id", "turn", F.array_join("history", "|").alias("history"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, array_to_string(list(substr(text, 1, 5)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+@query("""WITH c AS (SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 SELECT conv_id, turn, context, CASE WHEN n < 4 THEN 0 ELSE n - (2 + (n - 4) % 2) END AS soft_start FROM c""")
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three turns, and where a context that shrinks from four to two begins."""
     from pyspark.sql import Window
 
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 5).alias("x"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
     out = W.context_window(t, "conv_id", "turn", "x", 3).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     return out.select("conv_id", "turn", F.array_join("context", "|").alias("context"), W.soft_window_start(F.col("n"), 4, 2).cast("long").alias("soft_start"))
 
@@ -572,26 +572,31 @@ def context_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("context", "|").alias("context"), W.soft_window_start(F.col("n"), 4, 2).cast("long").alias("soft_start"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, lang, n_chars / 15.0 AS dur, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)
-SELECT doc_id, len(s) AS n, length(array_to_string(s, '')) AS chars FROM t WHERE len(s) > 1 OR length(x) <= 800""")
+_SENT = r"""WITH t AS (SELECT doc_id, lang, n_chars / 15.0::DOUBLE AS dur, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents),
+w AS (SELECT *, string_split(x, ' ') AS w FROM t),
+sent AS (SELECT doc_id, lang, dur, CASE WHEN len(s) <= 1 AND length(x) > 800 AND len(w) > 1 THEN list_transform(range(0, CAST(ceil(len(w) / 80.0::DOUBLE) AS BIGINT)), lambda i: array_to_string(w[i * 80 + 1:i * 80 + 80], ' ')) ELSE s END AS s FROM w)"""
+
+
+@query(_SENT + " SELECT doc_id, len(s) AS n, length(array_to_string(s, '')) AS chars FROM sent")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T10; texts that would be cut by length are left to the tests."""
-    d = table(spark, sf_dir, "documents").withColumn("x", T.collapse(F.col("text")))
-    s = d.withColumn("s", T.split_sentences(F.col("text"), F.col("lang"))).filter(~((F.size(F.split("x", r"(?<=[.!?])\s+")) <= 1) & (F.length("x") > 800)))
+    """T10, the texts that are cut by length too."""
+    s = table(spark, sf_dir, "documents").withColumn("s", T.split_sentences(F.col("text"), F.col("lang")))
     return _long(s.select("doc_id", F.size("s").alias("n"), F.length(F.array_join("s", "")).alias("chars")))
 
 
-@query()
+@query(_SENT + " SELECT doc_id, list_sum(list_transform(range(1, len(s) + 1), lambda i: i * length(s[i])))::BIGINT AS placed FROM sent WHERE len(s) > 0")
 def sentence_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T10 on all texts, those cut by length too; no SQL, tests hold it against plain code."""
-    s = table(spark, sf_dir, "documents").withColumn("s", T.split_sentences(F.col("text"), F.col("lang")))
-    return _long(s.select("doc_id", F.size("s").alias("n"), F.length(F.array_join("s", "")).alias("chars")))
+    """How long the sentences are, each weighted by its place."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"), F.col("lang"))).alias("pos", "s"))
+    return s.groupBy("doc_id").agg(F.sum((F.col("pos") + 1) * F.length("s")).alias("placed"))
 
 
-@query()
+@query(_SENT + f""", u AS (SELECT doc_id, dur, i - 1 AS pos, greatest(1, len({_TOK.format('s[i]')})) AS n FROM (SELECT doc_id, dur, s, unnest(range(1, len(s) + 1)) AS i FROM sent)),
+h AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS hi, sum(n) OVER (PARTITION BY doc_id) AS tot FROM u)
+SELECT doc_id, pos, round_even((hi - n) / tot::DOUBLE * dur, 3) AS start_s, round_even(hi / tot::DOUBLE * dur, 3) AS end_s FROM h""")
 def sentence_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W7 over T10; the sentence rule's long texts aren't in the oracle's reach, and tests hold the timing against plain code."""
-    return W.sentence_times(sentences(spark, sf_dir), ["doc_id"], ["pos"], "sentence", F.col("lang"), "duration_s").select("doc_id", "pos", "start_s", "end_s")
+    """W7 over T10."""
+    return _long(W.sentence_times(sentences(spark, sf_dir), ["doc_id"], ["pos"], "sentence", F.col("lang"), "duration_s").select("doc_id", "pos", "start_s", "end_s"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, x FROM (SELECT doc_id, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS x FROM documents)),
@@ -603,28 +608,33 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(W.merge_unspoken(w, ["doc_id"], "i", "t").drop("first"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, list(substr(text, 1, 4) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id), k AS (SELECT *, len(turns) AS n, greatest(0, least(len(turns) // 2, len(turns) - 4)) AS most FROM c),
-d AS (SELECT conv_id, turns, n, CAST(floor({_UNIT.format("'4:' || CAST(conv_id AS VARCHAR)")} * (most + 1)) AS BIGINT) AS dropped FROM k) SELECT conv_id, dropped, array_to_string(turns[dropped + 1:n], '|') AS turns FROM d""")
+_MID = f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY conv_id), h AS (SELECT *, least(n // 2, n - 4) AS high FROM c),
+d AS (SELECT *, CAST(1 + floor({_UNIT.format("'4:' || CAST(conv_id AS VARCHAR) || ':k'")} * high) AS BIGINT) AS k FROM h WHERE n - 1 >= 4 AND n // 2 >= 1 AND high >= 1 AND {_UNIT.format("'4:' || CAST(conv_id AS VARCHAR) || ':take'")} < 0.5),
+m AS (SELECT conv_id || '_mid' || k AS id, k AS dropped, array_to_string(turns[k + 1:n], '|') AS turns FROM d)"""
+
+
+def _mid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
+    return _long(S.drop_lead(t, "id", "turns", 4).select("id", "dropped", F.array_join("turns", "|").alias("turns")))
+
+
+@query(_MID + " SELECT * FROM m")
 def mid_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S15."""
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 4)).alias("turns"))
-    return _long(S.drop_lead(t, "conv_id", "turns", 4).select("conv_id", "dropped", F.array_join("turns", "|").alias("turns")))
+    """The copies that begin in the middle."""
+    return _mid(spark, sf_dir).filter("dropped > 0")
 
 
-@query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS turns FROM conversations GROUP BY conv_id), k AS (SELECT *, len(turns) AS n, greatest(0, least(len(turns) // 2, len(turns) - 4)) AS most FROM c),
-d AS (SELECT conv_id, turns, n, CAST(floor({_UNIT.format("'4:' || CAST(conv_id AS VARCHAR)")} * (most + 1)) AS BIGINT) AS dropped FROM k) SELECT conv_id, dropped, array_to_string(turns[dropped + 1:n], '|') AS turns FROM d""")
+@query(_MID + " SELECT * FROM m UNION ALL SELECT CAST(conv_id AS VARCHAR), 0, array_to_string(turns, '|') FROM c")
 def mid_passage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S15 with whole turns."""
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
-    return _long(S.drop_lead(t, "conv_id", "turns", 4).select("conv_id", "dropped", F.array_join("turns", "|").alias("turns")))
+    """All conversations, and the copies."""
+    return _mid(spark, sf_dir)
 
 
 @query()
 def loop_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S16, S17; folds over turns, tested against plain code."""
+    """S17; a fold over turns with draws in it, tested against plain code."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.split(x["text"], " ")).alias("turns"))
-    out = S.loop_corruption(t, "conv_id", "turns", 6)
-    return out.select("conv_id", "looped", F.transform("turns", lambda u: F.size(u)).alias("sizes"))
+    return S.loop_corruption(t, "conv_id", "turns", 6).select("conv_id", "context_only", F.transform("turns", lambda u: F.array_join(u, " ")).alias("turns"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, length(text) AS n FROM conversations), m AS (SELECT conv_id, turn, n * (1 + turn % 3) AS n FROM t WHERE turn % 2 = 1)

@@ -132,21 +132,23 @@ def ratio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.span_by_ratio(units, F.lit(0.25), F.lit(0.5)).alias("part"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), t AS (SELECT doc_id, w, unnest(range(0, 4)) AS t FROM w)
-SELECT doc_id, CAST(t AS BIGINT) AS tick, array_to_string(w[t * len(w) // 4 + 1:(t + 1) * len(w) // 4], ' ') AS chunk, length(array_to_string(w[1:(t + 1) * len(w) // 4], ' ')) AS prefix_chars FROM t""")
+_JOINED = "ltrim(array_to_string(list_transform({0}, lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z0-9]') THEN ' ' || t ELSE t END), ''))"
+_TICKS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?|[^\s]') AS w, n_chars / 15.0::DOUBLE AS dur FROM documents), c AS (SELECT *, len(w) AS n, greatest(1, CAST(ceil(dur / 40.0::DOUBLE) AS BIGINT)) AS k FROM w),
+t AS (SELECT *, unnest(range(0, k)) AS t FROM c WHERE n > 0), e AS (SELECT *, CAST(round_even(n * t / k::DOUBLE, 0) AS BIGINT) AS lo, CAST(round_even(n * (t + 1) / k::DOUBLE, 0) AS BIGINT) AS raw FROM t), f AS (SELECT *, CASE WHEN raw <= lo THEN least(n, lo + 1) ELSE raw END AS hi FROM e)"""
+
+
+@query(_TICKS + f" SELECT doc_id, CAST(t AS BIGINT) AS tick, {_JOINED.format('w[lo + 1:hi]')} AS chunk, length({_JOINED.format('w[1:hi]')}) AS prefix_chars FROM f")
 def text_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T13."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    t = d.select("doc_id", F.explode(T.text_ticks(F.col("text"), F.lit(4))).alias("t"))
+    """Ticks of forty seconds."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.text_ticks(F.col("text"), F.col("n_chars") / 15.0, 40.0)).alias("t"))
     return _long(t.select("doc_id", "t.tick", "t.chunk", F.length("t.prefix").alias("prefix_chars")))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(0, 4)) AS t FROM w)
-SELECT doc_id, CAST(t AS BIGINT) AS tick, array_to_string(w[t * len(w) // 4 + 1:(t + 1) * len(w) // 4], ' ') AS chunk, length(array_to_string(w[1:(t + 1) * len(w) // 4], ' ')) AS prefix_chars FROM t""")
+@query(_TICKS + f" SELECT doc_id, CAST(t AS BIGINT) AS tick, round_even(t * 40.0::DOUBLE, 6) AS start_s, round_even(least(dur, (t + 1) * 40.0::DOUBLE), 6) AS end_s, sha256({_JOINED.format('w[1:hi]')}) AS prefix FROM f")
 def text_ticks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T13 on all documents."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.text_ticks(F.col("text"), F.lit(4))).alias("t"))
-    return _long(t.select("doc_id", "t.tick", "t.chunk", F.length("t.prefix").alias("prefix_chars")))
+    """The ticks' times and whole prefixes."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.text_ticks(F.col("text"), F.col("n_chars") / 15.0, 40.0)).alias("t"))
+    return _long(t.select("doc_id", "t.tick", "t.start_s", "t.end_s", F.sha2("t.prefix", 256).alias("prefix")))
 
 
 @query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'KIT-live' WHEN 'click' THEN 'Seed_AST' WHEN 'error' THEN 'gemini 3' WHEN 'signup' THEN 'GPT-rt' ELSE 'Other' END AS m FROM events)
@@ -313,26 +315,34 @@ def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_sources(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", "text"), "doc", "turn", "text")
 
 
-@query("""WITH o AS (SELECT l_orderkey AS id, count(*) AS n, sum(l_quantity) AS s, count(*) FILTER (l_quantity <= 3) AS bad FROM lineitem GROUP BY 1)
-SELECT id, round_even(s, 6) AS sum_s, concat_ws(',', CASE WHEN n <> 4 THEN 'budget_count_mismatch' END, CASE WHEN abs(s - 100.0) > 0.35 THEN 'duration_sum_mismatch' END, CASE WHEN bad > 0 THEN 'bad_chunk_duration' END) AS issues FROM o""")
+@query("""WITH o AS (SELECT l_orderkey AS id, count(*) AS n, sum(CASE WHEN l_quantity > 3 THEN l_quantity ELSE 0 END) AS s, count(*) FILTER (l_quantity <= 3) AS bad FROM lineitem GROUP BY 1)
+SELECT id, round_even(s, 6) AS sum_s, concat_ws(',', CASE WHEN n <> 4 THEN 'budget_count_mismatch' END, CASE WHEN n % 2 = 1 THEN 'rtf_count_mismatch' END, CASE WHEN abs(s - 100.0) > 0.35 THEN 'duration_sum_mismatch' END, CASE WHEN bad > 0 THEN 'bad_chunk_duration' END) AS issues FROM o""")
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three or less have no duration."""
-    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.collect_list(F.when(F.col("l_quantity") > 3, F.col("l_quantity")).otherwise(-0.0)).alias("chunk_s"), F.sum("l_quantity").alias("s"))
-    o = o.withColumns({"n_budgets": F.lit(4), "n_rtf": F.col("n_chunks"), "total_s": F.lit(100.0)})
-    fixed = o.withColumn("chunk_s", F.concat("chunk_s", F.array(F.col("s") - F.aggregate("chunk_s", F.lit(0.0), lambda a, x: a + x))))
-    fixed = fixed.withColumn("chunk_s", F.filter("chunk_s", lambda x: x != 0).cast("array<double>")).withColumn("low", F.size("chunk_s") - F.col("n_chunks"))
-    why = A.manifest_issues(fixed)
-    low = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count_if(F.col("l_quantity") <= 3).alias("bad"))
-    return why.join(low, "id").select("id", "sum_s", F.array_join(F.concat(F.array_remove("issues", "bad_chunk_duration"), F.when(F.col("bad") > 0, F.array(F.lit("bad_chunk_duration"))).otherwise(F.array().cast("array<string>"))), ",").alias("issues"))
+    q = F.col("l_quantity").cast("double")
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.collect_list(F.when(q > 3, q).otherwise(0.0)).alias("chunk_s"))
+    o = o.withColumns({"n_budgets": F.lit(4), "n_rtf": F.col("n_chunks") - F.col("n_chunks") % 2, "total_s": F.lit(100.0)})
+    return A.manifest_issues(o).select("id", "sum_s", F.array_join("issues", ",").alias("issues"))
+
 
+_STATS = "round_even(avg({0}), 6) AS mean, list_sort(list({0}))[count({0}) // 2 + 1] AS p50, list_sort(list({0}))[least(count({0}) - 1, CAST(floor(count({0}) * 0.9::DOUBLE) AS BIGINT)) + 1] AS p90"
 
-@query("""SELECT event_type AS run, count(*) AS n, count(*) FILTER (event_id % 9 <> 0) AS ok, count(*) FILTER (event_id % 9 = 0) AS failed, count(*) FILTER (event_id % 9 <> 0 AND value <= 30) AS fit, count(*) FILTER (event_id % 9 <> 0 AND value > 30) AS missed, count(DISTINCT user_id) AS streams FROM events GROUP BY 1""")
+
+@query(f"""WITH e AS (SELECT event_type AS run, user_id, CASE WHEN event_id % 9 <> 0 THEN value END AS v FROM events), c AS (SELECT run, count(*) AS n, count(v) AS ok, count(*) FILTER (v IS NULL) AS failed, count(*) FILTER (v <= 30) AS fit, count(*) FILTER (v > 30) AS missed, count(DISTINCT user_id) AS streams FROM e GROUP BY 1)
+SELECT * FROM c JOIN (SELECT run, {_STATS.format('v')}, min(v) AS min, max(v) AS max FROM e WHERE v IS NOT NULL GROUP BY 1) USING (run)""")
 def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("user_id").alias("stream"), F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("latency_s"), F.lit(30.0).alias("budget_s"))
     return A.probe_summary(e, "run")
 
 
+@query(f"""WITH v AS (SELECT value / 25.0::DOUBLE AS v FROM events WHERE event_id % 6 <> 0) SELECT count(*) AS n, {_STATS.format('v')}, round_even(avg(CAST(v > 1.0 AS INT)), 6) AS violation_rate FROM v""")
+def chunk_rtf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20's summary of all chunks' factors, some of them missing."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_agg(F.when(F.col("event_id") % 6 != 0, F.col("value") / 25.0)).alias("rtf"))
+    return A.rtf_summary(e, "rtf")
+
+
 @query("""WITH r AS (SELECT 'base' AS system, value AS v FROM events UNION ALL SELECT 'tuned', value * 2 FROM events) SELECT system, 'v' AS metric, count(*) AS n, round_even(avg(v), 6) AS mean, round_even(quantile_cont(v, 0.5), 6) AS p50, round_even(quantile_cont(v, 0.9), 6) AS p90, round_even(quantile_cont(v, 0.95), 6) AS p95, round_even(min(v), 6) AS min, round_even(max(v), 6) AS max FROM r GROUP BY 1""")
 def system_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A22."""
@@ -466,8 +476,7 @@ def packaged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.package_segments(t, "id", "audios", "texts", "seg").select("id", F.col("audio").cast("long").alias("turn"), "segment_id")
 
 
-@query("""SELECT user_id, count(*) FILTER (i = 1) AS kept FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) GROUP BY 1""")
+@query("SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1")
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per id."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return S.first_of_each(e, "user_id", "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    """The first row of each id."""
+    return S.first_of_each(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id").select("user_id", "event_id", "value")

@@ -126,15 +126,15 @@ def interval_rows(text: str) -> list[tuple[str, int, float, float, str]]:
     return out
 
 
-def read_intervals(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """IO13: doc_id, tier, pos, start_s, end_s, text of all interval files."""
+def read_intervals(spark: SparkSession, path: str | Sequence[str], doc: str = r"([^/]+?)(?:\.[^./]+)?$") -> DataFrame:
+    """IO13: doc_id, tier, pos, start_s, end_s, text of all interval files; ``doc`` finds the id in a file's path, by default its name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, *r) for p, t in zip(batch["file"], batch["value"], strict=True) for r in interval_rows(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "tier", "pos", "start_s", "end_s", "text"])
 
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", doc, 1).alias("file"), "value")
     return files.mapInPandas(run, "doc_id string, tier string, pos int, start_s double, end_s double, text string")
 
 

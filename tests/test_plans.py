@@ -4,12 +4,12 @@ import re
 
 import pytest
 
-from rillstone.plans import queries, record_queries  # noqa: F401
+from rillstone.plans import more_queries, queries, record_queries  # noqa: F401
 from rillstone.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: these meet a table of a few names, or of one row, on purpose
-SMALL_PRODUCTS = {"corpus_bleu", "result_grid", "split_overlap", "count_split", "assembled_set"}
+SMALL_PRODUCTS = {"chunk_rtf_summary", "document_bleu", "corpus_bleu", "result_grid", "split_overlap", "count_split", "assembled_set"}
 
 
 def plan(spark, name):

@@ -1,7 +1,5 @@
 """Queries over all rows and whole texts: what the queries of the same operator with a smaller SQL leave out."""
 
-import re
-
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -25,33 +23,21 @@ def test_emissions_of_all_conversations(spark):
     assert all(r.total == 0 and r.warning == "trimmed" for i, r in rows.items() if i % 9 == 0)
 
 
-def test_sentences_of_all_texts(spark):
-    def plain(text, lang):
-        x = " ".join(re.split(r"[ \t\n\x0b\f\r]+", text)).strip(" ")
-        parts = [p.strip(" ") for p in re.split(r"(?<=[.!?])\s+", x) if p.strip(" ")]
-        words = x.split(" ")
-        if len(parts) > 1 or len(x) <= 800 or len(words) == 1:
-            return parts if len(parts) > 1 or len(x) <= 800 else [x[i : i + 80] for i in range(0, len(x), 80)]
-        return [" ".join(words[i : i + 80]) for i in range(0, len(words), 80)]
-
-    docs, cut = table(spark, "documents"), 0
-    rows = {r.doc_id: r for r in got(spark, "sentence_counts_whole")}
-    assert len(rows) == len(docs)
-    for d in docs:
-        want = plain(d.text, d.lang)
-        assert (rows[d.doc_id].n, rows[d.doc_id].chars) == (len(want), len("".join(want))), d.doc_id
-
-
 def test_turns_are_carried_whole(spark):
     turns = {}
     for r in sorted(table(spark, "conversations"), key=lambda r: (r.conv_id, r.turn)):
         turns.setdefault(r.conv_id, []).append(r)
     history = {(r.conv_id, r.turn): r.history for r in got(spark, "history_rows_whole")}
     context = {(r.conv_id, r.turn): r.context for r in got(spark, "context_windows_whole")}
-    passage = {r.conv_id: r for r in got(spark, "mid_passage_whole")}
+    passage = {}
+    for r in got(spark, "mid_passage_whole"):
+        passage.setdefault(int(r.id.split("_")[0]), []).append(r)
     for conv, rows in turns.items():
         texts = [r.text for r in rows]
         for i, r in enumerate(rows):
             assert history[conv, r.turn] == "|".join(texts[: i + 1])
             assert context[conv, r.turn] == "|".join(texts[max(0, i - 2) : i + 1])
-        assert passage[conv].turns == "|".join(texts[passage[conv].dropped :])
+        for r in passage[conv]:
+            assert r.turns == "|".join(texts[r.dropped :]) and r.id == (f"{conv}_mid{r.dropped}" if r.dropped else str(conv)) and 0 <= r.dropped <= min(len(texts) // 2, max(0, len(texts) - 4))
+        assert sum(r.dropped == 0 for r in passage[conv]) == 1 and len(passage[conv]) <= 2
+    assert any(r.dropped for rows in passage.values() for r in rows)
