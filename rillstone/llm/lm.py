@@ -8,8 +8,8 @@ corpus.  The network predicts every word from the ``SIDE`` words before and the
 diagonal matrix of its place, add up to a hidden layer; a softmax over classes of ids and one over the ids of the class give the
 id's probability.  Classes are ids of like frequency, about as many as each has ids.
 
-Training covers every word of every document: a hash of the document's key and the place deals the places out to the rounds, so that
-after the last each was a target once, and that no round misses a field of texts with a period.  In a round each partition starts
+Training covers every word of every document: a hash of the document's key and the place deals runs of ``RUN`` places out to the rounds, so
+that after the last each was a target once, and that no round misses a field of texts with a period.  In a round each partition starts
 from the common weights, learns its places in steps that grow longer, and gives back its weights; Spark averages them, weighted by
 the words learnt, before the next round.
 
@@ -38,6 +38,8 @@ SIDE, HIDDEN = 2, 16
 ROUNDS, RATE = 2, 0.15
 #: places in the first and the longest step of learning, how many steps as long as the next have gone before, and places scored at once
 FIRST, BATCH, STEPS, AT_ONCE = 256, 16_384, 16, 16_384
+#: places in a row that go to the same round, and rows of a softmax at a time, so that they stay in the cache
+RUN, ROWS = 64, 2048
 #: distinct words that a task of the count holds, and weights in a row of a round's result
 HELD, PART = 1 << 20, 4096
 
@@ -46,10 +48,8 @@ class Net(NamedTuple):
     embed: np.ndarray  # ids + 1, HIDDEN; the last is the mark beyond a text's ends
     place: np.ndarray  # 2 SIDE, HIDDEN
     bias: np.ndarray  # HIDDEN
-    to_class: np.ndarray  # HIDDEN, classes
-    class_bias: np.ndarray
-    to_word: np.ndarray  # classes, HIDDEN, ids of a class
-    word_bias: np.ndarray  # classes, ids of a class
+    to_class: np.ndarray  # HIDDEN + 1, classes; the last row is the bias
+    to_word: np.ndarray  # classes, HIDDEN + 1, ids of a class; likewise
 
 
 class Vocabulary(NamedTuple):
@@ -82,10 +82,9 @@ def start(counts: np.ndarray, seed: int = 3) -> Net:
     share[: len(counts)] = counts + 1
     share = share.reshape(n, per)
     by_class = share.sum(1)
-    return Net(
-        draw(n * per + 1, HIDDEN, s=0.1), 0.5 + draw(2 * SIDE, HIDDEN, s=0.1), np.zeros(HIDDEN, np.float32), draw(HIDDEN, n, s=0.05),
-        np.log(by_class / by_class.sum()).astype(np.float32), draw(n, HIDDEN, per, s=0.05), np.log(share / by_class[:, None]).astype(np.float32),
-    )
+    to_class, to_word = draw(HIDDEN + 1, n, s=0.05), draw(n, HIDDEN + 1, per, s=0.05)
+    to_class[-1], to_word[:, -1] = np.log(by_class / by_class.sum()), np.log(share / by_class[:, None])
+    return Net(draw(n * per + 1, HIDDEN, s=0.1), 0.5 + draw(2 * SIDE, HIDDEN, s=0.1), np.zeros(HIDDEN, np.float32), to_class, to_word)
 
 
 def flatten(net: Net) -> np.ndarray:
@@ -94,7 +93,7 @@ def flatten(net: Net) -> np.ndarray:
 
 def unflatten(flat: np.ndarray, n_ids: int = WORDS) -> Net:
     n, per = shape_of(n_ids)
-    shapes = [(n * per + 1, HIDDEN), (2 * SIDE, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,), (n, HIDDEN, per), (n, per)]
+    shapes = [(n * per + 1, HIDDEN), (2 * SIDE, HIDDEN), (HIDDEN,), (HIDDEN + 1, n), (n, HIDDEN + 1, per)]
     out, at = [], 0
     for shape in shapes:
         size = int(np.prod(shape))
@@ -140,27 +139,33 @@ def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]
 
 def _grouped(net: Net, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by class, and class and number within it in that order."""
-    classes, per = net.word_bias.shape
+    classes, _, per = net.to_word.shape
     group = (word // per).astype(np.uint16 if classes < 1 << 16 else np.int64)
     order = np.argsort(group, kind="stable")
     return order, group[order], word[order] - group[order].astype(np.int64) * per
 
 
+def _with_one(hidden: np.ndarray) -> np.ndarray:
+    """A column of ones behind the hidden layer, for the biases."""
+    out = np.ones((len(hidden), hidden.shape[1] + 1), hidden.dtype)
+    out[:, :-1] = hidden
+    return out
+
+
 def log_probabilities(net: Net, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log P(id | window) of the ids at these places of a stream, in double precision."""
-    hidden, word = hidden_layer(net, text)[0][at - SIDE], text[at].astype(np.int64)
-    order, group, inner = _grouped(net, word)
-    hidden, row = hidden[order], np.arange(len(word))
+    """log P(id | window) of the ids at these places of a stream."""
+    order, group, inner = _grouped(net, text[at].astype(np.int64))
+    hidden, row = _with_one(hidden_layer(net, text)[0][at[order] - SIDE]), np.arange(len(at))
 
     def chance(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
         np.minimum(logits, 60, out=logits)
         picked = logits[row[: len(own)], own].astype(np.float64)
-        return picked - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        return picked - np.log(np.exp(logits, out=logits).sum(1))
 
-    found = chance(hidden @ net.to_class + net.class_bias, group)
-    for c, lo, hi in _by_class(group, len(net.word_bias)):
-        found[lo:hi] += chance(hidden[lo:hi] @ net.to_word[c] + net.word_bias[c], inner[lo:hi])
-    out = np.empty(len(word))
+    found = np.concatenate([chance(hidden[lo : lo + ROWS] @ net.to_class, group[lo : lo + ROWS]) for lo in range(0, len(at), ROWS)])
+    for c, lo, hi in _by_class(group, len(net.to_word)):
+        found[lo:hi] += chance(hidden[lo:hi] @ net.to_word[c], inner[lo:hi])
+    out = np.empty(len(at))
     out[order] = found
     return out
 
@@ -179,26 +184,30 @@ class Learner:
         w[at] -= RATE * grad / np.sqrt(s[at])
 
     def gradients(self, text: np.ndarray, at: np.ndarray) -> tuple[float, dict]:
-        """Summed loss of the words at these places of a stream, and the gradients (to_word and word_bias by class)."""
+        """Summed loss of the words at these places of a stream, and the gradients (to_word by class)."""
         net, n = self.net, len(text) - 2 * SIDE
         every, given = hidden_layer(net, text)
         order, group, inner = _grouped(net, text[at].astype(np.int64))
         at = at[order]
-        hidden, row, grads = every[at - SIDE], np.arange(len(at)), {}
-        grad = _softmax(hidden @ net.to_class + net.class_bias)
-        chance = grad[row, group]
-        grad[row, group] -= 1
-        back = grad @ net.to_class.T
-        grads["to_class"], grads["class_bias"] = hidden.T @ grad, grad.sum(0)
-        grads["words"] = {}
-        for c, lo, hi in _by_class(group, len(net.word_bias)):
-            own = hidden[lo:hi]
-            part = _softmax(own @ net.to_word[c] + net.word_bias[c])
-            its = (row[: hi - lo], inner[lo:hi])
-            chance[lo:hi] *= part[its]
-            part[its] -= 1
-            back[lo:hi] += part @ net.to_word[c].T
-            grads["words"][c] = own.T @ part, part.sum(0)
+        hidden, row = every[at - SIDE], np.arange(len(at))
+        one, chance, back = _with_one(hidden), np.empty(len(at), np.float32), np.empty_like(hidden)
+        grads = {"to_class": np.zeros_like(net.to_class), "to_word": {}}
+
+        def output(weights: np.ndarray, lo: int, hi: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(chances, gradient of the hidden layer, gradient of the weights) of one softmax over some rows."""
+            p, its = _softmax(one[lo:hi] @ weights), (row[: hi - lo], own)
+            got = p[its]
+            p[its] -= 1
+            return got, p @ weights[:-1].T, one[lo:hi].T @ p
+
+        for lo in range(0, len(at), ROWS):
+            hi = min(len(at), lo + ROWS)
+            chance[lo:hi], back[lo:hi], to_class = output(net.to_class, lo, hi, group[lo:hi])
+            grads["to_class"] += to_class
+        for c, lo, hi in _by_class(group, len(net.to_word)):
+            got, to_hidden, grads["to_word"][c] = output(net.to_word[c], lo, hi, inner[lo:hi])
+            chance[lo:hi] *= got
+            back[lo:hi] += to_hidden
         back *= 1 - hidden * hidden
         # what reaches a word of the stream comes from the places around it
         wide = np.zeros((n + 4 * SIDE, hidden.shape[1]), np.float32)
@@ -217,9 +226,8 @@ class Learner:
     def learn(self, text: np.ndarray, at: np.ndarray) -> float:
         """One step on the words at these places; their mean loss before it."""
         loss, grads = self.gradients(text, at)
-        for c, (to_word, bias) in grads.pop("words").items():
-            self._move("to_word", to_word, c)
-            self._move("word_bias", bias, c)
+        for c, grad in grads.pop("to_word").items():
+            self._move("to_word", grad, c)
         ids, to_embed = grads.pop("embed")
         self._move("embed", to_embed, ids)
         for name, grad in grads.items():
@@ -294,7 +302,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
 def round_of(nth: np.ndarray, salt: np.ndarray, rounds: int) -> np.ndarray:
     """The round that learns each place, from its number in the document and the hash of the document's key."""
-    return (tb.mix(tb.mix(salt) + nth.astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
+    return (tb.mix(tb.mix(salt) + (nth // RUN).astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
 
 
 def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, rounds: int) -> Net:
@@ -331,8 +339,13 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
                 text, at = stream(ids, np.cumsum(first) - 1, len(net.embed) - 1)
                 chosen = np.zeros(len(text), bool)
                 chosen[at] = round_of(nth, salt[lo + doc], rounds) == nth_round
-                kept.append((text, chosen))
-                have += len(ids)
+                # the words around the chosen ones, and no others
+                near = chosen.copy()
+                for step in range(1, SIDE + 1):
+                    near[step:] |= chosen[:-step]
+                    near[:-step] |= chosen[step:]
+                kept.append((text[near], chosen[near]))
+                have += int(chosen.sum())
                 if have >= 4 * BATCH:
                     step, have = learn(), 0
         if have:

@@ -91,6 +91,39 @@ def test_quality_corner_cases(spark, odd):
     assert quality.quality_scores(odd.limit(0), labels).count() == 0
 
 
+def test_quality_equals_a_dense_ridge(spark, sf):
+    """The whole query at the smallest scale: one dense solve, isotonic levels by their max-min formula, every document scored plainly."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    _, model = quality.fit_documents(docs, labels)
+    crc = lambda k: zlib.crc32(str(k).encode()) % 5
+    given = {r.doc_id: r.quality for r in labels.collect() if crc(r.doc_id)}
+    rows = {r.doc_id: quality.statistics(*lm.tb.buffers(pa.array([r.text])))[0] for r in docs.collect()}
+    ids = [d for d in sorted(given) if d in rows]
+    x, y = np.array([rows[d] for d in ids]), np.array([given[d] for d in ids], float)
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3))
+    fitted = np.array([crc(d) != 1 for d in ids])
+    z = model.features(x)
+    gram = z[fitted].T @ z[fitted]
+    penalty = quality.RIDGE * fitted.sum() * np.eye(len(gram))
+    penalty[0, 0] = 0
+    weights = np.linalg.solve(gram + penalty, z[fitted].T @ y[fitted])
+    assert np.allclose(z @ weights, z @ model.weights, atol=1e-6)
+    cell = np.clip(np.floor((z[~fitted] @ weights + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    cells = sorted(set(cell))
+    mean = lambda lo, hi: y[~fitted][(cell >= cells[lo]) & (cell <= cells[hi])].mean()
+    level = [max(min(mean(j, k) for k in range(i, len(cells))) for j in range(i + 1)) for i in range(len(cells))]
+    blocks = {}
+    for c, v in zip(cells, level, strict=True):
+        blocks.setdefault(round(v, 9), []).append(c)
+    at = [np.average([(c + 0.5) * 2 / quality.BINS - 0.5 for c in cs], weights=[(cell == c).sum() for c in cs]) for cs in blocks.values()]
+    assert np.allclose(model.steps, list(blocks), atol=1e-8) and np.allclose(model.steps_at, at, atol=1e-8)
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert got.keys() == rows.keys()
+    for d, r in got.items():
+        want = min(1.0, max(0.0, float(np.interp(model.features(rows[d][None])[0] @ weights, at, list(blocks)))))
+        assert abs(r.score - want) < 1e-5 and r.held_out == (crc(d) == 0)
+
+
 def _plain_language(net, text):
     """Byte by byte from the definition of the gates; mean distribution over all bytes."""
     sigmoid = lambda a: 1 / (1 + np.exp(-a))
@@ -167,9 +200,9 @@ def test_lm_learns_every_place_of_a_period(spark):
 
 
 def test_lm_rounds_share_out_every_place():
-    nth, salt = np.tile(np.arange(64), 500), np.repeat(np.arange(500), 64).astype(np.uint64)
+    nth, salt = np.tile(np.arange(256), 500), np.repeat(np.arange(500), 256).astype(np.uint64)
     got = lm.round_of(nth, salt, 2)
-    assert set(got) == {0, 1} and all(200 < got[nth == i].sum() < 300 for i in range(64))
+    assert set(got) == {0, 1} and all(200 < got[nth == i].sum() < 300 for i in range(256))
 
 
 def _code(*names):
@@ -215,8 +248,8 @@ def _tiny_net(ids=100, seed=4):
 def _plain_log_probability(net, around, word):
     """From the definition: one word, sums over all ids of a softmax in double precision."""
     hidden = np.tanh(net.bias + sum(net.place[j] * net.embed[x] for j, x in enumerate(around)))
-    c, i = divmod(word, net.word_bias.shape[1])
-    classes, words = net.class_bias + hidden @ net.to_class, net.word_bias[c] + hidden @ net.to_word[c]
+    c, i = divmod(word, net.to_word.shape[2])
+    classes, words = net.to_class[-1] + hidden @ net.to_class[:-1], net.to_word[c, -1] + hidden @ net.to_word[c, :-1]
     return classes[c] - np.log(np.exp(classes).sum()) + words[i] - np.log(np.exp(words).sum())
 
 
@@ -253,12 +286,12 @@ def test_lm_gradients_are_those_of_the_loss():
     learner = lm.Learner(lm.Net(*[w.astype(np.float32) for w in net]))
     loss, grads = learner.gradients(text, at)
     assert abs(loss + sum(_plain_score(net, texts))) < 1e-3
-    whole = {k: grads[k] for k in ("place", "bias", "to_class", "class_bias")}
+    whole = {k: grads[k] for k in ("place", "bias", "to_class")}
     whole["embed"] = np.zeros_like(net.embed)
     whole["embed"][grads["embed"][0]] = grads["embed"][1]
-    whole["to_word"], whole["word_bias"] = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
-    for c, (a, b) in grads["words"].items():
-        whole["to_word"][c], whole["word_bias"][c] = a, b
+    whole["to_word"] = np.zeros_like(net.to_word)
+    for c, grad in grads["to_word"].items():
+        whole["to_word"][c] = grad
     for name, grad in whole.items():
         w = getattr(net, name)
         for at in zip(*[rng.integers(0, n, 12) for n in w.shape], strict=True):
