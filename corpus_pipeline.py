@@ -1,8 +1,8 @@
 """From documents to packed sequences: five stages, each a table that the next one reads whole.
 
 Each stage decides on all rows its predecessor kept.  Documents judged bad by the quality classifier go, then those without a
-language, then all but the smallest id of each group of near copies (and of repeated rows), then those holding a benchmark
-passage; what is left is packed.  Rows with a null id can't be told apart: they pass the de-duplication unless repeated.
+language, then all but the smallest id of each group of near copies (and rows whose id and text both repeat), then those holding a
+benchmark passage; what is left is packed.  Rows with a null id can't be told apart: they pass the de-duplication unless repeated.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from rillstone.llm import decontam, langid, minhash, packing, quality
 from rillstone.llm.queries import table, tokenizer_path
 from rillstone.llm.scratch import Scratch
 
-#: a document whose bytes are shared out between languages more evenly than this has none
-LEAST_LANGUAGE = 0.3
+#: a document has no language if the best one's share of its bytes is above an even share by less than this part of the rest
+LEAST_MARGIN = 0.07
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = langid.append_languages(docs, langid.fit_documents(docs))
-    return named.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    net = langid.fit_documents(docs)
+    even = 1 / len(net.langs) if net else 1.0
+    named = langid.append_languages(docs, net)
+    return named.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__lang_score") >= even + LEAST_MARGIN * (1 - even))).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__same", F.lit(0))
-    nameless = docs.filter("doc_id is null").withColumn("__same", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["__same", "text"])).select(*docs.columns)
+    left = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    return left.withColumn("__same", F.xxhash64("doc_id", "text")).dropDuplicates(["__same", "doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: learnt scores and hashed sketches can't be expressed in SQL; tests hold run() against brute force
+#: learnt scores and hashed sketches can't be expressed in SQL; tests/llm/test_pipeline.py recomputes run() plainly, stage by stage
 ORACLE_SQL = None
 
 
@@ -61,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = disk.save(stage(spark, docs, sf_dir), name)
+        disk.drop_all_but(name)
     return STAGES[-1][1](spark, docs, sf_dir)
