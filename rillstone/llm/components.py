@@ -16,7 +16,8 @@ def connected(links: DataFrame, disk: Scratch, name: str) -> DataFrame:
 
     Each round hooks every node's current root to the smallest root among its neighbours, and then replaces each
     pointer by its pointer's pointer until none changes.  All groupings are minima, which are combined before the
-    shuffle, so that a node with very many links costs no task more than its share."""
+    shuffle.  The links of a node with very many meet its one pointer in a join, which Spark splits where the partition is
+    skewed (spark.sql.adaptive.skewJoin)."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = disk.save(both.filter("node <> other").distinct(), f"{name}-links")
     state = disk.save(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")), f"{name}-0")

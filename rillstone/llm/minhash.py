@@ -119,7 +119,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("k").alias("a"), F.col("shingles").alias("u"))
     right = sets.select(F.col("k").alias("b"), F.col("shingles").alias("v"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("u", "v")))
-    return both.filter(f"100 * common >= {percent} * (size(u) + size(v) - common)").select("a", "b")
+    return both.filter(f"100L * common >= {percent}L * (size(u) + size(v) - common)").select("a", "b")
 
 
 def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int, disk: Scratch) -> DataFrame:
@@ -134,7 +134,7 @@ def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int, disk: Scrat
     own = mixed.join(sets, "k").join(sets.select(F.col("k").alias("grp"), F.col("shingles").alias("base")), "grp")
     parts = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
     own = own.select("grp", "k", "comp", F.size("shingles").alias("n"), parts.alias("parts")).withColumn("d", F.size("parts"))
-    own = disk.save(own.withColumn("s", minus * F.col("n") - plus * F.col("d")), "differences")
+    own = disk.save(own.withColumn("s", minus * F.col("n").cast("long") - plus * F.col("d").cast("long")), "differences")
     top = own.groupBy("grp").agg(F.max(F.struct("s", F.col("k").alias("star"))).alias("t")).select("grp", F.col("t.star").alias("star"))
     top = disk.save(top, "stars")
     second = own.join(top, "grp").filter("k <> star").groupBy("grp").agg(F.max("s").alias("s_most"))
@@ -151,7 +151,7 @@ def remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int, disk: Scrat
     share = f"greatest(1, ceil(-(s + s_b) / {2 * plus}))"
     met = (
         (placed["grp"] == other["grp"]) & (placed["e"] == other["e"]) & (F.col("k") < F.col("k_b")) & (F.col("comp") != F.col("comp_b"))
-        & F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) and rank <= d + 1 - {share} and rank_b <= d_b + 1 - {share}")
+        & F.expr(f"100L * least(n, n_b) >= {percent}L * greatest(n, n_b) and rank <= d + 1 - {share} and rank_b <= d_b + 1 - {share}")
     )
     found = placed.join(other, met).select(F.col("k").alias("a"), F.col("k_b").alias("b"))
     return star.unionByName(found).distinct()
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     centres = crowd.join(classes.select(F.col("k").alias("centre"), F.col("n").cast("int").alias("n_b")), "centre")
     centres = disk.save(centres, "centres")
-    near = member.join(centres, "bucket").filter(f"k <> centre and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    near = member.join(centres, "bucket").filter(f"k <> centre and 100L * least(n, n_b) >= {percent}L * greatest(n, n_b)")
     tried = disk.save(near.select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), "pairs-of-centres")
     links = disk.save(verify(tried, sets, percent), "links-of-centres")
     label = disk.save(_labels(busy, connected(links, disk, "first")), "labels-of-centres")
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     named = classes.select("set_a", "set_b", "n", "k").join(label, "k", "left").select("set_a", "set_b", "n", F.coalesce("comp", "k").alias("comp"))
     named = disk.save(named, "named")
+    disk.drop_all_but("sketches", "named")
     out = drawn.select("k", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("comp", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(F.col("k") == component, F.lit(False))).alias("kept"))

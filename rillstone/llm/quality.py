@@ -152,7 +152,9 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     total = y.count()
     if total > max_rows:
         y = y.orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    first = stats.groupBy("k").agg(F.min("stats").alias("stats"))
+    # at most ``max_rows`` ids; only their statistics are shuffled
+    y = disk.save(y, "labels")
+    first = stats.join(F.broadcast(y.select("k")), "k", "left_semi").groupBy("k").agg(F.min("stats").alias("stats"))
     rows = disk.save(first.join(y, "k").select("stats", "y", (fold(F.col("k")) == 1).alias("calibrate")), "fit")
     sums = [f(F.expr(f"stats[{i}]")).alias(f"{n}{i}") for i in range(STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     top = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.min("y").alias("lo"), F.max("y").alias("hi"), *sums).first()
