@@ -152,10 +152,14 @@ def align_units(df, key: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ids, units, at, shares = [], [], [], []
             for r in batch.itertuples(index=False):
                 hyp, heard, times = (list(x) if x is not None else [] for x in (r.hyp, r.heard, r.heard_s))
                 found = dict(matching_blocks(hyp, heard))
-                share = len(found) / len(hyp) if hyp else 0.0
-                yield pd.DataFrame({name: [getattr(r, name)] * len(hyp), "unit": range(len(hyp)), "unit_s": [times[found[i]] if i in found else None for i in range(len(hyp))], "coverage": [share] * len(hyp)}).astype({"unit_s": "float64"})
+                ids += [getattr(r, name)] * len(hyp)
+                units += range(len(hyp))
+                at += [times[found[i]] if i in found else None for i in range(len(hyp))]
+                shares += [len(found) / len(hyp)] * len(hyp) if hyp else []
+            yield pd.DataFrame({name: ids, "unit": units, "unit_s": pd.Series(at, dtype="float64"), "coverage": shares})
 
     return df.select(key, "hyp", "heard", "heard_s").mapInPandas(run, f"{key} {kind}, unit int, unit_s double, coverage double")

@@ -147,6 +147,16 @@ def span_by_ratio(units: Column, lo: Column, hi: Column, joiner: str = " ") -> C
     return F.array_join(F.slice(units, first + 1, last - first), joiner)
 
 
+def context_by_time(text: Column, units: Column, start_s: Column, end_s: Column, total_s: Column, context_s: float, joiner: str = " ") -> Column:
+    """What is said from ``context_s`` before a span of audio to as long after it, with its times, by the shares of the whole's duration.
+
+    Without a duration: the whole text, from 0 to 0."""
+    lo, hi = F.greatest(F.lit(0.0), start_s - context_s), F.least(total_s, end_s + context_s)
+    known = F.coalesce(total_s > 0, F.lit(False))
+    part = F.when(known, span_by_ratio(units, lo / total_s, hi / total_s, joiner)).otherwise(text)
+    return F.struct(part.alias("text"), F.when(known, lo).otherwise(F.lit(0.0)).alias("start_s"), F.when(known, hi).otherwise(F.lit(0.0)).alias("end_s"))
+
+
 def detokenize(x: Column) -> Column:
     """No space before closing punctuation nor after opening brackets."""
     tight = F.regexp_replace(collapse(x), r"\s+([,.;:!?%)\]}])", "$1")
@@ -270,11 +280,14 @@ def clean_completion(x: Column, thinking: bool = False) -> Column:
     for token in END_TOKENS:
         out = F.replace(out, F.lit(token), F.lit(""))
     out = _strip(F.regexp_replace(_strip(out), r"^`+|`+$", ""))
-    for prefix in ANSWER_PREFIXES:
-        out = F.when(out.startswith(prefix), _strip(F.substr(out, F.lit(len(prefix) + 1)))).otherwise(out)
-    paired = (out.startswith('"') & out.endswith('"')) | (out.startswith("'") & out.endswith("'"))
-    out = F.when(paired, F.substr(out, F.lit(2), F.greatest(F.lit(0), F.length(out) - 2))).otherwise(out)
-    return collapse(out)
+    # a fold names each step's text once; nested conditions would double the expression with every prefix
+    cut = lambda said, prefix: F.when(F.startswith(said, prefix), _strip(F.substr(said, F.length(prefix) + 1))).otherwise(said)
+    return F.aggregate(F.array(*[F.lit(p) for p in ANSWER_PREFIXES]), out, cut, lambda said: collapse(_unquoted(said)))
+
+
+def _unquoted(x: Column) -> Column:
+    paired = (x.startswith('"') & x.endswith('"')) | (x.startswith("'") & x.endswith("'"))
+    return F.when(paired, F.substr(x, F.lit(2), F.greatest(F.lit(0), F.length(x) - 2))).otherwise(x)
 
 
 def _strip(x: Column) -> Column:

@@ -1,11 +1,14 @@
 """Summaries: metric tables, decision statistics, weighted means, paired statistics, validations and grids.
 
-Every grouping is by a key of the rows with partial sums; nothing gathers a whole table.  Exact percentiles and ranks are per metric.
+Every grouping is by a key of the rows with partial sums; nothing gathers a whole table.  Exact percentiles and ranks are
+found by cells of a metric's values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +24,53 @@ def unpivot_numbers(df: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return df.select(*keys, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(list(keys), list(names), "metric", "value")
 
 
+def values_at(long: DataFrame, keys: Sequence[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """long: keys, metric, value.  keys, metric, n, mean, min, max and the value at each of ``places`` (of n, from 0) in rising order.
+
+    Equal values are one row with their count.  Approximate quantiles of these rows cut a group into 1024 cells; the running counts
+    of the cells tell which ones hold a wanted place, and only their rows are ranked, each cell in a task of its own.  A group with
+    all rows of a table is thus never in one task, and all values are exact."""
+    held = long.select(F.struct(*keys, "metric").alias("__g"), "value").groupBy("__g", "value").agg(F.count(F.lit(1)).alias("__c"))
+    edges = F.percentile_approx("value", [i / 1024 for i in range(1, 1024)], 10_000)
+    groups = held.groupBy("__g").agg(
+        edges.alias("__edges"), F.sum("__c").alias("n"), (F.sum(F.col("value") * F.col("__c")) / F.sum("__c")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    # how many edges lie below a value: by every 32nd edge, then by the 31 behind it
+    below = lambda among: F.size(F.filter(among, lambda e: e < F.col("value")))
+    coarse = F.transform(F.sequence(F.lit(32), F.lit(992), F.lit(32)), lambda i: F.get("__edges", i - 1))
+    marked = groups.select("__g", "__edges", coarse.alias("__coarse"))
+    cut = held.join(marked, "__g").withColumn("__k", 32 * below("__coarse"))
+    cut = cut.withColumn("__cell", F.col("__k") + below(F.slice("__edges", F.col("__k") + 1, 31))).select("__g", "__cell", "value", "__c")
+    # at most 1024 rows of a group
+    cells = cut.groupBy("__g", "__cell").agg(F.sum("__c").alias("__m"))
+    cells = cells.withColumn("__hi", F.sum("__m").over(Window.partitionBy("__g").orderBy("__cell"))).withColumn("__lo", F.col("__hi") - F.col("__m"))
+    cells = cells.join(groups.select("__g", *[at(F.col("n")).cast("long").alias(f"__at_{p}") for p, at in places.items()]), "__g")
+    inside = lambda p: (F.col("__lo") <= F.col(f"__at_{p}")) & (F.col(f"__at_{p}") < F.col("__hi"))
+    wanted = cells.filter(reduce(operator.or_, [inside(p) for p in places])).drop("__m", "__hi")
+    ranked = cut.join(wanted, ["__g", "__cell"]).withColumn("__upto", F.col("__lo") + F.sum("__c").over(Window.partitionBy("__g", "__cell").orderBy("value")))
+    found = ranked.groupBy("__g").agg(*[F.min(F.when(F.col("__upto") > F.col(f"__at_{p}"), F.col("value"))).alias(p) for p in places])
+    return groups.drop("__edges").join(found, "__g").select("__g.*", "n", "mean", "min", "max", *places)
+
+
+def interpolated(long: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """long: keys, metric, value.  keys, metric, n, mean, min, max and the interpolated percentile of each share under its name."""
+    places = {}
+    for name, q in shares.items():
+        places[f"__lo_{name}"] = lambda n, q=q: F.floor((n - 1) * q)
+        places[f"__hi_{name}"] = lambda n, q=q: F.ceil((n - 1) * q)
+
+    def between(name: str, q: float) -> Column:
+        at, lo, hi = (F.col("n") - 1) * q, F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        return F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name)
+
+    return values_at(long, keys, places).select(*keys, "metric", "n", "mean", "min", "max", *[between(*x) for x in shares.items()])
+
+
 def metric_summary(df: DataFrame, names: Sequence[str], keys: Sequence[str] = (), p95: bool = True) -> DataFrame:
     """A1, A2: count, mean, interpolated percentiles, least and greatest of each metric that has a value; rounded to 6."""
     long = unpivot_numbers(df, keys, names).filter("value is not null")
-    r = lambda c: F.bround(c, 6)
-    out = [F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean"), r(F.percentile("value", F.lit(0.5))).alias("p50"), r(F.percentile("value", F.lit(0.9))).alias("p90")]
-    out += [r(F.percentile("value", F.lit(0.95))).alias("p95")] if p95 else []
-    return long.groupBy(*keys, "metric").agg(*out, r(F.min("value")).alias("min"), r(F.max("value")).alias("max"))
+    out = interpolated(long, keys, {"p50": 0.5, "p90": 0.9} | ({"p95": 0.95} if p95 else {}))
+    return out.select(*keys, "metric", "n", *[F.bround(c, 6).alias(c) for c in ["mean", "p50", "p90", *(["p95"] if p95 else []), "min", "max"]])
 
 
 def flag_rates(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -39,14 +82,8 @@ def flag_rates(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) ->
 def nearest_rank(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """A3: p50 is the value at place n // 2, p90 the one at min(n - 1, int(.9 n)), from 0, without interpolation."""
     long = unpivot_numbers(df, keys, names).filter("value is not null")
-    counted = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    # equal values are one row with a running count, so that few rows of a metric meet in its window
-    held = long.groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys, "metric").orderBy("value")
-    held = held.withColumn("hi", F.sum("c").over(upto)).join(counted.select(*keys, "metric", "n"), [*keys, "metric"])
-    at = lambda place: F.min(F.when(F.col("hi") > place, F.col("value")))
-    ranks = held.groupBy(*keys, "metric").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9))).alias("p90"))
-    return counted.join(ranks, [*keys, "metric"]).select(*keys, "metric", "n", F.bround("mean", 6).alias("mean"), "p50", "p90", "min", "max")
+    out = values_at(long, keys, {"p50": lambda n: F.floor(n / 2), "p90": lambda n: F.least(n - 1, F.floor(n * 0.9))})
+    return out.select(*keys, "metric", "n", F.bround("mean", 6).alias("mean"), "p50", "p90", "min", "max")
 
 
 def label_summary(df: DataFrame, file: str) -> DataFrame:
@@ -129,12 +166,15 @@ def paired_stats(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), mar
 def cell_summary(groups: DataFrame, run: str) -> DataFrame:
     """A11.  groups: run, source_ids, hypothesis_ids, ending_offset, first_offset, span.  Alignment shapes and offset percentiles."""
     s, h = F.size("source_ids"), F.size("hypothesis_ids")
-    p = lambda c, q: F.bround(F.percentile(c, F.lit(q)), 6)
-    return groups.groupBy(run).agg(
+    names = ["ending_offset", "first_offset", "span"]
+    ranks = interpolated(unpivot_numbers(groups, [run], names).filter("value is not null"), [run], {"p50": 0.5, "p90": 0.9})
+    p = lambda metric, c, name: F.bround(F.max(F.when(F.col("metric") == metric, F.col(c))), 6).alias(name)
+    ranks = ranks.groupBy(F.col(run).alias("__run")).agg(p("ending_offset", "p50", "ending_p50"), p("ending_offset", "p90", "ending_p90"), p("first_offset", "p50", "first_p50"), p("span", "p50", "span_p50"))
+    shapes = groups.groupBy(run).agg(
         F.count(F.lit(1)).alias("groups"), F.count_if((s == 1) & (h == 1)).alias("one_to_one"), F.count_if((s > 1) & (h == 1)).alias("many_to_one"), F.count_if((s == 1) & (h > 1)).alias("one_to_many"),
-        F.count_if((s > 1) & (h > 1)).alias("many_to_many"), F.max(F.greatest(s, h)).alias("largest"), F.bround(F.avg("ending_offset"), 6).alias("ending_mean"), p("ending_offset", 0.5).alias("ending_p50"),
-        p("ending_offset", 0.9).alias("ending_p90"), p("first_offset", 0.5).alias("first_p50"), p("span", 0.5).alias("span_p50"),
+        F.count_if((s > 1) & (h > 1)).alias("many_to_many"), F.max(F.greatest(s, h)).alias("largest"), F.bround(F.avg("ending_offset"), 6).alias("ending_mean"),
     )
+    return shapes.join(ranks, shapes[run].eqNullSafe(ranks["__run"]), "left").drop("__run")
 
 
 def timing_summary(talks: DataFrame, run: str) -> DataFrame:

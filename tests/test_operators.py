@@ -315,3 +315,20 @@ def test_loops_and_repetitions(spark):
         assert any(new == old[: at + size] + old[at : at + size] * 2 + old[at + size :] for at in range(len(old) - size + 1))
     late = S.drop_lead(df, "id", "turns", 2, fraction=1.0).filter("dropped > 0").collect()
     assert {r.id.split("_mid")[0] for r in late} == {i for i, t in given.items() if len(t) >= 5} and all(r.turns == given[r.id.split("_mid")[0]][r.dropped :] and len(r.turns) >= 4 for r in late)
+
+
+def test_ranks_of_large_and_skewed_groups(spark):
+    rng = random.Random(5)
+    odd = [0.0] * 3000 + [rng.gauss(0, 1) for _ in range(4000)] + [1e12, -1e12, float("inf")] + [7.5] * 900
+    rows = [(None, x) for x in odd] + [("b", float(i % 3)) for i in range(50)] + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in A.metric_summary(df, ["v"], ["k"]).collect()}
+    want = df.groupBy("k").agg(*[F.bround(F.percentile("v", F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))], F.count("v").alias("n")).collect()
+    assert len(got) == len(want) == 3
+    for r in want:
+        assert (got[r.k].n, got[r.k].p50, got[r.k].p90, got[r.k].p95) == (r.n, r.p50, r.p90, r.p95)
+    ranks = {r.k: r for r in A.nearest_rank(df, ["v"], ["k"]).collect()}
+    for k in (None, "b", "c"):
+        v = sorted(x for key, x in rows if key == k)
+        assert (ranks[k].p50, ranks[k].p90, ranks[k]["min"], ranks[k]["max"]) == (v[len(v) // 2], v[min(len(v) - 1, int(0.9 * len(v)))], v[0], v[-1])
+    assert A.metric_summary(df.limit(0), ["v"], ["k"]).count() == 0
