@@ -14,6 +14,35 @@ from . import text as T
 PRESERVE = ("named_entities", "numbers", "terminology", "negation", "modality", "causality", "contrast")
 COMPRESSIBLE = ("discourse_fillers", "repeated_explanations", "redundant_modifiers", "low_information_examples", "self_repairs")
 
+#: fixed values: the system message of compression requests and the parts of a request, in their order
+SYSTEM_COMPRESSION = """You are a professional simultaneous interpreter.
+Your task is budget-aware streaming speech translation.
+Preserve all core claims, entities, numbers, terminology, negation, modality,
+speaker intent, and causal or contrastive relations. Compress or omit only
+repetitions, fillers, self-repairs, redundant modifiers, and non-critical
+examples. If the faithful translation fits the timing/length budget, keep it
+faithful and do not shorten unnecessarily. Do not add information.
+Use natural modern spoken language that a TTS system can read aloud smoothly.
+For Chinese, avoid classical/literary shorthand such as 其, 之, 乃, 遂, 皆,
+足证, or telegraphic noun piles. Prefer clear contemporary wording even if it
+costs a few more characters."""
+PROMPT_SOURCE_LANG, PROMPT_TARGET_LANG, PROMPT_SOURCE, PROMPT_REFERENCE = "Source language: ", "Target language: ", "Source transcript:", "Reference translation:"
+PROMPT_LENGTH = "Hard length budget:"
+PROMPT_CHARS = "Use no more than {} target-language CJK characters. Count every Chinese/Japanese/Korean character."
+PROMPT_WORDS = "Use no more than {} target-language words."
+PROMPT_STYLE = (
+    "Style requirements:",
+    "Use natural modern spoken target-language phrasing suitable for speech output. Do not use archaic/classical compression or telegram-like fragments.",
+    "Budget policy:",
+    "If a faithful translation can fit the hard length/timing budget, keep the meaning complete and do not compress just to be shorter. Only compact when the budget would otherwise be exceeded.",
+)
+PROMPT_LIMITS, PROMPT_END = "Compression constraints as JSON:", "Return only the target-language translation."
+#: fixed values: the limits that a request states as JSON
+LIMITS = (
+    "mode", "target_ratio", "max_target_chars", "max_target_words", "max_target_duration_s", "max_target_wpm", "max_end_lag_s", "streaming_decision_policy", "s2s_rtf", "rtf_threshold",
+    "playback_budget_s", "reference_tts_duration_s", "needs_compression", "must_keep_terms", "core_meanings",
+)
+
 
 def first_given(df: DataFrame, names: Sequence[str]) -> Column:
     """The first of the columns there are that is neither null nor empty."""
@@ -54,10 +83,38 @@ def chat_records(df: DataFrame, system: str, prompt: Column, target: Column) ->
     return out.withColumn("record", F.to_json(F.struct(F.col("id"), F.col("messages"))))
 
 
-def user_prompt(src: Column, source_lang: Column, target_lang: Column, budget: Column) -> Column:
-    """The request of a compressed translation."""
-    limit = F.when(budget.isNotNull(), F.concat(F.lit("At most "), budget.cast("string"), F.lit(" units.")))
-    return F.concat_ws("\n", F.concat(F.lit("Translate from "), source_lang, F.lit(" into "), target_lang, F.lit(".")), limit, F.concat(F.lit("Source: "), src))
+def _json_value(df: DataFrame, name: str) -> Column:
+    """A column as JSON with a space behind commas; null where it is null or isn't there, except lists, which are empty then."""
+    text = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    kind = dict(df.dtypes).get(name)
+    if name in LIMITS[-2:]:
+        items = F.coalesce(F.col(name), F.array().cast("array<string>")) if kind else F.array().cast("array<string>")
+        return F.concat(F.lit("["), F.array_join(F.transform(items, text), ", "), F.lit("]"))
+    if not kind:
+        return F.lit("null")
+    return F.coalesce(text(F.col(name)) if kind == "string" else F.col(name).cast("string"), F.lit("null"))
+
+
+def compression_prompt(df: DataFrame, reference: bool = False) -> Column:
+    """The request of a compressed translation.  df: src_lang, tgt_lang, source_text, and of LIMITS (and reference_translation) what there is.
+
+    The hard budget is in characters where these are limited, else in words, else left out."""
+    given = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    limits = [F.concat(F.lit(f'"{n}": '), _json_value(df, n)) for n in LIMITS]
+    budget = [F.when(given(n).isNotNull(), F.concat_ws("\n", F.lit(PROMPT_LENGTH), F.format_string(said.replace("{}", "%s"), given(n).cast("string")))) for n, said in (("max_target_chars", PROMPT_CHARS), ("max_target_words", PROMPT_WORDS))]
+    known = F.when(F.coalesce(given("reference_translation"), F.lit("")) != "", F.concat_ws("\n", F.lit(PROMPT_REFERENCE), given("reference_translation"))) if reference else F.lit(None).cast("string")
+    return F.concat_ws(
+        "\n", F.concat(F.lit(PROMPT_SOURCE_LANG), "src_lang"), F.concat(F.lit(PROMPT_TARGET_LANG), "tgt_lang"), F.lit(PROMPT_SOURCE), F.coalesce("source_text", F.lit("")), known, F.coalesce(*budget),
+        *[F.lit(x) for x in PROMPT_STYLE], F.lit(PROMPT_LIMITS), F.concat(F.lit("{"), F.concat_ws(", ", *limits), F.lit("}")), F.lit(PROMPT_END),
+    )
+
+
+def completion_records(df: DataFrame, system: str, prompt: Column, target: Column) -> DataFrame:
+    """Prompt and completion as two texts for rows that have a target; the others give none."""
+    said = F.nullif(F.trim(F.coalesce(target, F.lit(""))), F.lit(""))
+    asked = F.concat_ws("\n\n", F.lit(f"System:\n{system}"), F.concat(F.lit("User:\n"), prompt), F.lit("Assistant:\n"))
+    out = df.withColumns({"prompt": asked, "completion": said}).filter(F.col("completion").isNotNull())
+    return out.withColumn("record", F.to_json(F.struct("id", "prompt", "completion")))
 
 
 def tts_requests(df: DataFrame, rate: Column) -> DataFrame:

@@ -271,3 +271,16 @@ def qe_segments(df: DataFrame, key: str, sentences: str, candidate: str) -> Data
     upto = F.sum(F.length("source")).over(Window.partitionBy(key).orderBy("segment"))
     rows = rows.withColumn("__hi", F.floor(upto * F.size("__w") / F.col("__t")).cast("int")).withColumn("__lo", F.floor((upto - F.length("source")) * F.size("__w") / F.col("__t")).cast("int"))
     return rows.select(key, "segment", "source", F.array_join(F.slice("__w", F.col("__lo") + 1, F.col("__hi") - F.col("__lo")), " ").alias("hypothesis"), F.length("source").alias("weight_chars"))
+
+
+def paired_segments(df: DataFrame, key: str, sentences: str) -> DataFrame:
+    """A segment for each of the manifest's sentences that has both sides.  sentences: array<struct<source, target>>.
+
+    White space is collapsed; the weight is the characters of both sides, 1 at least.  Rows without a whole pair give no segment.
+    Segments are numbered in order from 0 and know how many there are."""
+    tidy = F.transform(sentences, lambda x: F.struct(T.collapse(x["source"]).alias("source"), T.collapse(x["target"]).alias("hypothesis")))
+    pairs = F.filter(tidy, lambda x: (x["source"] != "") & (x["hypothesis"] != ""))
+    rows = df.select(key, pairs.alias("__p")).select(key, F.size("__p").alias("segments"), F.posexplode("__p").alias("segment", "__s"))
+    weight = F.greatest(F.lit(1), F.length("__s.source") + F.length("__s.hypothesis"))
+    name = F.concat(F.col(key).cast("string"), F.lit("||seg="), F.lpad(F.col("segment").cast("string"), F.greatest(F.lit(3), F.length(F.col("segment").cast("string"))), F.lit("0")))
+    return rows.select(name.alias("qe_id"), key, "segment", "segments", F.col("__s.source").alias("source"), F.col("__s.hypothesis").alias("hypothesis"), weight.alias("weight_chars"))

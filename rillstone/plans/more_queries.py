@@ -526,3 +526,53 @@ def live_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(e.schema).parquet(path + "/in")
         X.upsert_each_batch(stream, path + "/table", "user_id", "ts", "36500 days", path + "/state").trigger(availableNow=True).start().awaitTermination()
     return X.latest_by_key(spark.read.option("basePath", path + "/table").parquet(path + "/table"), "user_id", "ts").select("user_id", "event_id", "value")
+
+
+_PLAIN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, {_PLAIN.format('a.text')} AS source, {_PLAIN.format('b.text')} AS hypothesis FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS segment, count(*) OVER (PARTITION BY conv_id) AS segments FROM p WHERE source <> '' AND hypothesis <> '')
+SELECT conv_id || '||seg=' || lpad(CAST(segment AS VARCHAR), CAST(greatest(3, length(CAST(segment AS VARCHAR))) AS INT), '0') AS qe_id, conv_id, segment, segments, source, hypothesis, greatest(1, length(source) + length(hypothesis)) AS weight_chars FROM q""")
+def paired_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even turn with the turn behind it."""
+    t = table(spark, sf_dir, "conversations")
+    a, b = t.filter("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("source")), t.filter("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    pairs = a.join(b, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "source", "target"))).alias("pairs"))
+    return _long(S.paired_segments(pairs, "conv_id", "pairs"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w, n_chars / 15.0::DOUBLE AS total, (doc_id % 7)::DOUBLE AS s FROM documents),
+c AS (SELECT *, greatest(0.0::DOUBLE, s - 4.0) AS lo, least(total, s + 3.0 + 4.0) AS hi FROM w)
+SELECT doc_id, CASE WHEN total > 0 THEN array_to_string(w[CAST(round_even(lo / total * len(w), 0) AS INT) + 1:CAST(round_even(hi / total * len(w), 0) AS INT)], ' ') ELSE text END AS part, round_even(CASE WHEN total > 0 THEN lo ELSE 0 END, 6) AS start_s, round_even(CASE WHEN total > 0 THEN hi ELSE 0 END, 6) AS end_s FROM c""")
+def timed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said from four seconds before a span of three seconds to four behind it."""
+    units = F.filter(F.split(T.collapse(F.col("text")), " "), lambda w: w != "")
+    s = (F.col("doc_id") % 7).cast("double")
+    x = T.context_by_time(F.coalesce("text", F.lit("")), units, s, s + 3.0, F.col("n_chars") / 15.0, 4.0)
+    return table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", F.col("x.text").alias("part"), F.bround("x.start_s", 6).alias("start_s"), F.bround("x.end_s", 6).alias("end_s"))
+
+
+_SAID = {k: v.replace("'", "''") for k, v in {"system": R.SYSTEM_COMPRESSION, "chars": R.PROMPT_CHARS, "words": R.PROMPT_WORDS}.items()}
+_STYLE = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in R.PROMPT_STYLE)
+_GIVEN = {
+    "mode": "'\"compress\"'", "max_target_chars": "CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars // 3 AS VARCHAR) ELSE 'null' END", "max_target_words": "CASE WHEN doc_id % 3 < 2 THEN CAST(n_chars // 9 AS VARCHAR) ELSE 'null' END",
+    "needs_compression": "CASE WHEN n_chars > 300 THEN 'true' ELSE 'false' END", "must_keep_terms": "'[\"a \\\"b\\\"\", ' || to_json(coalesce(lang, 'none')) || ']'", "core_meanings": "'[]'",
+}
+_LIMITS = " || ', ' || ".join(f"'\"{n}\": ' || {_GIVEN.get(n, chr(39) + 'null' + chr(39))}" for n in R.LIMITS)
+
+
+@query(f"""WITH p AS (SELECT doc_id AS id, 'Source language: ' || coalesce(lang, 'und') || chr(10) || 'Target language: zh' || chr(10) || '{R.PROMPT_SOURCE}' || chr(10) || text
+|| CASE WHEN doc_id % 3 = 0 THEN chr(10) || '{R.PROMPT_LENGTH}' || chr(10) || replace('{_SAID['chars']}', '{{}}', CAST(n_chars // 3 AS VARCHAR)) WHEN doc_id % 3 = 1 THEN chr(10) || '{R.PROMPT_LENGTH}' || chr(10) || replace('{_SAID['words']}', '{{}}', CAST(n_chars // 9 AS VARCHAR)) ELSE '' END
+|| chr(10) || {_STYLE} || chr(10) || '{R.PROMPT_LIMITS}' || chr(10) || '{{' || {_LIMITS} || '}}' || chr(10) || '{R.PROMPT_END}' AS asked, text FROM documents WHERE trim(coalesce(text, '')) <> '')
+SELECT id, md5('System:' || chr(10) || '{_SAID['system']}' || chr(10) || chr(10) || 'User:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant:' || chr(10)) AS prompt_md5, length(asked) AS asked_chars, md5(trim(text, ' ')) AS completion_md5 FROM p""")
+def completion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request and answer of each text, with limits in characters, in words or none; digests of what a training record holds."""
+    c = F.col
+    d = table(spark, sf_dir, "documents").select(
+        c("doc_id").alias("id"), F.coalesce("lang", F.lit("und")).alias("src_lang"), F.lit("zh").alias("tgt_lang"), c("text").alias("source_text"), F.lit("compress").alias("mode"),
+        F.when(c("doc_id") % 3 == 0, F.floor(c("n_chars") / 3)).alias("max_target_chars"), F.when(c("doc_id") % 3 < 2, F.floor(c("n_chars") / 9)).alias("max_target_words"), (c("n_chars") > 300).alias("needs_compression"),
+        F.array(F.lit('a "b"'), F.coalesce("lang", F.lit("none"))).alias("must_keep_terms"),
+    )
+    d = d.withColumn("asked", R.compression_prompt(d))
+    return _long(R.completion_records(d, R.SYSTEM_COMPRESSION, c("asked"), c("source_text")).select("id", F.md5("prompt").alias("prompt_md5"), F.length("asked").alias("asked_chars"), F.md5("completion").alias("completion_md5")))

@@ -226,6 +226,8 @@ def test_augmentations(spark):
     assert [r.segment_id for r in pk] == ["seg_a_00000"]
     qe = S.qe_segments(spark.createDataFrame([("a", ["xxxx", "yyyy"], "one two three four")], "id string, s array<string>, c string"), "id", "s", "c").orderBy("segment").collect()
     assert [(r.hypothesis, r.weight_chars) for r in qe] == [("one two", 4), ("three four", 4)]
+    both = S.paired_segments(spark.createDataFrame([("a", [("x  y", "z"), ("", "q"), ("u", None), ("w", "v")]), ("b", None)], "id string, s array<struct<source string, target string>>"), "id", "s").orderBy("segment").collect()
+    assert [(r.qe_id, r.segments, r.source, r.hypothesis, r.weight_chars) for r in both] == [("a||seg=000", 2, "x y", "z", 4), ("a||seg=001", 2, "w", "v", 2)]
     assert S.report_rank(spark.createDataFrame([(None, "kit", None, "x")], "speed double, model string, chunk_ms int, label string")).first().o_speed == 999999.0
     assert S.union_copies([("a", df), ("b", df)]).groupBy("copy_kind").count().count() == 2
 

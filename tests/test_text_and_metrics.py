@@ -215,3 +215,29 @@ def test_long_pairs_take_linear_time_and_no_cap(spark):
         df.select(M.bag_f1(F.col("a"), F.col("b")).alias("f"), M.token_recall(F.col("a"), F.col("b")).alias("r")).agg(F.sum("f"), F.sum("r")).collect()
         took[n] = time.time() - began
     assert took[8000] < 16 * max(0.3, took[1000])
+
+
+def test_context_by_time(spark):
+    at = lambda lo, hi, total: tuple(one(spark, T.context_by_time(F.lit("whole"), F.array(*map(F.lit, "abcdefghij")), F.lit(lo), F.lit(hi), F.lit(total), 2.0)))
+    assert at(4.0, 6.0, 10.0) == ("c d e f g h", 2.0, 8.0)
+    assert at(0.0, 1.0, 10.0) == ("a b c", 0.0, 3.0) and at(9.0, 10.0, 10.0) == ("h i j", 7.0, 10.0)
+    assert at(1.0, 2.0, 0.0) == ("whole", 0.0, 0.0) == at(1.0, 2.0, None)
+
+
+def test_compression_prompt(spark):
+    import json
+
+    df = spark.createDataFrame([("a", "en", "zh", "one\ntwo", 12, 4, ["x \"y\"", "中"], "ref"), ("b", "en", "de", "s", None, 4, None, ""), ("c", "en", "de", None, None, None, [], None)], "id string, src_lang string, tgt_lang string, source_text string, max_target_chars int, max_target_words int, must_keep_terms array<string>, reference_translation string")
+    got = {r.id: r.p.split("\n") for r in df.select("id", R.compression_prompt(df, reference=True).alias("p")).collect()}
+    assert got["a"][:8] == ["Source language: en", "Target language: zh", "Source transcript:", "one", "two", "Reference translation:", "ref", "Hard length budget:"]
+    assert got["a"][8] == R.PROMPT_CHARS.format(12) and got["b"][5] == R.PROMPT_WORDS.format(4) and got["c"][4] == "Style requirements:" and got["c"][3] == ""
+    limits = {"mode": None, "target_ratio": None, "max_target_chars": 12, "max_target_words": 4} | dict.fromkeys(R.LIMITS[4:13]) | {"must_keep_terms": ['x "y"', "中"], "core_meanings": []}
+    assert got["a"][-2] == json.dumps(limits, ensure_ascii=False) and json.loads(got["b"][-2])["must_keep_terms"] == [] and got["c"][-1] == R.PROMPT_END
+    out = R.completion_records(df, "S", F.lit("U"), F.col("source_text")).collect()
+    assert [(r.id, r.prompt, r.completion) for r in out] == [("a", "System:\nS\n\nUser:\nU\n\nAssistant:\n", "one\ntwo"), ("b", "System:\nS\n\nUser:\nU\n\nAssistant:\n", "s")]
+
+
+def test_clean_completion_cuts_prefixes_in_order(spark):
+    first, second = T.ANSWER_PREFIXES[:2]
+    assert one(spark, T.clean_completion(F.lit(f'{first} {second} "said  so"'))) == "said so"
+    assert one(spark, T.clean_completion(F.lit("'"))) == "" and one(spark, T.clean_completion(F.lit(None).cast("string"))) == ""
