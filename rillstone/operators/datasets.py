@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrow import list_literal
 from .running import running
-from .sampling import unit_interval
+from .sampling import expand_speeds, unit_interval
 from .windows import greedy_groups
 
 def _session_walk(turns: np.ndarray, want: np.ndarray, left: int) -> tuple[np.ndarray, int]:
@@ -95,3 +95,25 @@ def trajectory_rows(df: DataFrame, key: str, raw: str, most: int = 400, dirty: C
 def reason_counts(df: DataFrame) -> DataFrame:
     """S21's counters; accepted rows have a null reason."""
     return df.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def turn_rows(turns: DataFrame, targets: DataFrame, spans: DataFrame, faults: DataFrame, speeds: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """J19.  Training rows of spoken turns, each at every speed, and the sessions that give none.
+
+    turns: id, turn, audio, source_s, text; targets: id, path; spans: id, turn, start_s, end_s in the target's audio (rows of null
+    spans for turns without speech); faults: id, error of sessions whose intervals couldn't be read.  A session must have a target
+    and spans; its reason otherwise comes back as (id, reason).  A row holds the sped-up audios up to its turn, the
+    source's duration at its speed, the span, and the target's duration over the source's."""
+    why = F.when(F.col("path").isNull(), "missing_target_manifest").when(F.col("error").isNotNull(), F.concat(F.lit("textgrid_exception:"), "error")).when(F.col("timed").isNull(), "missing_textgrid")
+    known = turns.select("id").distinct().join(targets, "id", "left").join(faults, "id", "left").join(spans.select("id").distinct().withColumn("timed", F.lit(True)), "id", "left")
+    known = known.withColumn("reason", why)
+    rows = turns.join(known.filter("reason is null").select("id", F.col("path").alias("target_path")), "id").join(spans, ["id", "turn"], "left")
+    rows = expand_speeds(rows, "id", speeds)
+    at = F.concat("variant_id", F.lit("__chunk_"), F.lpad(F.col("turn").cast("string"), 4, "0"))
+    rows = rows.withColumns({"chunk_id": at, "source_audio": F.concat(at, F.lit(".wav")), "current_source_s": F.bround(F.col("source_s") / F.col("speed"), 6)})
+    rows = rows.withColumn("audios", F.collect_list("source_audio").over(Window.partitionBy("id", "speed").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.coalesce("text", F.lit("")) != ""
+    length = F.when(said, F.bround(F.col("end_s") - F.col("start_s"), 6))
+    rows = rows.withColumns({"expected_empty": ~said, "target_s": length}).withColumn("rtf", F.bround(F.col("target_s") / F.greatest(F.lit(1e-6), "current_source_s"), 6))
+    out = rows.select(F.col("chunk_id").alias("id"), F.col("id").alias("row_id"), "turn", "speed", "audios", "current_source_s", "text", "expected_empty", "target_path", "start_s", "end_s", "target_s", "rtf")
+    return out, known.filter("reason is not null").select("id", "reason")

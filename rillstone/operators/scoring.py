@@ -154,6 +154,20 @@ def corpus_metrics(df: DataFrame, run: str, row: str, kind: str = "13a") -> Data
     return own.join(corpus_bleu(df, [run], row, kind).select(run, "bleu"), run).join(corpus_chrf(df, [run], row), run)
 
 
+#: fixed value: what a voice says when it is done
+END_OF_SPEECH = "TTS-finish"
+
+
+def sweep_scores(messages: DataFrame, references: DataFrame, kind: str = "zh") -> DataFrame:
+    """A16's text metrics.  messages: run, message_id, text, unstable; references: run, reference.
+
+    A run's text is its stable messages with something to say, in order; the scores are those of the one text of each run."""
+    said = messages.filter(~F.coalesce("unstable", F.lit(False)) & ~F.trim(F.coalesce("text", F.lit(""))).isin("", END_OF_SPEECH))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("message_id", F.lit(0)).alias("i"), "text"))), lambda m: m["text"]), "")
+    both = references.join(said.groupBy("run").agg(joined.alias("candidate")), "run", "left").withColumn("candidate", F.coalesce("candidate", F.lit(""))).withColumn("__row", F.lit(1))
+    return corpus_metrics(both, "run", "__row", kind).join(both.select("run", F.length("candidate").alias("candidate_chars")), "run")
+
+
 def document_bleu(refs: DataFrame, hyps: DataFrame, kind: str = "char") -> DataFrame:
     """M23.  refs: doc, seg, text; hyps: doc, text.  References joined in order; no white space in the candidate."""
     whole = refs.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]), "").alias("reference"))

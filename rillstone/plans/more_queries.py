@@ -25,7 +25,7 @@ from ..operators import scoring as C
 from ..operators import windows as W
 from ..sources import files
 from ..streaming import sessions as X
-from .queries import _CHARS, _FIFO, _GRAMS, _PACKETS, _TOK, _UNIT, _long, packets, playout
+from .queries import _CHARS, _FIFO, _GRAMS, _PACKETS, _PAIRS, _TOK, _UNIT, _long, packets, pairs, playout
 from .registry import query, table
 
 
@@ -576,3 +576,39 @@ def completion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = d.withColumn("asked", R.compression_prompt(d))
     return _long(R.completion_records(d, R.SYSTEM_COMPRESSION, c("asked"), c("source_text")).select("id", F.md5("prompt").alias("prompt_md5"), F.length("asked").alias("asked_chars"), F.md5("completion").alias("completion_md5")))
+
+
+@query(f"""WITH {_PAIRS} SELECT id AS run, length(candidate) AS candidate_chars, len({_TOK.format('candidate')}) AS candidate_units, len({_TOK.format('reference')}) AS reference_units FROM pairs""")
+def sweep_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate in two messages, with one that isn't stable and the voice's end; scores are tested on literal texts."""
+    p = pairs(spark, sf_dir)
+    x, m = F.col("candidate"), lambda i, t, u: F.struct(F.lit(i).alias("message_id"), t.alias("text"), F.lit(u).alias("unstable"))
+    cut = F.array(m(4, F.lit(C.END_OF_SPEECH), False), m(3, F.substr(x, F.lit(11)), False), m(2, F.lit("draft"), True), m(1, F.substr(x, F.lit(1), F.lit(10)), False))
+    sent = p.select(F.col("id").alias("run"), F.explode(cut).alias("m")).select("run", "m.*")
+    return _long(C.sweep_scores(sent, p.select(F.col("id").alias("run"), "reference")).select("run", "candidate_chars", "candidate_units", "reference_units"))
+
+
+_SESSIONS = """WITH c AS (SELECT *, length(coalesce(text, '')) / 10.0::DOUBLE AS source_s FROM conversations),
+k AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'missing_target_manifest' WHEN conv_id % 7 = 0 THEN 'textgrid_exception:mismatch' WHEN conv_id % 11 = 0 THEN 'missing_textgrid' END AS reason FROM c)"""
+
+
+@query(_SESSIONS + """, s AS (SELECT c.*, unnest([1.0::DOUBLE, 1.5]) AS speed FROM c JOIN k USING (conv_id) WHERE reason IS NULL), n AS (SELECT *, conv_id || '__speed_' || CASE WHEN speed = 1 THEN '1' ELSE '1.5' END || '__chunk_' || lpad(CAST(turn AS VARCHAR), 4, '0') AS id, round_even(source_s / speed, 6) AS own FROM s),
+h AS (SELECT *, string_agg(id || '.wav', ',') OVER (PARTITION BY conv_id, speed ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS audios FROM n)
+SELECT id, conv_id AS row_id, speed, audios, own AS current_source_s, coalesce(text, '') = '' AS expected_empty, CASE WHEN coalesce(text, '') <> '' THEN 2.0::DOUBLE END AS target_s, CASE WHEN coalesce(text, '') <> '' THEN round_even(2.0 / greatest(1e-6, own), 6) END AS rtf FROM h""")
+def turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History, spans and speeds of the turns of sessions that have a target and intervals."""
+    rows, _ = _session_rows(spark, sf_dir)
+    return rows.select("id", "row_id", "speed", F.array_join("audios", ",").alias("audios"), "current_source_s", "expected_empty", "target_s", "rtf")
+
+
+@query(_SESSIONS + " SELECT conv_id AS id, reason FROM k WHERE reason IS NOT NULL")
+def rejected_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the other sessions give no turn."""
+    return _session_rows(spark, sf_dir)[1]
+
+
+def _session_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "text", (F.length(F.coalesce("text", F.lit(""))) / 10.0).alias("source_s"))
+    ids, i = t.select("id").distinct(), F.col("id")
+    spans = t.filter((i % 5 != 0) & (i % 7 != 0) & (i % 11 != 0)).select("id", "turn", (F.col("turn") * 2.0).alias("start_s"), (F.col("turn") * 2.0 + 2.0).alias("end_s"))
+    return D.turn_rows(t, ids.filter(i % 5 != 0).withColumn("path", F.lit("target.wav")), spans, ids.filter(i % 7 == 0).withColumn("error", F.lit("mismatch")), [1.0, 1.5])

@@ -334,3 +334,25 @@ def test_ranks_of_large_and_skewed_groups(spark):
         v = sorted(x for key, x in rows if key == k)
         assert (ranks[k].p50, ranks[k].p90, ranks[k]["min"], ranks[k]["max"]) == (v[len(v) // 2], v[min(len(v) - 1, int(0.9 * len(v)))], v[0], v[-1])
     assert A.metric_summary(df.limit(0), ["v"], ["k"]).count() == 0
+
+
+def test_sweep_scores(spark):
+    sent = spark.createDataFrame([("a", 2, "world", False), ("a", 1, "hello ", None), ("a", 3, "draft", True), ("a", 4, " TTS-finish ", False), ("c", 1, None, False)], "run string, message_id int, text string, unstable boolean")
+    refs = spark.createDataFrame([("a", "hello world"), ("b", "left out"), ("c", "none")], "run string, reference string")
+    got = {r.run: r for r in C.sweep_scores(sent, refs).collect()}
+    assert (got["a"].cer, got["a"].wer, got["a"].candidate_chars, got["a"].candidate_units, round(got["a"].chrf)) == (0.0, 0.0, 11, 2, 100)
+    assert [(got[k].cer, got[k].bleu, got[k].candidate_chars) for k in "bc"] == [(1.0, 0.0, 0)] * 2
+
+
+def test_turn_rows(spark):
+    turns = spark.createDataFrame([("s", 0, 3.0, "hi"), ("s", 1, 0.0, None), ("t", 0, 1.0, "x"), ("u", 0, 1.0, "x"), ("v", 0, 1.0, "x")], "id string, turn int, source_s double, text string")
+    targets = spark.createDataFrame([("s", "p"), ("u", "p"), ("v", "p")], "id string, path string")
+    spans = spark.createDataFrame([("s", 0, 0.5, 2.0), ("s", 1, None, None)], "id string, turn int, start_s double, end_s double")
+    rows, left = D.turn_rows(turns, targets, spans, spark.createDataFrame([("v", "ValueError")], "id string, error string"), [1.0, 1.5])
+    assert {(r.id, r.reason) for r in left.collect()} == {("t", "missing_target_manifest"), ("u", "missing_textgrid"), ("v", "textgrid_exception:ValueError")}
+    got = {r.id: r for r in rows.collect()}
+    assert set(got) == {f"s__speed_{s}__chunk_000{t}" for s in ("1", "1.5") for t in (0, 1)}
+    r = got["s__speed_1.5__chunk_0000"]
+    assert (r.current_source_s, r.target_s, r.rtf, r.audios, r.expected_empty) == (2.0, 1.5, 0.75, ["s__speed_1.5__chunk_0000.wav"], False)
+    r = got["s__speed_1__chunk_0001"]
+    assert (r.target_s, r.rtf, r.audios, r.expected_empty, r.row_id) == (None, None, ["s__speed_1__chunk_0000.wav", "s__speed_1__chunk_0001.wav"], True, "s")
