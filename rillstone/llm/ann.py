@@ -48,6 +48,8 @@ class Router(NamedTuple):
     mass: float
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
+        most = np.abs(x).max(1, keepdims=True)
+        x = x / np.where(most > 0, most, 1)
         norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         z = np.tanh((x / norm) @ self.a + self.a0) @ self.b + self.b0
         z -= z.max(1, keepdims=True)
@@ -63,11 +65,19 @@ class Router(NamedTuple):
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Euclidean, from differences in double precision, one query at a time."""
+    """Euclidean, from differences in double precision, one query at a time.
+
+    Differences whose squares leave the range of a double are scaled by the largest of them first."""
     out = np.empty((len(q), len(x)))
     for i, row in enumerate(q):
-        d = x - row
-        out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        with np.errstate(over="ignore", under="ignore"):
+            d = x - row
+            squares = np.einsum("ij,ij->i", d, d)
+        out[i] = np.sqrt(squares)
+        odd = np.flatnonzero((squares < 1e-280) | (squares > 1e300))
+        most = np.abs(d[odd]).max(1, initial=0.0)
+        odd, most = odd[(most > 0) & np.isfinite(most)], most[(most > 0) & np.isfinite(most)]
+        out[i, odd] = most * np.sqrt(((d[odd] / most[:, None]) ** 2).sum(1))
     return out
 
 

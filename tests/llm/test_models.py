@@ -339,6 +339,14 @@ def test_neighbours_corner_cases(spark):
     assert ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_of_very_large_and_very_small_vectors(spark):
+    for unit in (1e200, 1e-200):
+        df = spark.createDataFrame([(i, [unit * 3 * i, unit * 4 * i]) for i in range(1, 7)], "vec_id long, embedding array<double>")
+        got = sorted((r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("id") == 1, k=10).collect())
+        assert [(a, b) for a, b, _ in got] == [(i, i + 1) for i in range(1, 6)]
+        assert np.allclose([c / unit for _, _, c in got], [5 * i for i in range(1, 6)], rtol=1e-12)
+
+
 def test_balanced_parts():
     x = np.random.default_rng(5).normal(size=(600, 8))
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6)

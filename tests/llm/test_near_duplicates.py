@@ -72,6 +72,17 @@ def test_kept_repeats_nulls_and_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    near, far = list(words), list(words)
+    near[1000:200_000:100] = ["n"] * 1990
+    far[::20] = ["f"] * 15_000
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4).collect()}
+    assert got == brute(rows, 4, 80)
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 1]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     common, a, b = rng.integers(0, 2**63, 800), rng.integers(0, 2**63, 100), rng.integers(0, 2**63, 100)

@@ -145,6 +145,25 @@ def test_chat_digests(spark, sf):
         assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_of_no_rows_and_of_clashing_columns(spark, tmp_path):
+    rows = [(1, 1, "assistant", "b", 5, "x"), (1, 0, "user", None, 6, "y"), (2, 0, "assistant", "", 7, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node long, path string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digest_rows(chat.conversations_of(spark, chat.linear_messages(df))).collect()}
+    assert got == {1: (2, 1), 2: (1, 0)}
+    df.limit(0).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in queries.op2_chat_format(spark, str(tmp_path)).collect()] == [(-7, 2)]
+
+
+@pytest.mark.parametrize("most", [0, urls.BROADCAST_RULES])
+def test_url_rules_beyond_the_broadcast_limit(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", most)
+    rules = [urls.host_path_rule(f"h{i}.com", "a/" if i % 2 else "", "block") for i in range(300)] + [urls.host_path_rule("h7.com", "a/b/", "allow")]
+    df = spark.createDataFrame([(i, f"http://www.h{i}.com/a/{'b/' if i % 3 == 1 else ''}") for i in range(400)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, urls.rule_table(spark, rules)).collect()}
+    want = {i: (f"h{i}.com/{'a/' if i % 2 else ''}", "block") if i < 300 else (None, "allow") for i in range(400)}
+    assert got == want | {7: ("h7.com/a/b/", "allow")}
+
+
 def test_url_rules(spark):
     cases = {
         "https://a.example.com/en/77?x": ("a.example.com", "/en/77", "example.com/en/7", "allow"), "http://EXAMPLE.com/en/8": ("example.com", "/en/8", "com/en/", "block"),
