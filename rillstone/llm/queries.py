@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, lm, minhash, packing, quality, urls
+from . import ann, chat, clusters, decontam, html, langid, lm, minhash, packing, quality, urls
 
 #: fixed values of the contract
 CHAT_EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -70,12 +70,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination)
+    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination, op13_centroids)
 }
 _ESC = "replace(replace(replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<', '\\l'), '>', '\\g'), '#', '\\h')"
 _BLOCKED = "|".join(urls.BLOCKED_WORDS)
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Rounds of plain assignments and floored means, a pair of tables each."""
+    near = "SELECT n, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT n, j, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, c{t}) GROUP BY n"
+    mean = (
+        "SELECT o.j, coalesce(list(m ORDER BY i) FILTER (WHERE i IS NOT NULL), any_value(o.c)) AS c FROM c{t} o LEFT JOIN"
+        " (SELECT j, i, (s - ((s % k) + k) % k) // k AS m FROM (SELECT j, i, sum(e)::BIGINT AS s, count(*)::BIGINT AS k FROM (SELECT j, unnest(v) AS e, unnest(range(64)) AS i FROM x JOIN a{t} USING (n)) GROUP BY j, i)) s ON s.j = o.j GROUP BY o.j"
+    )
+    steps = [f"a{t} AS MATERIALIZED ({near.format(t=t)}), c{t + 1} AS MATERIALIZED ({mean.format(t=t)})" for t in range(rounds)]
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(CAST(e AS DOUBLE)))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM x QUALIFY j < 8),
+{", ".join(steps)},
+f AS ({near.format(t=rounds)})
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN x USING (n) JOIN c{rounds} USING (j)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": f"""
 WITH rows AS (
@@ -111,4 +135,5 @@ h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(rang
 n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op13_centroids": _lloyd_sql(),
 }
