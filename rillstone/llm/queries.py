@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, clusters, decontam, html, langid, lm, minhash, packing, quality, urls
+from . import ann, chat, clusters, decontam, html, langid, lm, minhash, packing, quality, repair, urls
 
 #: fixed values of the contract
 CHAT_EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -70,18 +70,65 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.turns_of(table(spark, sf_dir, "conversations"))
+    return repair.structure_report(repair.damage(turns)).withColumnRenamed("conv", "conv_id")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination, op13_centroids)
+    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination, op12_repair, op13_centroids)
 }
 _ESC = "replace(replace(replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<', '\\l'), '>', '\\g'), '#', '\\h')"
 _BLOCKED = "|".join(urls.BLOCKED_WORDS)
 
 
+def _repair_sql() -> str:
+    """CRC-32 by its table, and a recursion by row; each state is its cost in nine digits and its audit, so that least() compares both."""
+
+    def way(state: int, cost: str, label: str, where: str) -> str:
+        return f"CASE WHEN {where} THEN lpad(CAST(CAST(left(v{state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr(v{state}, 10) || '{label}' END"
+
+    into: dict[int, list[str]] = {0: [], 1: [], 2: [], 3: []}
+    for state in range(4):
+        here = state
+        for k in range(3):
+            label, cost, after = "I" * k, 5 * k, 3 if here == 2 else 2
+            into[here].append(way(state, str(cost + 2), label + "D", "true"))
+            into[after].append(way(state, f"{cost + 1} + stay", label + "R", "stay IS NOT NULL"))
+            into[after].append(way(state, f"{cost} + stay", label + "K", f"stay IS NOT NULL AND i = '{'ua'[after - 2]}'"))
+            if here == 0:
+                into[1].append(way(state, f"{cost} + stay", label + "K", "stay IS NOT NULL AND i = 's'"))
+            here = after
+    steps = ", ".join(f"least({', '.join(ways)}) AS v{state}" for state, ways in into.items())
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+d AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS f FROM k, crc),
+w AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d WHERE f <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM d WHERE f = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM w),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again, rtrim(text, E' \\t\\n\\x0B\\x0C\\r') AS body, left(role, 1) AS i FROM r),
+c AS MATERIALIZED (SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+  CASE WHEN body = '' OR again THEN NULL WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 5 END AS stay, lag(i) OVER (PARTITION BY conv_id ORDER BY rn) || i AS pair FROM s),
+v AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM c
+  UNION ALL SELECT v.conv_id, c.rn, {steps} FROM v JOIN c ON c.conv_id IS NOT DISTINCT FROM v.conv_id AND c.rn = v.rn + 1),
+b AS (SELECT conv_id, least(v0, v3, {way(2, "5", "I", "true")}, {way(1, "10", "II", "true")}) AS best FROM v QUALIFY rn = max(rn) OVER (PARTITION BY conv_id)),
+e AS (SELECT conv_id, p, substr(best, 9 + p, 1) AS e FROM b, unnest(range(1, length(best) - 8)) u(p)),
+n AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER g AS row, count(*) FILTER (WHERE e <> 'D') OVER g AS o FROM e WINDOW g AS (PARTITION BY conv_id ORDER BY p)),
+l AS (SELECT n.*, c.role, c.text, max(CASE WHEN o = 1 AND e = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS shift FROM n LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM n.conv_id AND c.rn = n.row),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h FROM l WHERE e <> 'D' GROUP BY conv_id),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM c GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def _lloyd_sql(rounds: int = 10) -> str:
     """Rounds of plain assignments and floored means, a pair of tables each."""
     near = "SELECT n, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT n, j, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, c{t}) GROUP BY n"
@@ -135,5 +182,6 @@ h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(rang
 n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_repair": _repair_sql(),
     "op13_centroids": _lloyd_sql(),
 }
