@@ -5,9 +5,8 @@ from __future__ import annotations
 import ast
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,37 +15,52 @@ from pyspark.sql import types as T
 SIMPLE = {"們": "们", "個": "个", "這": "这", "為": "为", "來": "来", "時": "时", "國": "国", "會": "会", "對": "对", "說": "说", "學": "学", "過": "过", "語": "语", "聲": "声", "點": "点", "還": "还"}
 
 
-def _lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Row by row; a row's maxima from the left are one running maximum."""
-    if not len(a) or not len(b):
-        return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        hit = np.where(b == x, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(hit, row[1:]))
-    return int(row[-1])
-
-
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Row by row; what comes from the left is one running minimum."""
-    place = np.arange(len(b) + 1)
-    row = place.copy()
-    for i, x in enumerate(a, 1):
-        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
-        row = np.minimum.accumulate(best - place) + place
-    return int(row[-1])
-
-
-def _coded(x: list | None, y: list | None) -> tuple[np.ndarray, np.ndarray]:
-    x, y = [] if x is None else list(x), [] if y is None else list(y)
-    codes = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-    return np.array([codes[t] for t in x], np.int64), np.array([codes[t] for t in y], np.int64)
+def _places(a: Sequence) -> dict:
+    """Of each unit, a number whose bit i is set where it stands at i."""
+    bits: dict = {}
+    for i, x in enumerate(a):
+        bits[x] = bits.get(x, 0) | (1 << i)
+    return bits
+
+
+def lcs(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence; a whole row of the table is one number, a step of which takes a few operations."""
+    bits, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & bits.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def edits(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance; the steps up and down of a whole row are two numbers."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a):
+        return len(b)
+    bits, full, last, found = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for x in b:
+        same = bits.get(x, 0)
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(level | up)), up & level
+        found += bool(rise & last) - bool(fall & last)
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(same | down | rise)), rise & (same | down)
+    return found
+
+
+def _listed(x: list | None) -> list:
+    return [] if x is None else list(x)
 
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """M9: Levenshtein distance of two arrays; null counts as empty."""
-    return pd.Series([_edits(*_coded(x, y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([edits(_listed(x), _listed(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in ("matched", "hyp", "ref")]])))
@@ -60,17 +74,31 @@ def ngram_overlap(hyp: pd.Series, ref: pd.Series, order: pd.Series) -> pd.Series
             out.append({"n": n, "matched": sum(min(k, b[g]) for g, k in a.items() if g in b), "hyp": max(0, len(h) - n + 1), "ref": max(0, len(r) - n + 1)})
         return out
 
-    as_list = lambda x: [] if x is None else list(x)
-    return pd.Series([count(as_list(h), as_list(r), int(n)) for h, r, n in zip(hyp, ref, order, strict=True)])
+    return pd.Series([count(_listed(h), _listed(r), int(n)) for h, r, n in zip(hyp, ref, order, strict=True)])
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays; null counts as empty."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        out.append(_lcs(*_coded(x, y)))
-    return pd.Series(out, dtype="int64")
+    return pd.Series([lcs(_listed(x), _listed(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(T.IntegerType())
+def ordered_match(target: pd.Series, heard: pd.Series) -> pd.Series:
+    """Last target place reached, from 1, when each heard unit is sought behind the one before; the first that isn't there ends it.
+
+    One walk along the target; null counts as empty."""
+
+    def walk(target: list, heard: list) -> int:
+        ahead, at = enumerate(target, 1), 0
+        for unit in heard:
+            found = next((i for i, x in ahead if x == unit), None)
+            if found is None:
+                break
+            at = found
+        return at
+
+    return pd.Series([walk(_listed(x), _listed(y)) for x, y in zip(target, heard, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -158,20 +158,6 @@ def coverage_status(recall: Column, f1: Column) -> Column:
     return F.when((recall >= 0.75) | (f1 >= 0.5), "covered").when((recall >= 0.35) | (f1 >= 0.2), "partial").otherwise("missed")
 
 
-# M12 but for the longest common subsequence
-def greedy_match(target: Column, heard: Column) -> Column:
-    """Last target place reached, from 1, when each heard unit is sought behind the one before; the first that isn't there ends it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("live"))
-
-    def step(s: Column, unit: Column) -> Column:
-        rest = F.slice(target, s["at"] + 1, F.greatest(F.lit(0), F.size(target) - s["at"]))
-        found = F.array_position(rest, unit).cast("int")
-        fine = s["live"] & (found > 0)
-        return F.struct(F.when(fine, s["at"] + found).otherwise(s["at"]).alias("at"), fine.alias("live"))
-
-    return F.aggregate(heard, start, step)["at"]
-
-
 def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.bround(a / b, 6))
 

@@ -144,10 +144,10 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def coverage_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest common subsequence, ordered match and bag overlap; sequential, tested against plain code."""
-    from ..functions.arrow import lcs_length
+    from ..functions.arrow import lcs_length, ordered_match
 
     t, h = T.coverage_units(F.col("reference"), F.lit("en")), T.coverage_units(F.col("candidate"), F.lit("en"))
-    p = pairs(spark, sf_dir).select("id", t.alias("t"), h.alias("h")).withColumns({"lcs": lcs_length("t", "h"), "greedy": M.greedy_match(F.col("t"), F.col("h")), "bag": M.bag_overlap(F.col("t"), F.col("h"))})
+    p = pairs(spark, sf_dir).select("id", t.alias("t"), h.alias("h")).withColumns({"lcs": lcs_length("t", "h"), "greedy": ordered_match("t", "h"), "bag": M.bag_overlap(F.col("t"), F.col("h"))})
     return p.select("id", M.share(F.col("lcs"), F.size("t")).alias("recall"), M.share(F.col("lcs"), F.size("h")).alias("precision"), M.share(F.col("greedy"), F.size("t")).alias("last_matched"), (F.size("t") - F.col("greedy")).alias("suffix_units"), M.share(F.col("bag"), F.size("t")).alias("bag_recall"))
 
 

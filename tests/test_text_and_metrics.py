@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_sequences_against_plain_code(spark):
     rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 14))), " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 14)))) for i in range(80)]
     df = spark.createDataFrame(rows, "i int, a string, b string")
     a, b = T.tokenize(F.col("a")), T.tokenize(F.col("b"))
-    got = df.select("i", M.wer(F.col("a"), F.col("b")).alias("w"), arrow.lcs_length(a, b).alias("l"), M.greedy_match(a, b).alias("g"), M.bag_overlap(a, b).alias("o"), M.bag_f1(F.col("a"), F.col("b")).alias("f"), M.token_recall(F.col("a"), F.col("b")).alias("r")).collect()
+    got = df.select("i", M.wer(F.col("a"), F.col("b")).alias("w"), arrow.lcs_length(a, b).alias("l"), arrow.ordered_match(a, b).alias("g"), M.bag_overlap(a, b).alias("o"), M.bag_f1(F.col("a"), F.col("b")).alias("f"), M.token_recall(F.col("a"), F.col("b")).alias("r")).collect()
     bag = {r.i: r for r in C.bag_scores(df, "i", "a", "b").collect()}
     for r in got:
         x, y = rows[r.i][1].split(), rows[r.i][2].split()
@@ -241,3 +243,17 @@ def test_clean_completion_cuts_prefixes_in_order(spark):
     first, second = T.ANSWER_PREFIXES[:2]
     assert one(spark, T.clean_completion(F.lit(f'{first} {second} "said  so"'))) == "said so"
     assert one(spark, T.clean_completion(F.lit("'"))) == "" and one(spark, T.clean_completion(F.lit(None).cast("string"))) == ""
+
+
+def test_long_sequences_take_linear_steps():
+    """16,000 units: distances by whole rows at a time."""
+    rng = random.Random(5)
+    a, b = ([rng.randrange(300) for _ in range(16_000)] for _ in range(2))
+    began = time.time()
+    found, apart = arrow.lcs(a, b), arrow.edits(a, b)
+    assert time.time() - began < 3
+    assert max(len(a), len(b)) - found <= apart <= len(a) + len(b) - 2 * found
+    assert arrow.edits(a, a[:5000] + a[5001:]) == 1 and arrow.lcs(a, a[::2]) == 8000 and arrow.edits([], b) == 16_000
+    began = time.time()
+    series = arrow.ordered_match.func(pd.Series([range(16_000), None]), pd.Series([range(0, 16_000, 3), a]))
+    assert series.tolist() == [16_000, 0] and time.time() - began < 1
