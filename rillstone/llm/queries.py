@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, clusters, decontam, html, langid, lm, minhash, packing, quality, repair, urls
+from . import ann, chat, clusters, decontam, fingerprints, html, langid, lm, minhash, packing, quality, repair, urls
 
 #: fixed values of the contract
 CHAT_EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -70,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = repair.turns_of(table(spark, sf_dir, "conversations"))
     return repair.structure_report(repair.damage(turns)).withColumnRenamed("conv", "conv_id")
@@ -81,7 +85,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination, op12_repair, op13_centroids)
+    for f in (op1_html_text, op2_chat_format, op3_minhash, op4_nearest, op5_packing, op6_quality, op7_url_filter, op8_language, op9_lm_scores, op10_decontamination, op11_fingerprints, op12_repair, op13_centroids)
 }
 _ESC = "replace(replace(replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<', '\\l'), '>', '\\g'), '#', '\\h')"
 _BLOCKED = "|".join(urls.BLOCKED_WORDS)
