@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -54,15 +55,14 @@ LEAST, MOST, STRONG = 0.02, 12.0, 1.5
 #: what a cut costs
 GAP = 1.0
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
-    r"|</?[a-zA-Z][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg"
+#: tags without angle brackets in quotes, which are nearly all; a try never looks beyond the next bracket
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^'\"<>])*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile("[\"'>]")
+_RAW_NAME = re.compile(rf"(?:{_RAW})\Z", re.IGNORECASE)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW.split("|")}
+_ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#0*[1-9][0-9]{7,};?")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 #: fixed values of HTML: elements within a line, those without an end tag, those whose end tag may be left out, and what a role equals
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -93,45 +93,124 @@ def _attributes(name: str, attrs: str) -> tuple[str, tuple[str, ...], bool]:
     return name, tuple(names), hidden
 
 
+class Markup:
+    """The tags of a page in order, by one forward scan: (start, end, kind, name, attributes), where kind is open, close or raw
+    (an element whose content is no text), or empty for what leaves no token.
+
+    A tag ends at the first > outside quotes, else at the first one.  No character is looked at more often than a fixed number of
+    times, whatever the markup: where the last bracket and the last quotes stand is known, and where a scan from inside a tag gets
+    to is remembered for every quote that it passes."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.beyond: dict[int, int] = {}
+        self.special = (-1, -1)
+
+    def tags(self) -> Iterator[tuple[int, int, str, str, str]]:
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            found = self.tag(at)
+            if found is None:
+                at += 1
+            else:
+                yield (at, *found)
+                at = found[0]
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (len(page) if end < 0 else end + 3), "", "", ""
+        m = _PLAIN.match(page, at)
+        if m and not (not m[1] and _RAW_NAME.match(m[2])):
+            return m.end(), "close" if m[1] else "open", m[2], m[3]
+        if at >= self.last:
+            # cut off by the end of the page
+            cut = page.find("<", at + 1) < 0 and _NAME.match(page, at)
+            return (len(page), "", "", "") if cut else None
+        if page[at + 1] in "!?":
+            return page.index(">", at) + 1, "", "", ""
+        m = _NAME.match(page, at)
+        if not m:
+            return None
+        if not m[1] and _RAW_NAME.match(m[2]):
+            end = _RAW_END[m[2].lower()].search(page, page.index(">", m.end()) + 1)
+            return (end.end() if end else len(page)), "raw", m[2], ""
+        end = self.outside(m.end())
+        if end < 0:
+            end = page.index(">", m.end())
+        return end + 1, "close" if m[1] else "open", m[2], page[m.end() : end]
+
+    def next_special(self, at: int) -> int:
+        lo, hi = self.special
+        if not lo <= at <= hi:
+            m = _SPECIAL.search(self.page, at)
+            self.special = (at, m.start() if m else len(self.page))
+        return self.special[1]
+
+    def outside(self, at: int) -> int:
+        """The first > outside quotes from here on, or -1."""
+        passed, here = [], self.next_special(at)
+        while True:
+            if here >= len(self.page):
+                result = -1
+            elif self.page[here] == ">":
+                result = here
+            elif here in self.beyond:
+                result = self.beyond[here]
+            elif here >= self.last_quote[self.page[here]]:
+                result = -1
+            else:
+                passed.append(here)
+                m = _SPECIAL.search(self.page, self.page.index(self.page[here], here + 1) + 1)
+                here = m.start() if m else len(self.page)
+                continue
+            self.beyond.update(dict.fromkeys(passed, result))
+            return result
+
+
 def read(page: str) -> tuple[list[Token], list[int]]:
     """The tokens of a page, and for each opening tag the number of the first token after its element (0: no span)."""
     out: list[Token] = []
     ends: list[int] = []
     stack: list[tuple[str, int]] = []
+    open_names: Counter = Counter()
     at = 0
 
     def add(token: Token) -> None:
         out.append(token)
         ends.append(0)
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(Token("text", page[at : m.start()]))
-        at = m.end()
-        name = m[3] or m[6]
-        if not name:
-            if m[1]:
-                add(Token("open", m[1].lower()))
+    for start, end, kind, name, attrs in Markup(page).tags():
+        if start > at:
+            add(Token("text", page[at:start]))
+        at = end
+        if not kind:
             continue
         name = name.lower()
-        if m[2] or m[5]:
+        if kind == "raw":
+            add(Token("open", name))
+            continue
+        if kind == "close":
             add(Token("close", name))
-            if any(open_name == name for open_name, _ in stack):
-                while True:
-                    open_name, i = stack.pop()
-                    if open_name == name:
-                        ends[i] = len(out)
-                        break
-                    if open_name in ENDLESS:
-                        ends[i] = len(out) - 1
+            while open_names[name]:
+                open_name, i = stack.pop()
+                open_names[open_name] -= 1
+                if open_name == name:
+                    ends[i] = len(out)
+                    break
+                if open_name in ENDLESS:
+                    ends[i] = len(out) - 1
             continue
-        attrs = m[4] or m[7] or ""
         role, names, hidden = _attributes(name, attrs) if attrs and not attrs.isspace() else (name, _NONE, False)
         if name in ENDLESS and stack and stack[-1][0] == name:
             ends[stack.pop()[1]] = len(out)
+            open_names[name] -= 1
         add(Token("open", role, names, hidden))
         if name not in VOID and not attrs.endswith("/"):
             stack.append((name, len(out) - 1))
+            open_names[name] += 1
     if at < len(page):
         add(Token("text", page[at:]))
     for name, i in stack:
@@ -142,8 +221,9 @@ def read(page: str) -> tuple[list[Token], list[int]]:
 
 def labelled(tokens: list[Token], ends: list[int]) -> tuple[int, int] | None:
     """First and after-last token of the content of a labelled page."""
+    before = [0, *accumulate(len(t.text.split()) if t.kind == "text" else 0 for t in tokens)]
     for label in ("article", "main"):
-        spans = [(sum(len(t.text.split()) for t in tokens[i:end] if t.kind == "text"), -i, end) for i, (t, end) in enumerate(zip(tokens, ends, strict=True)) if end and t.text == label]
+        spans = [(before[end] - before[i], -i, end) for i, (t, end) in enumerate(zip(tokens, ends, strict=True)) if end and t.text == label]
         if spans:
             _, i, end = max(spans)
             return -i, end
@@ -265,6 +345,13 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def decoded(text: str) -> str:
+    """Character references as characters; numbers beyond Unicode, however long, are the replacement character."""
+    if "&" not in text:
+        return text
+    return unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#0", text)) if "&#" in text else text)
+
+
 def main_text(page: str, weights: dict[str, float]) -> tuple[str, float]:
     """Text and score of the best run."""
     tokens, ends = read(page)
@@ -272,7 +359,7 @@ def main_text(page: str, weights: dict[str, float]) -> tuple[str, float]:
     parts, left, at = [], [], 0
     for start, end in [*cut_elements(scores, ends), (len(tokens), len(tokens))]:
         for t in tokens[at:start]:
-            parts.append((unescape(t.text) if "&" in t.text else t.text) if t.kind == "text" else "" if t.text in INLINE else " ")
+            parts.append(decoded(t.text) if t.kind == "text" else "" if t.text in INLINE else " ")
         left += scores[at:start]
         if end > start:
             parts.append(" ")
@@ -284,7 +371,7 @@ def main_text(page: str, weights: dict[str, float]) -> tuple[str, float]:
 
 def fit_weights(pages: DataFrame, key: str = "page_id", html: str = "html", max_labelled: int = MAX_LABELLED) -> dict[str, float]:
     """Weights from at most ``max_labelled`` of the labelled pages."""
-    marked = pages.select(pages[key].alias("k"), pages[html].alias("h")).filter(F.expr("h rlike '(?i)<(article|main)[ >]' and k is not null"))
+    marked = pages.select(pages[key].alias("k"), pages[html].alias("h")).filter(F.col("h").rlike(r"(?i)<(article|main)[\s/>]") & F.col("k").isNotNull())
     chosen = marked.select("k", F.xxhash64("k").alias("x")).orderBy("x", "k").limit(max_labelled).select("k").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

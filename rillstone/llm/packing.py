@@ -30,7 +30,10 @@ WINDOW = 1024
 #: windows of one partition at most
 PER_PARTITION = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: fixed value: how a text is cut before the merges
+#: runs of white space from here on are cut off by a plain search; the regular expression would recurse once for each character
+LONG_SPACE = 1000
+#: fixed values: characters of white space, and how a text is cut before the merges
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -88,7 +91,21 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     symbols = _byte_symbols()
     special = {t["content"]: t["id"] for t in told["added_tokens"]}
     ranks = {bytes(symbols[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-    ordinary = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    made = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spaces = re.compile(f"[{WHITE}]{{{LONG_SPACE},}}")
+
+    def ordinary(text: str) -> list[int]:
+        """A run of white space is one piece but for its last character, which belongs to what follows."""
+        if len(text) < LONG_SPACE:
+            return made.encode_ordinary(text)
+        ids, at = [], 0
+        for run in spaces.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += made.encode_ordinary(text[at : run.start()])
+            ids += made._encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return ids + made.encode_ordinary(text[at:]) if at else made.encode_ordinary(text)
+
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def encode(text: str) -> bytes:

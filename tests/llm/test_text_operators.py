@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -346,3 +347,45 @@ def test_proximity(spark):
     wins = decontam.windows(words, counts.union(spark.createDataFrame([(int(t), 100) for t in terms.view(np.int64)], "term long, n long")).groupBy("term").agg(F.max("n_corpus").alias("n_corpus")), rarest=2)
     near = decontam.proximity_matches(decontam.postings(docs, terms), words, wins, slop=3)
     assert {r.doc for r in near.collect()} <= {1, 2, 3} and 2 in {r.doc for r in near.collect()}
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a b='", "<a b='\"", "<script", "<!", "</", "<", "<a 'b>", "<div>", "<article>x "])
+def test_broken_markup_is_read_in_linear_time(piece):
+    page = piece * (400_000 // len(piece))
+    weights = html.weights_of({})
+    for whole in (page, page + ">", page + "</article>x" * 1000):
+        began = time.time()
+        html.main_text(whole, weights)
+        html.label_counts(whole)
+        assert time.time() - began < 4
+
+
+def test_broken_markup_and_huge_references():
+    read = lambda page: [(t.kind, t.text) for t in html.read(page)[0]]
+    assert read("<a b='x>y</a>z") == [("open", "a"), ("text", "y"), ("close", "a"), ("text", "z")]
+    assert read("<a b='x>y' c=\">\">z") == [("open", "a"), ("text", "z")]
+    assert read("1 < 2 <b>3<i") == [("text", "1 < 2 "), ("open", "b"), ("text", "3")]
+    assert read("<SCRIPT>a<b></script >c<!-- d") == [("open", "script"), ("text", "c")]
+    assert html.decoded("&#" + "9" * 6000 + ";&#" + "0" * 6000 + "65;&amp;&#x42") == "�A&B"
+
+
+def test_very_long_white_space_has_the_tokenizers_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, given = packing.encoder(path, 0), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    pieces = ["ab", "\n" * 1001 + " ", "  " * 600 + "\t", "x!", "<|endoftext|>", "\x85" * 1005, "\xa0" * 1200 + "\n", "\x1c" * 1100, "'s", " z"]
+    texts = ["".join(rng.choice([*pieces, " " * rng.randint(990, 1100)]) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    texts += [" " * 5_000_000, "a" + "\n" * 5_000_000 + "b"]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == [*given.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_of_a_document_of_white_space(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "x" + "\n" * 1_500_000 + "y"), (3, None)], "doc_id long, text string")
+    made = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(made) == 3 and all(r[1] == r[2] for r in made)
