@@ -25,6 +25,7 @@ from ..operators import scoring as C
 from ..operators import windows as W
 from ..sources import files
 from ..streaming import sessions as X
+from ..streaming.tables import UpsertTable, upsert_each_batch
 from .queries import _CHARS, _FIFO, _GRAMS, _PACKETS, _PAIRS, _TOK, _UNIT, _long, packets, pairs, playout
 from .registry import query, table
 
@@ -464,6 +465,161 @@ def copies_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 # live sessions -------------------------------------------------------------------------------------------------------------
 
 
+def _live(spark: SparkSession, parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream puts out over a folder to which the parts come one after another; each part is a run from the last one's checkpoint."""
+    path = _folder(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism)))
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(path + "/in")
+            made = build(spark.readStream.schema(parts[0].schema).parquet(path + "/in"))
+            made.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return spark.read.schema(made.schema).parquet(path + "/out")
+
+
+def _dealt(df: DataFrame, *columns: str) -> list[DataFrame]:
+    """A table in two parts that hold every other row or so of each session, so that rows come out of order."""
+    side = F.pmod(F.xxhash64(*columns), F.lit(2))
+    return [df.filter(side == 0), df.filter(side == 1)]
+
+
+def _heartbeat(part: DataFrame, **values) -> DataFrame:
+    """A row far in the future of a run of its own: time goes on, and what waited for the watermark is released."""
+    return part.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in part.schema])
+
+
+def _packet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return p.select(F.col("user_id").cast("string").alias("run_id"), F.col("k").alias("packet_index"), F.col("arrival_ms").cast("double").alias("arrival_ms"), F.col("duration_ms").cast("double").alias("duration_ms"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _live_packets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return _dealt(_packet_rows(spark, sf_dir).drop("ts"), "run_id", "packet_index")
+
+
+@query(_FIFO + """, q AS (SELECT *, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY k) AS hi FROM f), u AS (SELECT user_id, k, unnest([0, 1, 2]) AS j, hi, duration_ms, e FROM q)
+SELECT user_id, k * 3 + j AS unit, CAST(hi - duration_ms + j * 500 AS BIGINT) AS position_ms, e - duration_ms + least(greatest(j * 500, 0), duration_ms) AS elapsed_ms FROM u""")
+def unit_playout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three units on each packet, the last beyond the end of short ones."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = playout(spark, sf_dir).withColumns({"packet_index": F.row_number().over(by), "audio_end_ms": F.sum("duration_ms").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    p = p.withColumn("audio_start_ms", F.col("audio_end_ms") - F.col("duration_ms"))
+    units = p.select("user_id", "packet_index", "audio_start_ms", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    units = units.select("user_id", "packet_index", (F.col("packet_index") * 3 + F.col("j")).alias("unit"), (F.col("audio_start_ms") + F.col("j") * 500).alias("position_ms"))
+    out = W.unit_playout(p.select("user_id", "packet_index", "audio_start_ms", "audio_end_ms", "playout_start_ms"), units, "user_id")
+    return out.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("unit", "position_ms", "elapsed_ms")])
+
+
+@query(f"""WITH {_PACKETS}, c AS (SELECT user_id, k, arrival_ms, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY k) - duration_ms AS lo, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY k) AS hi, sum(duration_ms) OVER (PARTITION BY user_id) AS tot,
+  max(arrival_ms) OVER (PARTITION BY user_id ORDER BY k) AS late FROM packets), u AS (SELECT user_id, unnest(range(0, 8)) AS unit, tot FROM (SELECT DISTINCT user_id, tot FROM c WHERE tot > 0))
+SELECT u.user_id, u.unit, c.late AS unit_ms FROM u JOIN c ON c.user_id = u.user_id AND (u.unit + 0.5::DOUBLE) / 8 >= c.lo::DOUBLE / c.tot AND (u.unit + 0.5::DOUBLE) / 8 < c.hi::DOUBLE / c.tot""")
+def proportional_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight units of each user timed by the packets they fall on."""
+    p = packets(spark, sf_dir).withColumn("chunk", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("n", F.lit(8))
+    return _long(W.proportional_units(p, "user_id", "n"))
+
+
+@query("""SELECT event_id, greatest(1e-6::DOUBLE, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN NULL ELSE nullif(value, 0) END, CASE WHEN event_id % 5 = 1 AND event_id % 2 = 0 THEN value / 2 END, nullif(user_id, 0)::DOUBLE, 1e-6::DOUBLE)) AS budget FROM events""")
+def source_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explicit budget, an estimate over its factor, or what else is there."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    none = F.lit(None).cast("double")
+    explicit = F.when(i % 5 == 0, 0.0).when(i % 5 == 1, none).otherwise(F.col("value"))
+    estimate = F.when((i % 5 == 1) & (i % 2 == 0), F.col("value"))
+    return e.select("event_id", W.source_budget(explicit, estimate, F.when(i % 2 == 0, 2.0).otherwise(0.0), none, F.col("user_id").cast("double"), none).alias("budget"))
+
+
+_CHAR_ENDS = r"""c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), p AS (SELECT conv_id, turn, t, unnest(range(1, length(t) + 1)) AS i FROM c),
+e AS (SELECT conv_id, turn, i, t FROM p WHERE regexp_matches(t[i], '\S') AND ({0})),
+o AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS unit, regexp_extract(t[greatest(1, i - 400):i], '\S+$') AS word, (i - 1) // 7 AS piece FROM e)"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, seq, text: every turn in pieces of seven characters."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("t")).filter("t <> ''")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 7).cast("int")), lambda i: F.substr("t", i * 7 + 1, F.lit(7)))
+    return t.select("id", F.posexplode(cut).alias("seq", "text"))
+
+
+@query("WITH " + _CHAR_ENDS.format(r"i = length(t) OR regexp_matches(t[i + 1], '\s')") + " SELECT id, unit, word, piece * 10.0::DOUBLE AS at_ms FROM o")
+def emitted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each turn with the time of the fragment that completes them."""
+    f = _fragments(spark, sf_dir).withColumn("at_ms", F.col("seq") * 10.0)
+    return _long(W.word_emissions(f, "id", "seq", "text", "at_ms"))
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, coalesce(length(text), 0) AS n, regexp_matches(rtrim(coalesce(text, '')), '[.!?。！？]$') AS e FROM conversations),
+g AS (SELECT conv_id, k, 1 AS grp, n AS size, e AND n >= 0.7 * 2000 AS shut FROM s WHERE k = 1
+  UNION ALL SELECT s.conv_id, s.k, CASE WHEN g.shut OR g.size + s.n > 2000 THEN g.grp + 1 ELSE g.grp END, CASE WHEN g.shut OR g.size + s.n > 2000 THEN s.n ELSE g.size + s.n END,
+  s.e AND (CASE WHEN g.shut OR g.size + s.n > 2000 THEN s.n ELSE g.size + s.n END) >= 0.7 * 2000 FROM s JOIN g ON s.conv_id = g.conv_id AND s.k = g.k + 1)
+SELECT conv_id, string_agg(g || '', '|' ORDER BY grp) AS groups FROM (SELECT conv_id, grp, string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY k) AS g FROM g GROUP BY ALL) GROUP BY conv_id""")
+def character_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in groups of at most 2000 characters; the oracle is the recursion itself."""
+    t = _turns(spark, sf_dir, lambda x: F.struct(F.length(x["text"]).alias("n"), F.rlike(F.rtrim(x["text"]), F.lit(r"[.!?。！？]$")).alias("e")))
+    g = t.withColumn("g", W.greedy_groups(F.transform("turns", lambda x: x["n"]), F.transform("turns", lambda x: x["e"]), 2000))
+    return g.select("conv_id", F.array_join(F.transform("g", lambda x: F.array_join(x.cast("array<string>"), ",")), "|").alias("groups"))
+
+
+_DRAW = _UNIT.format("'9:' || source || ':' || doc_id")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT source, doc_id, doc_id % 7 AS n, 20 + CAST(floor({_DRAW} * 16) AS BIGINT) AS want, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+w AS (SELECT source, k, doc_id, n, doc_id AS session, want, n AS have FROM r WHERE k = 1
+  UNION ALL SELECT r.source, r.k, r.doc_id, r.n, CASE WHEN w.have >= w.want THEN r.doc_id ELSE w.session END, CASE WHEN w.have >= w.want THEN r.want ELSE w.want END, CASE WHEN w.have >= w.want THEN r.n ELSE w.have + r.n END
+  FROM r JOIN w ON r.source = w.source AND r.k = w.k + 1)
+SELECT source, doc_id, n AS turns, session, sum(n) OVER (PARTITION BY source, session) >= 20 AS kept FROM w""")
+def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a source joined until they have a drawn number of turns, walked in blocks of ids; the oracle is the recursion itself."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") % 7).cast("int").alias("turns"), F.floor(F.col("doc_id") / 64).alias("block"))
+    return _long(D.long_sessions(d, "source", "doc_id", "turns", 9, block="block"))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'unreadable' WHEN conv_id % 4 = 1 THEN 'no_turns' WHEN conv_id % 4 = 2 THEN 'dirty' WHEN count(*) * 3 > 12 THEN 'too_long' END AS reason FROM conversations GROUP BY 1""")
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List literals of a conversation's turns, some of them none, empty or with markup."""
+    t = _turns(spark, sf_dir, lambda x: F.concat(F.lit("'t"), F.format_string("%02d", x["turn"]), F.lit("'")))
+    raw = F.concat(F.lit("["), F.array_join("turns", ", "), F.lit("]"))
+    raw = F.when(F.col("conv_id") % 4 == 0, "turns").when(F.col("conv_id") % 4 == 1, "[]").when(F.col("conv_id") % 4 == 2, F.concat(F.lit("['<b>', "), F.substr(raw, F.lit(2)))).otherwise(raw)
+    return D.trajectory_rows(t.select("conv_id", raw.alias("raw")), "conv_id", "raw", most=12).select("conv_id", "reason")
+
+
+@query(r"""WITH c AS (SELECT a.conv_id, list(coalesce(a.text, '') ORDER BY a.turn) FILTER (a.role = 'user') AS s, regexp_extract_all(string_agg(coalesce(a.text, ''), ' ' ORDER BY a.turn) FILTER (a.role = 'assistant'), '\S+') AS w FROM conversations a GROUP BY 1),
+x AS (SELECT conv_id, w, s, unnest(range(1, len(s) + 1)) AS i FROM c), y AS (SELECT conv_id, i - 1 AS segment, s[i] AS source, len(w) AS m, w, sum(length(s[i])) OVER (PARTITION BY conv_id ORDER BY i) AS hi, greatest(1, sum(length(s[i])) OVER (PARTITION BY conv_id)) AS tot FROM x)
+SELECT conv_id, segment, source, coalesce(array_to_string(w[CAST((hi - length(source)) * m // tot AS BIGINT) + 1:CAST(hi * m // tot AS BIGINT)], ' '), '') AS hypothesis, length(source) AS weight_chars FROM y""")
+def weighted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a conversation's assistant turns dealt to its user turns."""
+    t = _turns(spark, sf_dir, lambda x: x)
+    said = lambda role: F.transform(F.filter("turns", lambda x: x["role"] == role), lambda x: x["text"])
+    return _long(S.qe_segments(t.select("conv_id", said("user").alias("s"), F.array_join(said("assistant"), " ").alias("h")), "conv_id", "s", "h"))
+
+
+# copies --------------------------------------------------------------------------------------------------------------------
+
+
+def _word_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir, lambda x: F.split(x["text"], " "), "id")
+
+
+@query()
+def repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16; draws within draws, tested against plain code."""
+    return S.repeat_inside(_word_turns(spark, sf_dir), "id", "turns", 5, fraction=0.5).select("id", "context_only", F.transform("turns", lambda u: F.array_join(u, " ")).alias("turns"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, 'clean' AS copy_kind, count(*) AS n FROM conversations GROUP BY 1 UNION ALL SELECT conv_id || '_long', 'long', 2 * count(*) FROM conversations GROUP BY conv_id""")
+def copies_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean rows and long ones, each with where it is from."""
+    t = _turns(spark, sf_dir, lambda x: x["text"], "id").withColumn("id", F.col("id").cast("string"))
+    both = S.union_copies([("clean", t), ("long", t.select(F.concat("id", F.lit("_long")).alias("id"), F.concat("turns", "turns").alias("turns")))])
+    return _long(both.select("id", "copy_kind", F.size("turns").alias("n")))
+
+
+# live sessions -------------------------------------------------------------------------------------------------------------
+
+
 def _live(spark: SparkSession, parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream puts out over a folder to which the parts come one after another; each part is a run from the last one's checkpoint."""
     path = _folder(spark)
@@ -487,7 +643,7 @@ def _live_packets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 @query(_FIFO + " SELECT CAST(user_id AS VARCHAR) AS run_id, k AS packet_index, CAST(e - duration_ms AS DOUBLE) AS playout_start_ms, CAST(e AS DOUBLE) AS playout_end_ms, CAST(e - duration_ms - arrival_ms AS DOUBLE) AS queue_delay_ms FROM f")
 def live_playout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: each user's events as live packets; the queue goes on where the first run left it."""
+    """ST1: each user's events as live packets, of which every other one or so comes only in the second run."""
     return _long(_live(spark, _live_packets(spark, sf_dir), X.playout))
 
 
@@ -504,7 +660,7 @@ def live_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4: turns as deltas of seven characters; words that are complete."""
     f = _fragments(spark, sf_dir).select(F.col("id").cast("string").alias("run_id"), "seq", "text", (F.col("seq") * 100.0).alias("at_ms"))
-    return _long(_live(spark, [f.filter("seq < 20"), f.filter("seq >= 20")], X.word_emissions))
+    return _long(_live(spark, _dealt(f, "run_id", "seq"), X.word_emissions))
 
 
 @query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), h AS (SELECT *, CASE WHEN n < 4 THEN n ELSE 2 + (n - 4) % 2 END AS held FROM t)
@@ -512,20 +668,67 @@ SELECT CAST(conv_id AS VARCHAR) AS run_id, n AS turn, n - held AS context_start,
 def live_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST7: contexts of four turns that shrink to two."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("turn"))
-    return _long(_live(spark, [t.filter("turn <= 3"), t.filter("turn > 3")], lambda s: X.soft_context(s, 4, 2)))
+    return _long(_live(spark, _dealt(t, "run_id", "turn"), lambda s: X.soft_context(s, 4, 2)))
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1""")
 def live_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST8: the newest event of each user out of two batches, the second of which repeats rows of the first."""
+    """ST8: the newest event of each user out of five batches, each of which repeats rows of the ones before; the table is compacted on the way."""
     path = _folder(spark)
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    half = e.agg(F.expr("percentile_approx(event_id, 0.5)").alias("m")).first().m
-    for part in (e.filter(F.col("event_id") <= half), e.filter((F.col("event_id") > half) | (F.col("event_id") % 3 == 0))):
-        part.write.mode("append").parquet(path + "/in")
+    kept = UpsertTable(spark, path + "/table", "user_id", "ts", buckets=4, most_deltas=2)
+    for i in range(5):
+        e.filter((F.pmod("event_id", F.lit(5)) == i) | (F.pmod("event_id", F.lit(15)) < i)).write.mode("append").parquet(path + "/in")
         stream = spark.readStream.schema(e.schema).parquet(path + "/in")
-        X.upsert_each_batch(stream, path + "/table", "user_id", "ts", "36500 days", path + "/state").trigger(availableNow=True).start().awaitTermination()
-    return X.latest_by_key(spark.read.option("basePath", path + "/table").parquet(path + "/table"), "user_id", "ts").select("user_id", "event_id", "value")
+        upsert_each_batch(stream, kept, "36500 days", path + "/state").trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("user_id", "event_id", "value")
+
+
+@query("""WITH s AS (SELECT * FROM events WHERE event_type = 'click')
+SELECT CAST(e.user_id AS VARCHAR) AS run_id, e.event_id AS unit, coalesce(s.value, 0.0) AS source_ms FROM
+  (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM s GROUP BY ALL) s ON e.user_id = s.user_id AND e.ts >= s.ts""")
+def live_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6: clicks are sends, all other events look up the last one, whatever the order in which both come."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+    end = _heartbeat(e, run_id="clock", ts="2150-01-01 00:00:00", event_id=-1, event_type="click", value=0.0)
+
+    def build(s: DataFrame) -> DataFrame:
+        sends = s.filter("event_type = 'click'").select("run_id", F.col("ts").alias("sent_ts"), F.col("value").alias("sent_ms"), F.col("event_id").alias("tie"))
+        plays = s.filter("event_type <> 'click'").select("run_id", F.col("ts").alias("play_ts"), F.col("event_id").alias("unit"))
+        return X.source_as_of(sends, plays, "20000 days")
+
+    return _live(spark, [*_dealt(e, "event_id"), end], build)
+
+
+@query(f"""WITH {_PACKETS}, p AS (SELECT *, sum(duration_ms) OVER (PARTITION BY user_id ORDER BY k) AS c FROM packets JOIN events USING (user_id, event_id))
+SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_ms(time_bucket(INTERVAL 10 MINUTE, ts)) AS start_ms, CAST(max(c) AS DOUBLE) AS emitted_ms, count(*) AS packets FROM p GROUP BY 1, 2""")
+def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: audio emitted by the end of each ten minutes, from packets that come in two parts."""
+    own = Window.partitionBy("run_id").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, 0)
+    p = _packet_rows(spark, sf_dir).select("run_id", "ts", F.sum("duration_ms").over(own).alias("cumulative_s"))
+    end = _heartbeat(p, run_id="clock", ts="2150-01-01 00:00:00", cumulative_s=0.0)
+    out = _live(spark, [*_dealt(p, "run_id", "ts"), end], lambda s: X.window_emissions(s, 600, "20000 days"))
+    return out.select("run_id", F.unix_millis("start").alias("start_ms"), F.col("emitted_s").alias("emitted_ms"), "packets")
+
+
+@query(f"""WITH {_PACKETS}, p AS (SELECT *, CASE WHEN k % 5 = 0 THEN 24000 ELSE 16000 END AS rate FROM packets WHERE k % 7 <> 3),
+w AS (SELECT *, sum(duration_ms) OVER o AS e, lag(k) OVER o AS k0, lag(rate) OVER o AS r0 FROM p WINDOW o AS (PARTITION BY user_id ORDER BY k))
+SELECT CAST(user_id AS VARCHAR) AS run_id, k AS packet_index, CAST(e - duration_ms AS DOUBLE) AS audio_start_ms, CAST(e AS DOUBLE) AS audio_end_ms, coalesce(k <> k0 + 1, false) AS index_gap, coalesce(rate <> r0, false) AS rate_change FROM w""")
+def live_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: packets of which some are lost and all come out of order; the clock tells what is lost."""
+    p = _packet_rows(spark, sf_dir).filter("packet_index % 7 <> 3").withColumn("sample_rate", F.when(F.col("packet_index") % 5 == 0, 24000).otherwise(16000)).drop("arrival_ms")
+    end = _heartbeat(p, run_id="clock", packet_index=5, duration_ms=0.0, ts="2150-01-01 00:00:00", sample_rate=1)
+    return _long(_live(spark, [*_dealt(p, "run_id", "packet_index"), end], lambda s: X.packet_positions(s, X.Clock("ts", "20000 days"), first=1)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT *, count(*) FILTER (WHERE gap >= INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n FROM s GROUP BY user_id, s""")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST9: sessions that six hours of silence close, from events that come in two parts."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    end = _heartbeat(e, run_id="clock", ts="2150-01-01 00:00:00", event_id=-1)
+    out = _live(spark, [*_dealt(e, "event_id"), end], lambda s: X.sessions(s, "run_id", "ts", "6 hours", "20000 days"))
+    return out.select("run_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "n")
 
 
 _PLAIN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"

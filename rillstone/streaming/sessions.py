@@ -1,48 +1,153 @@
-"""Live sessions as streams: playout queues, backlogs, windows, emissions, contexts, upserts and late data.
+"""Live sessions as streams: playout queues, backlogs, windows, emissions, contexts, as-of lookups and late data.
 
-Stateful operators keep one small state per session.  Rows of a trigger are folded in their order; what a watermark drops is
-late by definition, and the batch form over the rows that were on time gives the same result.  With ``expire`` (a timestamp
-column, how late rows may be, and how long a session may be silent) a session's state goes once the watermark has passed its
-last row by that silence; without it states are kept, which suits streams that end.
+Stateful operators fold the rows of a session in the order of their index, whatever the order in which they come.  What comes too
+early waits in a buffer (a map by index in the state store).  It is released when the rows before it have come, or, with a ``clock``,
+when the watermark has passed it and the rows still missing are late by definition; the fold then goes on behind the gap.  A row that comes
+after its place has been passed is dropped.  So the result is that of the batch form over the rows that were on time.
+
+A clock names the timestamp column, how late rows may be, and after how many milliseconds of silence a session is over and its
+state goes (null: never).  Without a clock nothing is ever given up, which suits streams that end and lose nothing.
+
+States live in RocksDB, which the operators choose for their session where no other store than the default is set.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-#: timestamp column, lateness of rows, silence in milliseconds after which a session is over
-Expiry = tuple[str, str, int]
-
-
-def _fold(df: DataFrame, key: str, order: list[str], out: str, state: str, start: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], expire: Expiry | None) -> DataFrame:
-    """step(state, the session's rows of this trigger in order) gives the next state and the rows to put out."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Clock(NamedTuple):
+    time: str
+    late: str
+    silence_ms: int | None = None
+
+
+Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """States with maps and timers need the RocksDB store."""
+    if "HDFSBacked" in spark.conf.get(PROVIDER):
+        spark.conf.set(PROVIDER, ROCKS)
+
+
+def _ms(x: pd.Timestamp) -> int:
+    return int(x.timestamp() * 1000)
+
+
+class InOrder(StatefulProcessor):
+    """Folds rows by index; ``first`` is a session's first index (null: whatever comes in a trigger is in order)."""
+
+    def __init__(self, index: str, first: int | None, state: str, start: tuple, step: Step, clock: Clock | None):
+        self.index, self.first, self.schema, self.start, self.step, self.clock = index, first, state, start, step, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", self.schema)
+        # the next index, rows in the buffer, time of the last row
+        self.place = handle.getValueState("place", "next long, held long, last long")
+        self.early = handle.getMapState("early", "at long", "ms long, row string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(self.index, kind="stable").reset_index(drop=True)
+        place = self.place.get()
+        begun = place is not None
+        following, held, last = place if begun else (self.first, 0, -1)
+        if self.clock:
+            last = max(last, _ms(new[self.clock.time].max()))
+        if self.first is None:
+            ready = new
+        else:
+            new = new[(new[self.index] >= following)].drop_duplicates(self.index)
+            waiting = {int(k[0]): v for k, v in self.early.iterator()} if held else {}
+            at = new[self.index].to_numpy()
+            # rows in place form a run without gaps, from the buffer and the new ones together
+            there = set(at.tolist()) | waiting.keys()
+            end = following
+            while end in there:
+                end += 1
+            ready = self._merge(new[at < end], {i: v for i, v in waiting.items() if i < end})
+            for i in [i for i in waiting if i < end]:
+                self.early.removeKey((i,))
+                held -= 1
+            for row in new[at >= end].to_dict("records"):
+                i, ms = int(row[self.index]), _ms(row[self.clock.time]) if self.clock else -1
+                if i not in waiting:
+                    held += 1
+                self.early.updateValue((i,), (ms, self._packed(row)))
+                if self.clock:
+                    self.handle.registerTimer(ms)
+            following = end
+        self.place.update((following if following is not None else -1, held, last))
+        if self.clock and self.clock.silence_ms is not None:
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.clock.silence_ms)
+        if len(ready):
+            yield self._folded(ready)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        place = self.place.get()
+        if place is None:
             return
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
-        now, made = step(held.get if held.exists else start, rows)
-        held.update(now)
-        if expire:
-            last = int(rows[expire[0]].max().timestamp() * 1000)
-            held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + expire[2])
-        yield made
-
-    if expire:
-        df = df.withWatermark(expire[0], expire[1])
-    kind = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
-    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", kind)
-
-
-def playout(packets: DataFrame, expire: Expiry | None = None) -> DataFrame:
+        following, held, last = place
+        mark = timerValues.getCurrentWatermarkInMs()
+        over = self.clock.silence_ms is not None and mark >= last + self.clock.silence_ms
+        if held:
+            waiting = {int(k[0]): v for k, v in self.early.iterator()}
+            passed = [i for i, v in waiting.items() if over or v[0] <= mark]
+            if passed:
+                end = max(passed) + 1
+                while end in waiting:
+                    end += 1
+                out = {i: v for i, v in waiting.items() if i < end}
+                for i in out:
+                    self.early.removeKey((i,))
+                self.place.update((end, held - len(out), last))
+                yield self._folded(self._merge(None, out))
+        if over:
+            for state in (self.folded, self.place, self.early):
+                state.clear()
+
+    def _packed(self, row: dict) -> str:
+        return json.dumps({k: v for k, v in row.items() if not isinstance(v, pd.Timestamp)})
+
+    def _merge(self, new: pd.DataFrame | None, early: dict[int, tuple]) -> pd.DataFrame:
+        old = pd.DataFrame([json.loads(v[1]) for _, v in sorted(early.items())])
+        if new is None or not len(new):
+            return old
+        return pd.concat([new, old]).sort_values(self.index, kind="stable").reset_index(drop=True) if len(old) else new.reset_index(drop=True)
+
+    def _folded(self, rows: pd.DataFrame) -> pd.DataFrame:
+        before = self.folded.get()
+        now, made = self.step(self.start if before is None else tuple(before), rows)
+        self.folded.update(now)
+        return made
+
+    def close(self) -> None:
+        pass
+
+
+def _fold(df: DataFrame, key: str, index: str, first: int | None, out: str, state: str, start: tuple, step: Step, clock: Clock | tuple | None) -> DataFrame:
+    """step(state, consecutive rows of a session) gives the next state and the rows to put out."""
+    keep_state_on_disk(df.sparkSession)
+    clock = Clock(*clock) if clock else None
+    if clock:
+        df = df.withWatermark(clock.time, clock.late)
+    folded = InOrder(index, first, state, start, step, clock)
+    return df.groupBy(key).transformWithStateInPandas(folded, out, "Append", "EventTime" if clock else "None")
+
+
+def playout(packets: DataFrame, clock: Clock | tuple | None = None, first: int | None = 1) -> DataFrame:
     """ST1.  packets: run_id string, packet_index int, arrival_ms double, duration_ms double."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -52,7 +157,7 @@ def playout(packets: DataFrame, expire: Expiry | None = None) -> DataFrame:
         return (float(end.iloc[-1]),), made
 
     out = "run_id string, packet_index int, playout_start_ms double, playout_end_ms double, queue_delay_ms double"
-    return _fold(packets, "run_id", ["packet_index"], out, "last_end double", (-np.inf,), step, expire)
+    return _fold(packets, "run_id", "packet_index", first, out, "last_end double", (-np.inf,), step, clock)
 
 
 def window_emissions(packets: DataFrame, window_s: int = 10, late: str = "30 seconds") -> DataFrame:
@@ -61,7 +166,7 @@ def window_emissions(packets: DataFrame, window_s: int = 10, late: str = "30 sec
     return w.select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "emitted_s", "packets")
 
 
-def running_backlog(steps: DataFrame, expire: Expiry | None = None) -> DataFrame:
+def running_backlog(steps: DataFrame, clock: Clock | tuple | None = None, first: int | None = 1) -> DataFrame:
     """ST3.  steps: run_id string, step int, cost_ms double, budget_ms double."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -69,29 +174,40 @@ def running_backlog(steps: DataFrame, expire: Expiry | None = None) -> DataFrame
         b = s - np.minimum(0.0, np.minimum.accumulate(s))
         return (float(b.iloc[-1]),), r[["run_id", "step"]].assign(backlog_ms=b, miss=b > 0)
 
-    return _fold(steps, "run_id", ["step"], "run_id string, step int, backlog_ms double, miss boolean", "backlog double", (0.0,), step, expire)
+    return _fold(steps, "run_id", "step", first, "run_id string, step int, backlog_ms double, miss boolean", "backlog double", (0.0,), step, clock)
 
 
-def word_emissions(deltas: DataFrame, expire: Expiry | None = None) -> DataFrame:
+def word_emissions(deltas: DataFrame, clock: Clock | tuple | None = None, first: int | None = 0) -> DataFrame:
     """ST4.  deltas: run_id string, seq int, text string, at_ms double.  A word is out once white space follows it; its time is that of its last character's delta."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         n, word, at = state
         rows = []
         for text, now in zip(r["text"].fillna(""), r["at_ms"], strict=True):
-            for c in text:
-                if not c.isspace():
-                    word, at = word + c, float(now)
-                elif word:
-                    rows.append((r["run_id"].iloc[0], n, word, at))
-                    n, word = n + 1, ""
-        return (n, word, at), pd.DataFrame(rows, columns=["run_id", "unit", "word", "at_ms"])
-
-    return _fold(deltas, "run_id", ["seq"], "run_id string, unit int, word string, at_ms double", "n int, word string, at double", (0, "", 0.0), step, expire)
-
-
-def packet_positions(packets: DataFrame, expire: Expiry | None = None) -> DataFrame:
-    """ST5.  packets: run_id string, packet_index int, duration_ms double, sample_rate int.  Audio positions, gaps and changes of rate."""
+            words = text.split()
+            if words and text[0].isspace() and word:
+                rows.append((n, word, at))
+                n, word = n + 1, ""
+            if words:
+                words[0], at = word + words[0], float(now)
+                for w in words[:-1]:
+                    rows.append((n, w, at))
+                    n += 1
+                word = words[-1]
+            if text[-1:].isspace() and word:
+                rows.append((n, word, at))
+                n, word = n + 1, ""
+        made = pd.DataFrame(rows, columns=["unit", "word", "at_ms"])
+        made.insert(0, "run_id", r["run_id"].iloc[0])
+        return (n, word, at), made
+
+    return _fold(deltas, "run_id", "seq", first, "run_id string, unit int, word string, at_ms double", "n int, word string, at double", (0, "", 0.0), step, clock)
+
+
+def packet_positions(packets: DataFrame, clock: Clock | tuple | None = None, first: int | None = None) -> DataFrame:
+    """ST5.  packets: run_id string, packet_index int, duration_ms double, sample_rate int.  Audio positions, gaps and changes of rate.
+
+    A gap can only be told from a packet to come by a clock; without one and without ``first``, packets are taken in the order of each trigger."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         end = state[0] + r["duration_ms"].cumsum()
@@ -102,18 +218,66 @@ def packet_positions(packets: DataFrame, expire: Expiry | None = None) -> DataFr
         return (float(end.iloc[-1]), int(r["packet_index"].iloc[-1]), int(r["sample_rate"].iloc[-1])), made
 
     out = "run_id string, packet_index int, audio_start_ms double, audio_end_ms double, index_gap boolean, rate_change boolean"
-    return _fold(packets, "run_id", ["packet_index"], out, "total double, last int, rate int", (0.0, -1, -1), step, expire)
-
-
-def source_as_of(sends: DataFrame, plays: DataFrame, late: str = "30 seconds", reach: str = "10 minutes") -> DataFrame:
-    """ST6.  sends: run_id, sent_ts, sent_ms; plays: run_id, play_ts, unit.  Source sent by the time a unit plays, among sends no older than ``reach``."""
-    s = sends.withWatermark("sent_ts", late).withColumnRenamed("run_id", "send_run")
-    p = plays.withWatermark("play_ts", late)
-    met = p.join(s, F.expr(f"run_id = send_run and sent_ts <= play_ts and sent_ts >= play_ts - interval {reach}"), "leftOuter")
-    return met.groupBy("run_id", "unit", F.window("play_ts", "1 second")).agg(F.coalesce(F.max("sent_ms"), F.lit(0.0)).alias("source_ms")).select("run_id", "unit", "source_ms")
-
-
-def soft_context(turns: DataFrame, cap: int, keep: int, expire: Expiry | None = None) -> DataFrame:
+    return _fold(packets, "run_id", "packet_index", first, out, "total double, last int, rate int", (0.0, -1, -1), step, clock)
+
+
+class LastBefore(StatefulProcessor):
+    """Lookups wait until the watermark has passed them; of the events before it only the last one is kept."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "value double")
+        self.events = handle.getMapState("events", "us long", "tie long, value double")
+        self.asked = handle.getMapState("asked", "unit long", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for us, ask, tie, value in zip(frame["us"].tolist(), frame["ask"].tolist(), frame["tie"].tolist(), frame["value"].tolist(), strict=True):
+                if ask:
+                    self.asked.updateValue((tie,), (us,))
+                else:
+                    there = self.events.getValue((us,)) if self.events.containsKey((us,)) else None
+                    if there is None or there[0] <= tie:
+                        self.events.updateValue((us,), (tie, value))
+                # the watermark is in whole milliseconds: a timer at the next one covers the row's own
+                self.handle.registerTimer(us // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted((int(k[0]), v[1]) for k, v in self.events.iterator() if k[0] < mark)
+        asked = sorted((int(v[0]), int(k[0])) for k, v in self.asked.iterator() if v[0] < mark)
+        held = self.last.get()
+        value, i, out = (held[0] if held else None), 0, []
+        for us, unit in asked:
+            while i < len(events) and events[i][0] <= us:
+                value, i = events[i][1], i + 1
+            out.append((key[0], unit, value))
+            self.asked.removeKey((unit,))
+        for us, _ in events:
+            self.events.removeKey((us,))
+        if events:
+            self.last.update((events[-1][1],))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "unit", "source_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def source_as_of(sends: DataFrame, plays: DataFrame, late: str = "30 seconds", default: float = 0.0) -> DataFrame:
+    """ST6.  sends: run_id string, sent_ts, sent_ms; plays: run_id string, play_ts, unit long.  Source sent by the time a unit plays, equal times
+    included, however long ago; ``default`` before the first send.  Of sends at the same time that of the greatest ``tie`` counts, if there is one."""
+    keep_state_on_disk(sends.sparkSession)
+    tie = F.col("tie").cast("long") if "tie" in sends.columns else F.lit(0).cast("long")
+    s = sends.select("run_id", F.col("sent_ts").alias("ts"), F.lit(False).alias("ask"), tie.alias("tie"), F.col("sent_ms").cast("double").alias("value"))
+    p = plays.select("run_id", F.col("play_ts").alias("ts"), F.lit(True).alias("ask"), F.col("unit").cast("long").alias("tie"), F.lit(None).cast("double").alias("value"))
+    both = s.unionByName(p).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", late)
+    met = both.groupBy("run_id").transformWithStateInPandas(LastBefore(), "run_id string, unit long, source_ms double", "Append", "EventTime")
+    return met.select("run_id", "unit", F.coalesce("source_ms", F.lit(default)).alias("source_ms"))
+
+
+def soft_context(turns: DataFrame, cap: int, keep: int, clock: Clock | tuple | None = None, first: int | None = 1) -> DataFrame:
     """ST7.  turns: run_id string, turn int.  Where each turn's context begins: it shrinks to ``keep`` turns when it reaches ``cap``."""
 
     def step(state: tuple, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -121,23 +285,7 @@ def soft_context(turns: DataFrame, cap: int, keep: int, expire: Expiry | None =
         held = np.where(n < cap, n, keep + (n - cap) % (cap - keep))
         return (int(n[-1]),), r[["run_id", "turn"]].assign(context_start=n - held, context_size=held)
 
-    return _fold(turns, "run_id", ["turn"], "run_id string, turn int, context_start int, context_size int", "n int", (0,), step, expire)
-
-
-def upsert_each_batch(stream: DataFrame, path: str, key: str, time: str, late: str, checkpoint: str):
-    """ST8.  Rows repeated as they are within the watermark are dropped; a newer row of a key is kept.  Each batch is one folder of the table, so that a batch run again changes nothing."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.drop("__same").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    same = stream.withColumn("__same", F.xxhash64(*stream.columns)).withWatermark(time, late)
-    return same.dropDuplicatesWithinWatermark([key, "__same"]).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-
-
-def latest_by_key(table: DataFrame, key: str, time: str) -> DataFrame:
-    """ST8: the newest row of each key, of equally new ones that of the last batch."""
-    rest = [c for c in table.columns if c not in (key, "batch", time)]
-    return table.groupBy(key).agg(F.max(F.struct(time, "batch", *rest)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in (time, *rest)])
+    return _fold(turns, "run_id", "turn", first, "run_id string, turn int, context_start int, context_size int", "n int", (0,), step, clock)
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:

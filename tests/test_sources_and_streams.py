@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillstone.operators import joins as J, windows as W
 from rillstone.sources import files
 from rillstone.streaming import sessions as X
+from rillstone.streaming.tables import UpsertTable, upsert_each_batch
 
 TIER = '''File type = "ooTextFile"
 Object class = "TextGrid"
@@ -89,11 +90,13 @@ def test_runs_shards_and_intervals(spark, tmp_path):
     assert [(r.doc_id, r.tier, r.start_s, r.end_s, r.text) for r in rows] == [("d1", "words", 0.0, 0.5, 'say "hi"')]
 
 
-def run_stream(spark, tmp_path, df, make, name, schema=None):
+def run_stream(spark, tmp_path, df, make, name, shuffled=False):
     """Three files, one a trigger, through a stream into memory."""
     src = str(tmp_path / f"in-{name}")
     n = df.count()
     rows = df.orderBy(df.columns[1]).collect()
+    if shuffled:
+        random.Random(7).shuffle(rows)
     for i in range(3):
         spark.createDataFrame(rows[i * n // 3 : (i + 1) * n // 3], df.schema).coalesce(1).write.mode("append").json(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(src)
@@ -108,7 +111,8 @@ def test_playout_stream_is_the_batch(spark, tmp_path):
     rows = [(f"r{k}", i, float(i * 100 + rng.randint(0, 200)), float(rng.randint(0, 300)), 16000) for k in range(3) for i in range(30)]
     df = spark.createDataFrame(rows, "run_id string, packet_index int, arrival_ms double, duration_ms double, sample_rate int")
     batch = {(r.run_id, r.packet_index): r.playout_end_ms for r in W.fifo_playout(df, ["run_id"], ["packet_index"]).collect()}
-    assert {(r.run_id, r.packet_index): r.playout_end_ms for r in run_stream(spark, tmp_path, df, X.playout, "playout")} == batch
+    assert {(r.run_id, r.packet_index): r.playout_end_ms for r in run_stream(spark, tmp_path, df, lambda s: X.playout(s, first=0), "playout")} == batch
+    assert {(r.run_id, r.packet_index): r.playout_end_ms for r in run_stream(spark, tmp_path, df, lambda s: X.playout(s, first=0), "playout_shuffled", shuffled=True)} == batch
     pos = run_stream(spark, tmp_path, df, X.packet_positions, "positions")
     total = {(r[0], r[1]): sum(x[3] for x in rows if x[0] == r[0] and x[1] <= r[1]) for r in rows}
     assert {(r.run_id, r.packet_index): r.audio_end_ms for r in pos} == total and not any(r.index_gap or r.rate_change for r in pos)
@@ -118,11 +122,11 @@ def test_backlog_words_and_context_streams(spark, tmp_path):
     rng = random.Random(3)
     df = spark.createDataFrame([("r", i, float(rng.randint(0, 300)), 150.0) for i in range(30)], "run_id string, step int, cost_ms double, budget_ms double")
     batch = {r.step: r.backlog for r in W.backlog(df, ["run_id"], ["step"], F.col("cost_ms"), F.col("budget_ms")).collect()}
-    assert {r.step: r.backlog_ms for r in run_stream(spark, tmp_path, df, X.running_backlog, "backlogs")} == batch
+    assert {r.step: r.backlog_ms for r in run_stream(spark, tmp_path, df, lambda s: X.running_backlog(s, first=0), "backlogs", shuffled=True)} == batch
     text = "ab cd  efg h ij klm no p "
     deltas = spark.createDataFrame([("r", i, text[i * 2 : i * 2 + 2], float(i)) for i in range(len(text) // 2 + 1)], "run_id string, seq int, text string, at_ms double")
     batch = {r.unit: (r.word, r.at_ms) for r in W.word_emissions(deltas, "run_id", "seq", "text", "at_ms").collect()}
-    assert {r.unit: (r.word, r.at_ms) for r in run_stream(spark, tmp_path, deltas, X.word_emissions, "words")} == batch
+    assert {r.unit: (r.word, r.at_ms) for r in run_stream(spark, tmp_path, deltas, X.word_emissions, "words", shuffled=True)} == batch
     turns = spark.createDataFrame([("r", i) for i in range(1, 31)], "run_id string, turn int")
     got = {r.turn: r.context_start for r in run_stream(spark, tmp_path, turns, lambda s: X.soft_context(s, 6, 3), "contexts")}
     assert got == {r.turn: r.s for r in turns.select("turn", W.soft_window_start(F.col("turn"), 6, 3).alias("s")).collect()}
@@ -138,36 +142,97 @@ def test_windows_sessions_and_upserts(spark, tmp_path):
     batch = {(r.start, r.n) for r in X.sessions(df, "run_id", "ts", "20 seconds", "5 seconds").collect()}
     live = {(r.start, r.n) for r in run_stream(spark, tmp_path, df, lambda s: X.sessions(s, "run_id", "ts", "20 seconds", "5 seconds"), "sess")}
     assert live <= batch and len(live) == len(batch) - 1
+
+
+def test_upserts_are_idempotent_and_stay_small(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
     later = t0 + dt.timedelta(minutes=10)
     events = spark.createDataFrame([("a", t0, 1), ("b", t0, 2), ("a", t0, 1), ("a", later, 2)], "id string, ts timestamp, v int")
     src = str(tmp_path / "up")
     events.coalesce(1).write.json(src)
-    q = X.upsert_each_batch(spark.readStream.schema(events.schema).json(src), str(tmp_path / "table"), "id", "ts", "1 minute", str(tmp_path / "cp-up")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.id: r.v for r in X.latest_by_key(spark.read.parquet(str(tmp_path / "table")), "id", "ts").collect()} == {"a": 2, "b": 2}
+    kept = UpsertTable(spark, str(tmp_path / "table"), "id", "ts", buckets=2)
+    assert kept.read(events.schema).count() == 0
+    upsert_each_batch(spark.readStream.schema(events.schema).json(src), kept, "1 minute", str(tmp_path / "cp-up")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r.id: r.v for r in kept.read().collect()} == {"a": 2, "b": 2}
+
+    many = UpsertTable(spark, str(tmp_path / "many"), "id", "ts", buckets=2, most_deltas=3)
+    rng, state, most_files = random.Random(1), {}, 0
+    for n in range(14):
+        rows = [(f"k{rng.randrange(12)}", t0 + dt.timedelta(minutes=rng.randrange(30)), n * 100 + i) for i in range(6)]
+        batch = spark.createDataFrame(rows, events.schema)
+        many.put(batch, n)
+        if n % 5 == 0:
+            many.put(batch, n)
+            many.put(spark.createDataFrame([("zz", later, 9)], events.schema), n)
+        for k, t, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            if k not in state or (t, n, v) >= state[k]:
+                state[k] = (t, n, v)
+        most_files = max(most_files, sum(1 for _ in (tmp_path / "many").rglob("*.parquet")))
+    assert {r.id: (r.ts, r.v) for r in many.read().collect()} == {k: (x[0], x[2]) for k, x in state.items()}
+    # two versions of a base and at most four deltas, in two buckets each
+    assert most_files <= 2 * 2 * (1 + 4) and len(many.versions()) == 2
+
+
+def test_an_upsert_that_was_cut_off_is_done_again(spark, tmp_path, monkeypatch):
+    t0 = dt.datetime(2024, 1, 1)
+    kept = UpsertTable(spark, str(tmp_path / "t"), "id", "ts", buckets=2, most_deltas=1)
+    rows = lambda v: spark.createDataFrame([("a", t0, v), ("b", t0, v)], "id string, ts timestamp, v int")
+    kept.put(rows(1), 0)
+    with monkeypatch.context() as m:
+        m.setattr(kept, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            kept.put(rows(2), 1)
+    assert {r.v for r in kept.read().collect()} == {1}
+    kept.put(rows(3), 1)
+    assert {r.v for r in kept.read().collect()} == {3}
 
 
 def test_source_stream_join(spark, tmp_path):
+    """Any gap between send and play, in three triggers out of order; a late clock row releases the last plays."""
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("r", t0 + dt.timedelta(seconds=s), k, v) for s, k, v in ((1, "send", 5.0), (2, "play", 0.0), (3, "send", 9.0), (4, "play", 1.0), (300, "send", 50.0), (301, "play", 2.0), (900, "send", 60.0), (901, "play", 3.0))]
+    rows = [("r", t0 + dt.timedelta(seconds=s), k, v) for s, k, v in ((1, "send", 5.0), (2, "play", 0.0), (3, "send", 9.0), (3, "play", 1.0), (300, "send", 50.0), (90_000, "play", 2.0), (90_001, "send", 60.0), (90_002, "play", 3.0))]
+    rows += [("q", t0 + dt.timedelta(seconds=5), "play", 7.0)]
     df = spark.createDataFrame(rows, "run_id string, ts timestamp, kind string, x double")
 
     def make(s):
         sends = s.filter("kind = 'send'").select("run_id", F.col("ts").alias("sent_ts"), F.col("x").alias("sent_ms"))
-        plays = s.filter("kind = 'play'").select("run_id", F.col("ts").alias("play_ts"), F.col("x").cast("int").alias("unit"))
-        return X.source_as_of(sends, plays, "5 seconds", "1 minute")
-
-    got = {r.unit: r.source_ms for r in run_stream(spark, tmp_path, df, make, "asof")}
-    assert got and all(got[u] == v for u, v in {0: 5.0, 1: 9.0}.items() if u in got)
+        plays = s.filter("kind = 'play'").select("run_id", F.col("ts").alias("play_ts"), F.col("x").cast("long").alias("unit"))
+        return X.source_as_of(sends, plays, "2 days")
+
+    src, out = str(tmp_path / "asof-in"), str(tmp_path / "asof-out")
+    random.Random(3).shuffle(rows)
+    for part in (rows[:3], rows[3:6], rows[6:], [("clock", t0 + dt.timedelta(days=9), "send", 0.0)]):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(src)
+        live = make(spark.readStream.schema(df.schema).parquet(src))
+        live.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "asof-cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.run_id, r.unit): r.source_ms for r in spark.read.parquet(out).collect()}
     batch = J.as_of(df.filter("kind = 'send'").withColumn("n", F.lit(0)), df.filter("kind = 'play'").withColumn("n", F.col("x").cast("int")), "run_id", "ts", "x", "n")
-    assert {r.n: r.x_as_of for r in batch.collect()} == {0: 5.0, 1: 9.0, 2: 50.0, 3: 60.0}
+    assert got == {(r.run_id, r.n): r.x_as_of for r in batch.collect()} == {("r", 0): 5.0, ("r", 1): 9.0, ("r", 2): 50.0, ("r", 3): 60.0, ("q", 7): 0.0}
+
+
+def test_lost_rows_are_given_up_by_the_clock(spark, tmp_path):
+    """A gap holds back what follows until the watermark has passed it; then the buffer is empty and late rows are dropped."""
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "run_id string, packet_index int, duration_ms double, sample_rate int, ts timestamp"
+    row = lambda i, minute: ("a", i, 10.0, 16000, t0 + dt.timedelta(minutes=minute))
+    parts = [[row(2, 2), row(1, 1)], [row(4, 4), row(5, 5)], [("b", 1, 1.0, 1, t0 + dt.timedelta(minutes=30))], [row(3, 31), row(6, 32)], [("b", 2, 1.0, 1, t0 + dt.timedelta(minutes=90))]]
+    src, out, cp, held = str(tmp_path / "gap-in"), str(tmp_path / "gap-out"), str(tmp_path / "gap-cp"), []
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(src)
+        live = X.packet_positions(spark.readStream.schema(kind).parquet(src), X.Clock("ts", "10 minutes"), first=1)
+        q = live.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held.append(sorted(r.packet_index for r in spark.read.schema(live.schema).parquet(out).filter("run_id = 'a'").collect()))
+    assert held == [[1, 2], [1, 2], [1, 2, 4, 5], [1, 2, 4, 5, 6], [1, 2, 4, 5, 6]]
+    got = {r.packet_index: (r.audio_end_ms, r.index_gap) for r in spark.read.schema(live.schema).parquet(out).filter("run_id = 'a'").collect()}
+    assert got == {1: (10.0, False), 2: (20.0, False), 4: (30.0, True), 5: (40.0, False), 6: (50.0, False)}
 
 
 def test_states_of_silent_sessions_go(spark, tmp_path):
     """With an expiry a session that comes back after its silence starts anew; without one it goes on."""
     t0 = dt.datetime(2024, 1, 1)
     row = lambda run, i, minute: (run, i, 1000.0 * i, 500.0, t0 + dt.timedelta(minutes=minute))
-    parts = [[row("a", 0, 0), row("a", 1, 0)], [row("b", 0, 120)], [row("a", 2, 121)]]
+    parts = [[row("a", 0, 0), row("a", 1, 0)], [row("b", 0, 120)], [row("a", 2, 121)], [row("b", 1, 150)]]
     kind = "run_id string, packet_index int, arrival_ms double, cost_ms double, ts timestamp"
 
     def ends(expire, name):
@@ -175,9 +240,9 @@ def test_states_of_silent_sessions_go(spark, tmp_path):
         for part in parts:
             df = spark.createDataFrame(part, kind).withColumns({"step": F.col("packet_index"), "budget_ms": F.lit(0.0)})
             df.coalesce(1).write.mode("append").parquet(src)
-            live = X.running_backlog(spark.readStream.schema(df.schema).parquet(src), expire)
+            live = X.running_backlog(spark.readStream.schema(df.schema).parquet(src), expire, first=0)
             live.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start().awaitTermination(120)
         return {(r.run_id, r.step): r.backlog_ms for r in spark.read.parquet(out).collect()}
 
     assert ends(None, "kept")["a", 2] == 1500.0
-    assert ends(("ts", "1 minute", 3_600_000), "gone") == {("a", 0): 500.0, ("a", 1): 1000.0, ("b", 0): 500.0, ("a", 2): 500.0}
+    assert ends(("ts", "1 minute", 3_600_000), "gone") == {("a", 0): 500.0, ("a", 1): 1000.0, ("b", 0): 500.0, ("a", 2): 500.0, ("b", 1): 1000.0}
