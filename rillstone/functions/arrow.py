@@ -63,6 +63,20 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(_listed(x), _listed(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+@F.pandas_udf(T.StructType([T.StructField("overlap", T.IntegerType()), T.StructField("held", T.IntegerType())]))
+def bag_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """M6: of two token arrays, the size of the multiset intersection, and how many tokens of a occur in b; null counts as empty.
+
+    A fold over sorted structs does the same without Python, at a tenth of the speed."""
+    overlap, held = [], []
+    for x, y in zip(a, b, strict=True):
+        ours, theirs = Counter(_listed(x)), Counter(_listed(y))
+        both = ours.keys() & theirs.keys()
+        overlap.append(sum(min(ours[t], theirs[t]) for t in both))
+        held.append(sum(ours[t] for t in both))
+    return pd.DataFrame({"overlap": pd.array(overlap, "int32"), "held": pd.array(held, "int32")})
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in ("matched", "hyp", "ref")]])))
 def ngram_overlap(hyp: pd.Series, ref: pd.Series, order: pd.Series) -> pd.Series:
     """M8: n-grams of both sides and how many match, each at most as often as the reference has it, by length up to the order."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
-from .arrow import edit_distance
+from .arrow import bag_counts, edit_distance
 
 # Weights of the aggregate score; thresholds of the gates; marks of a leaked prompt.
 WEIGHTS = {"f1": 0.3, "terms": 0.25, "numbers": 0.2, "budget": 0.05, "speed": 0.1, "lag": 0.1}
@@ -61,15 +61,22 @@ def budget_ratio(cand: Column, lang: Column, budget: Column) -> Column:
 
 
 # M2, M3
-def term_recall(terms: Column, cand: Column) -> Column:
+def term_share(terms: Column, norm: Column) -> Column:
     """Share of required terms whose normalised form stands in the normalised text; an empty form always does."""
-    hits = once(T.normalize(cand), lambda norm: F.size(F.filter(terms, lambda t: F.contains(norm, T.normalize(t)))))
-    return F.when(F.size(terms) > 0, hits / F.size(terms))
+    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(norm, T.normalize(t)))) / F.size(terms))
+
+
+def term_recall(terms: Column, cand: Column) -> Column:
+    return once(T.normalize(cand), lambda norm: term_share(terms, norm))
+
+
+def number_share(need: Column, said: Column) -> Column:
+    """Of two arrays of numbers, the first without repeats: the share of the first that the second holds."""
+    return F.when(F.size(need) > 0, F.size(F.array_intersect(need, said)) / F.size(need))
 
 
 def number_recall(required: Column, cand: Column) -> Column:
-    need = F.array_distinct(T.numbers(required))
-    return F.when(F.size(need) > 0, F.size(F.array_intersect(need, T.numbers(cand))) / F.size(need))
+    return number_share(F.array_distinct(T.numbers(required)), T.numbers(cand))
 
 
 # M4, M5
@@ -95,22 +102,6 @@ def budget_penalty(x: Column) -> Column:
 
 
 # M6 for texts of a row
-def bag_counts(a: Column, b: Column) -> Column:
-    """Of two token arrays, in one pass over both sorted together: the size of the multiset intersection, and how many tokens of a occur in b."""
-    side = lambda xs, n: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(n).alias("n")))
-    zero = F.lit(0)
-    start = F.struct(F.lit(None).cast("string").alias("t"), zero.alias("a"), zero.alias("b"), zero.alias("overlap"), zero.alias("held"))
-    overlap, held = (lambda s: s["overlap"] + F.least(s["a"], s["b"])), (lambda s: s["held"] + F.when(s["b"] > 0, s["a"]).otherwise(0))
-
-    def step(s: Column, x: Column) -> Column:
-        same, of_a = s["t"] == x["t"], 1 - x["n"]
-        return F.when(same, F.struct(s["t"].alias("t"), (s["a"] + of_a).alias("a"), (s["b"] + x["n"]).alias("b"), s["overlap"].alias("overlap"), s["held"].alias("held"))).otherwise(
-            F.struct(x["t"].alias("t"), of_a.alias("a"), x["n"].alias("b"), overlap(s).alias("overlap"), held(s).alias("held"))
-        )
-
-    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: F.struct(overlap(s).alias("overlap"), held(s).alias("held")))
-
-
 def bag_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
     return bag_counts(a, b)["overlap"]

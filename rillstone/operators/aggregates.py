@@ -24,32 +24,50 @@ def unpivot_numbers(df: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return df.select(*keys, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(list(keys), list(names), "metric", "value")
 
 
+#: groups whose brackets are sent to all tasks at most; more are joined by group
+MOST_GROUPS = 20_000
+#: approximate quantiles are off by less than one place in so many; brackets are ten times as wide to either side
+ACCURACY = 10_000
+
+
 def values_at(long: DataFrame, keys: Sequence[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """long: keys, metric, value.  keys, metric, n, mean, min, max and the value at each of ``places`` (of n, from 0) in rising order.
 
-    Equal values are one row with their count.  Approximate quantiles of these rows cut a group into 1024 cells; the running counts
-    of the cells tell which ones hold a wanted place, and only their rows are ranked, each cell in a task of its own.  A group with
-    all rows of a table is thus never in one task, and all values are exact."""
-    held = long.select(F.struct(*keys, "metric").alias("__g"), "value").groupBy("__g", "value").agg(F.count(F.lit(1)).alias("__c"))
-    edges = F.percentile_approx("value", [i / 1024 for i in range(1, 1024)], 10_000)
-    groups = held.groupBy("__g").agg(
-        edges.alias("__edges"), F.sum("__c").alias("n"), (F.sum(F.col("value") * F.col("__c")) / F.sum("__c")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    # how many edges lie below a value: by every 32nd edge, then by the 31 behind it
-    below = lambda among: F.size(F.filter(among, lambda e: e < F.col("value")))
-    coarse = F.transform(F.sequence(F.lit(32), F.lit(992), F.lit(32)), lambda i: F.get("__edges", i - 1))
-    marked = groups.select("__g", "__edges", coarse.alias("__coarse"))
-    cut = held.join(marked, "__g").withColumn("__k", 32 * below("__coarse"))
-    cut = cut.withColumn("__cell", F.col("__k") + below(F.slice("__edges", F.col("__k") + 1, 31))).select("__g", "__cell", "value", "__c")
-    # at most 1024 rows of a group
-    cells = cut.groupBy("__g", "__cell").agg(F.sum("__c").alias("__m"))
-    cells = cells.withColumn("__hi", F.sum("__m").over(Window.partitionBy("__g").orderBy("__cell"))).withColumn("__lo", F.col("__hi") - F.col("__m"))
-    cells = cells.join(groups.select("__g", *[at(F.col("n")).cast("long").alias(f"__at_{p}") for p, at in places.items()]), "__g")
-    inside = lambda p: (F.col("__lo") <= F.col(f"__at_{p}")) & (F.col(f"__at_{p}") < F.col("__hi"))
-    wanted = cells.filter(reduce(operator.or_, [inside(p) for p in places])).drop("__m", "__hi")
-    ranked = cut.join(wanted, ["__g", "__cell"]).withColumn("__upto", F.col("__lo") + F.sum("__c").over(Window.partitionBy("__g", "__cell").orderBy("value")))
-    found = ranked.groupBy("__g").agg(*[F.min(F.when(F.col("__upto") > F.col(f"__at_{p}"), F.col("value"))).alias(p) for p in places])
-    return groups.drop("__edges").join(found, "__g").select("__g.*", "n", "mean", "min", "max", *places)
+    Two passes over the rows.  The first takes approximate quantiles of each group, which bracket every wanted place: their error is
+    bounded.  The second counts the rows between the brackets and, value by value, those inside, a few in a thousand; tasks add up their own
+    counts before the shuffle.  The running counts of a group then tell its values exactly.  A group with all rows of a table is never in one task."""
+    wide = 10 / ACCURACY
+    long = long.withColumn("__g", F.struct(*keys, "metric"))
+    stats = long.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), *_brackets(places, wide))
+    groups = stats.select("__g", F.struct("n", "mean", "min", "max", *[at(F.col("n")).cast("long").alias(f"at_{p}") for p, at in places.items()]).alias("__s"), *[_bracket(p, at, wide) for p, at in places.items()])
+    few = groups.limit(MOST_GROUPS + 1).toArrow()
+    if few.num_rows <= MOST_GROUPS:
+        groups = F.broadcast(long.sparkSession.createDataFrame(few, groups.schema))
+    both = long.select("__g", "value").join(groups, "__g")
+    inside = lambda p: F.col("value").between(F.col(f"__b_{p}.lo"), F.col(f"__b_{p}.hi"))
+    kept = F.when(reduce(operator.or_, [inside(p) for p in places]), F.col("value"))
+    # rows outside all brackets count behind the last bracket that ends before them
+    past = [F.when(F.col(f"__b_{p}.hi") < F.col("value"), F.col(f"__b_{p}.hi")) for p in places]
+    cut = both.withColumns({"__v": kept, "__after": F.when(kept.isNull(), F.greatest(*past) if len(past) > 1 else past[0])})
+    held = cut.groupBy("__g", "__v", "__after").agg(F.count(F.lit(1)).alias("__c"), F.any_value("__s").alias("__s"))
+    order = Window.partitionBy("__g").orderBy(F.asc_nulls_first(F.coalesce("__v", "__after")), F.col("__v").isNull())
+    ranked = held.withColumn("__upto", F.sum("__c").over(order))
+    ranked = ranked.withColumn("__lo", F.col("__upto") - F.col("__c"))
+    at = lambda p: (F.col("__lo") <= F.col(f"__s.at_{p}")) & (F.col(f"__s.at_{p}") < F.col("__upto"))
+    found = ranked.groupBy("__g").agg(F.any_value("__s").alias("__s"), *[F.max(F.when(at(p), F.coalesce("__v", F.raise_error(F.lit(f"{p} lies outside its bracket")).cast("double")))).alias(p) for p in places])
+    return found.select("__g.*", "__s.n", "__s.mean", "__s.min", "__s.max", *places)
+
+
+def _brackets(places: dict[str, Callable[[Column], Column]], wide: float) -> list[Column]:
+    """Approximate quantiles in steps of the brackets' width."""
+    return [F.percentile_approx("value", [i * wide for i in range(round(1 / wide) + 1)], ACCURACY).alias("__q")]
+
+
+def _bracket(name: str, at: Callable[[Column], Column], wide: float) -> Column:
+    """The quantiles a step below and a step above the place, the least and the greatest value at the ends."""
+    step = at(F.col("n")) / F.col("n") / wide
+    lo, hi = F.floor(step).cast("int") - 1, F.ceil((at(F.col("n")) + 1) / F.col("n") / wide).cast("int") + 1
+    return F.struct(F.when(lo < 1, F.col("min")).otherwise(F.get("__q", lo)).alias("lo"), F.when(hi >= round(1 / wide), F.col("max")).otherwise(F.get("__q", hi)).alias("hi")).alias(f"__b_{name}")
 
 
 def interpolated(long: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:

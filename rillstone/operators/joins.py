@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,72 @@ def window_intervals(windows: DataFrame, intervals: DataFrame, run: str, cell_s:
     )
 
 
+#: tokens of items that are looked up inside the tasks at most; more are joined
+MOST_INDEXED = 2_000_000
+#: (document, item) meetings that a task counts at a time
+MEETINGS = 1 << 22
+
+
+def containment_join(items: DataFrame, docs: DataFrame, least: float = 0.0, depth: int = 3, most_indexed: int = MOST_INDEXED) -> DataFrame:
+    """M11 at scale.  items: item, w array<string> without repeats; docs: doc, w likewise.  item, doc, n (size of the item's w), c (how many of them the
+    document holds) of all pairs with c >= least * n and c > 0.
+
+    Documents stay where they are: every task has the items' tokens as an inverted index, whose size is checked, and counts its
+    documents' meetings.  Items of more tokens than that are joined by their rarest ones."""
+    known = items.filter(F.size("w") > 0).withColumn("n", F.size("w"))
+    known = known.withColumn("k", F.greatest(F.lit(1), F.ceil(F.bround(F.lit(least) * F.col("n"), 9)).cast("int")))
+    if known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > most_indexed:
+        return _joined_by_rare_tokens(known, docs, depth)
+    index = known.select("item", "w", "n", "k").toArrow().combine_chunks()
+    lists = index["w"].combine_chunks() if index.num_rows else pa.array([], pa.list_(pa.string()))
+    tokens = pc.unique(lists.flatten())
+    at = pc.index_in(lists.flatten(), tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    order = np.argsort(at, kind="stable")
+    owner, start = owner[order], np.searchsorted(at[order], np.arange(len(tokens) + 1))
+    names, n, k = (index[c].combine_chunks() if index.num_rows else pa.array([], index.schema.field(c).type) for c in ("item", "n", "k"))
+    least_of = k.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column("w")
+            row = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False))
+            ids = pc.index_in(w.flatten(), tokens)
+            there = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids, row = ids.drop_null().to_numpy(zero_copy_only=False), row[there]
+            meet = start[ids + 1] - start[ids]
+            upto = np.cumsum(meet)
+            lo = 0
+            while lo < len(row):
+                # whole documents at a time
+                hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + MEETINGS, side="right"))
+                hi = max(hi, lo + 1)
+                hi = int(np.searchsorted(row, row[hi - 1], side="right")) if hi >= len(row) or row[hi - 1] == row[lo] else int(np.searchsorted(row, row[hi - 1]))
+                many = meet[lo:hi]
+                place = np.repeat(start[ids[lo:hi]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                pair, c = np.unique(np.repeat(row[lo:hi], many) * len(names) + owner[place], return_counts=True)
+                item = pair % len(names) if len(names) else pair
+                kept = c >= least_of[item]
+                item, c, doc = item[kept], c[kept], pair[kept] // len(names) if len(names) else pair
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(item)), b.column("doc").take(pa.array(doc)), n.take(pa.array(item)).cast(pa.int32()), pa.array(c, pa.int32())], ["item", "doc", "n", "c"])
+                lo = hi
+
+    kinds = (items.schema["item"].dataType.simpleString(), docs.schema["doc"].dataType.simpleString())
+    return docs.select("doc", "w").mapInArrow(run, f"item {kinds[0]}, doc {kinds[1]}, n int, c int")
+
+
+def _joined_by_rare_tokens(known: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+    """A document that holds k of an item's n tokens holds ``depth`` of any n - k + ``depth`` of them (k of all, if k is smaller), so that only the
+    rarest so many are looked up; pairs that pass are counted whole.  How rare a token is among the items decides on speed only."""
+    tokens = known.select("item", "n", "k", F.explode("w").alias("t"))
+    seen = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ranked = tokens.join(seen, "t").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("f", "t")))
+    prefix = ranked.withColumn("need", F.least(F.lit(depth), F.col("k"))).filter("r <= n - k + need").select("item", "need", "t")
+    met = docs.select("doc", F.explode("w").alias("t")).join(prefix, "t").groupBy("doc", "item", "need").agg(F.count(F.lit(1)).alias("m")).filter("m >= need")
+    pairs = met.select("doc", "item").join(known.select("item", "n", "k", F.col("w").alias("__w")), "item").join(docs.select("doc", "w"), "doc")
+    return pairs.withColumn("c", F.size(F.array_intersect("__w", "w"))).filter("c >= k").select("item", "doc", "n", "c")
+
+
 def sentence_windows(sentences: DataFrame, window_s: float) -> DataFrame:
     """J9.  sentences: start_s, end_s, duration_s.  One row per window a sentence touches; sentences from the end of the evaluation on are left out."""
     last = F.floor(F.greatest(F.col("start_s"), F.least("end_s", "duration_s") - 1e-6) / window_s)

@@ -16,17 +16,24 @@ def heuristic_scores(df: DataFrame) -> DataFrame:
     """M7 over columns id, lang, source_text, reference, candidate, terms, budget, duration_s, max_wpm, rate, budget_s, rtf_threshold, end_lag, max_lag."""
     c = F.col
     ref = F.coalesce(c("reference"), F.lit(""))
-    given = df.withColumns({
-        "candidate_tokens": T.token_count(c("candidate")), "candidate_units": T.unit_count(c("candidate"), c("lang")),
-        "reference_tokens": T.token_count(ref), "reference_units": T.unit_count(ref, c("lang")),
-        "compression_ratio": M.compression_ratio(c("candidate"), ref), "target_unit_reference_ratio": M.target_unit_ratio(c("candidate"), ref, c("lang")),
-        "target_budget_ratio": M.budget_ratio(c("candidate"), c("lang"), c("budget")), "bag_f1_vs_reference": M.bag_f1(ref, c("candidate")),
-        "must_keep_term_recall": M.term_recall(c("terms"), c("candidate")),
-        "number_recall": M.number_recall(F.coalesce(F.nullif(ref, F.lit("")), c("source_text")), c("candidate")),
-        "estimated_target_wpm": M.per_minute(T.token_count(c("candidate")), c("duration_s")),
-        "estimated_target_units_per_minute": M.per_minute(T.unit_count(c("candidate"), c("lang")), c("duration_s")),
-        "estimated_target_speech_s": M.speech_seconds(c("candidate"), c("lang"), c("rate")), "s2s_rtf": M.real_time_factor(c("candidate"), c("lang"), c("rate"), c("budget_s")),
+    # each text is cut once; everything else is counted from these columns
+    cut = df.withColumns({
+        "__ct": T.tokenize(c("candidate")), "__rt": T.tokenize(ref), "__cc": T.cjk_count(c("candidate")), "__rc": T.cjk_count(ref),
+        "__cn": T.numbers(c("candidate")), "__rn": F.array_distinct(T.numbers(F.coalesce(F.nullif(ref, F.lit("")), c("source_text")))),
     })
+    units = lambda cjk, tokens: F.when(T.is_cjk(c("lang")) & (c(cjk) > 0), c(cjk)).otherwise(F.size(tokens))
+    counted = cut.withColumns({
+        "candidate_tokens": F.size("__ct"), "reference_tokens": F.size("__rt"), "candidate_units": units("__cc", "__ct"), "reference_units": units("__rc", "__rt"), "__overlap": M.bag_overlap(c("__rt"), c("__ct")),
+        "must_keep_term_recall": M.term_share(c("terms"), F.array_join("__ct", " ")), "number_recall": M.number_share(c("__rn"), c("__cn")),
+    }).drop("__ct", "__rt", "__cc", "__rc", "__cn", "__rn")
+    some = ref != ""
+    given = counted.withColumns({
+        "compression_ratio": F.when(some, M.ratio(c("candidate_tokens"), c("reference_tokens"))), "target_unit_reference_ratio": F.when(some, M.ratio(c("candidate_units"), c("reference_units"))),
+        "target_budget_ratio": F.when(c("budget") > 0, c("candidate_units") / c("budget")), "bag_f1_vs_reference": F.when(some, M.f1_of(c("__overlap"), c("reference_tokens"), c("candidate_tokens"))),
+        "estimated_target_wpm": M.per_minute(c("candidate_tokens"), c("duration_s")), "estimated_target_units_per_minute": M.per_minute(c("candidate_units"), c("duration_s")),
+        "estimated_target_speech_s": F.when(c("rate") > 0, c("candidate_units") / c("rate")),
+    }).drop("__overlap")
+    given = given.withColumn("s2s_rtf", F.when(c("budget_s") > 0, c("estimated_target_speech_s") / c("budget_s")))
     given = given.withColumns({
         "budget_penalty": M.budget_penalty(c("target_budget_ratio")), "listenability_penalty": M.over(c("estimated_target_wpm"), c("max_wpm")), "lag_penalty": M.over(c("end_lag"), c("max_lag")),
         "target_budget_violation": F.coalesce(c("target_budget_ratio") > 1.0, F.lit(False)), "s2s_rtf_violation": F.coalesce(c("s2s_rtf") > c("rtf_threshold"), F.lit(False)),

@@ -679,11 +679,12 @@ d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z
 bt AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b), dt AS (SELECT doc_id, unnest(w) AS t FROM d), o AS (SELECT item_id, doc_id, n, count(*) AS c FROM bt JOIN dt USING (t) GROUP BY ALL)
 SELECT item_id, count(*) FILTER (c / n >= 0.75) AS covered, count(*) FILTER (c / n >= 0.35 AND c / n < 0.75) AS partial, max(round_even(c / n, 6)) AS best FROM o GROUP BY item_id""")
 def benchmark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M11 at scale: benchmark sentences against all documents over distinct tokens, by an inverted index."""
-    cut = lambda df, key: df.select(key, F.array_distinct(T.tokenize(F.col("text"))).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("t"))
-    b, d = cut(table(spark, sf_dir, "benchmark"), "item_id"), cut(table(spark, sf_dir, "documents"), "doc_id").drop("n")
-    o = b.join(d, "t").groupBy("item_id", "doc_id", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("r"))
-    return o.groupBy("item_id").agg(F.count_if(F.col("r") >= 0.75).alias("covered"), F.count_if((F.col("r") >= 0.35) & (F.col("r") < 0.75)).alias("partial"), F.max(F.bround("r", 6)).alias("best"))
+    """M11 at scale: benchmark sentences against all documents over distinct tokens, by an inverted index of the sentences."""
+    cut = lambda df, key, name: df.select(F.col(key).alias(name), F.array_distinct(T.tokenize(F.col("text"))).alias("w"))
+    b, d = cut(table(spark, sf_dir, "benchmark"), "item_id", "item"), cut(table(spark, sf_dir, "documents"), "doc_id", "doc")
+    r = F.col("c") / F.col("n")
+    found = J.containment_join(b, d).groupBy("item")
+    return found.agg(F.count_if(r >= 0.75).alias("covered"), F.count_if((r >= 0.35) & (r < 0.75)).alias("partial"), F.max(F.bround(r, 6)).alias("best")).withColumnRenamed("item", "item_id")
 
 
 @query(r"""SELECT doc_id, CASE WHEN position('__speed_' IN v) > 0 THEN split_part(v, '__speed_', 1) WHEN position('__chunk_' IN v) > 0 THEN split_part(v, '__chunk_', 1) ELSE v END AS base, regexp_replace(v, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe

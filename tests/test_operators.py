@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,33 @@ def test_turn_rows(spark):
     assert (r.current_source_s, r.target_s, r.rtf, r.audios, r.expected_empty) == (2.0, 1.5, 0.75, ["s__speed_1.5__chunk_0000.wav"], False)
     r = got["s__speed_1__chunk_0001"]
     assert (r.target_s, r.rtf, r.audios, r.expected_empty, r.row_id) == (None, None, ["s__speed_1__chunk_0000.wav", "s__speed_1__chunk_0001.wav"], True, "s")
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+@pytest.mark.parametrize("least", [0.0, 0.35, 0.75, 1.0])
+def test_containment_by_index_and_by_rare_tokens(spark, most, least, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(60)]
+    pick = lambda n: sorted({rng.choice(words) for _ in range(n)})
+    items = [(i, pick(rng.randint(1, 12))) for i in range(15)] + [(98, []), (99, None)]
+    docs = [(f"d{i}", pick(rng.randint(0, 40))) for i in range(60)] + [("none", None), ("like", items[0][1])]
+    monkeypatch.setattr(J, "MEETINGS", 50)
+    a, b = spark.createDataFrame(items, "item long, w array<string>"), spark.createDataFrame(docs, "doc string, w array<string>").repartition(3)
+    got = sorted((r.item, r.doc, r.n, r.c) for r in J.containment_join(a, b, least, most_indexed=most).collect())
+    want = sorted((i, d, len(w), c) for i, w in items if w for d, v in docs if (c := len(set(w) & set(v or []))) and c >= least * len(w) - 1e-9)
+    assert got == want
+
+
+def test_percentiles_take_two_passes_and_are_exact(spark):
+    rng = random.Random(8)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(4000)] + [("b", float(rng.randrange(3))) for _ in range(500)] + [("c", 7.0), ("d", 1.0), ("d", 2.0), ("e", float("inf")), ("e", -1.0), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    exact = {k: sorted(v for x, v in rows if x == k) for k in "abcde"}
+    for r in A.nearest_rank(df, ["v"], ["k"]).collect():
+        x = exact[r.k]
+        assert (r.n, r.p50, r.p90, r.min, r.max) == (len(x), x[len(x) // 2], x[min(len(x) - 1, int(0.9 * len(x)))], x[0], x[-1])
+    inter = {r.k: r for r in A.interpolated(A.unpivot_numbers(df, ["k"], ["v"]), ["k"], {"p05": 0.05, "p50": 0.5, "p99": 0.99}).collect()}
+    for k in "abcd":
+        for name, q in (("p05", 0.05), ("p50", 0.5), ("p99", 0.99)):
+            assert inter[k][name] == pytest.approx(np.percentile(exact[k], 100 * q))
+    assert A.nearest_rank(df.filter("v is null"), ["v"], ["k"]).count() == 0
