@@ -164,11 +164,14 @@ def timing_faults(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
     return chunks.withColumn("bad_fields", why).filter(F.size("bad_fields") > 0)
 
 
-def staged_paths(df: DataFrame, root: str, suffix: str = ".wav") -> DataFrame:
-    """Where each row's audio is staged, its packaged duration, or why it isn't."""
-    why = F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "missing_id").when(F.coalesce("audio", F.lit("")) == "", "missing_audio").when(~(F.col("duration_s") > 0), "bad_duration")
-    path = F.concat_ws("/", F.lit(root), F.substring(F.sha1(F.col("id").cast("string")), 1, 2), F.concat(T.safe_id(F.col("id").cast("string")), F.lit(suffix)))
-    return df.withColumns({"reason": why, "staged": F.when(why.isNull(), path), "packaged_s": F.when(why.isNull(), F.bround("duration_s", 3))})
+def staged_paths(df: DataFrame, root: str, split: str, rate: int = 16000, suffix: str = ".wav") -> DataFrame:
+    """P22.  df: id, audio, samples (of the decoded span; null if it can't be read), fault (the exception's name, then).  Where each row's audio is staged and what is packaged, or why it isn't."""
+    why = F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "missing_id").when(F.coalesce("audio", F.lit("")) == "", "missing_audio")
+    why = why.when(F.col("samples").isNull(), F.concat(F.lit("exception:"), F.coalesce("fault", F.lit("Exception"))))
+    key = F.col("id").cast("string")
+    path = F.concat_ws("/", F.lit(root.rstrip("/")), F.lit("source_wav"), F.lit(split), F.concat(T.safe_id(key), F.lit(suffix)))
+    ok = lambda x: F.when(why.isNull(), x)
+    return df.withColumns({"reason": why, "staged": ok(path), "packaged_sample_rate": ok(F.lit(rate)), "packaged_num_samples": ok(F.col("samples")), "packaged_duration_s": ok(F.bround(F.col("samples") / rate, 6))})
 
 
 def clean_rows(df: DataFrame, turns: str) -> tuple[DataFrame, DataFrame]:

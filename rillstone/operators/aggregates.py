@@ -104,12 +104,21 @@ def nearest_rank(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ())
     return out.select(*keys, "metric", "n", F.bround("mean", 6).alias("mean"), "p50", "p90", "min", "max")
 
 
+LABEL_NUMBERS = ("output_units", "output_over_budget_ratio", "output_reference_ratio")
+
+
 def label_summary(df: DataFrame, file: str) -> DataFrame:
-    """A4.  df: file, accepted, output_units, reference_units.  Acceptance and mean length ratio by file and overall (null file)."""
-    ratio = F.col("output_units") / F.greatest(F.lit(1), "reference_units")
-    return df.rollup(file).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("accepted")).alias("accepted"), F.bround(F.avg(F.col("accepted").cast("int")), 6).alias("acceptance_rate"), F.bround(F.avg(ratio), 6).alias("mean_ratio"),
-    )
+    """A4.  df: file, accepted, output_units, output_over_budget_ratio, output_reference_ratio.  By file and overall (null file): records, accepted, rejected,
+    acceptance rate, and of each of the three numbers count, mean, p50, p90 and max of the values there are; all rounded to 4."""
+    both = df.select(F.explode(F.array(F.col(file).cast("string"), F.lit(None).cast("string"))).alias(file), "accepted", *LABEL_NUMBERS)
+    fine = F.coalesce("accepted", F.lit(False))
+    counts = both.groupBy(file).agg(F.count(F.lit(1)).alias("records"), F.count_if(fine).alias("accepted"), F.count_if(~fine).alias("rejected"), F.bround(F.avg(fine.cast("int")), 4).alias("acceptance_rate"))
+    long = interpolated(unpivot_numbers(both, [file], LABEL_NUMBERS).filter("value is not null"), [file], {"p50": 0.5, "p90": 0.9})
+    of = lambda n, s: F.max(F.when(F.col("metric") == n, F.bround(s, 4) if s != "n" else F.col("n"))).alias(f"{n}_{'count' if s == 'n' else s}")
+    wide = long.groupBy(file).agg(*[of(n, s) for n in LABEL_NUMBERS for s in ("n", "mean", "p50", "p90", "max")])
+    wide = wide.withColumnRenamed(file, "__file")
+    out = counts.join(wide, counts[file].eqNullSafe(wide["__file"]), "left").drop("__file")
+    return out.fillna(0, [f"{n}_count" for n in LABEL_NUMBERS])
 
 
 def reason_histogram(df: DataFrame, reasons: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -205,14 +214,40 @@ def timing_summary(talks: DataFrame, run: str) -> DataFrame:
     )
 
 
-def run_metrics(timeline: DataFrame, coverage: DataFrame, run: str, deficit: float = 0.5) -> DataFrame:
-    """A14.  timeline: run, backlog, queue, violation; coverage: run, status."""
-    t = timeline.groupBy(run).agg(
-        F.max("backlog").alias("max_backlog"), F.bround(F.avg("backlog"), 6).alias("mean_backlog"), F.max("queue").alias("max_queue"), F.bround(F.avg("queue"), 6).alias("mean_queue"),
-        F.bround(F.avg(F.col("violation").cast("int")), 6).alias("violation_rate"), F.bround(F.avg((F.col("backlog") > deficit).cast("int")), 6).alias("deficit_rate"),
-    )
-    share = lambda s: F.bround(F.avg((F.col("status") == s).cast("int")), 6)
-    return t.join(coverage.groupBy(run).agg(share("missed").alias("missed_rate"), share("partial").alias("partial_rate")), run, "left")
+def final_timing(chunks: DataFrame, run: str) -> DataFrame:
+    """W12.  chunks: run, seq, arrival_s, audio_duration_s, cumulative_audio_duration_s.  run, final_arrival_s (the last arrival), playback_end_s (null without audio).
+
+    Chunks without an arrival are left out; the others play in the order of arrival, ties by seq, each when it has arrived and the one before has ended.  A missing duration is what
+    the cumulative duration adds to the audio before.  That is carried on as the greatest cumulative duration, or by the duration where
+    there is none: both are a running maximum over running sums."""
+    c, upto = F.col, Window.partitionBy(run).orderBy("arrival_s", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(run).orderBy("arrival_s", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    cum, own = c("cumulative_audio_duration_s"), c("audio_duration_s")
+    rows = chunks.filter("arrival_s is not null").withColumn("__add", F.when((own > 0) & cum.isNull(), own).otherwise(0.0))
+    rows = rows.withColumn("__sum", F.sum("__add").over(upto)).withColumn("__level", F.when(own.isNull() | (own > 0), cum) - c("__sum"))
+    held = F.coalesce(F.sum("__add").over(before), F.lit(0.0)) + F.greatest(F.lit(0.0), F.coalesce(F.max("__level").over(before), F.lit(0.0)))
+    rows = rows.withColumn("__d", F.greatest(F.lit(0.0), F.coalesce(own, cum - held, F.lit(0.0))))
+    heard = F.when(c("__d") > 0, c("arrival_s") - (F.sum("__d").over(upto) - c("__d")))
+    ends = rows.withColumn("__late", heard).groupBy(run).agg(F.max("arrival_s").alias("final_arrival_s"), (F.sum("__d") + F.greatest(F.lit(0.0), F.max("__late"))).alias("playback_end_s"), F.sum("__d").alias("__total"))
+    return ends.select(run, "final_arrival_s", F.when(c("__total") > 0, c("playback_end_s")).alias("playback_end_s"))
+
+
+def run_metrics(runs: DataFrame, timeline: DataFrame, coverage: DataFrame, timing: DataFrame, run: str, most_deficit: float = 0.5) -> DataFrame:
+    """A14.  runs: run, source_stream_duration_s, generated_duration_s (and others, which stay); timeline: run, backlog, queue, deficit, violation; coverage: run, status; timing: as of final_timing.
+
+    A run without a timeline has zeros, one without sentences null rates; lags need a source duration above 0."""
+    r6 = lambda x: F.bround(x, 6)
+    rate = lambda x: r6(F.avg(F.coalesce(x, F.lit(False)).cast("int")))
+    names = ("backlog", "queue", "deficit")
+    t = timeline.groupBy(run).agg(*[r6(f(n)).alias(f"{label}_{n}_s") for n in names for label, f in (("max", F.max), ("mean", F.avg))], rate(F.col("violation")).alias("backlog_violation_rate"), rate(F.col("deficit") > most_deficit).alias("deficit_violation_rate"))
+    s = coverage.groupBy(run).agg(rate(F.col("status") == "missed").alias("missed_sentence_rate"), rate(F.col("status") == "partial").alias("partial_sentence_rate"), F.count(F.lit(1)).alias("sentence_count"))
+    out = runs.join(t, run, "left").fillna(0.0, [c for c in t.columns if c != run]).join(s, run, "left").fillna(0, ["sentence_count"]).join(timing, run, "left")
+    source, made = F.coalesce("source_stream_duration_s", F.lit(0.0)), F.col("generated_duration_s")
+    timed = lambda x: F.when(source > 0, r6(x))
+    return out.withColumns({
+        "full_s2s_rtf": timed(made / source), "end_lag_s": r6(made - source), "duration_end_lag_s": r6(made - source), "final_target_arrival_s": r6(F.col("final_arrival_s")), "final_arrival_lag_s": timed(F.col("final_arrival_s") - source),
+        "wall_clock_playback_end_s": r6(F.col("playback_end_s")), "wall_clock_end_delay_s": F.when(F.col("playback_end_s").isNotNull(), timed(F.greatest(F.lit(0.0), F.col("playback_end_s") - source))),
+    }).drop("final_arrival_s", "playback_end_s")
 
 
 def result_grid(dims: Sequence[DataFrame], results: DataFrame, keys: Sequence[str], needed: Sequence[str]) -> DataFrame:
@@ -260,21 +295,30 @@ def split_overlap(df: DataFrame, split: str, base: str, shown: int = 10) -> Data
     return out.select("left", "right", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("examples", F.lit("")).alias("examples"), F.col("shared").isNull().alias("disjoint"))
 
 
-def manifest_issues(df: DataFrame, tolerance_s: float = 0.35) -> DataFrame:
-    """A20.  df: id, n_chunks, n_budgets, n_rtf, chunk_s array, total_s.  Issues of each row."""
+def manifest_issues(df: DataFrame, most_delta_s: float = 0.35) -> DataFrame:
+    """A20.  df: id, n_sources, n_boundaries, wavs array<string> (of each target chunk ok, missing, corrupt, or null where there is no path), chunk_s array<double>, full_s (null: no file).
+    Issues of each row by name; empty lists aren't compared."""
     total = F.aggregate("chunk_s", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    has = lambda what: F.exists("wavs", lambda w: F.coalesce(w == what, F.lit(False)))
     why = M.reasons(
-        (F.col("n_chunks") == 0, "no_chunks"), (F.col("n_budgets") != F.col("n_chunks"), "budget_count_mismatch"), (F.col("n_rtf") != F.col("n_chunks"), "rtf_count_mismatch"),
-        (F.abs(total - F.col("total_s")) > tolerance_s, "duration_sum_mismatch"), (F.exists("chunk_s", lambda x: x.isNull() | (x <= 0)), "bad_chunk_duration"),
+        (F.coalesce("n_boundaries", F.lit(0)).between(1, 2**31 - 1) & (F.col("n_boundaries") != F.col("n_sources")), "boundary_count_mismatch"), (has("corrupt"), "corrupt_target_wav"), (has("missing"), "missing_target_wav"),
+        (some("wavs") & (F.size("wavs") != F.col("n_sources")), "target_chunk_count_mismatch"), (F.col("full_s").isNotNull() & some("chunk_s") & (F.abs(F.col("full_s") - total) > most_delta_s), "target_chunk_duration_sum_delta"),
     )
-    return df.select("id", F.bround(total, 6).alias("sum_s"), why.alias("issues"))
+    count = lambda what: F.size(F.filter("wavs", lambda w: w == what))
+    return df.select("id", F.bround(total, 6).alias("sum_s"), F.greatest(F.lit(0), count("missing")).alias("missing"), F.greatest(F.lit(0), count("corrupt")).alias("corrupt"), why.alias("issues"))
+
+
+def manifest_summary(issues: DataFrame) -> DataFrame:
+    """Rows, rows with issues, missing and corrupt files, of the rows of manifest_issues."""
+    return issues.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("issues") > 0).alias("issues"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_wavs"), F.coalesce(F.sum("corrupt"), F.lit(0)).alias("corrupt_wavs"))
 
 
 def rtf_summary(df: DataFrame, ratios: str) -> DataFrame:
-    """Mean, p50, p90 and share above 1 of all chunks' real-time factors.  ratios: an array column; nulls don't count."""
+    """Mean, interpolated p50 and p90, and share above 1 of all chunks' real-time factors, rounded to 6.  ratios: an array column; nulls don't count."""
     values = df.select(F.explode(ratios).alias("rtf")).filter("rtf is not null")
     over = values.groupBy(F.lit("rtf").alias("metric")).agg(F.bround(F.avg((F.col("rtf") > 1.0).cast("int")), 6).alias("violation_rate"))
-    return nearest_rank(values, ["rtf"]).join(over, "metric").select("n", "mean", "p50", "p90", "violation_rate")
+    return metric_summary(values, ["rtf"], p95=False).join(over, "metric").select("n", "mean", "p50", "p90", "violation_rate")
 
 
 def probe_summary(df: DataFrame, run: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from .aggregates import interpolated, unpivot_numbers
 from .running import running
+from .sampling import unit_interval
 from .scoring import first_per_key, last_per_key
 
 
@@ -133,10 +135,15 @@ def _joined_by_rare_tokens(known: DataFrame, docs: DataFrame, depth: int) -> Dat
 
 
 def sentence_windows(sentences: DataFrame, window_s: float) -> DataFrame:
-    """J9.  sentences: start_s, end_s, duration_s.  One row per window a sentence touches; sentences from the end of the evaluation on are left out."""
-    last = F.floor(F.greatest(F.col("start_s"), F.least("end_s", "duration_s") - 1e-6) / window_s)
-    kept = sentences.filter("start_s < duration_s")
-    return kept.withColumn("window_index", F.explode(F.sequence(F.floor(F.col("start_s") / window_s).cast("int"), F.greatest(last, F.floor(F.col("start_s") / window_s)).cast("int"))))
+    """J9.  sentences: start_s, end_s, duration_s.  One row per window a sentence touches; sentences from the end of the evaluation on are left out.
+
+    A missing start is 0, a missing end the start; without a duration (null or 0) nothing is left out."""
+    limit = F.coalesce("duration_s", F.lit(0.0))
+    out = sentences.withColumn("start_s", F.coalesce("start_s", F.lit(0.0))).withColumn("end_s", F.coalesce("end_s", "start_s"))
+    out = out.filter((limit <= 0) | (F.col("start_s") < limit))
+    end = F.greatest("start_s", F.when(limit > 0, F.least("end_s", limit)).otherwise(F.col("end_s")))
+    first, last = F.floor(F.col("start_s") / window_s), F.floor(F.greatest(F.col("start_s"), end - 1e-6) / window_s)
+    return out.withColumn("window_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
 
 
 def as_of(events: DataFrame, lookups: DataFrame, key: str, time: str, value: str, tie: str, default: float = 0.0, block: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -169,14 +176,27 @@ def key_integrity(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def speed_pairs(scores: DataFrame, keys: Sequence[str], speeds: Sequence[float]) -> DataFrame:
-    """J13.  scores: keys, source_id, speed, score, time_s, null_type.  Differences to the first speed for ids that all speeds have; null-aligned or timeless ids go pair by pair."""
-    fine = F.when(F.col("null_type").isNull() & F.col("time_s").isNotNull(), F.struct("score", "time_s"))
+    """J13.  scores: keys, source_id, speed, score, end_ms, first_ms, null_type.  For each speed but the first: common (ids that all speeds have), n (those of
+    them aligned and timed at both), and the differences to the first speed: mean score, mean, p50 and p90 of the ends, p50 of the first speech."""
+    keys = list(keys)
+    aligned = F.coalesce("null_type", F.lit("")) == ""
+    fine = F.when(aligned & F.col("end_ms").isNotNull() & F.col("first_ms").isNotNull(), F.struct("score", "end_ms", "first_ms"))
     wide = scores.groupBy(*keys, "source_id").agg(*[F.max(F.when(F.col("speed") == s, F.lit(1))).alias(f"__h{i}") for i, s in enumerate(speeds)], *[F.max(F.when(F.col("speed") == s, fine)).alias(f"__s{i}") for i, s in enumerate(speeds)])
+    everywhere = F.lit(True)
     for i in range(len(speeds)):
-        wide = wide.filter(F.col(f"__h{i}").isNotNull())
+        everywhere = everywhere & F.col(f"__h{i}").isNotNull()
     rows = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("speed"), F.col(f"__s{i}").alias("x")) for i, s in enumerate(speeds) if i]))
-    pairs = wide.withColumn("__p", rows).filter("__s0 is not null and __p.x is not null")
-    return pairs.groupBy(*keys, F.col("__p.speed").alias("speed")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(F.col("__p.x.score") - F.col("__s0.score")), 6).alias("score_delta"), F.bround(F.avg(F.col("__p.x.time_s") - F.col("__s0.time_s")), 6).alias("time_delta_s"))
+    wide = wide.withColumn("__all", everywhere).withColumn("__p", rows)
+    both = F.col("__all") & F.col("__s0").isNotNull() & F.col("__p.x").isNotNull()
+    delta = lambda f: F.when(both, F.col(f"__p.x.{f}").cast("double") - F.col(f"__s0.{f}")).alias(f"{f}_delta")
+    pairs = wide.select(*keys, F.col("__p.speed").alias("speed"), "__all", delta("score"), delta("end_ms"), delta("first_ms"))
+    own = [*keys, "speed"]
+    counts = pairs.groupBy(*own).agg(F.count_if("__all").alias("common"), F.count("score_delta").alias("n"), F.bround(F.avg("score_delta"), 6).alias("score_delta"))
+    long = unpivot_numbers(pairs, own, ["end_ms_delta", "first_ms_delta"]).filter("value is not null")
+    ranks = interpolated(long, own, {"p50": 0.5, "p90": 0.9})
+    of = lambda metric, stat: F.max(F.when(F.col("metric") == metric, F.bround(stat, 6)))
+    ranks = ranks.groupBy(*own).agg(of("end_ms_delta", "mean").alias("end_delta_ms"), of("end_ms_delta", "p50").alias("end_delta_p50_ms"), of("end_ms_delta", "p90").alias("end_delta_p90_ms"), of("first_ms_delta", "p50").alias("first_delta_p50_ms"))
+    return counts.join(ranks, own, "left")
 
 
 def pair_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -185,13 +205,32 @@ def pair_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> Da
     return best(a, "value_a").join(best(b, "value_b"), list(keys), "full")
 
 
-def substitute_turns(rows: DataFrame, made: DataFrame, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
-    """J15.  rows: id, turn, frames; made: id, turn, frames.  A generated turn replaces the given one where its length drifts no further than the limits."""
-    m = made.select("id", "turn", F.col("frames").alias("__m"))
-    out = rows.join(m, ["id", "turn"], "left")
-    drift = F.col("__m") / F.greatest(F.lit(1), "frames")
-    fine = F.coalesce(F.col("__m").isNotNull() & (drift >= lo) & (drift <= hi), F.lit(False))
-    return out.withColumns({"substituted": fine, "frames": F.when(fine, F.col("__m")).otherwise(F.col("frames"))}).drop("__m")
+def self_history_copies(rows: DataFrame, made: DataFrame, fraction: float, replace: float, most_drift: float, seed: str = "0", suffix: str = "_v4self") -> DataFrame:
+    """J15.  rows: id, turns array<struct<frames, codes, ...>>; made: id, turns array<struct<frames, codes, runaway>>.  Marked copies of rows with some
+    of their turns' codes replaced by self-generated ones: id with the suffix, source_id, turns (with context_only), swapped, total.
+
+    A drawn ``fraction`` of the rows is tried.  A turn but the last is replaced with probability ``replace``, if the generated one isn't a runaway and neither is more than
+    ``most_drift`` times as long as the other.  Rows with too few generated turns and copies without a replaced turn are left out.
+    Draws are hashes of seed, id and place."""
+    m = made.select("id", F.col("turns").alias("__made"))
+    drawn = rows.filter(unit_interval(F.col("id"), f"{seed}:row") < fraction).join(m, "id").filter(F.size("__made") >= F.size("turns"))
+    fields = rows.schema["turns"].dataType.elementType.names
+    whole = lambda x: F.coalesce(x, F.lit(0))
+
+    def turn(t: Column, k: Column) -> Column:
+        new = F.get("__made", k)
+        ratio = whole(new["frames"]) / whole(t["frames"])
+        fits = (whole(t["frames"]) > 0) & (whole(new["frames"]) > 0) & (ratio >= 1.0 / most_drift) & (ratio <= most_drift) & ~F.coalesce(new["runaway"], F.lit(False))
+        luck = unit_interval(F.concat(F.col("id").cast("string"), F.lit(":"), k.cast("string")), f"{seed}:turn") < replace
+        swap = (k < F.size("turns") - 1) & fits & luck
+        kept = [F.when(swap, new[f]).otherwise(t[f]).alias(f) if f in ("codes", "frames") else t[f].alias(f) for f in fields if f != "context_only"]
+        given = F.coalesce(t["context_only"], F.lit(False)) if "context_only" in fields else F.lit(False)
+        return F.struct(*kept, (swap | given).alias("context_only"), swap.alias("__swap"))
+
+    out = drawn.withColumn("__turns", F.transform("turns", turn)).withColumn("swapped", F.size(F.filter("__turns", lambda t: t["__swap"]))).filter("swapped > 0")
+    names = [f for f in fields if f != "context_only"]
+    plain = F.transform("__turns", lambda t: F.struct(*[t[f].alias(f) for f in names], t["context_only"].alias("context_only")))
+    return out.withColumns({"source_id": F.col("id"), "turns": plain, "total": F.size("turns")}).withColumn("id", F.concat(F.col("id").cast("string"), F.lit(suffix))).drop("__made", "__turns")
 
 
 def status_join(expected: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -214,13 +253,17 @@ def coverage_gate(status: DataFrame, shown: int = 20) -> DataFrame:
     return long.groupBy("fault").agg(F.count(F.lit(1)).alias("n")).join(few, "fault", "left")
 
 
-def compare_values(a: DataFrame, b: DataFrame, key: str = "name", value: str = "value", digits: int = 4) -> DataFrame:
-    """J17.  Names of either side with both values, whether they differ, and whether numbers agree when both are rounded."""
-    x, y = a.select(key, F.col(value).alias("value_a")), b.select(key, F.col(value).alias("value_b"))
+def compare_values(a: DataFrame, b: DataFrame, key: str = "name", value: str = "value") -> DataFrame:
+    """J17.  a: key, value as stored text; b: key, value.  Names of either side with both values, whether they differ, by how much, and whether they agree:
+    a number agrees with a stored one if it differs by no more than half a unit of the last decimal that is written out."""
+    x, y = a.select(key, F.col(value).cast("string").alias("value_a")), b.select(key, F.col(value).cast("string").alias("value_b"))
     out = x.join(y, key, "full")
-    num = lambda c: F.bround(F.col(c).try_cast("decimal(30,12)"), digits)
+    exact = lambda c: F.col(c).try_cast("decimal(38,18)")
+    decimals = F.length(F.substring_index("value_a", ".", -1)) * F.contains("value_a", F.lit(".")).cast("int")
+    half = F.concat(F.lit("0."), F.repeat(F.lit("0"), decimals), F.lit("5")).cast("decimal(38,18)")
     return out.withColumns({
-        "changed": ~F.col("value_a").eqNullSafe(F.col("value_b")), "delta": F.bround(F.col("value_b").try_cast("double") - F.col("value_a").try_cast("double"), 6), "agrees": F.coalesce(num("value_a") == num("value_b"), F.lit(False)),
+        "changed": ~F.col("value_a").eqNullSafe(F.col("value_b")), "delta": F.bround(F.col("value_b").try_cast("double") - F.col("value_a").try_cast("double"), 6),
+        "agrees": F.coalesce(F.abs(exact("value_a") - exact("value_b")) <= half, F.lit(False)),
     })
 
 

@@ -66,13 +66,13 @@ def join_predictions(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return own.join(base, "__base", "left").withColumn("candidate", F.coalesce("candidate", "__other")).drop("__base", "__other")
 
 
-def evaluate_predictions(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """M20.  gold: id, text, source_s, reference_s; predictions: id, text, speech_s.  Ratios, early stop below .65, CER, missing flag."""
+def evaluate_predictions(gold: DataFrame, predictions: DataFrame, most_rtf: float = 1.0) -> DataFrame:
+    """M20.  gold: id, text, source_s, reference_s; predictions: id, text, speech_s.  Ratios, RTF violation, early stop below .65, CER, missing flag."""
     pred = predictions.select("id", F.col("text").alias("said"), "speech_s")
     out = gold.join(pred, "id", "left")
-    ratio = M.share(F.col("speech_s"), F.col("reference_s"))
+    ratio, rtf = M.share(F.col("speech_s"), F.col("reference_s")), M.share(F.col("speech_s"), F.col("source_s"))
     return out.select(
-        "id", F.col("said").isNull().alias("missing"), M.share(F.col("speech_s"), F.col("source_s")).alias("rtf"), ratio.alias("duration_ratio"),
+        "id", F.col("said").isNull().alias("missing"), rtf.alias("rtf"), F.coalesce(rtf > most_rtf, F.lit(False)).alias("rtf_violation"), ratio.alias("duration_ratio"),
         F.coalesce(ratio < 0.65, F.lit(False)).alias("early_stop"), F.bround(M.cer(F.col("text"), F.col("said")), 6).alias("cer"),
     )
 
@@ -161,6 +161,23 @@ def corpus_metrics(df: DataFrame, run: str, row: str, kind: str = "13a") -> Data
     return own.join(corpus_bleu(df, [run], row, kind).select(run, "bleu"), run).join(corpus_chrf(df, [run], row), run)
 
 
+def run_text_metrics(texts: DataFrame, run: str) -> DataFrame:
+    """M10.  texts: run, target_lang, candidate, reference, the whole texts of each run.  WER over tokens, CER, units by language, BLEU (Chinese characters apart for zh, all
+    characters for ja and ko, words else) and chrF."""
+    low = F.lower(F.coalesce("target_lang", F.lit("")))
+    given = texts.select(run, F.coalesce("candidate", F.lit("")).alias("candidate"), F.coalesce("reference", F.lit("")).alias("reference"), F.coalesce("target_lang", F.lit("")).alias("target_lang"))
+    given = given.withColumn("bleu_tokenizer", F.when(low.startswith("zh"), "zh").when(low.startswith("ja") | low.startswith("ko"), "char").otherwise("13a"))
+    bleu = None
+    for kind in ("13a", "zh", "char"):
+        part = corpus_bleu(given.filter(F.col("bleu_tokenizer") == kind).withColumn("__row", F.lit(1)), [run], "__row", kind).select(run, F.bround("bleu", 6).alias("bleu"))
+        bleu = part if bleu is None else bleu.unionByName(part)
+    ref, cand, lang = F.col("reference"), F.col("candidate"), F.col("target_lang")
+    own = given.select(
+        run, "bleu_tokenizer", F.bround(M.wer(ref, cand), 6).alias("wer"), F.bround(M.cer(ref, cand), 6).alias("cer"), T.unit_count(cand, lang).alias("candidate_units"), T.unit_count(ref, lang).alias("reference_units"),
+    ).fillna(0.0, ["wer", "cer"])
+    return own.join(bleu, run).join(corpus_chrf(given.withColumn("__row", F.lit(1)), [run], "__row").withColumn("chrf", F.bround("chrf", 6)), run)
+
+
 #: fixed value: what a voice says when it is done
 END_OF_SPEECH = "TTS-finish"
 

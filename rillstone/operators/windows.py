@@ -158,6 +158,27 @@ def context_window(df: DataFrame, conv: str, turn: str, text: str, size: int) ->
     return df.withColumn("context", F.collect_list(text).over(Window.partitionBy(conv).orderBy(turn).rowsBetween(-(size - 1), 0)))
 
 
+def pair_context(df: DataFrame, conv: str, turn: str, size: int) -> DataFrame:
+    """W24, constant length: each turn with the last ``size`` - 1 turns before it, and the conversation's system text, which always stays.
+
+    df: conv, turn, role, user, assistant (a pair of texts), system.  context: array<struct<user, assistant>> of the turns before."""
+    own = Window.partitionBy(conv).orderBy(turn)
+    past = F.collect_list(F.struct("user", "assistant")).over(own.rowsBetween(-max(1, size - 1), -1))
+    return df.withColumn("context", F.when(F.lit(size > 1), past).otherwise(F.slice(past, 1, 0)))
+
+
+def pinned_context(df: DataFrame, conv: str, turn: str, size: int) -> DataFrame:
+    """W24, pinned: each turn with the conversation's first turn and the last ``size`` - 2 turns before it that aren't the first."""
+    own = Window.partitionBy(conv).orderBy(turn)
+    pair = F.struct("user", "assistant")
+    n = F.row_number().over(own)
+    first, past = F.first(pair).over(own), F.collect_list(pair).over(own.rowsBetween(-max(1, size - 2), -1))
+    rows = df.withColumns({"__n": n, "__first": first, "__past": past})
+    # the turns before the n-th are n - 1; the first one is among the last size - 2 as long as n <= size - 1
+    recent = F.when(F.lit(size <= 2), F.slice("__past", 1, 0)).when(F.col("__n") <= size - 1, F.slice("__past", 2, size)).otherwise(F.col("__past"))
+    return rows.withColumn("context", F.when(F.col("__n") == 1, F.slice("__past", 1, 0)).otherwise(F.concat(F.array("__first"), recent))).drop("__n", "__first", "__past")
+
+
 def soft_window_start(n: Column, cap: int, keep: int) -> Column:
     """W24, ST7: how many leading turns are gone after n turns when the context shrinks to ``keep`` each time it reaches ``cap``."""
     held = F.when(n < cap, n).otherwise(keep + (n - cap) % (cap - keep))

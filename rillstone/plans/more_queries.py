@@ -295,13 +295,48 @@ def document_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("hyp_len").cast("long").alias("hyp_len"), F.col("ref_len").cast("long").alias("ref_len"), F.bround("bleu", 4).alias("bleu"))
 
 
-@query("""SELECT user_id AS run, max(value) AS max_backlog, round_even(avg(value), 6) AS mean_backlog, max(value / 2) AS max_queue, round_even(avg(value / 2), 6) AS mean_queue, round_even(avg(CAST(value > 30 AS INT)), 6) AS violation_rate,
-  round_even(avg(CAST(value > 0.5 AS INT)), 6) AS deficit_rate, round_even(avg(CAST(event_type = 'click' AS INT)), 6) AS missed_rate, round_even(avg(CAST(event_type = 'view' AS INT)), 6) AS partial_rate FROM events GROUP BY 1""")
+_CHUNKS = """chunks AS (SELECT user_id AS run, event_id, CASE WHEN event_id % 13 <> 0 THEN (epoch_us(ts) // 1000 - 1704067200000) / 1000.0::DOUBLE END AS arrival,
+  CASE WHEN event_id % 11 = 0 THEN 0.0::DOUBLE WHEN event_id % 3 = 0 THEN value END AS own, CASE WHEN event_id % 4 <> 1 THEN sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS cum FROM events),
+heard AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY arrival, event_id) AS k FROM chunks WHERE arrival IS NOT NULL),
+play AS (SELECT run, 0 AS k, 0.0::DOUBLE AS pe, 0.0::DOUBLE AS held FROM (SELECT DISTINCT run FROM heard) UNION ALL
+  SELECT h.run, CAST(h.k AS INT), CASE WHEN d > 0 THEN greatest(pe, arrival) + d ELSE pe END, CASE WHEN d <= 0 THEN held WHEN cum IS NOT NULL THEN greatest(held, cum) ELSE held + d END
+  FROM (SELECT h.*, p.pe, p.held, coalesce(own, greatest(0.0, coalesce(cum, p.held) - p.held)) AS d FROM heard h JOIN play p ON h.run = p.run AND h.k = p.k + 1) h),
+timing AS (SELECT run, max(arrival) AS final_arrival_s, CASE WHEN max(pe) > 0 THEN max(pe) END AS playback_end_s FROM heard JOIN play USING (run) GROUP BY run)"""
+
+
+def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audio chunks, some without an arrival, a duration or a cumulative duration."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    cum = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000) / 1000.0
+    return e.withColumn("cum", cum).select(
+        F.col("user_id").alias("run"), i.alias("seq"), F.when(i % 13 != 0, at).alias("arrival_s"), F.when(i % 11 == 0, 0.0).when(i % 3 == 0, F.col("value")).alias("audio_duration_s"), F.when(i % 4 != 1, F.col("cum")).alias("cumulative_audio_duration_s"),
+    )
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT run, round_even(final_arrival_s, 6) AS final_arrival_s, round_even(playback_end_s, 6) AS playback_end_s FROM timing")
+def final_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the last chunk of each user's events has arrived, and when playback ends."""
+    return A.final_timing(_chunk_rows(spark, sf_dir), "run").select("run", F.bround("final_arrival_s", 6).alias("final_arrival_s"), F.bround("playback_end_s", 6).alias("playback_end_s"))
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS},
+runs AS (SELECT c_custkey AS run, CASE WHEN c_custkey % 5 <> 0 THEN 100000.0 * (c_custkey % 7) END AS source, c_acctbal::DOUBLE AS made FROM customer WHERE c_custkey IN (SELECT user_id + 1 FROM events)),
+t AS (SELECT user_id AS run, max(value) AS a, avg(value) AS b, max(value / 2) AS c, avg(value / 2) AS d, max(value / 100) AS e, avg(value / 100) AS f, avg(CAST(value > 30 AS INT)) AS g, avg(CAST(value / 100 > 0.5 AS INT)) AS h,
+  avg(CAST(event_type = 'click' AS INT)) AS i, avg(CAST(event_type = 'view' AS INT)) AS j, count(*) AS k FROM events GROUP BY 1),
+r AS (SELECT *, coalesce(source, 0.0) AS s FROM runs LEFT JOIN t USING (run) LEFT JOIN timing USING (run))
+SELECT run, source AS source_stream_duration_s, made AS generated_duration_s, round_even(coalesce(a, 0), 6) AS max_backlog_s, round_even(coalesce(b, 0), 6) AS mean_backlog_s, round_even(coalesce(c, 0), 6) AS max_queue_s, round_even(coalesce(d, 0), 6) AS mean_queue_s,
+  round_even(coalesce(e, 0), 6) AS max_deficit_s, round_even(coalesce(f, 0), 6) AS mean_deficit_s, round_even(coalesce(g, 0), 6) AS backlog_violation_rate, round_even(coalesce(h, 0), 6) AS deficit_violation_rate, round_even(i, 6) AS missed_sentence_rate, round_even(j, 6) AS partial_sentence_rate,
+  coalesce(k, 0) AS sentence_count, CASE WHEN s > 0 THEN round_even(made / s, 6) END AS full_s2s_rtf, round_even(made - s, 6) AS end_lag_s, round_even(made - s, 6) AS duration_end_lag_s, round_even(final_arrival_s, 6) AS final_target_arrival_s,
+  CASE WHEN s > 0 THEN round_even(final_arrival_s - s, 6) END AS final_arrival_lag_s, round_even(playback_end_s, 6) AS wall_clock_playback_end_s, CASE WHEN s > 0 AND playback_end_s IS NOT NULL THEN round_even(greatest(0.0, playback_end_s - s), 6) END AS wall_clock_end_delay_s FROM r""")
 def run_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline and coverage of each user's events as one row."""
+    """Timeline, sentences, final timing and durations of each run as one row; the last run has no events."""
     e = table(spark, sf_dir, "events").withColumn("run", F.col("user_id"))
     cover = e.select("run", F.when(F.col("event_type") == "click", "missed").when(F.col("event_type") == "view", "partial").otherwise("covered").alias("status"))
-    return A.run_metrics(e.select("run", F.col("value").alias("backlog"), (F.col("value") / 2).alias("queue"), (F.col("value") > 30).alias("violation")), cover, "run")
+    timeline = e.select("run", F.col("value").alias("backlog"), (F.col("value") / 2).alias("queue"), (F.col("value") / 100).alias("deficit"), (F.col("value") > 30).alias("violation"))
+    runs = table(spark, sf_dir, "customer").join(e.select((F.col("user_id") + 1).alias("c_custkey")).distinct(), "c_custkey", "left_semi")
+    runs = runs.select(F.col("c_custkey").alias("run"), F.when(F.col("c_custkey") % 5 != 0, 100000.0 * (F.col("c_custkey") % 7)).alias("source_stream_duration_s"), F.col("c_acctbal").cast("double").alias("generated_duration_s"))
+    return A.run_metrics(runs, timeline, cover, A.final_timing(_chunk_rows(spark, sf_dir), "run"), "run")
 
 
 # sequences -----------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ events of a user are the packets, sends and steps of a session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -31,6 +31,10 @@ _PACKETS = """packets AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS arri
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"""
 _FOLDED = ("àâäáçèéêëîïíñôöóùûüúß¿¡", "aaaaceeeeiiinooouuuus??")
 _FOLD = f"translate(lower({{0}}), '{_FOLDED[0]}', '{_FOLDED[1]}')"
+#: letters beyond ASCII as unused codes of one byte, white space gone
+_WIDE = "àâäáçèéêëîïíñôöóùûüúßÀÂÄÁÇÈÉÊËÎÏÍÑÔÖÓÙÛÜÚ"
+_NARROW = "".join(chr(i) for i in range(1, 32) if i not in range(9, 14)) + "|~^`@[]_<>#$%&*+="
+_BYTES = f"regexp_replace(translate(coalesce({{0}}, ''), '{_WIDE}', '{_NARROW[: len(_WIDE)]}'), '[ \\t\\n\\r\\f\\v]+', '', 'g')"
 _UNIT = "(CAST(('0x' || substr(sha1({0}), 1, 16)) AS UBIGINT) / 18446744073709551616.0)"
 
 
@@ -118,16 +122,23 @@ def nearest_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.nearest_rank(pairs(spark, sf_dir).select("id", T.token_count(F.col("candidate")).alias("tokens")), ["tokens"])
 
 
-@query(f"""WITH {_PAIRS} SELECT id, round_even(CASE WHEN a <> '' THEN levenshtein(a, b) / length(a) WHEN b <> '' THEN 1.0 END, 6) AS cer FROM (SELECT id, regexp_replace({_FOLD.format('reference')}, '\\s+', '', 'g') AS a, regexp_replace({_FOLD.format('candidate')}, '\\s+', '', 'g') AS b FROM pairs)""")
+@query(f"""WITH {_PAIRS} SELECT id, round_even(CASE WHEN a <> '' THEN levenshtein(a, b) / length(a) WHEN b <> '' THEN 1.0 END, 6) AS cer FROM (SELECT id, {_BYTES.format('reference')} AS a, {_BYTES.format('candidate')} AS b FROM pairs)""")
 def character_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: CER of lower-case text without accents, as the oracle's distance counts bytes."""
-    fold = lambda c: F.translate(F.lower(c), *_FOLDED)
-    return pairs(spark, sf_dir).select("id", F.bround(M.cer(fold("reference"), fold("candidate")), 6).alias("cer"))
+    """M9: CER; the oracle's distance counts bytes, so that its accented letters are given codes of one byte."""
+    return pairs(spark, sf_dir).select("id", F.bround(M.cer(F.col("reference"), F.col("candidate")), 6).alias("cer"))
 
 
-@query()
+#: one row of the table after another: the distances, or the common subsequences, of one more unit of the first list to all places of the second
+_ROWS = """{0} AS (SELECT id, 0 AS i, {1} AS row FROM t UNION ALL SELECT {0}.id, i + 1, list_transform(list_reduce(list_prepend([{2}], list_transform(range(1, len(h) + 1), lambda j: [j])), lambda acc, x: list_append(acc, {3})), lambda z: CAST(z AS BIGINT))
+  FROM {0} JOIN t USING (id) WHERE i < len(r))"""
+_EDITS = _ROWS.format("e", "range(0, len(h) + 1)", "CAST(i + 1 AS BIGINT)", "least(row[x[1] + 1] + 1, acc[len(acc)] + 1, row[x[1]] + CASE WHEN r[i + 1] = h[x[1]] THEN 0 ELSE 1 END)")
+_COMMON = _ROWS.format("e", "list_transform(range(0, len(h) + 1), lambda z: CAST(0 AS BIGINT))", "CAST(0 AS BIGINT)", "greatest(row[x[1] + 1], acc[len(acc)], row[x[1]] + CASE WHEN r[i + 1] = h[x[1]] THEN 1 ELSE 0 END)")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, t AS (SELECT id, list_transform({_TOK.format('reference')}, lambda x: lower(x)) AS r, list_transform({_TOK.format('candidate')}, lambda x: lower(x)) AS h FROM pairs), {_EDITS}
+SELECT id, round_even(CASE WHEN len(r) > 0 THEN row[len(h) + 1] / len(r) WHEN len(h) > 0 THEN 1.0 END, 6) AS wer FROM e JOIN t USING (id) WHERE i = len(r)""")
 def word_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: WER; a distance over tokens has no form in the oracle's SQL and is tested against a plain recursion."""
+    """M9: WER."""
     return pairs(spark, sf_dir).select("id", F.bround(M.wer(F.col("reference"), F.col("candidate")), 6).alias("wer"))
 
 
@@ -311,11 +322,19 @@ def policy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.policy_candidates(policy, labels).select("id", "candidate")
 
 
-@query(f"""WITH j AS (SELECT source AS file, quality = 1 AND toxic = 0 AS ok, len({_TOK.format('text')}) AS u FROM labels JOIN documents USING (doc_id))
-SELECT file, count(*) AS n, count(*) FILTER (ok) AS accepted, round_even(avg(CAST(ok AS INT)), 6) AS acceptance_rate, round_even(avg(u / 100.0::DOUBLE), 6) AS mean_ratio FROM j GROUP BY ROLLUP (file)""")
+_SUMMARY = ", ".join(f"count({c}) AS {c}_count, round_even(avg({c}), 4) AS {c}_mean, round_even(quantile_cont({c}, 0.5), 4) AS {c}_p50, round_even(quantile_cont({c}, 0.9), 4) AS {c}_p90, round_even(max({c}), 4) AS {c}_max" for c in A.LABEL_NUMBERS)
+
+
+@query(f"""WITH j AS (SELECT source AS file, quality = 1 AND toxic = 0 AS ok, CAST(len({_TOK.format('text')}) AS DOUBLE) AS output_units, CASE WHEN doc_id % 3 <> 0 THEN len({_TOK.format('text')}) / (50 + doc_id % 50) END AS output_over_budget_ratio, len({_TOK.format('text')}) / 100.0::DOUBLE AS output_reference_ratio
+  FROM labels JOIN documents USING (doc_id))
+SELECT file, count(*) AS records, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, round_even(avg(CAST(ok AS INT)), 4) AS acceptance_rate, {_SUMMARY} FROM j GROUP BY GROUPING SETS ((file), ())""")
 def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4."""
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("source").alias("file"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("accepted"), T.token_count(F.col("text")).alias("output_units"), F.lit(100).alias("reference_units"))
+    """A4: labelled documents by source and overall."""
+    units = T.token_count(F.col("text"))
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(
+        F.col("source").alias("file"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("accepted"), units.alias("output_units"),
+        F.when(F.col("doc_id") % 3 != 0, units / (50 + F.col("doc_id") % 50)).alias("output_over_budget_ratio"), (units / 100.0).alias("output_reference_ratio"),
+    )
     return A.label_summary(j, "file")
 
 
@@ -504,15 +523,16 @@ def key_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.key_integrity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""WITH s AS (SELECT user_id AS i, event_type, max(value) AS v FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL), w AS (SELECT i, max(v) FILTER (event_type = 'view') AS a, max(v) FILTER (event_type = 'click') AS b, max(v) FILTER (event_type = 'error') AS c FROM s GROUP BY i HAVING count(*) = 3)
-SELECT 0 AS run, 1.25::DOUBLE AS speed, count(*) AS n, round_even(avg(b - a), 6) AS score_delta, round_even(avg(2 * b - 2 * a), 6) AS time_delta_s FROM w UNION ALL SELECT 0, 1.5, count(*), round_even(avg(c - a), 6), round_even(avg(2 * c - 2 * a), 6) FROM w""")
+@query("""WITH s AS (SELECT user_id AS i, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 1.25 ELSE 1.5 END AS speed, max(value) AS v FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL),
+f AS (SELECT i, speed, v, v * 2 AS e, CASE WHEN i % 11 <> 0 THEN v / 4 END AS p, i % 7 = 0 AND speed = 1.25 AS gone FROM s), w AS (SELECT i FROM f GROUP BY i HAVING count(*) = 3),
+d AS (SELECT b.speed, CASE WHEN ok THEN b.v - a.v END AS v, CASE WHEN ok THEN b.e - a.e END AS e, CASE WHEN ok THEN b.p - a.p END AS p FROM (SELECT b.*, NOT b.gone AND b.p IS NOT NULL AND i IN (SELECT i FROM w) AS ok FROM f b) b JOIN f a ON a.i = b.i AND a.speed = 1.0 AND b.speed > 1.0)
+SELECT 0 AS run, CAST(speed AS DOUBLE) AS speed, (SELECT count(*) FROM w) AS common, count(v) AS n, round_even(avg(v), 6) AS score_delta, round_even(avg(e), 6) AS end_delta_ms, round_even(quantile_cont(e, 0.5), 6) AS end_delta_p50_ms, round_even(quantile_cont(e, 0.9), 6) AS end_delta_p90_ms, round_even(quantile_cont(p, 0.5), 6) AS first_delta_p50_ms FROM d GROUP BY speed""")
 def speed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three event types as three speeds."""
+    """Three event types as three speeds; some ids aren't aligned at the second, some have no first speech."""
     speed = F.when(F.col("event_type") == "view", 1.0).when(F.col("event_type") == "click", 1.25).otherwise(1.5)
     s = table(spark, sf_dir, "events").filter("event_type in ('view', 'click', 'error')").groupBy("user_id", speed.alias("speed")).agg(F.max("value").alias("score"))
-    s = s.select(F.lit(0).alias("run"), F.col("user_id").alias("source_id"), "speed", "score", (F.col("score") * 2).alias("time_s"), F.lit(None).cast("string").alias("null_type"))
-    out = J.speed_pairs(s, ["run"], (1.0, 1.25, 1.5))
-    return out.select("run", "speed", "n", "score_delta", "time_delta_s")
+    s = s.select(F.lit(0).alias("run"), F.col("user_id").alias("source_id"), "speed", "score", (F.col("score") * 2).alias("end_ms"), F.when(F.col("user_id") % 11 != 0, F.col("score") / 4).alias("first_ms"), F.when((F.col("user_id") % 7 == 0) & (F.col("speed") == 1.25), "over_translation").alias("null_type"))
+    return J.speed_pairs(s, ["run"], (1.0, 1.25, 1.5))
 
 
 @query("""WITH l AS (SELECT unnest(['en', 'de', 'fr', 'es', 'zh']) AS lang), s AS (SELECT DISTINCT source FROM documents), r AS (SELECT lang, source, count(*) AS n, avg(n_chars) FILTER (n_chars > 4000) AS long_mean FROM documents GROUP BY ALL)
@@ -554,6 +574,18 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("context", "|").alias("context"), W.soft_window_start(F.col("n"), 4, 2).cast("long").alias("soft_start"))
 
 
+@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS u, b.text AS v FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+n AS (SELECT *, length(u) || '/' || length(v) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM p)
+SELECT conv_id, turn, coalesce(array_to_string(list(x) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' '), '') AS sliding,
+  CASE WHEN n = 1 THEN '' ELSE trim(first(x) OVER (PARTITION BY conv_id ORDER BY turn) || ' ' || coalesce(array_to_string(list_filter(list([x, CAST(n AS VARCHAR)]) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), lambda y: y[2] <> '1').list_transform(lambda y: y[1]), ' '), '')) END AS pinned FROM n""")
+def pair_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of turns with the two before them, and with the first and the two before them."""
+    p = pairs(spark, sf_dir).select("conv_id", (F.col("id") % 100).alias("turn"), F.length("reference").alias("user"), F.length("candidate").alias("assistant"))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x["user"].cast("string"), x["assistant"].cast("string"))), " ")
+    out = W.pair_context(p, "conv_id", "turn", 3).withColumn("sliding", said("context"))
+    return W.pinned_context(out, "conv_id", "turn", 4).select("conv_id", "turn", "sliding", said("context").alias("pinned"))
+
+
 @query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '|') AS history FROM conversations""")
 def history_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W25 with whole turns."""
@@ -637,13 +669,20 @@ def loop_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.loop_corruption(t, "conv_id", "turns", 6).select("conv_id", "context_only", F.transform("turns", lambda u: F.array_join(u, " ")).alias("turns"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, length(text) AS n FROM conversations), m AS (SELECT conv_id, turn, n * (1 + turn % 3) AS n FROM t WHERE turn % 2 = 1)
-SELECT t.conv_id, t.turn, CASE WHEN m.n IS NOT NULL AND m.n / greatest(1, t.n) BETWEEN 0.5 AND 2.0 THEN m.n ELSE t.n END AS frames, coalesce(m.n / greatest(1, t.n) BETWEEN 0.5 AND 2.0, false) AS substituted FROM t LEFT JOIN m USING (conv_id, turn)""")
+@query(f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS total, conv_id FROM conversations),
+r AS (SELECT *, n * (1 + turn % 3) AS m, turn % 5 = 4 AS runaway FROM t WHERE conv_id % 4 <> 3 AND conv_id % 5 <> 0 AND {_UNIT.format("'0:row:' || id")} < 0.8),
+s AS (SELECT *, k < total - 1 AND n > 0 AND m > 0 AND NOT runaway AND m / n BETWEEN 0.5 AND 2.0 AND {_UNIT.format("'0:turn:' || id || ':' || k")} < 0.6 AS swap FROM r)
+SELECT id || '_v4self' AS id, id AS source_id, count(*) FILTER (swap) AS swapped, count(*) AS total, string_agg(CASE WHEN swap THEN m || '*' ELSE CAST(n AS VARCHAR) END, ',' ORDER BY turn) AS frames FROM s GROUP BY id HAVING count(*) FILTER (swap) > 0""")
 def substituted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15."""
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", F.length("text").cast("long").alias("frames"))
-    m = t.filter("turn % 2 = 1").withColumn("frames", F.col("frames") * (1 + F.col("turn") % 3))
-    return J.substitute_turns(t, m).select(F.col("id").alias("conv_id"), "turn", "frames", "substituted")
+    """Copies of conversations with self-generated turns, some of which are too long, run away or are missing."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n"), "conv_id")
+    turns = lambda df, *fields: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", *fields))).alias("turns"))
+    rows = turns(t, F.col("n").alias("frames"), F.lit("given").alias("codes"))
+    given = t.filter("conv_id % 4 <> 3").withColumn("last", F.max("turn").over(Window.partitionBy("id"))).filter("conv_id % 5 <> 0 or turn < last")
+    made = turns(given, (F.col("n") * (1 + F.col("turn") % 3)).cast("int").alias("frames"), F.lit("made").alias("codes"), (F.col("turn") % 5 == 4).alias("runaway"))
+    out = J.self_history_copies(rows, made, 0.8, 0.6, 2.0)
+    said = F.transform("turns", lambda x: F.concat(x["frames"].cast("string"), F.when(x["context_only"], "*").otherwise("")))
+    return _long(out.select("id", "source_id", "swapped", "total", F.array_join(said, ",").alias("frames")))
 
 
 @query("""SELECT conv_id AS id, len(list(turn)) AS n_turns, to_json({'a': 1}) IS NOT NULL AS ok FROM conversations GROUP BY conv_id""")
@@ -695,11 +734,19 @@ def base_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.base_id(v).alias("base"), T.safe_id(v).alias("safe"))
 
 
-@query("""WITH j AS (SELECT o_orderpriority AS name, round_even(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1), k AS (SELECT o_orderpriority AS name, round_even(avg(o_totalprice) + CASE WHEN o_orderpriority LIKE '1%' THEN 0.001 ELSE 1 END, 3) AS v FROM orders GROUP BY 1)
-SELECT name, round_even(k.v - j.v, 2) AS delta FROM j FULL JOIN k USING (name)""")
+@query("""WITH o AS (SELECT o_orderpriority AS name, CAST(avg(o_totalprice) AS DECIMAL(18, 2)) AS v FROM orders GROUP BY 1),
+j AS (SELECT name, CAST(v AS VARCHAR) AS value_a, CAST(CAST(v + CASE left(name, 1) WHEN '1' THEN 0.005 WHEN '2' THEN 0.006 WHEN '3' THEN -0.005 WHEN '4' THEN 1 ELSE 0 END AS DECIMAL(18, 3)) AS VARCHAR) AS value_b FROM o
+  UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR), CAST(count(*) + 0.5 AS VARCHAR) FROM orders UNION ALL SELECT 'note', 'text', 'text' UNION ALL SELECT 'gone', CAST(count(*) AS VARCHAR), NULL FROM orders)
+SELECT name, value_a, value_b, value_a IS DISTINCT FROM value_b AS changed, round_even(TRY_CAST(value_b AS DOUBLE) - TRY_CAST(value_a AS DOUBLE), 6) AS delta,
+  coalesce(abs(TRY_CAST(value_a AS DECIMAL(38, 9)) - TRY_CAST(value_b AS DECIMAL(38, 9))) <= CASE WHEN position('.' IN value_a) > 0 THEN 0.005 ELSE 0.5 END, false) AS agrees FROM j""")
 def compared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates of two runs compared name by name."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("v"))
-    a = o.select("name", F.bround("v", 2).alias("value"))
-    b = o.select("name", F.bround(F.col("v") + F.when(F.col("name").startswith("1"), 0.001).otherwise(1), 3).alias("value"))
-    return J.compare_values(a, b).select("name", F.bround("delta", 2).alias("delta"))
+    """Stored aggregates against recomputed ones, name by name; they agree up to half a unit of the last stored decimal."""
+    orders = table(spark, sf_dir, "orders")
+    first = F.substring("name", 1, 1)
+    shift = F.when(first == "1", 0.005).when(first == "2", 0.006).when(first == "3", -0.005).when(first == "4", 1.0).otherwise(0.0).cast("decimal(18,3)")
+    o = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").cast("decimal(18,2)").alias("v"))
+    n = orders.agg(F.count(F.lit(1)).alias("n"))
+    text = lambda x: x.cast("string").alias("value")
+    a = o.select("name", text(F.col("v"))).unionByName(n.select(F.explode(F.array(F.struct(F.lit("count").alias("name"), text(F.col("n"))), F.struct(F.lit("gone").alias("name"), text(F.col("n"))), F.struct(F.lit("note").alias("name"), F.lit("text").alias("value")))).alias("x")).select("x.*"))
+    b = o.select("name", text((F.col("v") + shift).cast("decimal(18,3)"))).unionByName(n.select(F.explode(F.array(F.struct(F.lit("count").alias("name"), F.concat(F.col("n").cast("string"), F.lit(".5")).alias("value")), F.struct(F.lit("note").alias("name"), F.lit("text").alias("value")))).alias("x")).select("x.*"))
+    return J.compare_values(a, b)

@@ -14,7 +14,7 @@ from ..operators import sampling as S
 from ..operators import scoring as C
 from ..operators import windows as W
 from ..sources import files
-from .queries import _PACKETS, _PAIRS, _TOK, _long, packets, pairs
+from .queries import _BYTES, _PACKETS, _PAIRS, _TOK, _long, packets, pairs
 from .registry import query, table
 
 _EN = "regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')"
@@ -107,11 +107,17 @@ def timing_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.timing_faults(e, ["a", "b"]).select("event_id", F.array_join("bad_fields", ",").alias("bad_fields"))
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'missing_audio' END AS reason, CASE WHEN doc_id % 4 <> 0 THEN 'root/' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 2) || '/' || doc_id || '.wav' END AS staged, CASE WHEN doc_id % 4 <> 0 THEN round_even(n_chars / 15.0::DOUBLE, 3) END AS packaged_s FROM documents WHERE n_chars > 0""")
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'a b/' || doc_id END AS id, doc_id % 4 = 0 AS silent, doc_id % 5 = 0 AS broken, n_chars * 1067 AS samples, doc_id FROM documents),
+r AS (SELECT *, CASE WHEN id = '' THEN 'missing_id' WHEN silent THEN 'missing_audio' WHEN broken THEN CASE WHEN doc_id % 2 = 0 THEN 'exception:OSError' ELSE 'exception:Exception' END END AS reason FROM d)
+SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 'root/source_wav/dev/' || regexp_replace(id, '[^A-Za-z0-9_.-]+', '_', 'g') || '.wav' END AS staged, CASE WHEN reason IS NULL THEN 16000 END AS packaged_sample_rate,
+  CASE WHEN reason IS NULL THEN samples END AS packaged_num_samples, CASE WHEN reason IS NULL THEN round_even(samples / 16000.0::DOUBLE, 6) END AS packaged_duration_s FROM r""")
 def staged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P22."""
-    d = table(spark, sf_dir, "documents").filter("n_chars > 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, "w").alias("audio"), (F.col("n_chars") / 15.0).alias("duration_s"))
-    return R.staged_paths(d, "root").select("id", "reason", "staged", "packaged_s")
+    """Documents as records, some without an id, audio, or a span that can be read."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(
+        i, F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("a b/"), i.cast("string"))).alias("id"), F.when(i % 4 != 0, "w").alias("audio"), F.when(i % 5 != 0, F.col("n_chars") * 1067).alias("samples"), F.when(i % 2 == 0, "OSError").alias("fault"),
+    )
+    return _long(R.staged_paths(d, "root/", "dev").select("doc_id", "reason", "staged", "packaged_sample_rate", "packaged_num_samples", "packaged_duration_s"))
 
 
 # text ----------------------------------------------------------------------------------------------------------------------
@@ -190,12 +196,15 @@ def runaway_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(li.select("l_orderkey", M.runaway_turns(F.transform("t", lambda x: x["l_quantity"]), F.transform("t", lambda x: x["l_linenumber"]), 10.0, 9.0).alias("runaway")))
 
 
-@query("""SELECT d.doc_id AS id, l.doc_id IS NULL AS missing, round_even(l.quality * 0.5 + 0.25 * l.toxic, 6) AS duration_ratio, coalesce(l.quality * 0.5 + 0.25 * l.toxic < 0.65, false) AS early_stop FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query(f"""WITH {_PAIRS}, g AS (SELECT id, {_BYTES.format('reference')} AS a, CASE WHEN id % 7 <> 0 THEN {_BYTES.format('candidate')} END AS b, CASE WHEN id % 7 <> 0 THEN length(candidate) / 15.0::DOUBLE END AS s, length(reference) / 15.0::DOUBLE AS r, length(reference) / 12.0::DOUBLE AS o FROM pairs)
+SELECT id, b IS NULL AS missing, round_even(s / o, 6) AS rtf, coalesce(round_even(s / o, 6) > 1.0, false) AS rtf_violation, round_even(s / r, 6) AS duration_ratio, coalesce(round_even(s / r, 6) < 0.65, false) AS early_stop,
+  round_even(CASE WHEN a <> '' THEN levenshtein(a, coalesce(b, '')) / length(a) WHEN b <> '' THEN 1.0 END, 6) AS cer FROM g""")
 def evaluated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as predictions of documents."""
-    gold = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("a").alias("text"), F.lit(1.0).alias("source_s"), F.lit(1.0).alias("reference_s"))
-    pred = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("b").alias("text"), (F.col("quality") * 0.5 + F.col("toxic") * 0.25).alias("speech_s"))
-    return C.evaluate_predictions(gold, pred).select("id", "missing", "duration_ratio", "early_stop")
+    """Assistant turns as predictions of the user turns before them; some are missing."""
+    p = pairs(spark, sf_dir)
+    gold = p.select("id", F.col("reference").alias("text"), (F.length("reference") / 12.0).alias("source_s"), (F.length("reference") / 15.0).alias("reference_s"))
+    pred = p.filter("id % 7 <> 0").select("id", F.col("candidate").alias("text"), (F.length("candidate") / 15.0).alias("speech_s"))
+    return C.evaluate_predictions(gold, pred)
 
 
 @query("""SELECT d.doc_id AS id, l.quality AS judge_quality, round_even((l.quality * 3 + l.toxic) / 5.0::DOUBLE, 6) AS judge_overall_norm FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -233,10 +242,13 @@ def parallel_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.parallel_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 1000).alias("pos")), english).select("id", "english")
 
 
-@query("""WITH s AS (SELECT event_id, (event_id % 50) * 1.5::DOUBLE AS a, (event_id % 50) * 1.5 + event_id % 30 AS b FROM events) SELECT event_id, CAST(unnest(range(CAST(floor(a / 10) AS BIGINT), CAST(floor(greatest(a, least(b, 60.0) - 1e-6) / 10) AS BIGINT) + 1)) AS BIGINT) AS window_index FROM s WHERE a < 60""")
+@query("""WITH s AS (SELECT event_id, coalesce(CASE WHEN event_id % 13 <> 0 THEN (event_id % 50) * 1.5::DOUBLE END, 0.0) AS a, CASE WHEN event_id % 11 <> 0 THEN (event_id % 50) * 1.5 + event_id % 30 END AS b0, CASE event_id % 3 WHEN 0 THEN 60.0 WHEN 1 THEN 0.0 END AS d FROM events), t AS (SELECT *, coalesce(b0, a) AS b, coalesce(d, 0.0) AS lim FROM s)
+SELECT event_id, CAST(unnest(range(CAST(floor(a / 10) AS BIGINT), CAST(floor(greatest(a, greatest(a, CASE WHEN lim > 0 THEN least(b, lim) ELSE b END) - 1e-6) / 10) AS BIGINT) + 1)) AS BIGINT) AS window_index FROM t WHERE lim <= 0 OR a < lim""")
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9."""
-    e = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 50) * 1.5).alias("start_s"), ((F.col("event_id") % 50) * 1.5 + F.col("event_id") % 30).alias("end_s"), F.lit(60.0).alias("duration_s"))
+    """Sentences with and without an end of the evaluation, some without a start or an end."""
+    i = F.col("event_id")
+    a = (i % 50) * 1.5
+    e = table(spark, sf_dir, "events").select(i, F.when(i % 13 != 0, a).alias("start_s"), F.when(i % 11 != 0, a + i % 30).alias("end_s"), F.when(i % 3 == 0, 60.0).when(i % 3 == 1, 0.0).alias("duration_s"))
     return _long(J.sentence_windows(e, 10.0).select("event_id", "window_index"))
 
 
@@ -315,14 +327,32 @@ def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_sources(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", "text"), "doc", "turn", "text")
 
 
-@query("""WITH o AS (SELECT l_orderkey AS id, count(*) AS n, sum(CASE WHEN l_quantity > 3 THEN l_quantity ELSE 0 END) AS s, count(*) FILTER (l_quantity <= 3) AS bad FROM lineitem GROUP BY 1)
-SELECT id, round_even(s, 6) AS sum_s, concat_ws(',', CASE WHEN n <> 4 THEN 'budget_count_mismatch' END, CASE WHEN n % 2 = 1 THEN 'rtf_count_mismatch' END, CASE WHEN abs(s - 100.0) > 0.35 THEN 'duration_sum_mismatch' END, CASE WHEN bad > 0 THEN 'bad_chunk_duration' END) AS issues FROM o""")
-def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of three or less have no duration."""
+_MANIFEST = """o AS (SELECT l_orderkey AS id, count(*) AS n, round_even(sum(l_quantity), 6) AS s, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 4 END AS bounds, l_orderkey % 4 = 1 AS short,
+  count(*) FILTER (l_linenumber = 5) AS missing, count(*) FILTER (l_linenumber <> 5 AND l_linenumber <> 3 AND l_quantity <= 3) AS corrupt, CASE WHEN l_orderkey % 2 = 0 THEN 100.0 END AS whole FROM lineitem GROUP BY l_orderkey),
+i AS (SELECT id, s AS sum_s, missing, corrupt, concat_ws(',', CASE WHEN bounds > 0 AND bounds <> n THEN 'boundary_count_mismatch' END, CASE WHEN corrupt > 0 THEN 'corrupt_target_wav' END, CASE WHEN missing > 0 THEN 'missing_target_wav' END,
+  CASE WHEN short THEN 'target_chunk_count_mismatch' END, CASE WHEN abs(whole - s) > 0.35 THEN 'target_chunk_duration_sum_delta' END) AS issues FROM o)"""
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples, their lines as target chunks: the fifth has no file, the third no path, small ones are corrupt."""
     q = F.col("l_quantity").cast("double")
-    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.collect_list(F.when(q > 3, q).otherwise(0.0)).alias("chunk_s"))
-    o = o.withColumns({"n_budgets": F.lit(4), "n_rtf": F.col("n_chunks") - F.col("n_chunks") % 2, "total_s": F.lit(100.0)})
-    return A.manifest_issues(o).select("id", "sum_s", F.array_join("issues", ",").alias("issues"))
+    wav = F.when(F.col("l_linenumber") == 5, "missing").when(F.col("l_linenumber") == 3, F.lit(None)).when(q <= 3, "corrupt").otherwise("ok")
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(wav.alias("w"), q.alias("q"))).alias("x"))
+    o = o.withColumns({"wavs": F.transform("x", lambda x: x["w"]), "chunk_s": F.transform("x", lambda x: x["q"]), "n_boundaries": F.when(F.col("id") % 3 == 0, 0).otherwise(4)})
+    o = o.withColumn("n_sources", F.when(F.col("id") % 4 == 1, F.col("n") + 1).otherwise(F.col("n")))
+    return A.manifest_issues(o.withColumn("full_s", F.when(F.col("id") % 2 == 0, 100.0)))
+
+
+@query(f"WITH {_MANIFEST.replace('bounds <> n', 'bounds <> n + CAST(short AS INT)')} SELECT id, sum_s, missing, corrupt, issues FROM i")
+def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's faults."""
+    return _long(_manifest(spark, sf_dir).withColumn("issues", F.array_join("issues", ",")))
+
+
+@query(f"WITH {_MANIFEST.replace('bounds <> n', 'bounds <> n + CAST(short AS INT)')} SELECT count(*) AS rows, count(*) FILTER (issues <> '') AS issues, CAST(sum(missing) AS BIGINT) AS missing_wavs, CAST(sum(corrupt) AS BIGINT) AS corrupt_wavs FROM i")
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the whole manifest."""
+    return A.manifest_summary(_manifest(spark, sf_dir))
 
 
 _STATS = "round_even(avg({0}), 6) AS mean, list_sort(list({0}))[count({0}) // 2 + 1] AS p50, list_sort(list({0}))[least(count({0}) - 1, CAST(floor(count({0}) * 0.9::DOUBLE) AS BIGINT)) + 1] AS p90"
@@ -336,7 +366,7 @@ def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.probe_summary(e, "run")
 
 
-@query(f"""WITH v AS (SELECT value / 25.0::DOUBLE AS v FROM events WHERE event_id % 6 <> 0) SELECT count(*) AS n, {_STATS.format('v')}, round_even(avg(CAST(v > 1.0 AS INT)), 6) AS violation_rate FROM v""")
+@query("""WITH v AS (SELECT value / 25.0::DOUBLE AS v FROM events WHERE event_id % 6 <> 0) SELECT count(*) AS n, round_even(avg(v), 6) AS mean, round_even(quantile_cont(v, 0.5), 6) AS p50, round_even(quantile_cont(v, 0.9), 6) AS p90, round_even(avg(CAST(v > 1.0 AS INT)), 6) AS violation_rate FROM v""")
 def chunk_rtf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20's summary of all chunks' factors, some of them missing."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_agg(F.when(F.col("event_id") % 6 != 0, F.col("value") / 25.0)).alias("rtf"))
@@ -419,10 +449,10 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, list(turn * 10.0::DOUBLE ORDER BY turn) AS t FROM conversations GROUP BY 1), n AS (SELECT conv_id, t, CAST(conv_id % 9 AS INT) AS n FROM t)
-SELECT conv_id, CASE WHEN len(t) >= n THEN list_sum(t[1:n]) ELSE list_sum(t) + (n - len(t)) * t[len(t)] END AS total, CASE WHEN len(t) > n THEN 'trimmed' WHEN len(t) < n THEN 'padded' END AS warning FROM n WHERE n > 0""")
+SELECT conv_id, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN len(t) >= n THEN list_sum(t[1:n]) ELSE list_sum(t) + (n - len(t)) * t[len(t)] END AS total, CASE WHEN len(t) > n THEN 'trimmed' WHEN len(t) < n THEN 'padded' END AS warning FROM n""")
 def fitted_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W20."""
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list((F.col("turn") * 10.0))).alias("t")).withColumn("n", (F.col("conv_id") % 9).cast("int")).filter("n > 0")
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list((F.col("turn") * 10.0))).alias("t")).withColumn("n", (F.col("conv_id") % 9).cast("int"))
     fitted, warning = W.fit_emissions(F.col("t"), F.col("n"))
     return t.select("conv_id", F.aggregate(fitted, F.lit(0.0), lambda a, x: a + x).alias("total"), warning.alias("warning"))
 

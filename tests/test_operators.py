@@ -160,11 +160,11 @@ def test_joins(spark):
     assert [r.i for r in J.resume(todo, [todo.filter("i = 1"), todo.filter("i = 3")], ["i"]).collect()] == [2]
     up = {r.i: r.t for r in J.upsert(todo, spark.createDataFrame([(2, "z"), (4, "n")], "i int, t string"), "i").collect()}
     assert up == {1: "a", 2: "z", 3: "c", 4: "n"}
-    w = spark.createDataFrame([("s", 0.0, 10.0, 25.0), ("t", 9.0, 10.0, 25.0), ("u", 12.0, 40.0, 25.0), ("v", 25.0, 30.0, 25.0)], "id string, start_s double, end_s double, duration_s double")
+    w = spark.createDataFrame([("s", 0.0, 10.0, 25.0), ("t", 9.0, 10.0, 25.0), ("u", 12.0, 40.0, 25.0), ("v", 25.0, 30.0, 25.0), ("w", 31.0, 45.0, 0.0), ("x", 5.0, None, None), ("y", None, 12.0, 25.0)], "id string, start_s double, end_s double, duration_s double")
     got = {}
     for r in J.sentence_windows(w, 10.0).collect():
         got.setdefault(r.id, []).append(r.window_index)
-    assert {k: sorted(v) for k, v in got.items()} == {"s": [0], "t": [0], "u": [1, 2]}
+    assert {k: sorted(v) for k, v in got.items()} == {"s": [0], "t": [0], "u": [1, 2], "w": [3, 4], "x": [0], "y": [0, 1]}
     trace = J.update_trace(spark.createDataFrame([(0, "a", [1.0]), (1, "b", [2.0])], "i int, p string, d array<double>"), spark.createDataFrame([(1, "c", [3.0])], "i int, p string, d array<double>"), "i", ["p", "d"])
     assert {r.i: (r.p, r.d, r.updated) for r in trace.collect()} == {0: ("a", [1.0], False), 1: ("c", [3.0], True)}
     m = J.turn_manifest(spark.createDataFrame([("a", 0, "x"), ("b", 0, "x"), ("c", 0, "x")], "id string, turn int, text string"), spark.createDataFrame([("a", "p"), ("b", "p")], "id string, path string"), spark.createDataFrame([("a", 3)], "id string, n_intervals int"))
@@ -189,8 +189,14 @@ def test_summaries(spark):
     assert (n.p50, n.p90) == (5.0, 9.0)
     p = A.paired_stats(spark.createDataFrame([(0.1, 0.2), (0.5, 0.5), (0.9, 0.1)], "a double, b double"), "a", "b").first()
     assert (p.n, p.win, p.lose, p.tie) == (3, 1, 1, 1)
-    iss = A.manifest_issues(spark.createDataFrame([(1, 2, 1, 2, [1.0, 0.0], 3.0)], "id int, n_chunks int, n_budgets int, n_rtf int, chunk_s array<double>, total_s double")).first()
-    assert iss.issues == ["budget_count_mismatch", "duration_sum_mismatch", "bad_chunk_duration"]
+    rows = [(1, 2, 1, ["ok", "missing", "missing"], [1.0, None], 3.0), (2, 2, 0, None, [5.0], None), (3, 2, 2, ["ok", "corrupt"], [1.0, 2.0], 3.2), (4, 3, 3, [], [], 9.0), (5, 1, 1, [None], [1.0], 1.36)]
+    iss = A.manifest_issues(spark.createDataFrame(rows, "id int, n_sources int, n_boundaries int, wavs array<string>, chunk_s array<double>, full_s double"))
+    assert {r.id: (r.sum_s, r.issues) for r in iss.collect()} == {
+        1: (1.0, ["boundary_count_mismatch", "missing_target_wav", "target_chunk_count_mismatch", "target_chunk_duration_sum_delta"]), 2: (5.0, []), 3: (3.0, ["corrupt_target_wav"]), 4: (0.0, []), 5: (1.0, ["target_chunk_duration_sum_delta"]),
+    }
+    assert tuple(A.manifest_summary(iss).first()) == (5, 3, 2, 1)
+    rtf = A.rtf_summary(spark.createDataFrame([([0.5, 1.5, None],), ([2.0],), (None,)], "r array<double>"), "r").first()
+    assert tuple(rtf) == (3, 1.333333, 1.5, 1.9, 0.666667)
     t = A.talk_assembly(spark.createDataFrame([("t", 1, 10.0), ("t", 2, 10.0)], "talk string, row_id int, source_s double"), spark.createDataFrame([(1, 8.0)], "row_id int, target_s double"), "talk").first()
     assert (t.sessions, t.missing, t.target_s, t.duration_ratio) == (2, 1, 8.0, 0.4)
     pr = A.probe_summary(spark.createDataFrame([("r", "s", 1.0, 2.0), ("r", "s", 3.0, 2.0), ("r", "t", None, 2.0)], "run string, stream string, latency_s double, budget_s double"), "run").first()
@@ -202,8 +208,104 @@ def test_summaries(spark):
     assert A.system_summary(df, df.withColumn("v", F.col("v") * 2), ["v"]).count() == 2
     d = A.document_sources(spark.createDataFrame([("d", 2, "b"), ("d", 1, "a")], "d string, i int, t string"), "d", "i", "t").first()
     assert (d.joined, d.first_row) == ("a b", 1)
-    m = A.run_metrics(spark.createDataFrame([("r", 1.0, 0.0, True), ("r", 0.2, 0.5, False)], "run string, backlog double, queue double, violation boolean"), spark.createDataFrame([("r", "missed"), ("r", "covered")], "run string, status string"), "run").first()
-    assert (m.max_backlog, m.violation_rate, m.deficit_rate, m.missed_rate) == (1.0, 0.5, 0.5, 0.5)
+
+
+def timing_plainly(chunks):
+    """Playback of (arrival, duration, cumulative) in order of arrival, step by step."""
+    chunks = sorted((c for c in chunks if c[0] is not None), key=lambda c: c[0])
+    if not chunks:
+        return None
+    end = before = 0.0
+    for arrival, own, cum in chunks:
+        d = own if own is not None else max(0.0, (before if cum is None else cum) - before)
+        if d <= 0:
+            continue
+        end = max(end, arrival) + d
+        before = max(before, cum) if cum is not None else before + d
+    return max(c[0] for c in chunks), end if end > 0 else None
+
+
+def test_final_timing_and_run_rows(spark):
+    rng = random.Random(6)
+    maybe = lambda x, p=0.3: None if rng.random() < p else x
+    runs = {k: [(maybe(round(rng.uniform(0, 20), 2), 0.1), maybe(rng.choice([0.0, -1.0, 0.5, 2.0, 3.0])), maybe(round(rng.uniform(0, 15), 1))) for _ in range(rng.randint(1, 12))] for k in range(80)}
+    rows = [(k, i, *c) for k, cs in runs.items() for i, c in enumerate(cs)]
+    df = spark.createDataFrame(rows, "run int, seq int, arrival_s double, audio_duration_s double, cumulative_audio_duration_s double")
+    got = {r.run: (r.final_arrival_s, None if r.playback_end_s is None else round(r.playback_end_s, 6)) for r in A.final_timing(df, "run").collect()}
+    want = {k: timing_plainly(cs) for k, cs in runs.items()}
+    assert got == {k: (v[0], None if v[1] is None else round(v[1], 6)) for k, v in want.items() if v}
+
+    timeline = spark.createDataFrame([("r", 1.0, 0.0, 0.6, True), ("r", 0.2, 0.5, 0.1, False)], "run string, backlog double, queue double, deficit double, violation boolean")
+    sentences = spark.createDataFrame([("r", "missed"), ("r", "covered")], "run string, status string")
+    timing = spark.createDataFrame([("r", 12.0, 13.5)], "run string, final_arrival_s double, playback_end_s double")
+    given = spark.createDataFrame([("r", 10.0, 9.0, "x"), ("q", None, 2.0, "y"), ("p", 20.0, 9.0, "z")], "run string, source_stream_duration_s double, generated_duration_s double, direction string")
+    m = {r.run: r for r in A.run_metrics(given, timeline, sentences, timing, "run").collect()}
+    r = m["r"]
+    assert (r.max_backlog_s, r.mean_backlog_s, r.max_queue_s, r.mean_deficit_s, r.backlog_violation_rate, r.deficit_violation_rate, r.missed_sentence_rate, r.sentence_count) == (1.0, 0.6, 0.5, 0.35, 0.5, 0.5, 0.5, 2)
+    assert (r.full_s2s_rtf, r.end_lag_s, r.duration_end_lag_s, r.final_target_arrival_s, r.final_arrival_lag_s, r.wall_clock_playback_end_s, r.wall_clock_end_delay_s, r.direction) == (0.9, -1.0, -1.0, 12.0, 2.0, 13.5, 3.5, "x")
+    q = m["q"]
+    assert (q.full_s2s_rtf, q.end_lag_s, q.max_backlog_s, q.missed_sentence_rate, q.sentence_count, q.final_arrival_lag_s, q.wall_clock_end_delay_s) == (None, 2.0, 0.0, None, 0, None, None)
+
+
+def test_self_history_copies(spark):
+    kind = "array<struct<frames:int,codes:string,runaway:boolean>>"
+    rows = spark.createDataFrame([("a", [(10, "g0"), (10, "g1"), (10, "g2"), (10, "g3"), (0, "g4"), (10, "g5")]), ("b", [(10, "g"), (10, "g")]), ("c", [(10, "g")]), ("d", [(10, "g"), (10, "g")])], "id string, turns array<struct<frames:int,codes:string>>")
+    made = spark.createDataFrame([("a", [(20, "m0", False), (21, "m1", None), (5, "m2", None), (10, "m3", True), (10, "m4", False), (10, "m5", False), (1, "more", False)]), ("b", [(10, "m", False)]), ("c", [(10, "m", False)])], f"id string, turns {kind}")
+    got = J.self_history_copies(rows, made, 1.0, 1.0, 2.0).collect()
+    assert [(r.id, r.source_id, r.swapped, r.total) for r in got] == [("a_v4self", "a", 2, 6)]
+    assert [(t.frames, t.codes, t.context_only) for t in got[0].turns] == [(20, "m0", True), (10, "g1", False), (5, "m2", True), (10, "g3", False), (0, "g4", False), (10, "g5", False)]
+    assert J.self_history_copies(rows, made, 0.0, 1.0, 2.0).count() == 0 == J.self_history_copies(rows, made, 1.0, 0.0, 2.0).count()
+    many = spark.range(400).select(F.col("id").cast("string").alias("id"), F.array_repeat(F.struct(F.lit(4).alias("frames"), F.lit("g").alias("codes")), 5).alias("turns"))
+    copies = J.self_history_copies(many, many.withColumn("turns", F.transform("turns", lambda t: F.struct(t["frames"], t["codes"], F.lit(False).alias("runaway")))), 0.5, 0.5, 2.0)
+    n, swapped = copies.agg(F.count(F.lit(1)), F.avg("swapped")).first()
+    assert 140 < n < 240 and 1.7 < swapped < 2.6
+
+
+def test_stored_values_agree_up_to_their_last_decimal(spark):
+    rows = [("a", "34.8", "34.83"), ("b", "34.8", "34.86"), ("c", "34.80", "34.83"), ("d", "7", "7.5"), ("e", "x", "x"), ("f", "1.5", None), ("g", "0.25", "0.255"), ("h", "0.25", "0.2550001")]
+    df = spark.createDataFrame(rows, "name string, a string, b string")
+    got = {r.name: (r.changed, r.agrees) for r in J.compare_values(df.select("name", F.col("a").alias("value")), df.select("name", F.col("b").alias("value"))).collect()}
+    assert got == {"a": (True, True), "b": (True, False), "c": (True, False), "d": (True, True), "e": (False, False), "f": (True, False), "g": (True, True), "h": (True, False)}
+
+
+def test_label_numbers_and_speed_deltas(spark):
+    df = spark.createDataFrame([("f", True, 4.0, 0.5, None), ("f", False, 8.0, None, None), ("g", None, None, 1.5, None)], "file string, accepted boolean, output_units double, output_over_budget_ratio double, output_reference_ratio double")
+    got = {r.file: r for r in A.label_summary(df, "file").collect()}
+    assert (got["f"].records, got["f"].accepted, got["f"].rejected, got["f"].acceptance_rate, got["f"].output_units_p50, got["f"].output_units_p90, got["f"].output_over_budget_ratio_count) == (2, 1, 1, 0.5, 6.0, 7.6, 1)
+    assert (got[None].records, got[None].output_units_mean, got[None].output_over_budget_ratio_max, got[None].output_reference_ratio_count, got[None].output_reference_ratio_mean, got["g"].output_units_count) == (3, 6.0, 1.5, 0, None, 0)
+    row = lambda i, speed, score, end, first=0.0, null=None: ("k", i, speed, score, end, first, null)
+    rows = [row(1, 1.0, 0.5, 100.0), row(1, 1.5, 0.7, 150.0, 10.0), row(2, 1.0, 0.5, 100.0, 5.0), row(2, 1.5, 0.4, 300.0, 25.0), row(3, 1.0, 0.1, 1.0), row(3, 1.5, 0.1, 1.0, 1.0, "over_translation"), row(4, 1.0, 0.1, 1.0), row(5, 1.0, 1.0, 1.0), row(5, 1.5, 1.0, 1.0, None)]
+    r = J.speed_pairs(spark.createDataFrame(rows, "k string, source_id int, speed double, score double, end_ms double, first_ms double, null_type string"), ["k"], (1.0, 1.5)).collect()
+    assert [(x.speed, x.common, x.n, x.score_delta, x.end_delta_ms, x.end_delta_p50_ms, x.end_delta_p90_ms, x.first_delta_p50_ms) for x in r] == [(1.5, 4, 2, 0.05, 125.0, 125.0, 185.0, 15.0)]
+
+
+def test_contexts_of_pairs(spark):
+    df = spark.createDataFrame([("c", i, f"u{i}", f"a{i}") for i in range(6)], "conv string, turn int, user string, assistant string")
+    seen = lambda out: {r.turn: [x.user for x in r.context] for r in out.collect()}
+    assert seen(W.pair_context(df, "conv", "turn", 3)) == {0: [], 1: ["u0"], 2: ["u0", "u1"], 3: ["u1", "u2"], 4: ["u2", "u3"], 5: ["u3", "u4"]}
+    assert seen(W.pair_context(df, "conv", "turn", 1))[5] == []
+
+    def pinned(size):
+        out, window, anchor = {}, [], None
+        for i in range(6):
+            out[i] = list(window)
+            window.append(f"u{i}")
+            anchor = anchor or window[0]
+            window = [anchor, *[t for t in window if t != anchor][-(size - 2) :]]
+        return out
+
+    for size in (3, 4, 5, 9):
+        assert seen(W.pinned_context(df, "conv", "turn", size)) == pinned(size)
+
+
+def test_scores_of_whole_runs(spark):
+    rows = [("a", "en", "hello world again", "hello world"), ("b", "zh", "你好世界", "你好新世界"), ("c", "ja-JP", "世界", "世界"), ("d", None, "", "gone"), ("e", "en", "said", "")]
+    got = {r.run: r for r in C.run_text_metrics(spark.createDataFrame(rows, "run string, target_lang string, candidate string, reference string"), "run").collect()}
+    assert len(got) == 5
+    assert (got["a"].wer, got["a"].candidate_units, got["a"].bleu_tokenizer) == (0.5, 3, "13a")
+    assert (got["b"].wer, got["b"].cer, got["b"].candidate_units, got["b"].reference_units, got["b"].bleu_tokenizer) == (0.2, 0.2, 4, 5, "zh")
+    assert (got["c"].cer, got["c"].chrf, got["c"].bleu_tokenizer) == (0.0, 100.0, "char")
+    assert (got["d"].wer, got["d"].cer, got["d"].bleu, got["e"].wer) == (1.0, 1.0, 0.0, 1.0)
 
 
 def test_samples_do_not_depend_on_partitions(spark):

@@ -180,8 +180,10 @@ def test_records(spark):
     m = spark.createDataFrame([("s", 2, "text", True, "b"), ("s", 1, "text", True, "a"), ("s", 3, "control", True, "x"), ("s", 4, "text", False, "y")], "session string, message_id int, kind string, stable boolean, text string")
     assert R.stable_transcript(m, "session").first().transcript == "ab"
     assert R.timing_faults(spark.createDataFrame([("1", "x")], "a string, b string"), ["a", "b"]).first().bad_fields == ["b"]
-    out = {r.id: r for r in R.staged_paths(spark.createDataFrame([("a", "w", 1.23456), ("", "w", 1.0), ("b", "", 1.0)], "id string, audio string, duration_s double"), "root").collect()}
-    assert out["a"].packaged_s == 1.235 and out[""].reason == "missing_id" and out["b"].reason == "missing_audio" and re.match(r"root/[0-9a-f]{2}/a\.wav", out["a"].staged)
+    staged = R.staged_paths(spark.createDataFrame([("a b", "w", 20001, None), ("", "w", 1, None), ("b", "", 1, None), ("c", "w", None, "OSError"), ("d", "w", None, None)], "id string, audio string, samples long, fault string"), "root/", "dev")
+    out = {r.id: r for r in staged.collect()}
+    assert (out["a b"].packaged_duration_s, out["a b"].packaged_num_samples, out["a b"].packaged_sample_rate, out["a b"].staged) == (1.250062, 20001, 16000, "root/source_wav/dev/a_b.wav")
+    assert [out[k].reason for k in ("", "b", "c", "d")] == ["missing_id", "missing_audio", "exception:OSError", "exception:Exception"] and out["c"].staged is None
     rows = spark.createDataFrame([("a", "x:0:32000", "s", "t", "en", "zh"), ("b", "x:0:8000", "s", "t", "en", "zh")], "id string, audio string, src_text string, tgt_text string, src_lang string, tgt_lang string")
     assert [r.id for r in R.codec_rows(rows, "en", "zh").collect()] == ["a"]
     assert R.chunked_samples(spark.createDataFrame([("a b", "FR", ["x", "", "y"])], "sample_id string, src_lang string, audios array<string>"), "audios").first().n_chunks == 2
