@@ -26,7 +26,7 @@ from ..operators import windows as W
 from ..sources import files
 from ..streaming import sessions as X
 from ..streaming.tables import UpsertTable, upsert_each_batch
-from .queries import _CHARS, _FIFO, _GRAMS, _PACKETS, _PAIRS, _TOK, _UNIT, _long, packets, pairs, playout
+from .queries import _BYTES, _CHARS, _EDITS, _FIFO, _GRAMS, _PACKETS, _PAIRS, _TOK, _UNIT, _long, packets, pairs, playout
 from .registry import query, table
 
 
@@ -816,14 +816,28 @@ def completion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(R.completion_records(d, R.SYSTEM_COMPRESSION, c("asked"), c("source_text")).select("id", F.md5("prompt").alias("prompt_md5"), F.length("asked").alias("asked_chars"), F.md5("completion").alias("completion_md5")))
 
 
-@query(f"""WITH {_PAIRS} SELECT id AS run, length(candidate) AS candidate_chars, len({_TOK.format('candidate')}) AS candidate_units, len({_TOK.format('reference')}) AS reference_units FROM pairs""")
+_SWEEP = f"""c AS (SELECT id, {_CHARS.format('candidate')} AS h, {_CHARS.format('reference')} AS r FROM pairs), k AS (SELECT unnest(range(1, 7)) AS n),
+gh AS (SELECT id, n, g, count(*) AS c FROM (SELECT id, n, array_to_string(h[i:i + n - 1], chr(1)) AS g FROM (SELECT id, h, n, unnest(range(1, len(h) - n + 2)) AS i FROM c, k)) GROUP BY ALL),
+gr AS (SELECT id, n, g, count(*) AS c FROM (SELECT id, n, array_to_string(r[i:i + n - 1], chr(1)) AS g FROM (SELECT id, r, n, unnest(range(1, len(r) - n + 2)) AS i FROM c, k)) GROUP BY ALL),
+m AS (SELECT id, n, sum(least(gh.c, gr.c)) AS m FROM gh JOIN gr USING (id, n, g) GROUP BY ALL),
+o AS (SELECT id, n, greatest(0, len(h) - n + 1) AS hyp, greatest(0, len(r) - n + 1) AS ref, coalesce(m, 0) AS m, len(h) AS hl, len(r) AS rl FROM c CROSS JOIN k LEFT JOIN m USING (id, n)),
+b AS (SELECT *, sum(CASE WHEN m = 0 AND hyp > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS z FROM o WHERE n <= 4),
+bleu AS (SELECT id, CASE WHEN max(m) > 0 THEN 100 * CASE WHEN any_value(hl) >= any_value(rl) THEN 1.0 ELSE exp(1 - any_value(rl) / any_value(hl)) END * exp(sum(CASE WHEN hyp > 0 THEN ln(CASE WHEN m > 0 THEN m / hyp ELSE 1 / (2 ** z * hyp) END) ELSE 0 END) / 4) ELSE 0.0 END AS bleu FROM b GROUP BY id),
+f AS (SELECT id, avg(m / hyp) AS p, avg(m / ref) AS q FROM o WHERE hyp > 0 AND ref > 0 GROUP BY id)"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, t AS (SELECT id, list_transform({_TOK.format('reference')}, lambda x: lower(x)) AS r, list_transform({_TOK.format('candidate')}, lambda x: lower(x)) AS h FROM pairs), {_EDITS}, {_SWEEP}
+SELECT p.id AS run, round_even(row[len(t.h) + 1] / greatest(1, len(t.r)), 6) AS wer, round_even(levenshtein({_BYTES.format('reference')}, {_BYTES.format('candidate')}) / greatest(1, length({_BYTES.format('reference')})), 6) AS cer, len(t.h) AS candidate_units, len(t.r) AS reference_units,
+  round_even(bleu, 4) AS bleu, round_even(CASE WHEN coalesce(f.p, 0) + coalesce(q, 0) > 0 THEN 100 * 5.0 * f.p * q / (4.0 * f.p + q) ELSE 0.0 END, 4) AS chrf, length(candidate) AS candidate_chars
+FROM pairs p JOIN t ON t.id = p.id JOIN e ON e.id = p.id AND e.i = len(t.r) JOIN bleu ON bleu.id = p.id LEFT JOIN f ON f.id = p.id""")
 def sweep_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each candidate in two messages, with one that isn't stable and the voice's end; scores are tested on literal texts."""
+    """Each candidate in two messages, with one that isn't stable and the voice's end; all scores of the runs, BLEU over characters."""
     p = pairs(spark, sf_dir)
     x, m = F.col("candidate"), lambda i, t, u: F.struct(F.lit(i).alias("message_id"), t.alias("text"), F.lit(u).alias("unstable"))
     cut = F.array(m(4, F.lit(C.END_OF_SPEECH), False), m(3, F.substr(x, F.lit(11)), False), m(2, F.lit("draft"), True), m(1, F.substr(x, F.lit(1), F.lit(10)), False))
     sent = p.select(F.col("id").alias("run"), F.explode(cut).alias("m")).select("run", "m.*")
-    return _long(C.sweep_scores(sent, p.select(F.col("id").alias("run"), "reference")).select("run", "candidate_chars", "candidate_units", "reference_units"))
+    out = C.sweep_scores(sent, p.select(F.col("id").alias("run"), "reference"), "char")
+    return _long(out.withColumns({c: F.bround(c, 4) for c in ("bleu", "chrf")}))
 
 
 _SESSIONS = """WITH c AS (SELECT *, length(coalesce(text, '')) / 10.0::DOUBLE AS source_s FROM conversations),

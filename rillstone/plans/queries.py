@@ -152,14 +152,30 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.bround("f1", 6).alias("f1"), F.bround("recall", 6).alias("recall"), M.coverage_status(F.col("recall"), F.col("f1")).alias("status"))
 
 
-@query()
+_COVER = r"list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+#: the place of the last unit met in order, from 1
+_ORDERED = """list_reduce(list_prepend([0, 1], list_transform(range(1, len(h) + 1), lambda j: [j, 0])), lambda acc, x: CASE WHEN acc[2] = 1 AND coalesce(list_position(r[acc[1] + 1:], h[x[1]]), 0) > 0
+  THEN [acc[1] + list_position(r[acc[1] + 1:], h[x[1]]), 1] ELSE [acc[1], 0] END)[1]"""
+_SIGNALS = f"""t AS (SELECT id, {_COVER.format('reference')} AS r, {_COVER.format('candidate')} AS h FROM pairs), {_COMMON},
+b AS (SELECT id, sum(least(x.c, y.c)) AS bag FROM (SELECT id, u, count(*) AS c FROM (SELECT id, unnest(r) AS u FROM t) GROUP BY ALL) x JOIN (SELECT id, u, count(*) AS c FROM (SELECT id, unnest(h) AS u FROM t) GROUP BY ALL) y USING (id, u) GROUP BY id),
+s AS (SELECT id, r, h, row[len(h) + 1] AS lcs, {_ORDERED} AS met, coalesce(bag, 0) AS bag FROM e JOIN t USING (id) LEFT JOIN b USING (id) WHERE i = len(r))"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {_SIGNALS}
+SELECT id, CASE WHEN len(r) > 0 THEN round_even(lcs / len(r), 6) END AS recall, CASE WHEN len(h) > 0 THEN round_even(lcs / len(h), 6) END AS precision, CASE WHEN len(r) > 0 THEN round_even(met / len(r), 6) END AS last_matched, len(r) - met AS suffix_units,
+  CASE WHEN len(r) > 0 THEN round_even(bag / len(r), 6) END AS bag_recall FROM s""")
 def coverage_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest common subsequence, ordered match and bag overlap; sequential, tested against plain code."""
+    """Longest common subsequence, ordered match and bag overlap."""
+    p = _signals(pairs(spark, sf_dir))
+    return _long(p.select("id", "recall", M.share(F.col("lcs"), F.size("h")).alias("precision"), "last_matched", (F.size("t") - F.col("greedy")).alias("suffix_units"), M.share(F.col("bag"), F.size("t")).alias("bag_recall")))
+
+
+def _signals(p: DataFrame) -> DataFrame:
     from ..functions.arrow import lcs_length, ordered_match
 
     t, h = T.coverage_units(F.col("reference"), F.lit("en")), T.coverage_units(F.col("candidate"), F.lit("en"))
-    p = pairs(spark, sf_dir).select("id", t.alias("t"), h.alias("h")).withColumns({"lcs": lcs_length("t", "h"), "greedy": ordered_match("t", "h"), "bag": M.bag_overlap(F.col("t"), F.col("h"))})
-    return p.select("id", M.share(F.col("lcs"), F.size("t")).alias("recall"), M.share(F.col("lcs"), F.size("h")).alias("precision"), M.share(F.col("greedy"), F.size("t")).alias("last_matched"), (F.size("t") - F.col("greedy")).alias("suffix_units"), M.share(F.col("bag"), F.size("t")).alias("bag_recall"))
+    p = p.withColumns({"t": t, "h": h}).withColumns({"lcs": lcs_length("t", "h"), "greedy": ordered_match("t", "h"), "bag": M.bag_overlap(F.col("t"), F.col("h"))})
+    return p.withColumns({"recall": M.share(F.col("lcs"), F.size("t")), "last_matched": M.share(F.col("greedy"), F.size("t"))})
 
 
 _GRAMS = """{0} AS (SELECT id, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT id, {1} AS w FROM pairs) x, (SELECT unnest([1, 2, 3, 4]) AS n) y WHERE len(w) >= n) GROUP BY ALL)"""
@@ -346,11 +362,15 @@ def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("id", F.array_join(r, ",").alias("reasons"))
 
 
-@query("""SELECT doc_id, CASE WHEN text LIKE '%idiot%' OR text LIKE '%moron%' THEN 'rude' END AS rude, regexp_matches(text, '[A-Z]{4,}') AS shouted FROM documents""")
+@query("""WITH r AS (SELECT source, concat_ws(',', CASE WHEN text LIKE '%idiot%' OR text LIKE '%moron%' THEN 'rude' END, CASE WHEN regexp_matches(text, '[A-Z]{4,}') THEN 'shouted' END, CASE WHEN n_chars < 40 THEN 'short' END) AS reasons FROM documents)
+SELECT source, reasons, count(*) AS n FROM r GROUP BY ALL""")
 def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P12's rules with phrases of this corpus (P11's own are in spoken_style)."""
-    x = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.exists(F.array(F.lit("idiot"), F.lit("moron")), lambda w: F.contains(x, w)), "rude").alias("rude"), x.rlike("[A-Z]{4,}").alias("shouted"))
+    """Kept and rejected documents by rules for this corpus, with all reasons of each (P11's own rules are in spoken_style)."""
+    x = F.coalesce("text", F.lit(""))
+    rude = F.exists(F.array(F.lit("idiot"), F.lit("moron")), lambda w: F.contains(x, w))
+    kept, rejected = J.rejects(table(spark, sf_dir, "documents"), ((rude, "rude"), (x.rlike("[A-Z]{4,}"), "shouted"), (F.col("n_chars") < 40, "short")))
+    both = kept.select("source", F.lit("").alias("reasons")).unionByName(rejected.select("source", F.array_join("reasons", ",").alias("reasons")))
+    return both.groupBy("source", "reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH r AS (SELECT unnest(list_filter([CASE WHEN n_chars > 2000 THEN 'too_long' END, CASE WHEN text LIKE '%idiot%' THEN 'style' END, CASE WHEN lang <> 'en' THEN 'language' END], lambda x: x IS NOT NULL)) AS reason, source FROM documents) SELECT source, reason, count(*) AS n FROM r GROUP BY ALL""")
@@ -445,14 +465,15 @@ def packet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PACKETS}, s AS (SELECT user_id, list(CAST(arrival_ms - t0 AS DOUBLE) ORDER BY k) AS d, CAST(max(arrival_ms) - min(t0) AS DOUBLE) * 0.8 AS src FROM (SELECT *, min(arrival_ms) OVER (PARTITION BY user_id) AS t0 FROM packets) GROUP BY user_id),
-u AS (SELECT user_id, src, len(d) AS n, i - 1 AS i, d[i] AS x FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM s)),
-o AS (SELECT *, coalesce(max(CAST(x >= src AS INT)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS op FROM u)
-SELECT user_id, round_even(avg(x - i * src / n) FILTER (op), 3) AS al, round_even(sum(x) / (max(src) * count(*)), 6) AS ap FROM o GROUP BY user_id HAVING max(src) > 0""")
+u AS (SELECT user_id, src, len(d) AS n, greatest(1, len(d) - 3) AS ref, i - 1 AS i, d[i] AS x FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM s)),
+o AS (SELECT *, coalesce(max(CAST(x >= src AS INT)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS op, max(x - i * src / n) OVER (PARTITION BY user_id ORDER BY i) AS held FROM u)
+SELECT user_id, round_even(avg(x - i * src / ref) FILTER (op), 3) AS al, round_even(avg(x - i * src / greatest(n, ref)) FILTER (op), 3) AS laal, round_even(sum(x) / (max(src) * count(*)), 6) AS ap, round_even(avg(held), 3) AS dal FROM o GROUP BY user_id HAVING max(src) > 0""")
 def emission_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average lagging and proportion of each user's arrivals as emissions."""
+    """Average, length-adaptive and differentiable lagging and proportion of each user's arrivals as emissions; users of one arrival have no source."""
     p = packets(spark, sf_dir).groupBy("user_id").agg(F.min("arrival_ms").alias("lo"), F.max("arrival_ms").alias("hi"), F.array_sort(F.collect_list(F.struct("ts", "event_id", "arrival_ms"))).alias("a"))
-    t = p.select(F.col("user_id").alias("run"), F.transform("a", lambda x: (x["arrival_ms"] - F.col("lo")).cast("double")).alias("delays"), ((F.col("hi") - F.col("lo")).cast("double") * 0.8).alias("source_length"), F.size("a").alias("reference_length"))
-    return C.emission_latency(t.filter("source_length > 0")).select(F.col("run").alias("user_id"), F.bround("al", 3).alias("al"), F.bround("ap", 6).alias("ap"))
+    t = p.select(F.col("user_id").alias("run"), F.transform("a", lambda x: (x["arrival_ms"] - F.col("lo")).cast("double")).alias("delays"), ((F.col("hi") - F.col("lo")).cast("double") * 0.8).alias("source_length"), F.greatest(F.lit(1), F.size("a") - 3).alias("reference_length"))
+    r3 = lambda c: F.bround(c, 3).alias(c)
+    return C.emission_latency(t.filter("source_length > 0")).select(F.col("run").alias("user_id"), r3("al"), r3("laal"), F.bround("ap", 6).alias("ap"), r3("dal"))
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
@@ -685,12 +706,16 @@ def substituted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(out.select("id", "source_id", "swapped", "total", F.array_join(said, ",").alias("frames")))
 
 
-@query("""SELECT conv_id AS id, len(list(turn)) AS n_turns, to_json({'a': 1}) IS NOT NULL AS ok FROM conversations GROUP BY conv_id""")
+_JSON_TEXT = r"""'"' || replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || '"'"""
+
+
+@query(f"""WITH t AS (SELECT conv_id AS id, count(*) AS n_turns, trim(coalesce(arg_max(text, turn), '')) AS target, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT id, n_turns, '{{"id":' || id || ',"messages":[{{"role":"system","content":"You \\"translate\\"."}},{{"role":"user","content":' || {_JSON_TEXT.format('said')} || '}},{{"role":"assistant","content":' || {_JSON_TEXT.format('target')} || '}}]}}' AS record FROM t WHERE target <> ''""")
 def chat_training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P15, S20's shape: one record per conversation."""
-    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n_turns"), F.max_by("text", "turn").alias("target"))
-    out = R.chat_records(t, "You translate.", F.lit("say"), F.col("target"))
-    return out.select("id", "n_turns", F.col("record").isNotNull().alias("ok"))
+    """Each conversation as a prompt with its last turn as the answer, message by message as JSON."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("x")))), lambda t: t["x"])
+    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n_turns"), F.max_by("text", "turn").alias("target"), F.array_join(turns, " ").alias("said"))
+    return R.chat_records(t, 'You "translate".', F.col("said"), F.col("target")).select("id", "n_turns", "record")
 
 
 @query("""WITH s AS (SELECT doc_id, n_chars / 15.0 AS dur FROM documents) SELECT doc_id, CAST(c AS BIGINT) AS chunk, 'x' || doc_id || '__chunk_' || lpad(CAST(c AS VARCHAR), 4, '0') AS chunk_id, round_even(c * 20.0::DOUBLE, 6) AS chunk_start_s,

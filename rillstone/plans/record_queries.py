@@ -14,7 +14,7 @@ from ..operators import sampling as S
 from ..operators import scoring as C
 from ..operators import windows as W
 from ..sources import files
-from .queries import _BYTES, _PACKETS, _PAIRS, _TOK, _long, packets, pairs
+from .queries import _BYTES, _PACKETS, _PAIRS, _SIGNALS, _TOK, _long, _signals, packets, pairs
 from .registry import query, table
 
 _EN = "regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')"
@@ -169,15 +169,18 @@ def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # gates and scores ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_PAIRS}, s AS (SELECT id, len({_TOK.format('candidate')}) AS u, length(candidate) / 20.0::DOUBLE AS sp, length(reference) / 10.0::DOUBLE AS b FROM pairs WHERE length(candidate) > 0 AND length(reference) > 0)
-SELECT id, round_even(u / sp, 6) AS units_per_s, round_even(sp / b, 6) AS duration_budget_ratio, round_even(u / 2.75 / sp, 6) AS rate_pressure_ratio, concat_ws(',', CASE WHEN round_even(sp / b, 6) > 1.05 THEN 'speech_over_budget' END, CASE WHEN round_even(u / 2.75 / sp, 6) > 1.35 THEN 'speech_too_fast_for_text' END) AS reasons FROM s""")
+@query(f"""WITH RECURSIVE {_PAIRS}, {_SIGNALS}, d AS (SELECT id, len({_TOK.format('candidate')}) AS u, length(candidate) / 20.0::DOUBLE AS sp, length(reference) / 10.0::DOUBLE AS b, id % 5 = 0 AS styled FROM pairs),
+g AS (SELECT d.*, CASE WHEN len(r) > 0 THEN round_even(lcs / len(r), 6) END AS recall, CASE WHEN len(r) > 0 THEN round_even(met / len(r), 6) END AS last, CASE WHEN sp > 0 AND b > 0 THEN round_even(sp / b, 6) END AS budget, CASE WHEN sp > 0 THEN round_even(u / 2.75 / sp, 6) END AS pressure FROM d JOIN s USING (id))
+SELECT id, CASE WHEN sp > 0 THEN round_even(u / sp, 6) END AS units_per_s, budget AS duration_budget_ratio, pressure AS rate_pressure_ratio, recall, last AS last_matched, concat_ws(',', CASE WHEN budget > 1.05 THEN 'speech_over_budget' END, CASE WHEN pressure > 1.35 THEN 'speech_too_fast_for_text' END,
+  CASE WHEN styled THEN 'text_style:stiff' END, CASE WHEN recall < 0.9 THEN 'low_asr_target_coverage' END, CASE WHEN last < 0.9 THEN 'early_stop_or_suffix_missing' END) AS reasons FROM g""")
 def duration_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M13, M14."""
-    p = pairs(spark, sf_dir).filter("length(candidate) > 0 and length(reference) > 0").select("id", T.token_count(F.col("candidate")).alias("u"), (F.length("candidate") / 20.0).alias("sp"), (F.length("reference") / 10.0).alias("b"))
+    """Turns as speech, gated by duration, rate, style and what of the reference they cover; every fifth has a style fault."""
+    p = _signals(pairs(spark, sf_dir)).withColumns({"u": T.token_count(F.col("candidate")), "sp": F.length("candidate") / 20.0, "b": F.length("reference") / 10.0})
     s = M.duration_signals(F.col("u"), F.col("sp"), F.col("b"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(2.75))
     p = p.withColumns({k: s[k] for k in ("units_per_s", "duration_budget_ratio", "rate_pressure_ratio")})
-    none = F.lit(None).cast("double")
-    return p.select("id", "units_per_s", "duration_budget_ratio", "rate_pressure_ratio", F.array_join(M.gate_reasons(F.col("duration_budget_ratio"), F.col("rate_pressure_ratio"), F.array().cast("array<string>"), none, none), ",").alias("reasons"))
+    styles = F.when(F.col("id") % 5 == 0, F.array(F.lit("stiff"))).otherwise(F.array().cast("array<string>"))
+    why = M.gate_reasons(F.col("duration_budget_ratio"), F.col("rate_pressure_ratio"), styles, F.col("recall"), F.col("last_matched"))
+    return p.select("id", "units_per_s", "duration_budget_ratio", "rate_pressure_ratio", "recall", "last_matched", F.array_join(why, ",").alias("reasons"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, list(l_quantity / nullif(l_tax * 500, 0) ORDER BY l_linenumber) AS r FROM lineitem GROUP BY l_orderkey), v AS (SELECT l_orderkey, list_filter(r, lambda x: x IS NOT NULL) AS v FROM c)
@@ -304,13 +307,17 @@ def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # summaries -------------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_shipmode AS run, count(*) AS groups, count(*) FILTER (a = 1 AND b = 1) AS one_to_one, count(*) FILTER (a > 1 AND b = 1) AS many_to_one, count(*) FILTER (a = 1 AND b > 1) AS one_to_many, max(greatest(a, b)) AS largest, round_even(avg(q), 6) AS ending_mean, round_even(quantile_cont(q, 0.5), 6) AS ending_p50, round_even(quantile_cont(q, 0.9), 6) AS ending_p90
-FROM (SELECT l_returnflag AS l_shipmode, 1 + l_orderkey % 3 AS a, 1 + l_partkey % 2 AS b, l_quantity AS q FROM lineitem) GROUP BY 1""")
+@query("""SELECT l_shipmode AS run, count(*) AS groups, count(*) FILTER (a = 1 AND b = 1) AS one_to_one, count(*) FILTER (a > 1 AND b = 1) AS many_to_one, count(*) FILTER (a = 1 AND b > 1) AS one_to_many, count(*) FILTER (a > 1 AND b > 1) AS many_to_many, max(greatest(a, b)) AS largest,
+  round_even(avg(q), 6) AS ending_mean, round_even(quantile_cont(q, 0.5), 6) AS ending_p50, round_even(quantile_cont(q, 0.9), 6) AS ending_p90, round_even(quantile_cont(f, 0.5), 6) AS first_p50, round_even(quantile_cont(w, 0.5), 6) AS span_p50
+FROM (SELECT l_returnflag AS l_shipmode, 1 + l_orderkey % 3 AS a, 1 + l_partkey % 2 AS b, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS f, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS w FROM lineitem) GROUP BY 1""")
 def cell_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as alignment groups of return flags."""
+    """Lines as alignment groups of return flags, with three offsets."""
     some = lambda n: F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), n.cast("int"))
-    g = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), some(1 + F.col("l_orderkey") % 3).alias("source_ids"), some(1 + F.col("l_partkey") % 2).alias("hypothesis_ids"), F.col("l_quantity").alias("ending_offset"), F.lit(0.0).alias("first_offset"), F.lit(0.0).alias("span"))
-    return _long(A.cell_summary(g, "run").select("run", "groups", "one_to_one", "many_to_one", "one_to_many", "largest", "ending_mean", "ending_p50", "ending_p90"))
+    g = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("run"), some(1 + F.col("l_orderkey") % 3).alias("source_ids"), some(1 + F.col("l_partkey") % 2).alias("hypothesis_ids"), F.col("l_quantity").cast("double").alias("ending_offset"), F.col("l_tax").cast("double").alias("first_offset"),
+        F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice").cast("double")).alias("span"),
+    )
+    return _long(A.cell_summary(g, "run"))
 
 
 @query("""WITH m AS (SELECT user_id AS run, min(event_id) AS lo, max(event_id) AS hi, sum(value) AS s FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT u.user_id AS run, round_even(lo - 10.0, 6) AS first_arrival_s, round_even(hi - 10.0, 6) AS last_arrival_s, round_even(s - 100.0, 6) AS duration_lag_s FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m ON m.run = u.user_id""")
