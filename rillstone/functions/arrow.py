@@ -164,27 +164,122 @@ def list_literal(x: pd.Series) -> pd.Series:
     return x.map(read)
 
 
-def matching_blocks(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of places of equal units: the longest common run first (the earliest of equal ones), then left and right of it."""
+def greedy_groups(cap: int, soft: float):
+    """A function of sizes (array<int>) and ends (array<boolean>, whether a segment ends a sentence) that gives the places of segments in groups."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def walk(sizes: pd.Series, ends: pd.Series) -> pd.Series:
+        def groups(sizes: list, ends: list) -> list[list[int]]:
+            done, open_, size = [], [], 0
+            for i, (n, end) in enumerate(zip(sizes, ends, strict=False)):
+                if open_ and size + n > cap:
+                    done.append(open_)
+                    open_, size = [], 0
+                open_.append(i)
+                size += n
+                if end and size >= soft * cap:
+                    done.append(open_)
+                    open_, size = [], 0
+            return [*done, open_] if open_ else done
+
+        return pd.Series([None if x is None or y is None else groups(x, y) for x, y in zip(sizes, ends, strict=True)])
+
+    return walk
+
+
+def spans_to_ends(size: float):
+    """A function of sorted chunk ends (array<double>) that gives windows which end where a chunk ends, as long as they can be without passing ``size``."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])))
+    def walk(ends: pd.Series) -> pd.Series:
+        def spans(ends: list) -> list[dict[str, float]]:
+            done, lo, hi = [], 0.0, 0.0
+            for end in map(float, ends):
+                if end - lo > size and hi > lo:
+                    done.append({"lo": lo, "hi": hi})
+                    lo = hi
+                hi = end
+            return [*done, {"lo": lo, "hi": hi}] if hi > lo else done
+
+        return pd.Series([None if x is None else spans(x) for x in ends])
+
+    return walk
+
+
+def _longest_by_places(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest common run (place in a, place in b, size), the earliest of equal ones, by all meetings of equal units."""
     places: dict = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
+    for j in range(blo, bhi):
+        places.setdefault(b[j], []).append(j)
+    i_best, j_best, size, runs = alo, blo, 0, {}
+    for i in range(alo, ahi):
+        new = {}
+        for j in places.get(a[i], ()):
+            new[j] = k = runs.get(j - 1, 0) + 1
+            if k > size:
+                i_best, j_best, size = i - k + 1, j - k + 1, k
+        runs = new
+    return i_best, j_best, size
+
+
+def _longest_by_suffixes(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The same by the automaton of all runs of b, in steps that grow with the lengths alone."""
+    step: list[dict] = [{}]
+    link, length, first = [-1], [0], [-1]
+    last = 0
+    for j in range(blo, bhi):
+        x, here = b[j], len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        first.append(j)
+        p = last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = here
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[p] + 1 == length[q]:
+                link[here] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                first.append(first[q])
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = link[here] = copy
+        last = here
+    i_best, j_best, size, v, n = alo, blo, 0, 0, 0
+    for i in range(alo, ahi):
+        x = a[i]
+        while v and x not in step[v]:
+            v = link[v]
+            n = length[v]
+        if x in step[v]:
+            v, n = step[v][x], n + 1
+            if n > size:
+                i_best, j_best, size = i - n + 1, first[v] - n + 1, n
+    return i_best, j_best, size
+
+
+def matching_blocks(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of equal units: the longest common run first (the earliest of equal ones), then left and right of it.
+
+    Where equal units would meet too often a range's longest run is found by the automaton of its suffixes."""
     todo, out = [(0, len(a), 0, len(b))], []
     while todo:
         alo, ahi, blo, bhi = todo.pop()
-        best, size, runs = (alo, blo), 0, {}
-        for i in range(alo, ahi):
-            new = {}
-            for j in places.get(a[i], ()):
-                if blo <= j < bhi:
-                    new[j] = runs.get(j - 1, 0) + 1
-                    if new[j] > size:
-                        size, best = new[j], (i - new[j] + 1, j - new[j] + 1)
-            runs = new
-        if size:
-            i, j = best
-            out += [(i + t, j + t) for t in range(size)]
-            todo += [(alo, i, blo, j), (i + size, ahi, j + size, bhi)]
+        counts = Counter(b[blo:bhi])
+        meetings = sum(counts.get(x, 0) for x in a[alo:ahi])
+        if not meetings:
+            continue
+        find = _longest_by_places if meetings <= 8 * (ahi - alo + bhi - blo) else _longest_by_suffixes
+        i, j, size = find(a, b, alo, ahi, blo, bhi)
+        out += [(i + t, j + t) for t in range(size)]
+        todo += [(alo, i, blo, j), (i + size, ahi, j + size, bhi)]
     return sorted(out)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from .aggregates import interpolated, unpivot_numbers
-from .running import running
+from .running import nearby, running
 from .sampling import unit_interval
 from .scoring import first_per_key, last_per_key
 
@@ -158,14 +158,19 @@ def as_of(events: DataFrame, lookups: DataFrame, key: str, time: str, value: str
     return out.select(key, F.col("__t").alias(time), F.col("__tie").alias(tie), F.coalesce("__found", F.lit(default)).alias(f"{value}_as_of"))
 
 
-def packet_at(packets: DataFrame, positions: DataFrame, run: str) -> DataFrame:
-    """J11.  packets: run, packet_index, audio_end_ms; positions: run, unit, position_ms.  The first packet that ends behind the position, else the last."""
+def packet_at(packets: DataFrame, positions: DataFrame, run: str, block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """J11.  packets: run, packet_index, audio_end_ms; positions: run, unit, position_ms.  The first packet that ends behind the position, else the last.
+
+    ``block`` makes a block of a position (see ``running``)."""
     p = packets.select(run, F.col("audio_end_ms").alias("__t"), F.lit(1).alias("__side"), F.lit(-1).alias("__tie"), F.col("packet_index").alias("__v"))
     q = positions.select(run, F.col("position_ms").alias("__t"), F.lit(0).alias("__side"), F.col("unit").alias("__tie"), F.lit(None).cast("int").alias("__v"))
-    own = Window.partitionBy(run).orderBy("__t", F.desc("__side"), "__tie")
-    both = p.unionByName(q).withColumn("__next", F.first("__v", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)))
-    both = both.withColumn("__last", F.max("__v").over(Window.partitionBy(run)))
-    return both.filter("__side = 0").select(run, F.col("__tie").alias("unit"), F.col("__t").alias("position_ms"), F.coalesce("__next", "__last").alias("packet_index"))
+    both = p.unionByName(q)
+    if block is not None:
+        both = both.withColumn("__block", block(F.col("__t")))
+    # at equal times positions come first: one on a packet's end is in that packet
+    met = nearby(both, [run], ["__t", "__side", "__tie"], F.col("__v"), "ahead", "__next", "__block" if block is not None else None).filter("__side = 0")
+    last = packets.groupBy(run).agg(F.max("packet_index").alias("__last"))
+    return met.join(last, run, "left").select(run, F.col("__tie").alias("unit"), F.col("__t").alias("position_ms"), F.coalesce("__next", "__last").alias("packet_index"))
 
 
 def key_integrity(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

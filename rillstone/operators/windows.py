@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import arrow
 from ..functions import text as T
-from .running import running
+from .running import nearby, running
 
 
 def _upto(keys: Sequence[str], order: Sequence[str]):
@@ -79,24 +80,17 @@ def source_budget(rate_key: Column, estimate: Column, rtf: Column, meta: Column,
 
 # W18, W28, ST2 grid
 def fixed_windows(df: DataFrame, duration: str, size: float) -> DataFrame:
-    """Windows of at most ``size``, the last as long as is left."""
-    n = F.floor((F.col(duration) + size - 1e-9) / size)
+    """Windows of at most ``size``, the last as long as is left; without a size (0 or below) the whole is one window."""
+    whole = F.col(duration)
+    n = F.floor((whole + size - 1e-9) / size) if size > 0 else (whole > 0).cast("int")
     out = df.filter(n >= 1).withColumn("window_index", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
-    return out.withColumns({"window_start_s": F.col("window_index") * size, "window_end_s": F.least(F.col(duration), (F.col("window_index") + 1) * size)})
+    end = F.least(whole, (F.col("window_index") + 1) * size) if size > 0 else whole
+    return out.withColumns({"window_start_s": F.col("window_index") * float(max(0, size)), "window_end_s": end})
 
 
 def grouped_windows(df: DataFrame, ends: str, size: float) -> DataFrame:
     """Windows that end where a chunk ends, as long as they can be without passing ``size``.  ends: sorted array of chunk ends of a run."""
-    kind = "array<struct<lo:double,hi:double>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-
-    def step(s: Column, end: Column) -> Column:
-        full = (end - s["lo"] > size) & (s["hi"] > s["lo"])
-        closed = F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
-        return F.struct(F.when(full, closed).otherwise(s["done"]).alias("done"), F.when(full, s["hi"]).otherwise(s["lo"]).alias("lo"), end.cast("double").alias("hi"))
-
-    last = lambda s: F.when(s["hi"] > s["lo"], F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))).otherwise(s["done"])
-    return df.withColumn("windows", F.aggregate(ends, start, step, last))
+    return df.withColumn("windows", arrow.spans_to_ends(size)(F.col(ends).cast("array<double>")))
 
 
 def fixed_chunks(df: DataFrame, key: str, duration: str, length: float, cap: int) -> DataFrame:
@@ -213,12 +207,11 @@ def edge_silence(df: DataFrame, key: str, order: str, duration: str) -> DataFram
     }).drop("__lo", "__hi")
 
 
-def cut_points(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Between neighbours the middle of the gap, never before an earlier cut."""
-    by = Window.partitionBy(key).orderBy(order)
-    mid = (F.col("end_s") + F.lead("start_s").over(by)) / 2
-    out = df.withColumn("__mid", F.coalesce(mid, F.col("end_s")))
-    return out.withColumn("cut_s", F.max("__mid").over(_upto([key], [order]))).drop("__mid")
+def cut_points(df: DataFrame, key: str, order: str, block: str | None = None) -> DataFrame:
+    """Between neighbours the middle of the gap, never before an earlier cut.  ``block``: see ``running``."""
+    out = nearby(df, [key], [order], F.col("start_s"), "after", "__next", block)
+    out = out.withColumn("__mid", F.coalesce((F.col("end_s") + F.col("__next")) / 2, F.col("end_s")))
+    return running(out, [key], [order], F.col("__mid"), "max", "cut_s", block).drop("__mid", "__next")
 
 
 def frame_cuts(df: DataFrame, key: str, order: str, fps: float, total: str) -> DataFrame:
@@ -247,15 +240,14 @@ def timed_units(words: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return rows.select(*keys, "unit_in_word", "unit", at(F.col("unit_in_word")).alias("unit_start_s"), at(F.col("unit_in_word") + 1).alias("unit_end_s"))
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Missing values on a line between their matched neighbours, beyond them the nearest; never falling."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str, block: str | None = None) -> DataFrame:
+    """Missing values on a line between their matched neighbours, beyond them the nearest; never falling.  ``block``: see ``running``."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    out = df.withColumn("__k", known).withColumn("__a", F.last("__k", ignorenulls=True).over(back)).withColumn("__b", F.first("__k", ignorenulls=True).over(ahead))
-    line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(order) - F.col("__a.o")) / F.greatest(F.lit(1), F.col("__b.o") - F.col("__a.o"))
-    out = out.withColumn("__x", F.coalesce(F.col(value), line, F.col("__a.v"), F.col("__b.v")))
-    return out.withColumn(f"{value}_filled", F.max("__x").over(back)).drop("__k", "__a", "__b", "__x")
+    out = running(df, keys, [order], known, "last", "__left", block)
+    out = nearby(out, keys, [order], known, "ahead", "__right", block)
+    line = F.col("__left.v") + (F.col("__right.v") - F.col("__left.v")) * (F.col(order) - F.col("__left.o")) / F.greatest(F.lit(1), F.col("__right.o") - F.col("__left.o"))
+    out = out.withColumn("__x", F.coalesce(F.col(value), line, F.col("__left.v"), F.col("__right.v")))
+    return running(out, keys, [order], F.col("__x"), "max", f"{value}_filled", block).drop("__left", "__right", "__x")
 
 
 # W19 - W22, W26, W27, W29
@@ -294,27 +286,15 @@ def merge_unspoken(df: DataFrame, keys: Sequence[str], order: str, text: str) ->
 def greedy_groups(sizes: Column, ends: Column, cap: int = 400, soft: float = 0.7) -> Column:
     """Places of segments in groups of at most ``cap`` characters, closed early after a sentence's end from ``soft`` of it on.
 
-    sizes: array<int>; ends: array<boolean>, whether a segment ends a sentence."""
-    kind = "array<array<int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<int>").alias("open"), F.lit(0).alias("size"), F.lit(0).alias("i"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (F.size(s["open"]) > 0) & (s["size"] + x["size"] > cap)
-        done = F.when(over, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        open_ = F.when(over, F.array(s["i"])).otherwise(F.concat(s["open"], F.array(s["i"])))
-        size = F.when(over, x["size"]).otherwise(s["size"] + x["size"])
-        shut = x["end"] & (size >= soft * cap)
-        return F.struct(F.when(shut, F.concat(done, F.array(open_))).otherwise(done).alias("done"), F.when(shut, F.array().cast("array<int>")).otherwise(open_).alias("open"), F.when(shut, F.lit(0)).otherwise(size).alias("size"), (s["i"] + 1).alias("i"))
-
-    last = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-    return F.aggregate(F.zip_with(sizes, ends, lambda a, b: F.struct(a.cast("int").alias("size"), b.alias("end"))), start, step, last)
+    sizes: array<int>; ends: array<boolean>, whether a segment ends a sentence.  One walk along each array."""
+    return arrow.greedy_groups(cap, soft)(sizes, ends)
 
 
-def consecutive_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """A number for each run of equal values."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    change = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(by)), F.lit(True)) | (F.row_number().over(by) == 1)
-    return df.withColumn("__c", change.cast("int")).withColumn("group", F.sum("__c").over(_upto(keys, order))).drop("__c")
+def consecutive_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: str | None = None) -> DataFrame:
+    """A number for each run of equal values.  ``block``: see ``running``."""
+    out = nearby(df, keys, order, F.struct(F.col(value).alias("x")), "before", "__before", block)
+    change = F.col("__before").isNull() | ~F.col(value).eqNullSafe(F.col("__before.x"))
+    return running(out, keys, order, change.cast("int"), "sum", "group", block).drop("__before")
 
 
 def proxy_times(n: Column, source_ms: Column) -> Column:

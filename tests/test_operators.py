@@ -1,6 +1,7 @@
 """Windows, joins, samples and summaries: plain recursions, literal cases, and independence of partitions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import arrow
 from rillstone.operators import aggregates as A, datasets as D, joins as J, sampling as S, scoring as C, windows as W
-from rillstone.operators.running import running
+from rillstone.operators.running import nearby, running
 from rillstone.plans import training_set as P
 
 
@@ -489,3 +490,53 @@ def test_percentiles_take_two_passes_and_are_exact(spark):
         for name, q in (("p05", 0.05), ("p50", 0.5), ("p99", 0.99)):
             assert inter[k][name] == pytest.approx(np.percentile(exact[k], 100 * q))
     assert A.nearest_rank(df.filter("v is null"), ["v"], ["k"]).count() == 0
+
+
+def test_blocks_of_long_sessions_change_nothing(spark):
+    """Neighbours, next values, cuts, interpolations, runs and packet lookups: with blocks (some of them empty of values) as without."""
+    rng = random.Random(11)
+    rows = [(f"s{k}", i, float(i) + rng.random(), float(i) + 1 + rng.random(), None if rng.random() < 0.7 else float(i) * 2 + rng.random(), rng.choice(["x", "y", None])) for k in range(3) for i in range(60) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "k string, i int, start_s double, end_s double, v double, w string").withColumn("b", F.floor(F.col("i") / 7)).repartition(4)
+    same = lambda f: sorted(map(repr, f(None).collect())) == sorted(map(repr, f("b").collect()))
+    for kind in ("before", "after", "ahead"):
+        assert same(lambda b, kind=kind: nearby(df, ["k"], ["i"], F.col("v"), kind, "out", b).select("k", "i", "out"))
+    assert same(lambda b: W.cut_points(df, "k", "i", b).select("k", "i", "cut_s"))
+    assert same(lambda b: W.interpolate(df, ["k"], "i", "v", b).select("k", "i", "v_filled"))
+    assert same(lambda b: W.consecutive_groups(df, ["k"], ["i"], "w", b).select("k", "i", "group"))
+    own = sorted(r for r in rows if r[0] == "s0")
+    filled = {r.i: r.v_filled for r in W.interpolate(df, ["k"], "i", "v", "b").filter("k = 's0'").collect()}
+    known = [(r[1], r[4]) for r in own if r[4] is not None]
+    assert filled == pytest.approx({r[1]: float(np.interp(r[1], [x for x, _ in known], [y for _, y in known])) for r in own})
+    packets = spark.createDataFrame([("r", j, float(10 * j + 10)) for j in range(20)] + [("q", 0, 5.0)], "run string, packet_index int, audio_end_ms double")
+    asked = spark.createDataFrame([("r", u, float(x)) for u, x in enumerate([0, 10, 11, 99, 100, 200, 201, 999])] + [("q", 0, 7.0)], "run string, unit int, position_ms double")
+    want = {("r", 0): 0, ("r", 1): 0, ("r", 2): 1, ("r", 3): 9, ("r", 4): 9, ("r", 5): 19, ("r", 6): 19, ("r", 7): 19, ("q", 0): 0}
+    for block in (None, lambda t: F.floor(t / 30)):
+        assert {(r.run, r.unit): r.packet_index for r in J.packet_at(packets, asked, "run", block).collect()} == want
+
+
+def test_folds_of_long_arrays_are_linear(spark):
+    rng = random.Random(12)
+    sizes, ends = [rng.randint(1, 90) for _ in range(40_000)], [rng.random() < 0.2 for _ in range(40_000)]
+    began = time.time()
+    groups = spark.createDataFrame([(sizes, ends)], "s array<int>, e array<boolean>").select(W.greedy_groups(F.col("s"), F.col("e"), 400).alias("g")).first().g
+    assert [i for g in groups for i in g] == list(range(40_000)) and all(sum(sizes[i] for i in g) <= 400 for g in groups)
+    wins = W.grouped_windows(spark.createDataFrame([([float(x) for x in np.cumsum(sizes)],)], "e array<double>"), "e", 500.0).first().windows
+    assert time.time() - began < 20
+    assert wins[0].lo == 0 and wins[-1].hi == sum(sizes) and all(a.hi == b.lo for a, b in zip(wins, wins[1:])) and max(w.hi - w.lo for w in wins) <= 500
+    whole = W.fixed_windows(spark.createDataFrame([(70.0,), (0.0,)], "d double"), "d", 0.0).collect()
+    assert [(r.window_index, r.window_start_s, r.window_end_s) for r in whole] == [(0, 0.0, 70.0)]
+
+
+def test_alignment_of_whole_talks():
+    """The automaton and the meetings of places find the same runs; a talk of 20,000 units with many repeats takes seconds."""
+    rng = random.Random(13)
+    for _ in range(300):
+        k = rng.choice([1, 2, 4])
+        a, b = ([rng.randrange(k) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        assert arrow._longest_by_suffixes(a, b, 0, len(a), 0, len(b)) == arrow._longest_by_places(a, b, 0, len(a), 0, len(b))
+    a = [min(rng.randrange(30), rng.randrange(30)) for _ in range(20_000)]
+    b = [x if rng.random() > 0.1 else rng.randrange(30) for x in a if rng.random() > 0.1]
+    began = time.time()
+    pairs = arrow.matching_blocks(a, b)
+    assert time.time() - began < 15 and len(pairs) > 12_000 and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
