@@ -10,6 +10,8 @@ run of ``size`` words of an item, or a shorter item as a whole.
    minus item position line up on one alignment (document, item, shift).  An alignment stays only where the lists of
    all looked-up words of some window meet on it.
 4. The texts of the documents that stay are compared with the item word by word along each alignment.
+5. For near matches the shifts may differ by ``slop``: documents in which two looked-up words of a window stand so are
+   compared with all words of each of the item's windows.
 
 Item tables are broadcast only up to ``BROADCAST_WORDS`` words; larger ones are joined by a shuffle and, in the passes
 over the corpus, cut into parts of that size which are passed one after the other.
@@ -145,21 +147,47 @@ def alignments(index: DataFrame, items: DataFrame, wins: DataFrame, small: bool)
     return met.filter(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("met"))) == 0)).select("doc", "item", "shift")
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, wins: DataFrame, slop: int, small: bool = True) -> DataFrame:
-    """doc, item, pos of windows whose looked-up words all stand in the document with shifts within ``slop`` of each other.
+def near_candidates(index: DataFrame, items: DataFrame, wins: DataFrame, slop: int, small: bool) -> DataFrame:
+    """doc, item where two looked-up words of a window stand within twice ``slop`` of their distance in the window; all words are compared afterwards.
 
-    Shifts are put into cells of that width; a match within ``slop`` lies in a cell or in it and the next."""
+    Shifts (document position minus item position) are put into cells of ``slop`` + 1; two within ``slop`` of each other lie in a cell or in it and the next.
+    Windows mostly share their looked-up words, so that the pairs of an item are taken once.  Rows are counted, never listed."""
     hint = F.broadcast if small else (lambda df: df)
     words = items.select("item", F.posexplode("words").alias("at", "term"))
-    wanted = wins.select("item", "pos", F.size("need").alias("k"), F.explode("need").alias("at")).join(words, ["item", "at"])
-    met = index.join(hint(wanted), "term").select("doc", "item", "pos", "k", "at", F.explode("positions").alias("p"))
-    met = met.withColumn("shift", F.col("p") - F.col("at"))
-    cell = F.floor(F.col("shift") / max(1, slop + 1))
+    pairs = wins.filter(F.size("need") == 2).select("item", F.col("need")[0].alias("a"), F.col("need")[1].alias("b")).distinct()
+    sides = pairs.select("item", "a", "b", F.explode(F.array("a", "b")).alias("at")).join(words, ["item", "at"])
+    met = index.join(hint(sides), "term").select("doc", "item", "a", "b", "at", F.explode("positions").alias("p"))
+    cell = F.floor((F.col("p") - F.col("at")) / (slop + 1))
     met = met.withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    near = met.groupBy("doc", "item", "pos", "k", "cell").agg(F.collect_set(F.struct("shift", "at")).alias("met"))
-    # for each shift as the lowest, the words met from it up to slop further
-    whole = F.exists("met", lambda lo: F.size(F.array_distinct(F.transform(F.filter("met", lambda x: (x["shift"] >= lo["shift"]) & (x["shift"] <= lo["shift"] + slop)), lambda x: x["at"]))) == F.col("k"))
-    return near.filter(whole).select("doc", "item", "pos").distinct()
+    both = met.groupBy("doc", "item", "a", "b", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi")
+    return both.select("doc", "item").distinct()
+
+
+def near_windows(doc: np.ndarray, item: np.ndarray, size: int, slop: int) -> list[tuple[int, int]]:
+    """(first word of the window in the item, least shift) of the windows whose words all stand in the document with shifts within ``slop`` of each other."""
+    size = min(size, len(item))
+    order = np.argsort(doc, kind="stable")
+    lo, hi = (np.searchsorted(doc[order], item, side=s) for s in ("left", "right"))
+    shifts = [np.sort(order[a:b]) - i for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
+    missing = np.concatenate(([0], np.cumsum(hi == lo)))
+    out = []
+    for pos in range(len(item) - size + 1):
+        if missing[pos + size] > missing[pos]:
+            continue
+        own = shifts[pos : pos + size]
+        # the least shift of a match is a shift of one of its words; the rarest words' neighbourhood is enough to try
+        few = min(own, key=len)
+        low = np.unique(np.concatenate([x[(np.searchsorted(few, x - slop) < np.searchsorted(few, x + slop, side="right"))] for x in own]))
+        for x in own:
+            if not len(low):
+                break
+            i = np.searchsorted(x, low)
+            there = i < len(x)
+            there[there] = x[i[there]] <= low[there] + slop
+            low = low[there]
+        if len(low):
+            out.append((pos, int(low[0])))
+    return out
 
 
 def _sha(ids: list[str]) -> str:
@@ -178,12 +206,17 @@ def _compare(doc: np.ndarray, item: np.ndarray, shift: int, size: int) -> list[t
 
 
 HITS = "array<struct<item:string,start:int,end:int>>"
+NEAR = "array<struct<item:string,pos:int,shift:int>>"
+#: how many words apart from its place in the window a word may stand, in a near match
+SLOP = 2
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", keep: bool = False) -> DataFrame:
+def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", keep: bool = False, slop: int | None = None) -> DataFrame:
     """doc, n_words, n_hit, spans array<struct<item string, start int, end int>>: hit words are those within spans.
 
-    With ``keep``, all columns of docs instead of doc, and the others as __n_words, __n_hit, __spans."""
+    With ``keep``, all columns of docs instead of doc, and the others as __n_words, __n_hit, __spans.  With ``slop``, near too, array<struct<item
+    string, pos int, shift int>>: the windows (first word in the item) all of whose words stand in the document, each shifted from its place in the window
+    by at least ``shift`` words and at most ``slop`` more.  Exact occurrences are among them."""
     spark: SparkSession = docs.sparkSession
     disk = Scratch(spark, "decontam")
     rows = docs.select(docs[doc_key].cast("long").alias("k"), docs[text].alias("t"))
@@ -218,12 +251,21 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
     per_doc = lined if small else lined.join(words, "item")
     fields = ["item", "shift"] if small else ["item", "shift", "words"]
     per_doc = per_doc.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("lined"))
+    if slop is not None:
+        close = disk.save(near_candidates(index, words, wins, slop, small), "near")
+        # every exact occurrence is a near one
+        close = close.unionByName(lined.select("doc", "item")).distinct()
+        close = close if small else close.join(words, "item")
+        close = close.groupBy("doc").agg(F.collect_list(F.struct(*[f for f in fields if f != "shift"])).alias("close"))
+        per_doc = per_doc.join(close, "doc", "full")
     sent = spark.sparkContext.broadcast({r.item: np.array(r.words, np.int64).view(np.uint64) for r in words.collect()} if small else {})
 
     kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def scan(column: pa.Array, found: pa.Array) -> list[pa.Array]:
-        n, hits, spans = [], [], []
+    near_kind = pa.list_(pa.struct([("item", pa.string()), ("pos", pa.int32()), ("shift", pa.int32())]))
+
+    def scan(column: pa.Array, found: pa.Array, close: pa.Array | None) -> list[pa.Array]:
+        n, hits, spans, near = [], [], [], []
         for lo, hi, data, offs in tb.groups(column):
             w = tb.words(data, offs, tb.ALNUM)
             bounds = w.bounds(hi - lo)
@@ -235,30 +277,34 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
                     for a, b in _compare(h, item, x["shift"], size):
                         mark[a:b] = True
                         own.append({"item": x["item"].rpartition(_JOINT)[0], "start": a, "end": b})
+                if close is not None:
+                    words_of = lambda x: np.array(x["words"], np.int64).view(np.uint64) if "words" in x else sent.value[x["item"]]
+                    near.append([{"item": x["item"].rpartition(_JOINT)[0], "pos": p, "shift": s} for x in close[lo + d].as_py() or [] for p, s in near_windows(h, words_of(x), size, slop)])
                 n.append(len(h))
                 hits.append(int(mark.sum()))
                 spans.append(own)
-        return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, kind)]
+        return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, kind), *([pa.array(near, near_kind)] if close is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *own, column, found = batch.columns
-            yield pa.RecordBatch.from_arrays([*own, *scan(column, found)], names)
+            *own, column, found = batch.columns[: len(batch.columns) - (slop is not None)]
+            yield pa.RecordBatch.from_arrays([*own, *scan(column, found, batch.columns[-1] if slop is not None else None)], names)
 
     own = docs.select("*") if keep else docs.select(docs[doc_key].cast("long").alias("doc"))
     given = docs.select(*([docs[c] for c in docs.columns] if keep else [docs[doc_key].cast("long").alias("doc")]), docs[doc_key].cast("long").alias("__k"), docs[text].alias("__t"))
     per_doc = per_doc.withColumnRenamed("doc", "__doc")
-    joined = given.join(per_doc, given["__k"].eqNullSafe(per_doc["__doc"]), "left").select(*own.columns, "__t", F.col("lined").alias("__lined"))
+    joined = given.join(per_doc, given["__k"].eqNullSafe(per_doc["__doc"]), "left").select(*own.columns, "__t", F.col("lined").alias("__lined"), *([F.col("close").alias("__close")] if slop is not None else []))
     mark = "__" if keep else ""
-    schema = T.StructType([*own.schema.fields, T.StructField(f"{mark}n_words", T.LongType()), T.StructField(f"{mark}n_hit", T.LongType()), T.StructField(f"{mark}spans", T._parse_datatype_string(HITS))])
+    schema = T.StructType([*own.schema.fields, T.StructField(f"{mark}n_words", T.LongType()), T.StructField(f"{mark}n_hit", T.LongType()), T.StructField(f"{mark}spans", T._parse_datatype_string(HITS)), *([T.StructField(f"{mark}near", T._parse_datatype_string(NEAR))] if slop is not None else [])])
     names = [f.name for f in schema]
     return joined.mapInArrow(run, schema)
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with near matches, n_near (items with one) too."""
     ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
+    near = [F.size(F.array_distinct(F.transform("near", lambda s: s["item"]))).cast("long").alias("n_near")] if "near" in found.columns else []
     return found.select(
         F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *near,
     )

@@ -67,7 +67,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontam.SLOP))
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +183,13 @@ ks AS (SELECT DISTINCT k FROM win),
 p AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, ks WHERE len(w) >= k),
 o AS (SELECT doc_id, p.k, i, item_id FROM p JOIN win ON p.k = win.k AND array_to_string(p.w[i:i + p.k - 1], ' ') = win.s),
 h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM o) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY doc_id),
+dw AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d), iw AS (SELECT item_id, i AS pos, k, unnest(range(0, k)) AS a, unnest(w[i:i + k - 1]) AS w FROM g),
+m AS (SELECT doc_id, item_id, pos, k, a, p - a AS s FROM dw JOIN iw USING (w)), full_ AS (SELECT doc_id, item_id, pos FROM m GROUP BY ALL HAVING count(DISTINCT a) = any_value(k)),
+q AS (SELECT doc_id, item_id, k, count(DISTINCT a) OVER (PARTITION BY doc_id, item_id, pos ORDER BY s RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c FROM m SEMI JOIN full_ USING (doc_id, item_id, pos)),
+y AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM q WHERE c = k GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN y USING (doc_id)""",
     "op12_repair": _repair_sql(),
     "op13_centroids": _lloyd_sql(),
 }

@@ -337,16 +337,46 @@ def test_decontamination_against_a_scan(spark, monkeypatch, most):
     assert decontam.report(decontam.find_benchmark(d, b.limit(0))).filter("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    disk = Scratch(spark, "t")
-    items = spark.createDataFrame([("i", "aa bb cc dd ee ff gg hh ii jj")], "item_id string, text string")
-    words = disk.save(decontam.item_words(items), "w")
-    docs = spark.createDataFrame([(1, "x jj aa y bb cc"), (2, "aa bb"), (3, "jj " + "z " * 50 + "aa bb cc dd")], "k long, t string")
-    terms = np.sort(np.array([r[0] for r in words.select(F.explode("words")).collect()], np.int64).view(np.uint64))
-    counts = decontam.term_counts(docs, terms).select("term", F.col("n").alias("n_corpus"))
-    wins = decontam.windows(words, counts.union(spark.createDataFrame([(int(t), 100) for t in terms.view(np.int64)], "term long, n long")).groupBy("term").agg(F.max("n_corpus").alias("n_corpus")), rarest=2)
-    near = decontam.proximity_matches(decontam.postings(docs, terms), words, wins, slop=3)
-    assert {r.doc for r in near.collect()} <= {1, 2, 3} and 2 in {r.doc for r in near.collect()}
+def near_plainly(doc, item, size, slop):
+    """Every window all of whose words stand in the document with shifts within the slop, and the least shift, by trying all of them."""
+    size, out = min(size, len(item)), []
+    for pos in range(len(item) - size + 1):
+        shifts = [[p - i for p, w in enumerate(doc) if w == item[i]] for i in range(pos, pos + size)]
+        low = [s for s in sorted({s for x in shifts for s in x}) if all(any(s <= t <= s + slop for t in x) for x in shifts)]
+        if low:
+            out.append((pos, low[0]))
+    return out
+
+
+@pytest.mark.parametrize("most", [2_000_000, 20])
+@pytest.mark.parametrize("slop", [0, 2])
+def test_near_matches_against_a_scan(spark, monkeypatch, most, slop):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", most)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
+    items = [[word() for _ in range(rng.randint(1, 9))] for _ in range(8)]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            part = list(rng.choice(items))
+            if rng.random() < 0.6 and len(part) > 2:
+                j = rng.randrange(len(part) - 1)
+                part[j], part[j + 1] = part[j + 1], part[j]
+            if rng.random() < 0.4:
+                part.insert(rng.randrange(len(part) + 1), word())
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        docs.append((i, " ".join(text)))
+    d = spark.createDataFrame([*docs, (90, None), (91, "")], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(70, None)], "item_id long, text string")
+    found = decontam.find_benchmark(d, b, size=5, slop=slop)
+    got = {r.doc: sorted((int(x.item), x.pos, x.shift) for x in r.near) for r in found.collect()}
+    want = {i: sorted((k, *x) for k, item in enumerate(items) for x in near_plainly(t.split(), item, 5, slop)) for i, t in docs} | {90: [], 91: []}
+    assert got == want and sum(map(len, want.values())) > 20
+    report = {r.doc_id: r.n_near for r in decontam.report(found).collect()}
+    assert report == {k: len({x[0] for x in v}) for k, v in want.items()}
+    assert all(r.n_items <= r.n_near for r in decontam.report(found).collect())
 
 
 @pytest.mark.parametrize("piece", ["<a", "<a b='", "<a b='\"", "<script", "<!", "</", "<", "<a 'b>", "<div>", "<article>x "])
