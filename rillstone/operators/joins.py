@@ -47,21 +47,36 @@ def parallel_text(source: DataFrame, english: DataFrame) -> DataFrame:
     return out.withColumn("english", F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
+def _own_level(lo: Column, hi: Column, cell_s: float) -> Column:
+    """The least level whose cells (``cell_s`` times two to the level) are as long as the interval."""
+    return F.greatest(F.lit(0), F.ceil(F.log2((hi - lo) / cell_s))).cast("int")
+
+
+def _cells(df: DataFrame, lo: Column, hi: Column, levels: Sequence[int], cell_s: float, side: str) -> DataFrame:
+    """Each interval in the two cells (or one) that it touches on its own level and on each coarser one of ``levels``."""
+    hi = F.greatest(lo, hi)
+    own = F.coalesce(_own_level(lo, hi, cell_s), F.lit(0))
+    on = lambda level, x: F.floor(x / (cell_s * F.pow(F.lit(2.0), level)))
+    rows = df.withColumn(f"__own_{side}", own).withColumn("__level", F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col(f"__own_{side}"))))
+    rows = rows.withColumn(f"__first_{side}", on(F.col("__level"), lo))
+    return rows.withColumn("__cell", F.explode(F.sequence(F.col(f"__first_{side}"), on(F.col("__level"), hi))))
+
+
 def window_intervals(windows: DataFrame, intervals: DataFrame, run: str, cell_s: float, midpoint: bool = True) -> DataFrame:
     """J8.  windows: run, window_index, lo, hi; intervals: run, pos, start_s, end_s, text.  Those whose middle lies in [lo, hi), or that overlap it.
 
-    Windows and intervals meet in cells of ``cell_s`` seconds, so that the join is on equal keys."""
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell_s), F.floor(F.greatest(lo, hi) / cell_s)))
-    w = windows.withColumn("__cell", cells(F.col("lo"), F.col("hi")))
-    mid = (F.col("start_s") + F.col("end_s")) / 2
-    i = intervals.withColumn("__mid", mid)
-    if midpoint:
-        i = i.withColumn("__cell", F.floor(F.col("__mid") / cell_s))
-        met = w.join(i, [run, "__cell"]).filter("__mid >= lo and __mid < hi")
-    else:
-        i = i.withColumn("__cell", cells(F.col("start_s"), F.col("end_s")))
-        first = F.floor(F.greatest("lo", "start_s") / cell_s)
-        met = w.join(i, [run, "__cell"]).filter("start_s < hi and end_s > lo").filter(F.col("__cell") == first)
+    Windows and intervals meet in cells, so that the join is on equal keys.  Cells have levels, each twice as wide as the one below: whatever its length, an
+    interval lies in two cells of its own level and of each coarser one that occurs, and a pair meets on the coarser of its two levels."""
+    lo, hi = (F.col("lo"), F.col("hi"))
+    at = (F.col("start_s") + F.col("end_s")) / 2
+    given = intervals.withColumn("__mid", at)
+    a, b = (F.col("__mid"), F.col("__mid")) if midpoint else (F.col("start_s"), F.col("end_s"))
+    level = lambda df, x, y: df.select(F.coalesce(_own_level(x, F.greatest(x, y), cell_s), F.lit(0)).alias("n")).distinct()
+    # levels are logarithms of lengths: some dozens at most
+    levels = sorted(r.n for r in level(windows, lo, hi).unionByName(level(given, a, b)).distinct().collect())
+    w, i = _cells(windows, lo, hi, levels, cell_s, "w"), _cells(given, a, b, levels, cell_s, "i")
+    met = w.join(i, [run, "__level", "__cell"]).filter("(__own_w = __level or __own_i = __level) and __cell = greatest(__first_w, __first_i)")
+    met = met.filter("__mid >= lo and __mid < hi" if midpoint else "start_s < hi and end_s > lo")
     return met.groupBy(run, "window_index").agg(
         F.count(F.lit(1)).alias("n_units"), F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),

@@ -540,3 +540,20 @@ def test_alignment_of_whole_talks():
     pairs = arrow.matching_blocks(a, b)
     assert time.time() - began < 15 and len(pairs) > 12_000 and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
 
+
+@pytest.mark.parametrize("midpoint", [True, False])
+def test_intervals_of_very_unlike_lengths_meet_in_few_cells(spark, midpoint):
+    rng = random.Random(14)
+    length = lambda: rng.choice([0.0, 0.3, 1.0, 7.0, 100.0, 5000.0])
+    wins = [(rng.choice("rs"), i, lo, lo + length()) for i in range(60) for lo in [rng.uniform(-20, 300)]]
+    ivs = [(rng.choice("rs"), i, lo, lo + length(), f"t{i}") for i in range(80) for lo in [rng.uniform(-20, 300)]] + [("r", 900, 0.0, 1e7, "long"), ("s", 901, 3.0, 2.0, "turned"), ("s", 902, None, 2.0, "open")]
+    w = spark.createDataFrame(wins, "run string, window_index int, lo double, hi double")
+    i = spark.createDataFrame(ivs, "run string, pos int, start_s double, end_s double, text string")
+    got = {(r.run, r.window_index): (r.n_units, r.text) for r in J.window_intervals(w, i, "run", 1.0, midpoint).collect()}
+    want = {}
+    for run, k, lo, hi in wins:
+        own = [(p, t) for q, p, a, b, t in ivs if q == run and a is not None and (lo <= (a + b) / 2 < hi if midpoint else a < hi and b > lo)]
+        if own:
+            want[run, k] = (len(own), " ".join(t for _, t in sorted(own)))
+    assert got == want
+
