@@ -83,6 +83,22 @@ def chat_records(df: DataFrame, system: str, prompt: Column, target: Column) ->
     return out.withColumn("record", F.to_json(F.struct(F.col("id"), F.col("messages"))))
 
 
+def json_double(x: Column) -> Column:
+    """A double as JSON writes it: plain from 0.0001 up to 10 ** 16, else with an exponent of two digits at least; the digits are Spark's."""
+    given = x.cast("string")
+    sign, body = F.when(given.startswith("-"), "-").otherwise(""), F.ltrim(given, F.lit("-"))
+    mantissa, e = F.substring_index(body, "E", 1), F.substring_index(body, "E", -1).cast("int")
+    digits = F.rtrim(F.replace(mantissa, F.lit(".")), F.lit("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0"))
+    rest = F.substring(digits, e + 2, F.length(digits))
+    large = F.concat(whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    power = F.concat(F.rtrim(F.rtrim(mantissa, F.lit("0")), F.lit(".")), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    plain = F.when((e < 0) & (e >= -4), small).when((e >= 0) & (e < 16), large).otherwise(power)
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+    return F.coalesce(special, F.when(F.contains(body, F.lit("E")), F.concat(sign, plain)).otherwise(given))
+
+
 def _json_value(df: DataFrame, name: str) -> Column:
     """A column as JSON with a space behind commas; null where it is null or isn't there, except lists, which are empty then."""
     text = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
@@ -92,7 +108,7 @@ def _json_value(df: DataFrame, name: str) -> Column:
         return F.concat(F.lit("["), F.array_join(F.transform(items, text), ", "), F.lit("]"))
     if not kind:
         return F.lit("null")
-    return F.coalesce(text(F.col(name)) if kind == "string" else F.col(name).cast("string"), F.lit("null"))
+    return F.coalesce(text(F.col(name)) if kind == "string" else json_double(F.col(name)) if kind in ("double", "float") else F.col(name).cast("string"), F.lit("null"))
 
 
 def compression_prompt(df: DataFrame, reference: bool = False) -> Column:

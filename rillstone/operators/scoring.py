@@ -202,7 +202,8 @@ def document_bleu(refs: DataFrame, hyps: DataFrame, kind: str = "char") -> DataF
 def content_recall(refs: DataFrame, hyps: DataFrame, size: int = 4) -> DataFrame:
     """M24.  Share of each reference sentence's distinct character n-grams that occur anywhere in the document's transcript."""
     chars = lambda x: T.without_spaces(F.lower(x))
-    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substr(x, i, F.lit(size))))
+    # a group within a lookahead gives the run at every place in one pass over the text
+    grams = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     need = refs.select("doc", "seg", chars(F.col("text")).alias("x")).filter(F.length("x") >= size).select("doc", "seg", F.explode(grams(F.col("x"))).alias("g"))
     have = hyps.select("doc", chars(F.col("text")).alias("x")).filter(F.length("x") >= size).select("doc", F.explode(grams(F.col("x"))).alias("g")).distinct().withColumn("hit", F.lit(1))
     return need.join(have, ["doc", "g"], "left").groupBy("doc", "seg").agg(F.bround(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))

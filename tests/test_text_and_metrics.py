@@ -1,5 +1,6 @@
 """Text functions and scores: literal cases, and plain code for the sequential ones."""
 
+import json
 import random
 import re
 import time
@@ -259,3 +260,15 @@ def test_long_sequences_take_linear_steps():
     began = time.time()
     series = arrow.ordered_match.func(pd.Series([range(16_000), None]), pd.Series([range(0, 16_000, 3), a]))
     assert series.tolist() == [16_000, 0] and time.time() - began < 1
+
+
+def test_doubles_as_json_writes_them(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 1.0, 0.1, 0.00001, 0.0001, 0.00012345, 1e-7, 123456789.0, 12345678.9, 1e15, 1.5e15, 1e16, 1.25e22, 1e100, 5e-300, 1234567890123456.0, 0.5, -2.5e-6, -3e7, float("nan"), float("inf"), float("-inf")]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 20) for _ in range(200)]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1).select("i", R.json_double(F.col("v")).alias("x")).orderBy("i").collect()]
+    want = [json.dumps(v) for v in values]
+    # older Java virtual machines don't always find the shortest digits
+    assert all(a == b or (float(a) == float(b) and ("e" in a) == ("e" in b)) for a, b in zip(got, want))
+    assert sum(a == b for a, b in zip(got, want)) > 0.9 * len(want) and got[3:10] == want[3:10]
+
