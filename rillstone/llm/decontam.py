@@ -39,6 +39,8 @@ SIZE = 10
 RAREST = 2
 #: words of all items together that are sent to every executor at once
 BROADCAST_WORDS = 2_000_000
+#: alignments and near candidates (an item's name and a number each) that are sent to every executor at most
+BROADCAST_FOUND = 1_000_000
 _JOINT = "\0"
 
 
@@ -293,6 +295,11 @@ def find_benchmark(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest:
     own = docs.select("*") if keep else docs.select(docs[doc_key].cast("long").alias("doc"))
     given = docs.select(*([docs[c] for c in docs.columns] if keep else [docs[doc_key].cast("long").alias("doc")]), docs[doc_key].cast("long").alias("__k"), docs[text].alias("__t"))
     per_doc = per_doc.withColumnRenamed("doc", "__doc")
+    if slop is not None:
+        # what was found is far smaller than the texts, which stay where they are as long as it can be sent to all of them
+        per_doc = disk.save(per_doc, "found")
+        entries = per_doc.agg(F.coalesce(F.sum(F.size(F.coalesce("lined", F.array())) + F.size(F.coalesce("close", F.array()))), F.lit(0))).first()[0]
+        per_doc = F.broadcast(per_doc) if small and entries <= BROADCAST_FOUND else per_doc
     joined = given.join(per_doc, given["__k"].eqNullSafe(per_doc["__doc"]), "left").select(*own.columns, "__t", F.col("lined").alias("__lined"), *([F.col("close").alias("__close")] if slop is not None else []))
     mark = "__" if keep else ""
     schema = T.StructType([*own.schema.fields, T.StructField(f"{mark}n_words", T.LongType()), T.StructField(f"{mark}n_hit", T.LongType()), T.StructField(f"{mark}spans", T._parse_datatype_string(HITS)), *([T.StructField(f"{mark}near", T._parse_datatype_string(NEAR))] if slop is not None else [])])
