@@ -129,11 +129,11 @@ def split_sentences(x: Column, lang: Column, long_text: int = 800, units: int =
     text = collapse(x)
     cjk = is_cjk(lang, ("zh", "ja"))
     pieces = F.when(cjk, F.split(text, r"(?<=[。！？!?])\s*")).otherwise(F.split(text, r"(?<=[.!?])\s+"))
-    pieces = F.filter(F.transform(pieces, F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
     words = F.split(text, " ")
     n = F.ceil(F.size(words) / units).cast("int")
     by_words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * units + 1, F.lit(units)), " "))
-    by_chars = F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"((?:.{{{units - 1}}}\s*\S)|.+)"), F.lit(1)), F.trim), lambda p: p != "")
+    by_chars = F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"((?:.{{{units - 1}}}\s*\S)|.+)"), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
     cut = F.when(~cjk & (F.size(words) > 1), by_words).otherwise(by_chars)
     return F.when(text == "", F.array().cast("array<string>")).when((F.size(pieces) <= 1) & (F.length(text) > long_text), cut).otherwise(pieces)
 
