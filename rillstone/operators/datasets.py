@@ -54,13 +54,20 @@ def long_sessions(df: DataFrame, stream: str, order: str, turns: str, seed: int,
         begins, _ = _session_walk(pdf["__n"].to_numpy(), pdf["__want"].to_numpy(), int(pdf["__left"].iloc[0]))
         return pdf[[stream, order, turns, "__blk", "__n"]].assign(__begins=begins)
 
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What each block is entered with, in one walk along a stream's blocks."""
+        pdf, left, at = pdf.sort_values("__blk", kind="stable", na_position="first"), [], 0
+        for out in pdf["out"]:
+            left.append(at)
+            at = int(out[at])
+        return pd.DataFrame({"__s": pdf[stream], "__eb": pdf["__blk"], "__left": left})
+
     b_kind = rows.schema["__blk"].dataType.simpleString()
     if block:
         # one short row for each block of a stream
         each = rows.groupBy(stream, "__blk").applyInPandas(ways, f"`{stream}` {kinds[stream]}, `__blk` {b_kind}, `out` array<int>")
-        upto = Window.partitionBy(stream).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-        left = F.aggregate(F.coalesce(F.collect_list("out").over(upto), F.array().cast("array<array<int>>")), F.lit(0), lambda s, o: F.get(o, s))
-        entered = rows.join(each.select(F.col(stream).alias("__s"), F.col("__blk").alias("__eb"), left.alias("__left")), F.col(stream).eqNullSafe(F.col("__s")) & F.col("__blk").eqNullSafe(F.col("__eb"))).drop("__s", "__eb")
+        links = each.groupBy(stream).applyInPandas(link, f"`__s` {kinds[stream]}, `__eb` {b_kind}, `__left` int")
+        entered = rows.join(links, F.col(stream).eqNullSafe(F.col("__s")) & F.col("__blk").eqNullSafe(F.col("__eb"))).drop("__s", "__eb")
     else:
         entered = rows.withColumn("__left", F.lit(0))
     marked = entered.groupBy(stream, "__blk").applyInPandas(walk, f"`{stream}` {kinds[stream]}, `{order}` {kinds[order]}, `{turns}` {kinds[turns]}, `__blk` {b_kind}, `__n` int, `__begins` boolean")
