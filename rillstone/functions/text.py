@@ -174,23 +174,40 @@ def text_ticks(x: Column, duration_s: Column, chunk_s: float) -> Column:
     ceil(duration / chunk) ticks with rounded edges, one at least in each while there are any; empty without tokens."""
     tokens = F.regexp_extract_all(_text(x), F.lit(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?|\S"), F.lit(0))
 
-    def ticks(s: Column) -> Column:
-        tokens, count = s["tokens"], s["count"]
-        n = F.size(tokens)
-        edge = lambda i: F.bround(n * i / count, 0).cast("int")
+    def edge(s: Column, i: Column) -> Column:
+        return F.bround(F.size(s["tokens"]) * i / s["count"], 0).cast("int")
+
+    def parts(s: Column) -> Column:
+        # what lies between two edges; each token is looked at once
+        spaced = F.transform(s["tokens"], lambda t: F.when(F.rlike(t, F.lit("^[A-Za-z0-9]")), F.concat(F.lit(" "), t)).otherwise(t))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens")], spaced.alias("spaced"))
+
+    def cut(s: Column) -> Column:
+        between = F.transform(F.sequence(F.lit(0), s["count"] - 1), lambda i: F.array_join(F.slice(s["spaced"], edge(s, i) + 1, edge(s, i + 1) - edge(s, i)), ""))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "spaced")], between.alias("between"))
 
+    def upto(s: Column) -> Column:
+        # how many characters lie before each edge
+        ends = F.aggregate(s["between"], F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "spaced")], ends.alias("ends"), F.array_join(s["between"], "").alias("whole"))
+
+    def ticks(s: Column) -> Column:
         def one(i: Column) -> Column:
-            end = F.greatest(edge(i + 1), F.least(n, edge(i) + 1))
+            lo = F.get(s["ends"], i)
+            # between equal edges the next token is said, if there is one
+            more = F.when(edge(s, i + 1) <= edge(s, i), F.coalesce(F.length(F.get(s["spaced"], edge(s, i))), F.lit(0))).otherwise(0)
+            hi = F.get(s["ends"], i + 1) + more
             return F.struct(
                 i.cast("int").alias("tick"), F.bround(i * chunk_s, 6).alias("start_s"), F.bround(F.least(s["duration"], (i + 1) * chunk_s), 6).alias("end_s"),
-                join_tokens(F.slice(tokens, edge(i) + 1, end - edge(i))).alias("chunk"), join_tokens(F.slice(tokens, F.lit(1), end)).alias("prefix"),
+                F.ltrim(F.substring(s["whole"], lo + 1, hi - lo)).alias("chunk"), F.ltrim(F.substring(s["whole"], F.lit(1), hi)).alias("prefix"),
             )
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), one))
+        return F.transform(F.sequence(F.lit(0), s["count"] - 1), one)
 
-    # bound once, so that the text is cut once
-    given = F.struct(tokens.alias("tokens"), F.greatest(F.lit(1), F.ceil(duration_s / chunk_s).cast("int")).alias("count"), duration_s.alias("duration"))
-    return F.element_at(F.transform(F.array(given), ticks), 1)
+    # each step is bound once, so that the text is cut once
+    given = F.array(F.struct(tokens.alias("tokens"), F.greatest(F.lit(1), F.ceil(duration_s / chunk_s).cast("int")).alias("count"), duration_s.alias("duration")))
+    some = F.filter(given, lambda s: F.size(s["tokens"]) > 0)
+    return F.get(F.transform(F.transform(F.transform(F.transform(some, parts), cut), upto), ticks), 0)
 
 
 # T14
