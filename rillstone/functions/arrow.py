@@ -77,9 +77,19 @@ def bag_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"overlap": pd.array(overlap, "int32"), "held": pd.array(held, "int32")})
 
 
+#: no token holds it, as all tokenisers cut at white space
+TOKEN_END = "\n"
+
+
+def _tokens(x: str | None) -> list[str]:
+    return x.split(TOKEN_END) if x else []
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in ("matched", "hyp", "ref")]])))
 def ngram_overlap(hyp: pd.Series, ref: pd.Series, order: pd.Series) -> pd.Series:
-    """M8: n-grams of both sides and how many match, each at most as often as the reference has it, by length up to the order."""
+    """M8: n-grams of both sides and how many match, each at most as often as the reference has it, by length up to the order.
+
+    Both sides are tokens joined by ``TOKEN_END``, so that a batch holds texts, and lists of tokens only of the row at hand."""
 
     def count(h: list, r: list, most: int) -> list[tuple[int, int, int, int]]:
         out = []
@@ -88,7 +98,7 @@ def ngram_overlap(hyp: pd.Series, ref: pd.Series, order: pd.Series) -> pd.Series
             out.append({"n": n, "matched": sum(min(k, b[g]) for g, k in a.items() if g in b), "hyp": max(0, len(h) - n + 1), "ref": max(0, len(r) - n + 1)})
         return out
 
-    return pd.Series([count(_listed(h), _listed(r), int(n)) for h, r, n in zip(hyp, ref, order, strict=True)])
+    return pd.Series([count(_tokens(h), _tokens(r), int(n)) for h, r, n in zip(hyp, ref, order, strict=True)])
 
 
 @F.pandas_udf(T.IntegerType())

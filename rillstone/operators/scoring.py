@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..functions.arrow import edit_distance, ngram_overlap
+from ..functions.arrow import TOKEN_END, edit_distance, ngram_overlap
 
 
 def heuristic_scores(df: DataFrame) -> DataFrame:
@@ -108,7 +108,8 @@ def bleu_tokens(x: Column, kind: str) -> Column:
 
 def _clipped(df: DataFrame, keys: list[str], order: int) -> DataFrame:
     """Per group and order: matched, hypothesis and reference n-grams.  Clipping is a row's own, so that only four counts of each row leave it."""
-    rows = df.select(*keys, F.explode(ngram_overlap("h", "r", F.lit(order))).alias("c")).select(*keys, "c.*")
+    joined = lambda c: F.array_join(c, TOKEN_END)
+    rows = df.select(*keys, F.explode(ngram_overlap(joined("h"), joined("r"), F.lit(order))).alias("c")).select(*keys, "c.*")
     return rows.groupBy(*keys, "n").agg(F.sum("matched").alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref")).filter("hyp > 0 or ref > 0")
 
 
