@@ -120,15 +120,25 @@ def hidden_layer(net: Net, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty((n, net.embed.shape[1]), np.float32)
     out[:] = net.bias
     for j, step in enumerate(AROUND):
-        out += net.place[j] * given[SIDE + step : SIDE + step + n]
+        out += given[SIDE + step : SIDE + step + n] @ np.diag(net.place[j])
     return np.tanh(out, out=out), given
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
-    x *= (1 / x.sum(1))[:, None]
-    return x
+def _far(weights: np.ndarray) -> bool:
+    """Whether logits beyond 60 can come of these weights; the hidden layer lies within 1."""
+    return not (np.abs(weights[..., :-1, :]).sum(-2) + weights[..., -1, :]).max() <= 60
+
+
+def _logits(one: np.ndarray, weights: np.ndarray, far: bool) -> np.ndarray:
+    """At most 60; they are only looked through where they can come so far."""
+    x = one @ weights
+    return np.minimum(x, 60, out=x) if far else x
+
+
+def _powers(logits: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, in their place, and its sum of each row."""
+    np.exp(logits, out=logits)
+    return logits, logits @ ones[: logits.shape[1]]
 
 
 def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
@@ -156,15 +166,15 @@ def log_probabilities(net: Net, text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(id | window) of the ids at these places of a stream."""
     order, group, inner = _grouped(net, text[at].astype(np.int64))
     hidden, row = _with_one(hidden_layer(net, text)[0][at[order] - SIDE]), np.arange(len(at))
+    ones, far = np.ones(max(net.to_word.shape), np.float32), (_far(net.to_class), _far(net.to_word))
 
     def chance(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-        np.minimum(logits, 60, out=logits)
         picked = logits[row[: len(own)], own].astype(np.float64)
-        return picked - np.log(np.exp(logits, out=logits).sum(1))
+        return picked - np.log(_powers(logits, ones)[1])
 
-    found = np.concatenate([chance(hidden[lo : lo + ROWS] @ net.to_class, group[lo : lo + ROWS]) for lo in range(0, len(at), ROWS)])
+    found = np.concatenate([chance(_logits(hidden[lo : lo + ROWS], net.to_class, far[0]), group[lo : lo + ROWS]) for lo in range(0, len(at), ROWS)])
     for c, lo, hi in _by_class(group, len(net.to_word)):
-        found[lo:hi] += chance(hidden[lo:hi] @ net.to_word[c], inner[lo:hi])
+        found[lo:hi] += chance(_logits(hidden[lo:hi], net.to_word[c], far[1]), inner[lo:hi])
     out = np.empty(len(at))
     out[order] = found
     return out
@@ -191,21 +201,24 @@ class Learner:
         at = at[order]
         hidden, row = every[at - SIDE], np.arange(len(at))
         one, chance, back = _with_one(hidden), np.empty(len(at), np.float32), np.empty_like(hidden)
+        ones, far = np.ones(max(net.to_word.shape), np.float32), (_far(net.to_class), _far(net.to_word))
         grads = {"to_class": np.zeros_like(net.to_class), "to_word": {}}
 
-        def output(weights: np.ndarray, lo: int, hi: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def output(weights: np.ndarray, lo: int, hi: int, own: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """(chances, gradient of the hidden layer, gradient of the weights) of one softmax over some rows."""
-            p, its = _softmax(one[lo:hi] @ weights), (row[: hi - lo], own)
-            got = p[its]
-            p[its] -= 1
-            return got, p @ weights[:-1].T, one[lo:hi].T @ p
+            # the rows' sums divide the narrow factors, not the wide one
+            (p, total), its = _powers(_logits(one[lo:hi], weights, far), ones), (row[: hi - lo], own)
+            share = (1 / total)[:, None]
+            got = p[its] / total
+            p[its] -= total
+            return got, (p @ weights[:-1].T) * share, (one[lo:hi] * share).T @ p
 
         for lo in range(0, len(at), ROWS):
             hi = min(len(at), lo + ROWS)
-            chance[lo:hi], back[lo:hi], to_class = output(net.to_class, lo, hi, group[lo:hi])
+            chance[lo:hi], back[lo:hi], to_class = output(net.to_class, lo, hi, group[lo:hi], far[0])
             grads["to_class"] += to_class
         for c, lo, hi in _by_class(group, len(net.to_word)):
-            got, to_hidden, grads["to_word"][c] = output(net.to_word[c], lo, hi, inner[lo:hi])
+            got, to_hidden, grads["to_word"][c] = output(net.to_word[c], lo, hi, inner[lo:hi], far[1])
             chance[lo:hi] *= got
             back[lo:hi] += to_hidden
         back *= 1 - hidden * hidden
@@ -214,7 +227,7 @@ class Learner:
         wide[at + SIDE] = back
         to_embed, to_place = np.zeros((n + 2 * SIDE, hidden.shape[1]), np.float32), np.empty_like(net.place)
         for j, step in enumerate(AROUND):
-            to_embed += net.place[j] * wide[SIDE - step : SIDE - step + n + 2 * SIDE]
+            to_embed += wide[SIDE - step : SIDE - step + n + 2 * SIDE] @ np.diag(net.place[j])
             to_place[j] = np.einsum("ij,ij->j", wide[2 * SIDE : 2 * SIDE + n], given[SIDE + step : SIDE + step + n])
         grads["place"], grads["bias"] = to_place, back.sum(0)
         order = np.argsort(text, kind="stable")

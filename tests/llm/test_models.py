@@ -351,3 +351,22 @@ def test_balanced_parts():
     x = np.random.default_rng(5).normal(size=(600, 8))
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6)
     assert np.bincount(part, minlength=6).max() <= np.ceil(ann.SLACK * 100) and (part >= 0).all()
+
+
+def test_logits_are_held_back_where_they_come_far():
+    """op9: only weights that can give logits beyond 60 have them looked through; sums divide the narrow factors, the result is the softmax's."""
+    rng = np.random.default_rng(5)
+    text = np.array([64, 64, *rng.integers(0, 64, 40), 64, 64])
+    at = np.arange(2, 42)
+    for size in (1.0, 500.0):
+        net = lm.start(np.arange(64, 0, -1))
+        net.to_word[:, :-1] *= size
+        assert lm._far(net.to_word) == (size > 1)
+        hidden = lm._with_one(lm.hidden_layer(net, text)[0]).astype(float)
+        x = np.minimum(hidden @ net.to_word[0].astype(float), 60)
+        p = np.exp(x) / np.exp(x).sum(1)[:, None]
+        own = p[np.arange(40), text[at]]
+        assert np.allclose(lm.log_probabilities(net, text, at), np.log(own), atol=1e-3)
+        loss, grads = lm.Learner(net).gradients(text, at)
+        p[np.arange(40), text[at]] -= 1
+        assert np.isclose(loss, -np.log(own).sum(), rtol=1e-3) and np.allclose(grads["to_word"][0], hidden.T @ p, atol=1e-2)
