@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: fixed values: labels of silence, and tiers by preference
 SILENCES = ("", "sil", "sp", "spn", "<eps>", "<sil>", "silence")
 WORD_TIERS = ("words", "word", "utterances")
+#: stands behind each file of a shard
+SEPARATOR = "\x1e"
 
 
 def read_records(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, strict: bool = True, limit: int | None = None) -> DataFrame:
@@ -126,21 +128,38 @@ def interval_rows(text: str) -> list[tuple[str, int, float, float, str]]:
     return out
 
 
-def read_intervals(spark: SparkSession, path: str | Sequence[str], doc: str = r"([^/]+?)(?:\.[^./]+)?$") -> DataFrame:
-    """IO13: doc_id, tier, pos, start_s, end_s, text of all interval files; ``doc`` finds the id in a file's path, by default its name."""
+def _intervals(files: DataFrame) -> DataFrame:
+    """files: file, value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, *r) for p, t in zip(batch["file"], batch["value"], strict=True) for r in interval_rows(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "tier", "pos", "start_s", "end_s", "text"])
 
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", doc, 1).alias("file"), "value")
     return files.mapInPandas(run, "doc_id string, tier string, pos int, start_s double, end_s double, text string")
 
 
+def read_intervals(spark: SparkSession, path: str | Sequence[str], doc: str = r"([^/]+?)(?:\.[^./]+)?$") -> DataFrame:
+    """IO13: doc_id, tier, pos, start_s, end_s, text of all interval files; ``doc`` finds the id in a file's path, by default its name."""
+    return _intervals(spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", doc, 1).alias("file"), "value"))
+
+
+def write_shards(files: DataFrame, path: str) -> None:
+    """IO13: many small files (file, value) in few: their texts one after another, each below a line with its name, with a record separator behind."""
+    whole = F.concat("file", F.lit("\n"), "value")
+    files.select(F.replace(F.replace(whole, F.lit("\x1b"), F.lit("\x1b0")), F.lit(SEPARATOR), F.lit("\x1b1"))).write.option("lineSep", SEPARATOR).text(path)
+
+
+def read_interval_shards(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """IO13: as read_intervals, of interval files in shards."""
+    cut = F.split(F.replace(F.replace("value", F.lit("\x1b1"), F.lit(SEPARATOR)), F.lit("\x1b0"), F.lit("\x1b")), "\n", 2)
+    return _intervals(spark.read.text(path, lineSep=SEPARATOR).select(cut[0].alias("file"), F.coalesce(F.get(cut, 1), F.lit("")).alias("value")))
+
+
 def spoken_intervals(intervals: DataFrame, doc: str = "doc_id") -> DataFrame:
     """IO13: the intervals of each document's preferred tier that aren't silence and have a length."""
     low = F.lower("tier")
     rank = F.coalesce(*[F.when(low == t, F.lit(i)) for i, t in enumerate(WORD_TIERS)], F.when(low.contains("word"), F.lit(50)), F.lit(99))
-    tiers = intervals.groupBy(doc, "tier").agg(F.min("pos").alias("__p")).withColumn("__r", F.row_number().over(Window.partitionBy(doc).orderBy(rank, "tier"))).filter("__r = 1").select(doc, "tier")
-    return intervals.join(tiers, [doc, "tier"]).filter(~F.lower(F.trim("text")).isin(*SILENCES) & (F.col("end_s") > F.col("start_s")))
+    # the files are read once
+    best = intervals.withColumn("__best", F.min(F.struct(rank.alias("r"), "tier")).over(Window.partitionBy(doc))["tier"])
+    return best.filter(F.col("tier") == F.col("__best")).drop("__best").filter(~F.lower(F.trim("text")).isin(*SILENCES) & (F.col("end_s") > F.col("start_s")))
