@@ -177,29 +177,29 @@ def text_ticks(x: Column, duration_s: Column, chunk_s: float) -> Column:
     def edge(s: Column, i: Column) -> Column:
         return F.bround(F.size(s["tokens"]) * i / s["count"], 0).cast("int")
 
-    def parts(s: Column) -> Column:
-        # what lies between two edges; each token is looked at once
-        spaced = F.transform(s["tokens"], lambda t: F.when(F.rlike(t, F.lit("^[A-Za-z0-9]")), F.concat(F.lit(" "), t)).otherwise(t))
-        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens")], spaced.alias("spaced"))
+    def said(tokens: Column) -> Column:
+        # as join_tokens, by the whole text: no token holds the end of a line
+        lines = F.concat(F.lit("\n"), F.array_join(tokens, "\n"))
+        return F.replace(F.regexp_replace(lines, r"\n(?=[A-Za-z0-9])", " "), F.lit("\n"), F.lit(""))
 
     def cut(s: Column) -> Column:
-        between = F.transform(F.sequence(F.lit(0), s["count"] - 1), lambda i: F.array_join(F.slice(s["spaced"], edge(s, i) + 1, edge(s, i + 1) - edge(s, i)), ""))
-        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "spaced")], between.alias("between"))
+        # what lies between two edges
+        between = F.transform(F.sequence(F.lit(0), s["count"] - 1), lambda i: said(F.slice(s["tokens"], edge(s, i) + 1, edge(s, i + 1) - edge(s, i))))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens")], between.alias("between"))
 
     def upto(s: Column) -> Column:
-        # how many characters lie before each edge
-        ends = F.aggregate(s["between"], F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
-        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "spaced")], ends.alias("ends"), F.array_join(s["between"], "").alias("whole"))
+        # how many characters lie before each edge, behind the space before the first word
+        whole = F.array_join(s["between"], "")
+        ends = F.aggregate(s["between"], F.array(F.when(F.startswith(whole, F.lit(" ")), -1).otherwise(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "between")], ends.alias("ends"), F.ltrim(whole).alias("whole"))
 
     def ticks(s: Column) -> Column:
         def one(i: Column) -> Column:
-            lo = F.get(s["ends"], i)
             # between equal edges the next token is said, if there is one
-            more = F.when(edge(s, i + 1) <= edge(s, i), F.coalesce(F.length(F.get(s["spaced"], edge(s, i))), F.lit(0))).otherwise(0)
-            hi = F.get(s["ends"], i + 1) + more
+            more = F.when(edge(s, i + 1) <= edge(s, i), said(F.slice(s["tokens"], edge(s, i) + 1, F.lit(1)))).otherwise("")
             return F.struct(
                 i.cast("int").alias("tick"), F.bround(i * chunk_s, 6).alias("start_s"), F.bround(F.least(s["duration"], (i + 1) * chunk_s), 6).alias("end_s"),
-                F.ltrim(F.substring(s["whole"], lo + 1, hi - lo)).alias("chunk"), F.ltrim(F.substring(s["whole"], F.lit(1), hi)).alias("prefix"),
+                F.ltrim(F.concat(F.get(s["between"], i), more)).alias("chunk"), F.substring(s["whole"], F.lit(1), F.get(s["ends"], i + 1) + F.length(more)).alias("prefix"),
             )
 
         return F.transform(F.sequence(F.lit(0), s["count"] - 1), one)
@@ -207,7 +207,7 @@ def text_ticks(x: Column, duration_s: Column, chunk_s: float) -> Column:
     # each step is bound once, so that the text is cut once
     given = F.array(F.struct(tokens.alias("tokens"), F.greatest(F.lit(1), F.ceil(duration_s / chunk_s).cast("int")).alias("count"), duration_s.alias("duration")))
     some = F.filter(given, lambda s: F.size(s["tokens"]) > 0)
-    return F.get(F.transform(F.transform(F.transform(F.transform(some, parts), cut), upto), ticks), 0)
+    return F.get(F.transform(F.transform(F.transform(some, cut), upto), ticks), 0)
 
 
 # T14
