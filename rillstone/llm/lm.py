@@ -40,8 +40,8 @@ ROUNDS, RATE = 2, 0.15
 FIRST, BATCH, STEPS, AT_ONCE = 256, 16_384, 16, 16_384
 #: places in a row that go to the same round, and rows of a softmax at a time, so that they stay in the cache
 RUN, ROWS = 64, 2048
-#: distinct words that a task of the count holds, and weights in a row of a round's result
-HELD, PART = 1 << 20, 4096
+#: distinct words that a task of the count holds, weights in a row of a round's result, and bytes of texts that become ids, or of ids, at a time
+HELD, PART, IDS_AT_ONCE = 1 << 20, 4096, 1 << 18
 
 
 class Net(NamedTuple):
@@ -313,17 +313,47 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(known, rank[: len(known)], rank[len(known) :], distinct[by_rank], both[by_rank])
 
 
+def _kind(vocab: Vocabulary) -> type:
+    """Numbers that hold every id."""
+    return np.uint16 if len(vocab.counts) <= 1 << 16 else np.int32
+
+
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """docs: k, s, t.  k, s and the ids of the text's words in order, as bytes; none for a null.  Texts are cut into words here once, not in each round."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(vocab), _kind(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = sent.value
+        for batch in batches:
+            ids, ends = [], [np.zeros(1, np.int64)]
+            for lo, hi, data, offs in tb.groups(batch.column(2), IDS_AT_ONCE):
+                code, doc = _words(data, offs)
+                ids.append(vocab.ids(code).astype(kind))
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(doc, minlength=hi - lo)))
+            coded, offs = np.concatenate(ids) if ids else np.empty(0, kind), np.concatenate(ends) * kind().itemsize
+            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(coded)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["k", "s", "ids"])
+
+    return docs.select("k", "s", "t").mapInArrow(run, "k long, s long, ids binary")
+
+
+def _coded(column: pa.Array, kind: type) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, ids, how many each row has) of groups of whole rows."""
+    for lo, hi, data, offs in tb.groups(column, IDS_AT_ONCE):
+        yield lo, hi, data.view(kind), np.diff(offs) // kind().itemsize
+
+
 def round_of(nth: np.ndarray, salt: np.ndarray, rounds: int) -> np.ndarray:
     """The round that learns each place, from its number in the document and the hash of the document's key."""
     return (tb.mix(tb.mix(salt) + (nth // RUN).astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
 
 
-def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, rounds: int) -> Net:
+def one_round(coded: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, rounds: int) -> Net:
     """The average of the weights that all partitions learn from ``net``, weighted by the words learnt."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    sent, kind = coded.sparkSession.sparkContext.broadcast(net), _kind(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = sent.value
+        net = sent.value
         learner, kept, have = Learner(net), [], 0
         step = FIRST
 
@@ -342,14 +372,12 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
 
         for batch in batches:
             salt = batch.column(1).to_numpy().view(np.uint64)
-            for lo, _, data, offs in tb.groups(batch.column(0)):
-                code, doc = _words(data, offs)
-                if not len(code):
+            for lo, _, ids, size in _coded(batch.column(0), kind):
+                if not len(ids):
                     continue
-                ids = vocab.ids(code)
-                first = np.concatenate(([True], doc[1:] != doc[:-1]))
-                nth = np.arange(len(ids)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                text, at = stream(ids, np.cumsum(first) - 1, len(net.embed) - 1)
+                doc = np.repeat(np.arange(len(size)), size)
+                nth = np.arange(len(ids)) - (np.cumsum(size) - size)[doc]
+                text, at = stream(ids, doc, len(net.embed) - 1)
                 chosen = np.zeros(len(text), bool)
                 chosen[at] = round_of(nth, salt[lo + doc], rounds) == nth_round
                 # the words around the chosen ones, and no others
@@ -375,7 +403,7 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
         return pa.table({"i": rows["i"][:1], "w": pa.array([(n @ w / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
     # what reaches the driver is one set of weights
-    got = docs.select("t", "s").mapInArrow(run, "i int, w array<float>, n long").groupBy("i").applyInArrow(mean, "i int, w array<float>").toArrow()
+    got = coded.select("ids", "s").mapInArrow(run, "i int, w array<float>, n long").groupBy("i").applyInArrow(mean, "i int, w array<float>").toArrow()
     if not got.num_rows:
         return net
     flat = flatten(net)
@@ -384,37 +412,45 @@ def one_round(docs: DataFrame, vocab: Vocabulary, net: Net, nth_round: int, roun
     return unflatten(flat, len(vocab.counts))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Net]:
-    """docs: t, s (hash of the key).  Gives the ids of words and the network."""
-    vocab = vocabulary(docs)
+def learn(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
+    """coded: ids, s (hash of the key)."""
     net = start(vocab.counts)
     for i in range(rounds):
-        net = one_round(docs, vocab, net, i, rounds)
+        net = one_round(coded, vocab, net, i, rounds)
+    return net
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Net]:
+    """docs: t, s (hash of the key).  Gives the ids of words and the network."""
+    vocab, disk = vocabulary(docs), Scratch(docs.sparkSession, "lm")
+    net = learn(disk.save(encode(docs.withColumn("k", F.lit(0).cast("long")), vocab), "ids"), vocab, rounds)
+    disk.drop("ids")
     return vocab, net
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """key, n_tokens, logprob (sum), mean_logprob, perplexity of each row under the network trained on all rows."""
     given = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(given.select("t", F.xxhash64("k").alias("s")), rounds))
+    vocab = vocabulary(given)
+    coded = Scratch(docs.sparkSession, "lm").save(encode(given.withColumn("s", F.xxhash64("k")), vocab), "ids")
+    sent, kind = docs.sparkSession.sparkContext.broadcast((vocab.distinct, learn(coded, vocab, rounds))), _kind(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = sent.value
-        share = np.log(vocab.distinct)
+        distinct, net = sent.value
+        share = np.log(distinct)
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lo, hi, data, offs in tb.groups(batch.column(1)):
-                code, doc = _words(data, offs)
-                ids = vocab.ids(code)
+            for lo, hi, ids, size in _coded(batch.column(1), kind):
+                doc = np.repeat(np.arange(len(size)), size)
                 text, at = stream(ids, doc, len(net.embed) - 1)
                 for i in range(0, len(ids), AT_ONCE):
                     some = at[i : i + AT_ONCE]
                     begin = some[0] - SIDE
                     logs = log_probabilities(net, text[begin : some[-1] + SIDE + 1], some - begin) - share[ids[i : i + AT_ONCE]]
                     total[lo:hi] += np.bincount(doc[i : i + AT_ONCE], logs, minlength=hi - lo)
-                n[lo:hi] = np.bincount(doc, minlength=hi - lo)
+                n[lo:hi] = size
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["k", "n_tokens", "logprob"])
 
-    out = given.mapInArrow(run, "k long, n_tokens long, logprob double")
+    out = coded.select("k", "ids").mapInArrow(run, "k long, n_tokens long, logprob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("logprob") / F.col("n_tokens"))
     return out.select(F.col("k").alias(key), "n_tokens", "logprob", mean.alias("mean_logprob"), F.exp(-mean).alias("perplexity"))

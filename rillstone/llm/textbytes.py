@@ -65,13 +65,13 @@ class Words(NamedTuple):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
     n, bufs = len(column), column.buffers()
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     if n == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     offs = np.frombuffer(bufs[1], kind)[column.offset : column.offset + n + 1].astype(np.int64)

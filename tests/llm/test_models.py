@@ -278,6 +278,29 @@ def test_lm_scores_equal_a_plain_recomputation(spark, sf):
         assert scored[d].n_tokens == len(w) and abs(scored[d].logprob - want) <= 1e-4 * max(1, abs(want))
 
 
+def test_texts_become_ids_once(spark, monkeypatch):
+    """op9: rounds and scores read the ids of the words; empty texts and nulls keep their rows, also where ids take four bytes."""
+    texts = ["b a b", None, "", " .", *(f"w{i % 130} a" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    vocab = lm.vocabulary(docs)
+    with monkeypatch.context() as m:
+        m.setattr(lm, "IDS_AT_ONCE", 64)
+        for kind in (np.uint16, np.int32):
+            m.setattr(lm, "_kind", lambda vocab, kind=kind: kind)
+            rows = {r.k: r for r in lm.encode(docs.withColumn("s", F.xxhash64("k")), vocab).collect()}
+            for k, t in enumerate(texts):
+                w = re.findall("[0-9a-z]+", t or "")
+                assert np.frombuffer(rows[k].ids, kind).tolist() == (vocab.ids(_code(*w)).tolist() if w else [])
+            column = pa.array([bytes(rows[k].ids) for k in range(len(texts))], pa.binary())
+            for c in (column, column.cast(pa.large_binary())):
+                parts = list(lm._coded(c, kind))
+                assert len(parts) > 1 and np.concatenate([p[3] for p in parts]).tolist() == [len(re.findall("[0-9a-z]+", t or "")) for t in texts]
+                assert b"".join(p[2].tobytes() for p in parts) == b"".join(column.to_pylist())
+    coded = lm.encode(docs.withColumn("s", F.xxhash64("k")), vocab).select("ids", "s")
+    net = lm.learn(coded, vocab)
+    assert net.embed.shape == lm.start(vocab.counts).embed.shape and not np.array_equal(net.to_class, lm.start(vocab.counts).to_class)
+
+
 def test_lm_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(3)
     net = _tiny_net()
