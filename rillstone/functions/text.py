@@ -178,28 +178,31 @@ def text_ticks(x: Column, duration_s: Column, chunk_s: float) -> Column:
         return F.bround(F.size(s["tokens"]) * i / s["count"], 0).cast("int")
 
     def said(tokens: Column) -> Column:
-        # as join_tokens, by the whole text: no token holds the end of a line
-        lines = F.concat(F.lit("\n"), F.array_join(tokens, "\n"))
-        return F.replace(F.regexp_replace(lines, r"\n(?=[A-Za-z0-9])", " "), F.lit("\n"), F.lit(""))
+        # as join_tokens, by the whole text: no token holds a space, and only words keep the one before them
+        return F.regexp_replace(F.concat(F.lit(" "), F.array_join(tokens, " ")), " (?![A-Za-z0-9])", "")
 
     def cut(s: Column) -> Column:
-        # what lies between two edges
-        between = F.transform(F.sequence(F.lit(0), s["count"] - 1), lambda i: said(F.slice(s["tokens"], edge(s, i) + 1, edge(s, i + 1) - edge(s, i))))
-        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens")], between.alias("between"))
+        # what lies between two edges; between equal ones the next token is said, if there is one.  Tokens go no further, as each step copies what it hands on
+        def between(i: Column) -> Column:
+            lo, hi = edge(s, i), edge(s, i + 1)
+            return F.struct((hi <= lo).alias("again"), said(F.slice(s["tokens"], lo + 1, F.greatest(F.lit(1), hi - lo))).alias("said"))
+
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration")], F.transform(F.sequence(F.lit(0), s["count"] - 1), between).alias("between"))
 
     def upto(s: Column) -> Column:
         # how many characters lie before each edge, behind the space before the first word
-        whole = F.array_join(s["between"], "")
-        ends = F.aggregate(s["between"], F.array(F.when(F.startswith(whole, F.lit(" ")), -1).otherwise(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
-        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "tokens", "between")], ends.alias("ends"), F.ltrim(whole).alias("whole"))
+        own = F.transform(s["between"], lambda t: F.when(t["again"], "").otherwise(t["said"]))
+        whole = F.array_join(own, "")
+        ends = F.aggregate(own, F.array(F.when(F.startswith(whole, F.lit(" ")), -1).otherwise(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
+        return F.struct(*[s[c].alias(c) for c in ("count", "duration", "between")], ends.alias("ends"), F.ltrim(whole).alias("whole"))
 
     def ticks(s: Column) -> Column:
         def one(i: Column) -> Column:
-            # between equal edges the next token is said, if there is one
-            more = F.when(edge(s, i + 1) <= edge(s, i), said(F.slice(s["tokens"], edge(s, i) + 1, F.lit(1)))).otherwise("")
+            own = F.get(s["between"], i)
+            more = F.when(own["again"], F.length(own["said"])).otherwise(0)
             return F.struct(
                 i.cast("int").alias("tick"), F.bround(i * chunk_s, 6).alias("start_s"), F.bround(F.least(s["duration"], (i + 1) * chunk_s), 6).alias("end_s"),
-                F.ltrim(F.concat(F.get(s["between"], i), more)).alias("chunk"), F.substring(s["whole"], F.lit(1), F.get(s["ends"], i + 1) + F.length(more)).alias("prefix"),
+                F.ltrim(own["said"]).alias("chunk"), F.substring(s["whole"], F.lit(1), F.get(s["ends"], i + 1) + more).alias("prefix"),
             )
 
         return F.transform(F.sequence(F.lit(0), s["count"] - 1), one)
